@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from annalist.llm import decontamination, html, language, neighbours, packing, quality, toxicity, warc
+from annalist.llm import decontamination, html, jaccard, language, neighbours, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_neighbours": neighbours.op3_neighbours,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_warc": warc.op5_warc,
