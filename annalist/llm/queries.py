@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.llm import decontamination, html, jaccard, language, neighbours, packing, quality, toxicity, warc
+from annalist.llm import decontamination, html, jaccard, language, neighbours, packing, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_html": html.op9_html,
     "op10_packing": packing.op10_packing,
 }
