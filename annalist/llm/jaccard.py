@@ -334,7 +334,8 @@ def block_links(documents: DataFrame, blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     p = partitions(documents.sparkSession)
-    rows = documents.select("doc_id", "text").join(blocks, F.col("doc_id") == F.col("id")).select(F.col("component").alias("block"), "id", "text")
+    # Merged at every size: whether the members are few enough to broadcast must not decide whether texts are shuffled.
+    rows = documents.select("doc_id", "text").join(blocks.hint("merge"), F.col("doc_id") == F.col("id")).select(F.col("component").alias("block"), "id", "text")
     return rows.repartition(p, "block").sortWithinPartitions("block", "id").mapInArrow(join, "a bigint, b bigint")
 
 
