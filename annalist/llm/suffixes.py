@@ -266,9 +266,9 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def mark(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """All columns of documents, k1, k2, and `cuts` (array<struct<begin, end>>: unmerged byte ranges to remove; null if none)."""
+    """row (a struct of all columns of documents), doc_id, text, and `cuts` (array<struct<begin, end>>: unmerged byte ranges to remove; null if none)."""
     small_batches(documents.sparkSession)
-    rows = keyed(documents)
+    rows = keyed(documents.select(F.struct("*").alias("row"), "doc_id", "text"))
     narrow = rows.select("doc_id", *KEYS, F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size")).groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
     named = suspects(rows, length, gram).join(narrow, KEYS)
     cuts = repeats(rows.select("doc_id", "text", *KEYS), named, length, gram).groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
@@ -280,7 +280,8 @@ def mark(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """documents with the repeated bytes cut from their texts; a character that is cut into goes whole. Other columns stay."""
     columns, at = documents.columns, documents.columns.index("text")
-    marked = mark(documents, length, gram).select(*columns, F.col("cuts").alias("__cuts"))
+    cuts = "_".join(["cuts", *columns])  # a name that no column has
+    marked = mark(documents, length, gram).select("row.*", F.col("cuts").alias(cuts))
 
     def run(batches):
         import pyarrow as pa
