@@ -35,7 +35,9 @@ def leak(question, answer) -> Column:
 
 def memorised(candidate, truth) -> Column:
     """Share of the truth's words of four letters or more, ISO dates and years that occur in the candidate."""
-    tokens = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(_c(truth)), F.lit(r"\b[a-z][a-z0-9-]{3,}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{4}\b"), F.lit(0))), F.array(*[F.lit(w) for w in STOPWORDS]))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(_c(truth)), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0)))
+    kinds = r"^([a-z][a-z0-9-]{3,}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4})$"
+    tokens = F.array_except(F.filter(words, lambda w: w.rlike(kinds)), F.array(*[F.lit(w) for w in STOPWORDS]))
     lower = F.lower(_c(candidate))
     return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda t: F.contains(lower, t))) / F.size(tokens))
 

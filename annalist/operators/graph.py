@@ -55,7 +55,7 @@ def chains(edges: DataFrame, depth: int = 20) -> DataFrame:
     edges: (a, b), b the next of a; of several the least. Roots are no one's next. Cycles end where they close.
     """
     spark = edges.sparkSession
-    edges.groupBy("a").agg(F.min("b").alias("b")).createOrReplaceTempView("_annalist_next")
+    edges.groupBy("a").agg(F.min("b").alias("b")).cache().createOrReplaceTempView("_annalist_next")  # each step reads it
     return spark.sql(f"""
         WITH RECURSIVE walk(root, at, length, path) AS (
           SELECT a, a, 1, array(a) FROM _annalist_next WHERE a NOT IN (SELECT b FROM _annalist_next)
