@@ -13,7 +13,7 @@ def exact(x, scale: int = 6) -> Column:
     return F.col(x).cast(f"decimal(28,{scale})") if isinstance(x, str) else x.cast(f"decimal(28,{scale})")
 
 
-def mean(x, scale: int = 6) -> Column:
+def mean(x, scale: int = 12) -> Column:
     return F.sum(exact(x, scale)).cast("double") / F.count(x if isinstance(x, str) else x)
 
 

@@ -325,7 +325,7 @@ def rubric_score(li):
 
 
 _RUN = f"s AS (SELECT l_orderkey, {_SCORE} AS score FROM lineitem GROUP BY l_orderkey), j AS (SELECT o.*, coalesce(score, 0) AS score FROM orders o LEFT JOIN s ON l_orderkey = o_orderkey)"
-_MEAN = "sum(score::DECIMAL(28, 6))::DOUBLE / count(score)"
+_MEAN = "sum(score::DECIMAL(28, 12))::DOUBLE / count(score)"
 
 
 def judged(o, li):
@@ -366,7 +366,7 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 @query(
     f"""WITH {_RUN}, k AS (SELECT o_orderstatus AS tier, o_orderpriority AS system, c_mktsegment AS g, score FROM j JOIN customer ON c_custkey = o_custkey), t AS (SELECT tier, system, {_MEAN} AS accuracy_mean,
-      {", ".join(f"sum(score::DECIMAL(28, 6)) FILTER (g = '{s}')::DOUBLE / count(score) FILTER (g = '{s}') AS {s}" for s in SEGMENTS)} FROM k GROUP BY ALL)
+      {", ".join(f"sum(score::DECIMAL(28, 12)) FILTER (g = '{s}')::DOUBLE / count(score) FILTER (g = '{s}') AS {s}" for s in SEGMENTS)} FROM k GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY tier ORDER BY accuracy_mean DESC, system)::INT AS rank FROM t""",
     "orders", "lineitem", "customer",
 )
@@ -387,7 +387,7 @@ def usage_rollup(o):
 
 @query(
     f"""WITH {_RUN}, h AS (SELECT o_orderpriority AS system, o_orderkey % 2 = 0 AS new, score FROM j)
-    SELECT system, sum(score::DECIMAL(28, 6)) FILTER (new)::DOUBLE / count(*) FILTER (new) - sum(score::DECIMAL(28, 6)) FILTER (NOT new)::DOUBLE / count(*) FILTER (NOT new) AS delta FROM h GROUP BY system""",
+    SELECT system, sum(score::DECIMAL(28, 12)) FILTER (new)::DOUBLE / count(*) FILTER (new) - sum(score::DECIMAL(28, 12)) FILTER (NOT new)::DOUBLE / count(*) FILTER (NOT new) AS delta FROM h GROUP BY system""",
     "orders", "lineitem",
 )
 def rejudge_delta(o, li):
