@@ -34,11 +34,16 @@ RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payl
 
 
 def decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, digest, answer: the page_id of the response for the payload, null where the page is one itself by size."""
+    """name, digest, answer: the page_id of the response for the payload, null where the page is one itself by size."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     narrow = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("bytes")).distinct()
     large = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("answer"))
-    return narrow.join(large, "digest", "left").select("page_id", "digest", "answer")
+    return narrow.join(large, "digest", "left").select(name_of_page(), "digest", "answer")
+
+
+def name_of_page():
+    """A page's id as text, never null: a key of plain equality."""
+    return F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name")
 
 
 def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
@@ -73,10 +78,10 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     small_batches(spark)
     folder = f"{shared_dir(spark)}/annalist-warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(body).alias("digest")).alias("p")
-    d = decisions(pages, least).alias("d")
-    rows = rows.join(d, F.col("p.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("p.digest") == F.col("d.digest")), "left").select("p.page_id", "p.url", "p.html", "p.digest", "d.answer")
-    rows = rows.repartition(partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest")
+    # Payloads are dealt out once, by page: the join finds them so, and rows of one page and payload come one after another.
+    rows = pages.select("page_id", "url", "html", F.sha1(body).alias("digest"), name_of_page()).repartition(partitions(spark), "name", "digest")
+    rows = rows.join(decisions(pages, least), ["name", "digest"], "left").select("page_id", "url", "html", "digest", "answer", "name")
+    rows = rows.sortWithinPartitions("name", "digest").drop("name")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
