@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from annalist.plans import catalogue
+from annalist.plans import catalogue, generation
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,8 +33,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+QUERIES, ORACLES = catalogue.QUERIES | generation.QUERIES, catalogue.ORACLES | generation.ORACLES
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.ORACLES[name]).fetchdf()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) and rows(got) == rows(want)
