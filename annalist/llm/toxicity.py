@@ -9,7 +9,7 @@ takes every document's worst few, and descends on their cross entropy. Unseen sp
 Learning uses at most `per_label` labelled rows a label (a documented bound; rows are taken by a hash of doc_id).
 
 Cases: null and empty texts have no segment and score as the softmax's bias alone, at most 0.4; no labels to learn from,
-or one label only: every score is that label's share. Labels that are null are left out; a null doc_id is not held out.
+or one label only: every score is that label's share, as it is if no labelled text has a word. Labels that are null are left out; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 16, 12, 0.5
 #: Worst segments of a clean and of a toxic document that an epoch learns from.
 WORST = {0: 3, 1: 1}
 CACHE = 400_000
+#: Words whose n-grams are cut at once in learning.
+PART = 10_000
 #: Bytes of words: ASCII letters in lower case, digits, and bytes beyond ASCII; the rest is a blank.
 WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -100,23 +102,31 @@ class Model:
         docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t, _ in rows]
         labels = np.array([y for d, (_, y) in zip(docs, rows, strict=True) if len(d)])
         docs = [d for d in docs if len(d)]
-        flat, of = bags(list(number))
-        sizes = np.bincount(of)
+        if not docs:
+            return cls(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))), min(0.4, share))
+        names = list(number)
+        flat, sizes = [], []
+        for i in range(0, len(names), PART):
+            found, of = bags(names[i : i + PART])
+            flat.append(found)
+            sizes.append(np.bincount(of))
+        flat, sizes = np.concatenate(flat), np.concatenate(sizes)
         begins = np.cumsum(sizes) - sizes
-        # All segments of all documents, one after another.
-        starts = [np.arange(0, len(d), SEGMENT) for d in docs]
-        offset = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        # All segments of all documents, one after another; bound: where each document's begin.
+        starts = [np.arange(0, len(d), SEGMENT, dtype=np.int32) for d in docs]
+        bound = np.cumsum([0] + [len(s) for s in starts])
+        offset = np.cumsum([0] + [len(d) for d in docs]).astype(np.int32)
         words = np.concatenate(docs)
         seg = np.concatenate([s + o for s, o in zip(starts, offset, strict=False)])
-        owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-        ends = np.minimum(np.append(seg[1:], len(words)), seg + SEGMENT)
+        ends = np.minimum(np.append(seg[1:], np.int32(len(words))), seg + np.int32(SEGMENT))
         # First guess of a document's worst segment: words by the log-odds of the documents that have them.
-        counts = np.zeros((2, len(number)))
+        counts = np.zeros((2, len(names)))
         for d, y in zip(docs, labels, strict=True):
             counts[y, np.unique(d)] += 1
         total = np.bincount(labels, minlength=2)
         guess = np.log((counts[1] + 0.5) / (total[1] + 1)) - np.log((counts[0] + 0.5) / (total[0] + 1))
         level = np.maximum.reduceat(guess[words], seg)
+        del docs, number, names, starts, counts, guess
 
         rng = np.random.default_rng(seed)
         vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)  # a bucket never met says nothing
@@ -126,10 +136,7 @@ class Model:
             if epoch:
                 logit = vectors @ (soft[:, 1] - soft[:, 0])
                 level = np.add.reduceat((np.add.reduceat(logit[flat], begins) / sizes)[words], seg) / (ends - seg)
-            order = np.lexsort((-level, owner))
-            first = np.searchsorted(owner[order], np.arange(len(docs)))
-            rank = np.arange(len(order)) - first[owner[order]]
-            taken = order[rank < np.where(labels[owner[order]] == 1, WORST[1], WORST[0])]
+            taken = np.concatenate([a + np.argsort(-level[a:b], kind="stable")[: WORST[y]] for a, b, y in zip(bound[:-1], bound[1:], labels.tolist(), strict=True)])
             for batch in np.array_split(rng.permutation(taken), max(1, len(taken) // 64)):
                 spans = ends[batch] - seg[batch]
                 ws = words[np.repeat(seg[batch] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())]
@@ -142,7 +149,7 @@ class Model:
                 z = mean @ soft + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                p[np.arange(len(batch)), labels[owner[batch]]] -= 1
+                p[np.arange(len(batch)), labels[np.searchsorted(bound, batch, "right") - 1]] -= 1
                 back = (p @ soft.T)[np.repeat(np.arange(len(batch)), each)] * by[:, None]
                 np.add.at(grow, at, (back * back).sum(1))
                 soft -= RATE / 8 * mean.T @ p / len(batch)

@@ -209,3 +209,16 @@ def test_classifiers(spark, none):
     got = q.scores([good[7].encode(), bad[7].encode(), b"", None])
     assert got[0] > got[1] and got[2] == got[3] == 0.0
     assert language.identify(none, model).count() == toxicity.score(none, m).count() == quality.score(none, q).count() == toxicity.reject(none, m).count() == 0
+
+
+def test_toxicity_learns_nothing_from_texts_without_words():
+    m = toxicity.Model.fit([("", 0), ("..", 1)])
+    assert m.scores(["", "a b"]) == [0.4, 0.5]
+
+
+def test_toxicity_in_parts_is_the_same(monkeypatch):
+    rows = [(f"plain words number {i} of some text", 0) for i in range(40)] + [(f"you awful scumbag{i} person", 1) for i in range(20)]
+    whole = toxicity.Model.fit(rows)
+    monkeypatch.setattr(toxicity, "PART", 7)
+    parts = toxicity.Model.fit(rows)
+    assert (whole.logits == parts.logits).all() and whole.bias == parts.bias
