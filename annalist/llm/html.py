@@ -4,13 +4,14 @@ A page's tokens are its block elements, told apart by their paths, and its text
 occurrence vector over the pages of its host is kept as one number, the sum over pages of count x a hash of the page, so
 that tokens share a vector where they share the number, and sums are combined before any shuffle. Tokens of a host with
 one vector are an equivalence class; it is valid if enough pages have it and it holds more than one token. Valid classes
-nest by their paths into the host's template: an element belongs to it if its parent does. The template's fixed chunks
-are dropped; its remaining slots are what varies. The main slot is the innermost template element that holds most of
-the varying text that is not in links.
+nest by their paths into the host's template: an element belongs to it if its parent does, a chunk if the element around
+its own does. The template's chunks are fixed and dropped on pages without an article; all that varies is kept, in however
+many slots it lies. A chunk is fixed only if pages of LEAST_PAGES different texts have it: copies of a page make no template.
 
-A page's own article or main elements are the main slot where it has them; elsewhere the template's slot; on hosts
-without a template (few pages) the body. Elements that are by name, role or class a menu, header, footer, sidebar,
-notice, advert, form, script, style or reader comments are left out anywhere. Within an article nothing else is.
+Elements that are by name, role or class a menu, header, footer, sidebar, notice, advert, form, script, style or reader
+comments are left out anywhere. On hosts with fixed chunks, blocks that are links only are left out too, unless they are in
+an article or main element, in a heading, or below an element that holds paragraphs. Nothing else is left out on
+pages without article or main elements, which are the text where a page has them; on hosts without a template (few pages) the body is the text.
 
 The templates (a few rows a host) meet the pages by a join on the host that Spark plans by size, broadcast or split.
 
@@ -25,6 +26,7 @@ import re
 from collections import defaultdict
 from zlib import crc32
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ from annalist.llm.common import map_batches, read, written
 
 #: Pages of a host that make a template, and the share of them that its tokens are on.
 LEAST_PAGES, SUPPORT = 4, 0.5
-#: Share of the text of its parent that makes an element the main slot.
-MAIN = 0.6
+#: Elements that are a paragraph of the one around them, and headings.
+PARAGRAPH, HEADING = re.compile(r"(p|li|td|th|tr|dd|dt|blockquote|pre)\b"), re.compile(r"h[1-6]\b")
 #: Names that mark what is not main text: fixed values.
 DROPPED = frozenset("nav footer aside form script style noscript template button select iframe dialog textarea svg head title object canvas menu".split())
 WORDS = frozenset("ad ads advert advertisement adverts banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments reply replies disqus widget login signup toolbar".split())
@@ -60,11 +62,11 @@ def marks(name: str, attributes: str) -> tuple[str, bool]:
 
 
 class Chunk:
-    """A block's text: path of its elements, whether it is left out, whether it is in an article, its length in links."""
+    """A block's text: path of its elements, whether it is left out, whether it is in an article, whether all of it is in links."""
 
     __slots__ = ("path", "out", "article", "text", "linked")
 
-    def __init__(self, path: tuple, out: bool, article: bool, text: str, linked: int) -> None:
+    def __init__(self, path: tuple, out: bool, article: bool, text: str, linked: bool) -> None:
         self.path, self.out, self.article, self.text, self.linked = path, out, article, text, linked
 
 
@@ -81,7 +83,7 @@ def chunks(page: str | None, elements: dict | None = None) -> list[Chunk]:
             text = " ".join(entities.unescape("".join([t for t, _ in parts])).split())
             if text:
                 out, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                found.append(Chunk(tuple([s[1] for s in stack]), out, article, text, sum(len(t) for t, linked in parts if linked)))
+                found.append(Chunk(tuple([s[1] for s in stack]), out, article, text, all(linked or not t.strip() for t, linked in parts)))
             parts.clear()
 
     at = 0
@@ -136,92 +138,79 @@ def host_of(url) -> str | None:
     return m[1].lower() if m else None
 
 
-def tokens(url, page) -> list[tuple]:
-    """Rows (host, token, count, chars of it that vary with the page) of a page; text tokens by their path and text."""
+def text_token(c: Chunk) -> str:
+    return "T" + "\x1f".join(c.path) + "\x1e" + xxhash.xxh3_64_hexdigest(c.text)
+
+
+def tokens(url, page) -> tuple[list[tuple], int]:
+    """Rows (host, token, count) of a page, text tokens by their path and text; and one bit by its texts that are not left out."""
     elements: dict = {}
     own = chunks(page, elements)
-    out: dict = defaultdict(lambda: [0, 0])
+    out: dict = defaultdict(int)
     for path, n in elements.items():
-        out["E" + "\x1f".join(path)][0] = n
+        out["E" + "\x1f".join(path)] = n
     for c in own:
-        if not c.out and c.path:
-            out["E" + "\x1f".join(c.path)][1] += max(0, len(c.text) - c.linked)
         if not c.article:
-            out["T" + "\x1f".join(c.path) + "\x1e" + str(crc32(c.text.encode()))][0] += 1
+            out[text_token(c)] += 1
+    texts = xxhash.xxh3_64_intdigest("\x1e".join([c.text for c in own if not c.out]))
     host = host_of(url)
-    return [(host, k, n, chars) for k, (n, chars) in out.items()] if host else []
+    return [(host, k, n) for k, n in out.items()] if host else [], 1 << texts % 63
 
 
-def template(rows: list[tuple[str, int, int, int]], pages: int) -> tuple[list[str], str | None]:
-    """Fixed chunks and main slot of a host: rows (token, vector, pages that have it, chars), pages of the host."""
+def template(rows: list[tuple[str, int, int, int]], pages: int) -> list[str]:
+    """Fixed chunks of a host: rows (token, vector, pages that have it, bits of their texts), pages of the host."""
     need = max(LEAST_PAGES, SUPPORT * pages)
     classes: dict[int, list] = defaultdict(list)
-    for token, vector, support, chars in rows:
-        if support >= need:
-            classes[vector].append((token, support, chars))
-    valid = {t: (support, chars) for members in classes.values() if len(members) > 1 for t, support, chars in members}
-    tree: set[tuple] = set()
+    for token, vector, support, seen in rows:
+        if support >= need and (token[0] == "E" or seen.bit_count() >= LEAST_PAGES):
+            classes[vector].append(token)
+    valid = [t for members in classes.values() if len(members) > 1 for t in members]
+    tree: set[tuple] = {()}
     for path in sorted((tuple(t[1:].split("\x1f")) for t in valid if t[0] == "E"), key=len):
-        if len(path) == 1 or path[:-1] in tree:
+        if path[:-1] in tree:
             tree.add(path)
-    fixed = sorted(t for t in valid if t[0] == "T" and (tuple(t[1:].split("\x1e")[0].split("\x1f")) in tree))
-    mass: dict[tuple, int] = defaultdict(int)
-    for token, _, _, chars in rows:
-        if token[0] == "E" and chars:
-            path = tuple(token[1:].split("\x1f"))
-            for i in range(len(path) + 1):
-                mass[path[:i]] += chars
-    at: tuple = ()
-    while True:
-        below = [p for p in tree if len(p) == len(at) + 1 and p[: len(at)] == at and mass[p] >= MAIN * mass[at] > 0]
-        if not below:
-            break
-        inner = max(below, key=lambda p: (mass[p], p))
-        # A single paragraph, list item or cell is not a slot of its own.
-        if re.match(r"(p|li|td|th|tr|dd|dt|h[1-6])\b", inner[-1]):
-            break
-        at = inner
-    return fixed, "\x1f".join(at) if at else None
+    return sorted(t for t in valid if t[0] == "T" and tuple(t[1:].split("\x1e")[0].split("\x1f"))[:-1] in tree)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row for each host with enough pages: host, fixed array<string>, slot string."""
+    """One row for each host with enough pages: host, fixed array<string>."""
 
     def make(batch):
         rows = []
-        for page, (url, page_html) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+        for url, page_html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             key = crc32(f"{url}\n{len(page_html or '')}".encode()) or 1
             key = key * 0x9E3779B1 % (1 << 40)
-            rows += [(host, token, n * key % (1 << 40), 1, chars) for host, token, n, chars in tokens(url, page_html)]
+            own, bit = tokens(url, page_html)
+            rows += [(host, token, n * key % (1 << 40), 1, bit) for host, token, n in own]
             if host_of(url):
-                rows.append((host_of(url), "", 0, 1, 0))
+                rows.append((host_of(url), "", 0, 1, bit))
         columns = list(zip(*rows, strict=True)) or [()] * 5
-        return dict(zip(("host", "token", "vector", "pages", "chars"), map(list, columns), strict=True))
+        return dict(zip(("host", "token", "vector", "pages", "seen"), map(list, columns), strict=True))
 
-    each = map_batches(pages.select("url", "html"), make, "host string, token string, vector bigint, pages bigint, chars bigint")
+    each = map_batches(pages.select("url", "html"), make, "host string, token string, vector bigint, pages bigint, seen bigint")
     # Sums of vectors stay below 2^63: parts of 2^40 from as many as 2^23 rows are cut down in each step.
-    summed = each.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
-    summed = written(summed.select("host", "token", F.pmod("vector", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("vector"), "pages", "chars"), "html-tokens")
-    hosts = summed.where("token = ''").select("host", F.col("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
-    often = summed.where("token <> ''").join(hosts, "host").where((F.col("pages") >= SUPPORT * F.col("of")) & (F.col("pages") >= LEAST_PAGES))
-    grouped = often.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("token", "vector", "pages", "chars")).alias("rows"))
+    summed = each.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("pages").alias("pages"), F.bit_or("seen").alias("seen")).where(F.col("pages") >= LEAST_PAGES)
+    summed = written(summed.select("host", "token", F.pmod("vector", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("vector"), "pages", "seen"), "html-tokens")
+    hosts = summed.where("token = ''").select("host", F.col("pages").alias("of"))
+    often = summed.where("token <> ''").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
+    grouped = often.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("token", "vector", "pages", "seen")).alias("rows"))
 
     def deduce(batch):
         found = [template([tuple(r.values()) for r in rows], of) for rows, of in zip(batch.column("rows").to_pylist(), batch.column("of").to_pylist(), strict=True)]
-        return {"host": batch.column("host"), "fixed": [f for f, _ in found], "slot": [s for _, s in found]}
+        return {"host": batch.column("host"), "fixed": found}
 
-    return map_batches(grouped, deduce, "host string, fixed array<string>, slot string")
+    return map_batches(grouped, deduce, "host string, fixed array<string>")
 
 
-def main_text(page: str | None, fixed: set[str], slot: tuple | None) -> str:
-    """The page's article or main elements, else its template's slot, else its body."""
-    own = [c for c in chunks(page) if not c.out]
-    if any(c.article for c in own):
-        kept = [c for c in own if c.article]
-    else:
-        kept = [c for c in own if "T" + "\x1f".join(c.path) + "\x1e" + str(crc32(c.text.encode())) not in fixed] if fixed else own
-        if slot and any(c.path[: len(slot)] == slot for c in kept):
-            kept = [c for c in kept if c.path[: len(slot)] == slot]
+def main_text(page: str | None, fixed: set[str]) -> str:
+    """What varies of the page: its chunks but those left out, the host's fixed ones and, where it has some, blocks of links."""
+    kept = [c for c in chunks(page) if not c.out]
+    if any(c.article for c in kept):
+        kept = [c for c in kept if c.article]
+    elif fixed:
+        kept = [c for c in kept if text_token(c) not in fixed]
+        held = {c.path[:-1] if c.path and PARAGRAPH.match(c.path[-1]) else c.path for c in kept if not c.linked and not any(map(HEADING.match, c.path))}
+        kept = [c for c in kept if not c.linked or c.article or any(map(HEADING.match, c.path)) or any(c.path[:i] in held for i in range(len(c.path) + 1))]
     return " ".join([c.text for c in kept])
 
 
@@ -231,8 +220,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = pages.select("page_id", "url", "html", host).join(templates(pages), "host", "left")
 
     def make(batch):
-        fixed, slots = batch.column("fixed").to_pylist(), batch.column("slot").to_pylist()
-        texts = [main_text(h, set(f or ()), tuple(s.split("\x1f")) if s else None) for h, f, s in zip(batch.column("html").to_pylist(), fixed, slots, strict=True)]
+        texts = [main_text(h, set(f or ())) for h, f in zip(batch.column("html").to_pylist(), batch.column("fixed").to_pylist(), strict=True)]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts}
 
     return map_batches(joined, make, "page_id bigint, url string, text string")

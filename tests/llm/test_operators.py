@@ -193,6 +193,17 @@ def test_html(spark):
     assert got[20] == got[21] == "" and got[22].startswith("cut off")
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_html_keeps_all_slots(spark):
+    page = "<html><body><div class=top>Site name</div><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=content>{1}<ul class=refs><li><a href=r>Source {0}</a></ul></div><div class=more><ul><li><a href=x>Other {0}</a></ul></div></body>"
+    body = [" ".join(f"word{i} text{k}" for k in range(40)) for i in range(8)]
+    got = extracted(spark, [(i, f"http://s.example/{i}", page.format(i, f"<p>{body[i]}</p>" * (1 + i % 2))) for i in range(8)])
+    assert got == {i: " ".join([f"Title {i}", f"Lead {i}", *[body[i]] * (1 + i % 2), f"Source {i}"]) for i in range(8)}
+
+
 def test_classifiers(spark, none):
     rng = random.Random(0)
     sentence = lambda bad: " ".join(["Good words, here."] * 5 + rng.sample("the and of river stone cloud table".split(), 4) + (["nasty"] if bad else []))
