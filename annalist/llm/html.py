@@ -1,17 +1,17 @@
 """Main text of web pages by equivalence classes of template tokens (after Arasu and Garcia-Molina).
 
-A page's tokens are its block elements, told apart by their paths, and its text chunks outside articles. A token's
+A page's tokens are its block elements, told apart by their paths, and its text chunks, those in articles too. A token's
 occurrence vector over the pages of its host is kept as one number, the sum over pages of count x a hash of the page, so
 that tokens share a vector where they share the number, and sums are combined before any shuffle. Tokens of a host with
 one vector are an equivalence class; it is valid if enough pages have it and it holds more than one token. Valid classes
 nest by their paths into the host's template: an element belongs to it if its parent does, a chunk if the element around
-its own does. The template's chunks are fixed and dropped on pages without an article; all that varies is kept, in however
+its own does. The template's chunks are fixed and dropped on all pages of the host; all that varies is kept, in however
 many slots it lies. A chunk is fixed only if pages of LEAST_PAGES different texts have it: copies of a page make no template.
 
 Elements that are by name, role or class a menu, header, footer, sidebar, notice, advert, form, script, style or reader
 comments are left out anywhere. On hosts with fixed chunks, blocks that are links only are left out too, unless they are in
-an article or main element, in a heading, or below an element that holds paragraphs. Nothing else is left out on
-pages without article or main elements, which are the text where a page has them; on hosts without a template (few pages) the body is the text.
+an article or main element, in a heading, or below an element that holds paragraphs. Nothing else is left out: an article
+does not drop the text around it, and on hosts without a template (few pages) the body is the text.
 
 The templates (a few rows a host) meet the pages by a join on the host that Spark plans by size, broadcast or split.
 
@@ -150,8 +150,7 @@ def tokens(url, page) -> tuple[list[tuple], int]:
     for path, n in elements.items():
         out["E" + "\x1f".join(path)] = n
     for c in own:
-        if not c.article:
-            out[text_token(c)] += 1
+        out[text_token(c)] += 1
     texts = xxhash.xxh3_64_intdigest("\x1e".join([c.text for c in own if not c.out]))
     host = host_of(url)
     return [(host, k, n) for k, n in out.items()] if host else [], 1 << texts % 63
@@ -205,9 +204,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(page: str | None, fixed: set[str]) -> str:
     """What varies of the page: its chunks but those left out, the host's fixed ones and, where it has some, blocks of links."""
     kept = [c for c in chunks(page) if not c.out]
-    if any(c.article for c in kept):
-        kept = [c for c in kept if c.article]
-    elif fixed:
+    if fixed:
         kept = [c for c in kept if text_token(c) not in fixed]
         held = {c.path[:-1] if c.path and PARAGRAPH.match(c.path[-1]) else c.path for c in kept if not c.linked and not any(map(HEADING.match, c.path))}
         kept = [c for c in kept if not c.linked or c.article or any(map(HEADING.match, c.path)) or any(c.path[:i] in held for i in range(len(c.path) + 1))]

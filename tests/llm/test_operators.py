@@ -204,6 +204,17 @@ def test_html_keeps_all_slots(spark):
     assert got == {i: " ".join([f"Title {i}", f"Lead {i}", *[body[i]] * (1 + i % 2), f"Source {i}"]) for i in range(8)}
 
 
+def test_html_articles_are_a_hint(spark):
+    story = "<html><body><article><h1>Title {0}</h1><p>Story {0}</p>{1}<p>All rights with the house</p></article></body>"
+    cards = "<html><body><article><a href=x>Card {0}</a></article><div class=text><p>Main text {0}</p></div><article>Teaser {0}</article></body>"
+    rows = [(i, f"http://a.example/{i}", story.format(i, "<p>More</p>" * (i % 3) if i else "")) for i in range(8)] + [(20 + i, f"http://c.example/{i}", cards.format(i)) for i in range(6)]
+    rows += [(40, "http://alone.example/", cards.format(9))] + [(50 + i, f"http://copies.example/{i}", "<html><body><article><h1>Once</h1><p>The same text</p></article></body>") for i in range(6)]
+    got = extracted(spark, rows)
+    assert {i: got[i] for i in range(8)} == {i: " ".join([f"Title {i}", f"Story {i}", *["More"] * (i % 3)]) for i in range(8)}
+    assert all(got[20 + i] == f"Card {i} Main text {i} Teaser {i}" for i in range(6)) and got[40] == "Card 9 Main text 9 Teaser 9"
+    assert all(got[50 + i] == "Once The same text" for i in range(6))
+
+
 def test_classifiers(spark, none):
     rng = random.Random(0)
     sentence = lambda bad: " ".join(["Good words, here."] * 5 + rng.sample("the and of river stone cloud table".split(), 4) + (["nasty"] if bad else []))
