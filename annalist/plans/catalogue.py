@@ -141,6 +141,19 @@ def vector_topk(e):
     return retrieval.top_k(pairs.select("query_id", "vec_id", score.alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], 10).drop("score")
 
 
+@query(
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d::DECIMAL(20, 9), 6) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank::INT AS rank FROM r WHERE rank <= 10""",
+    "embeddings",
+)
+def vector_search(e):
+    """Every row whose id is divisible by 100 against all rows: Spark broadcasts the queries, or meets blocks of both where they are too many."""
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = e.join(q, F.col("vec_id") != F.col("query_id"))
+    score = F.round(retrieval.inner("q", "embedding").cast("decimal(20,9)"), 6)
+    return retrieval.top_k(pairs.select("query_id", "vec_id", score.alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], 10).drop("score")
+
+
 @query(
     f"""WITH {_TOKENS}, l AS (SELECT item_id AS query, doc_id AS id, rank FROM r WHERE rank <= 10
       UNION ALL SELECT query, id, rank FROM (SELECT a.item_id AS query, d.doc_id AS id, row_number() OVER (PARTITION BY a.item_id ORDER BY abs(length(a.text) - d.n_chars), d.doc_id) AS rank FROM benchmark a, documents d) WHERE rank <= 10)

@@ -41,3 +41,9 @@ def test_query(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) and rows(got) == rows(want)
+
+
+def test_vector_search_takes_every_hundredth_row(spark, duck):
+    want = {i for (i,) in duck.sql("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
+    got = QUERIES["vector_search"](spark, SF).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == dict.fromkeys(want, 10)
