@@ -180,7 +180,7 @@ def versions(e):
 @query(f"WITH {_V} SELECT user_id, event_type, event_id, value FROM v WHERE ts <= TIMESTAMP '2024-01-02' AND (invalid_at > TIMESTAMP '2024-01-02' OR invalid_at IS NULL)", "events")
 def asof_slice(e):
     at = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
-    return temporal.as_of(versions(e.where(F.col("ts") >= "1970-01-01")), at).select(*KEY, "event_id", "value")
+    return temporal.as_of(versions(e), at).select(*KEY, "event_id", "value")
 
 
 @query(

@@ -47,3 +47,8 @@ def test_vector_search_takes_every_hundredth_row(spark, duck):
     want = {i for (i,) in duck.sql("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
     got = QUERIES["vector_search"](spark, SF).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == dict.fromkeys(want, 10)
+
+
+def test_asof_slice_keeps_facts_before_1970(spark):
+    events = spark.sql("SELECT 1L event_id, TIMESTAMP_NTZ '1969-05-05 00:00:00' ts, 7L user_id, 'a' event_type, 2.5D value")
+    assert [tuple(r) for r in catalogue.asof_slice(events).collect()] == [(7, "a", 1, 2.5)]
