@@ -15,6 +15,10 @@ of LENGTH bytes hold equal anchors at equal places, and a text has about one anc
    All comparisons are of the bytes themselves.
 4. A text's runs are merged and cut out. Texts that occur more than once are removed whole, and count once in 1 to 3.
 
+With `words`, passages of that many words are found too, in the same steps: a text's words (apart at blanks) are hashed to
+WIDTH bytes each, and a passage of them is a string of those bytes, whatever blanks stand between. A place in bytes or in
+hashed words is one number, its lowest bit tells which.
+
 Cases: null text is empty; texts shorter than LENGTH keep all bytes. Repeated rows are copies of each other. Null doc_ids are
 rows like any other. Columns other than doc_id and text are ignored by `mark`; `remove` keeps them. An empty table gives no rows.
 """
@@ -22,6 +26,7 @@ rows like any other. Columns other than doc_id and text are ignored by `mark`; `
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
@@ -36,6 +41,9 @@ WINDOW = LENGTH - GRAM + 1
 #: Suffixes of one gram that are compared pair by pair; texts and contexts that a task remembers.
 PAIRS, SEEN = 64, 1 << 18
 KEYS = ["k1", "k2"]
+#: Bytes of a hashed word, and words whose hashes make a gram.
+WIDTH, WORD_GRAM = 6, 12
+WORD = re.compile(r"\S+")
 
 
 def sliding(v: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -126,8 +134,19 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(7), text))
 
 
-def suspects(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def hashed_words(text: bytes) -> bytes:
+    return b"".join([xxhash.xxh3_64_digest(w)[:WIDTH] for w in text.decode(errors="replace").split()])
+
+
+def rules(length: int, gram: int, words: int | None) -> list[tuple]:
+    """What strings are repeats: (bytes of a text, length, gram) by the lowest bit of places."""
+    return [(bytes, length, gram)] + ([(hashed_words, words * WIDTH, min(WORD_GRAM, words) * WIDTH)] if words else [])
+
+
+def suspects(rows: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
     """(k1, k2, places) of texts with anchors that occur elsewhere too."""
+    least = min(length, 2 * words - 1) if words else length
+    ruled = rules(length, gram, words)
 
     def find(batches):
         import pyarrow as pa
@@ -137,10 +156,12 @@ def suspects(rows: DataFrame, length: int, gram: int) -> DataFrame:
             keys, found = [], []
             k1, k2 = (batch.column(i).to_pylist() for i in (0, 1))
             for a, b, text in zip(k1, k2, as_bytes(batch.column(2)), strict=True):
-                if text is not None and len(text) >= length and (a, b) not in seen:
+                if text is not None and len(text) >= least and (a, b) not in seen:
                     seen.add((a, b))
-                    keys.append((a, b))
-                    found.append(anchors(text, length, gram))
+                    for kind, (form, n, g) in enumerate(ruled):
+                        hashes, at = anchors(form(text), n, g)
+                        keys.append((a, b))
+                        found.append((hashes, at * 2 + kind))
             if len(seen) > SEEN:
                 seen.clear()
             if found:
@@ -166,9 +187,9 @@ def suspects(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return met.mapInArrow(repeated, "k1 bigint, k2 bigint, place bigint").groupBy(*KEYS).agg(F.collect_list("place").alias("places"))
 
 
-def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k1, k2, begin, end) of repeated bytes around each suspected anchor, of one row for each text."""
-    back = length - gram
+def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
+    """(k1, k2, kind, begin, end) of repeated bytes (of hashed words: kind 1) around each suspected anchor, of one row for each text."""
+    ruled = rules(length, gram, words)
 
     def contexts(batches):
         import pyarrow as pa
@@ -179,18 +200,22 @@ def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int) -> DataFr
             out: list[tuple] = []
             k1, k2, places = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for a, b, text, own in zip(k1, k2, as_bytes(batch.column(2)), places, strict=True):
+                forms = {kind: ruled[kind][0](text) for kind in {p & 1 for p in own}}
                 for p in own:
-                    right, left = text[p : p + length], text[max(0, p - back) : p]
-                    if len(right) == length and len(left) == back:
-                        name = xxhash.xxh3_128_intdigest(left + right)
+                    kind, at = p & 1, p >> 1
+                    _, n, g = ruled[kind]
+                    right, left = forms[kind][at : at + n], forms[kind][max(0, at - n + g) : at]
+                    lead = bytes([kind]) + right[:g]
+                    if len(right) == n and len(left) == n - g:
+                        name = kind, xxhash.xxh3_128_intdigest(left + right)
                         first = seen.setdefault(name, [(a, b, p), False])
                         if first[0] != (a, b, p):  # told here: a row without its bytes
-                            out.append((right[:gram], a, b, p, None, None))
+                            out.append((lead, a, b, p, None, None))
                             if not first[1]:
-                                out.append((right[:gram], *first[0], None, None))
+                                out.append((lead, *first[0], None, None))
                                 first[1] = True
                             continue
-                    out.append((right[:gram], a, b, p, right, left))
+                    out.append((lead, a, b, p, right, left))
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                     out = []
@@ -205,30 +230,34 @@ def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int) -> DataFr
 
     def compare(batches):
         for lead, (k1, k2, place, rights, lefts) in runs(batches, [1, 2, 3, 4, 5]):
-            told = np.array([r is None for r in rights], bool)
-            out = [(k1[told], k2[told], place[told] - back, place[told] + length)]
-            at = np.flatnonzero(~told)
-            if len(at):
-                # one row for each place, whatever repeated rows and runs of a task gave
-                order = np.lexsort((place[at], k2[at], k1[at], np.cumsum(np.concatenate([[True], lead[at][1:] != lead[at][:-1]]))))
-                at = at[order]
-                same = (k1[at][1:] == k1[at][:-1]) & (k2[at][1:] == k2[at][:-1]) & (place[at][1:] == place[at][:-1])
-                at = at[np.concatenate([[True], ~same])]
-                starts, ends = bounds(lead[at])
-                many = ends - starts > 1
-                for part in np.array_split(np.flatnonzero(many), max(1, int((ends - starts)[many].sum()) // 20_000)):
-                    if len(part):
-                        out.append(compared(at, starts[part], ends[part], k1, k2, place, rights, lefts, length, back))
+            out = []
+            for kind, (_, length, gram) in enumerate(ruled):
+                back, of = length - gram, place & 1 == kind
+                told = of & np.array([r is None for r in rights], bool)
+                out.append((k1[told], k2[told], place[told] & 1, (place[told] >> 1) - back, (place[told] >> 1) + length))
+                at = np.flatnonzero(of & ~told)
+                if len(at):
+                    # one row for each place, whatever repeated rows and runs of a task gave
+                    order = np.lexsort((place[at], k2[at], k1[at], np.cumsum(np.concatenate([[True], lead[at][1:] != lead[at][:-1]]))))
+                    at = at[order]
+                    same = (k1[at][1:] == k1[at][:-1]) & (k2[at][1:] == k2[at][:-1]) & (place[at][1:] == place[at][:-1])
+                    at = at[np.concatenate([[True], ~same])]
+                    starts, ends = bounds(lead[at])
+                    many = ends - starts > 1
+                    for part in np.array_split(np.flatnonzero(many), max(1, int((ends - starts)[many].sum()) // 20_000)):
+                        if len(part):
+                            a, b, begin, end = compared(at, starts[part], ends[part], k1, k2, place >> 1, rights, lefts, length, back)
+                            out.append((a, b, np.full(len(a), kind), begin, end))
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
             if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "begin", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "kind", "begin", "end"])
 
     spark = rows.sparkSession
     one = names.select("k1", "k2", "rep", "places")
     texts = rows.alias("t").join(one.alias("o"), (F.col("t.k1") == F.col("o.k1")) & (F.col("t.k2") == F.col("o.k2")) & F.col("t.doc_id").eqNullSafe(F.col("o.rep"))).select("t.k1", "t.k2", "t.text", "o.places")
     found = texts.mapInArrow(contexts, "lead binary, k1 bigint, k2 bigint, place bigint, right binary, left binary")
     ranged = found.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead")
-    return ranged.mapInArrow(compare, "k1 bigint, k2 bigint, begin bigint, end bigint")
+    return ranged.mapInArrow(compare, "k1 bigint, k2 bigint, kind bigint, begin bigint, end bigint")
 
 
 def compared(at, starts, ends, k1, k2, place, rights, lefts, length: int, back: int) -> tuple:
@@ -265,30 +294,45 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def mark(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row (a struct of all columns of documents), doc_id, text, and `cuts` (array<struct<begin, end>>: unmerged byte ranges to remove; null if none)."""
+def mark(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """row (a struct of all columns of documents), doc_id, text, and `cuts` (array<struct<kind, begin, end>>: unmerged ranges to remove,
+    of bytes or, with words, of kind 1 and hashed words; null if none). A text of fewer words has no cuts of kind 1, whatever they say."""
     small_batches(documents.sparkSession)
     rows = keyed(documents.select(F.struct("*").alias("row"), "doc_id", "text"))
     narrow = rows.select("doc_id", *KEYS, F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size")).groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    named = suspects(rows, length, gram).join(narrow, KEYS)
-    cuts = repeats(rows.select("doc_id", "text", *KEYS), named, length, gram).groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end")))
-    marks = narrow.where((F.col("copies") > 1) & (F.col("size") >= length)).select(*KEYS, whole.alias("whole")).join(cuts, KEYS, "full").select(*KEYS, F.coalesce("whole", "cuts").alias("cuts"))
+    named = suspects(rows, length, gram, words).join(narrow, KEYS)
+    cuts = repeats(rows.select("doc_id", "text", *KEYS), named, length, gram, words).groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("cuts"))
+    kind = F.when(F.col("size") >= length, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    whole = F.array(F.struct(kind.alias("kind"), F.lit(0).cast("bigint").alias("begin"), F.when(kind == 0, F.col("size")).otherwise(F.col("size") * WIDTH).alias("end")))
+    least = min(length, 2 * words - 1) if words else length
+    marks = narrow.where((F.col("copies") > 1) & (F.col("size") >= least)).select(*KEYS, whole.alias("whole")).join(cuts, KEYS, "full").select(*KEYS, F.coalesce("whole", "cuts").alias("cuts"))
     return rows.join(marks, KEYS, "left")
 
 
-def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """documents with the repeated bytes cut from their texts; a character that is cut into goes whole. Other columns stay."""
+def byte_ranges(text: bytes, cuts: list[dict], words: int | None = None) -> list[tuple[int, int]]:
+    """cuts of a text as merged ranges of its bytes; of words, from the first one's first byte to the last one's last."""
+    found = [(c["begin"], c["end"]) for c in cuts if not c["kind"]]
+    own = merged([(-(-c["begin"] // WIDTH), c["end"] // WIDTH) for c in cuts if c["kind"]])
+    if own:
+        chars = text.decode(errors="replace")
+        at = [m.span() for m in WORD.finditer(chars)]
+        if len(at) >= words:
+            found += [(len(chars[: at[a][0]].encode()), len(chars[: at[min(b, len(at)) - 1][1]].encode())) for a, b in own if a < b]
+    return merged(found)
+
+
+def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """documents with the repeated bytes (and passages of that many words) cut from their texts; a character that is cut into goes whole. Other columns stay."""
     columns, at = documents.columns, documents.columns.index("text")
     cuts = "_".join(["cuts", *columns])  # a name that no column has
-    marked = mark(documents, length, gram).select("row.*", F.col("cuts").alias(cuts))
+    marked = mark(documents, length, gram, words).select("row.*", F.col("cuts").alias(cuts))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             made = [batch.column(i) for i in range(len(columns))]
-            texts = [t if c is None or t is None else kept(t, merged([(x["begin"], x["end"]) for x in c])).decode(errors="ignore").encode() for t, c in zip(as_bytes(batch.column(at)), batch.column(len(columns)).to_pylist(), strict=True)]
+            texts = [t if c is None or t is None else kept(t, byte_ranges(t, c, words)).decode(errors="ignore").encode() for t, c in zip(as_bytes(batch.column(at)), batch.column(len(columns)).to_pylist(), strict=True)]
             made[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(made, schema=pa.schema([batch.schema.field(i) for i in range(len(columns))]))
 

@@ -13,6 +13,10 @@ from annalist.llm import decontamination, jaccard, packing, suffixes, toxicity
 from annalist.llm.common import read, written
 
 
+#: The fewest words of a passage that is not to be repeated, however few bytes they have.
+WORDS = 51
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones among them, scores below 0.5."""
     return toxicity.reject(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -26,8 +30,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once; n_chars follows the text."""
-    return counted(suffixes.remove(docs))
+    """Texts without the passages of over 50 words, and the strings of 400 bytes, that occur more than once; n_chars follows the text."""
+    return counted(suffixes.remove(docs, words=WORDS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

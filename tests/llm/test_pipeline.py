@@ -18,3 +18,15 @@ def test_stages(spark):
     name, stage = corpus_pipeline.STAGES[-1]
     packed = stage(spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_repeats_of_over_50_words(spark):
+    """51 repeated words are cut though they are far below 400 bytes, whatever blanks are between; 50 are not; 400 bytes of fewer words are."""
+    own = lambda k, n=40: " ".join(f"w{i}own{k}" for i in range(n))
+    p51, p50, long = [f"a{i}" for i in range(51)], [f"b{i}" for i in range(50)], " ".join(f"{i:040d}" for i in range(12))
+    texts = [f"{own(1)} é {' '.join(p51)} {own(2)}", f"{own(3)} {'\n'.join(p51)}", f"{own(4)} {' '.join(p50)} {own(5)}", f"{' '.join(p50)} {own(6)}", f"{own(7)} {long} {own(8)}", f"{own(9)} {long}", "short", None, " ".join(p51), " ".join(p51)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    words = {i: (r.text or "").split() for i, r in got.items()}
+    want = [[*own(1).split(), "é", *own(2).split()], own(3).split(), texts[2].split(), texts[3].split(), [*own(7).split(), *own(8).split()], own(9).split(), ["short"], [], [], []]
+    assert words == dict(enumerate(want)) and all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
