@@ -72,12 +72,17 @@ class Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text's words begin and end."""
+    inside = np.concatenate([[False], ~SPACE[np.frombuffer(text, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a lower-cased text: differences of one running polynomial."""
+    """A 64-bit hash of each word of a text: differences of one running polynomial."""
     b = np.frombuffer(text, np.uint8)
-    inside = np.concatenate([[False], ~SPACE[b], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = word_bounds(text)
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = Powers.to(len(b) + 1)

@@ -5,19 +5,20 @@ a corpus would shuffle each byte hundreds of times; the suffixes sorted here sta
 of the hashes of all GRAM-byte strings, those that are least in some window of LENGTH - GRAM + 1 of them. Equal strings
 of LENGTH bytes hold equal anchors at equal places, and a text has about one anchor in 150 bytes.
 
-1. Anchors that occur once are left out: (hash, text, place) rows meet by hash.
+1. Anchors that occur once are left out: (hash, text, place) rows meet by hash. Of an anchor that a batch of rows holds more
+   than twice two rows go to the meeting, the others are known to be repeated and are dealt by text, so a passage that a
+   third of all documents share is no hot key.
 2. The others' texts give each anchor's suffix (LENGTH bytes) and what stands before it. Suffixes go to partitions by ranges
-   of their leading bytes, by splitters that Spark samples. Equal contexts within a task are told there and shipped once,
-   so a passage that a third of all documents share is no large bucket.
+   of their leading bytes, by splitters that Spark samples. Equal contexts within a task are told there and shipped once;
+   what is told carries no bytes and is dealt by text too.
 3. A bucket holds all suffixes with its leading bytes, so those that share GRAM bytes never lie on two sides of a boundary.
    They are compared by two, by all pairs of up to 64, or sorted by multikey quicksort (eight bytes a key), forward and
    backward; common lengths of neighbours then tell for each split of LENGTH around the anchor which contexts share it.
    All comparisons are of the bytes themselves.
 4. A text's runs are merged and cut out. Texts that occur more than once are removed whole, and count once in 1 to 3.
 
-With `words`, passages of that many words are found too, in the same steps: a text's words (apart at blanks) are hashed to
-WIDTH bytes each, and a passage of them is a string of those bytes, whatever blanks stand between. A place in bytes or in
-hashed words is one number, its lowest bit tells which.
+With `words`, passages of that many words are found too, in the same steps: the units are then a text's words (apart at
+blanks and bytes 9 to 13), in contexts WIDTH bytes of each word's hash, whatever blanks stand between.
 
 Cases: null text is empty; texts shorter than LENGTH keep all bytes. Repeated rows are copies of each other. Null doc_ids are
 rows like any other. Columns other than doc_id and text are ignored by `mark`; `remove` keeps them. An empty table gives no rows.
@@ -26,7 +27,7 @@ rows like any other. Columns other than doc_id and text are ignored by `mark`; `
 from __future__ import annotations
 
 import hashlib
-import re
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -34,16 +35,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import as_bytes, map_batches, partitions, read, small_batches
-from annalist.llm.jaccard import Powers, bounds, mix, runs
+from annalist.llm.jaccard import Powers, bounds, mix, runs, word_bounds, word_hashes
 
 LENGTH, GRAM = 400, 100
-WINDOW = LENGTH - GRAM + 1
-#: Suffixes of one gram that are compared pair by pair; texts and contexts that a task remembers.
+#: Suffixes of one gram that are compared pair by pair; texts, anchors and contexts that a task remembers.
 PAIRS, SEEN = 64, 1 << 18
 KEYS = ["k1", "k2"]
-#: Bytes of a hashed word, and words whose hashes make a gram.
-WIDTH, WORD_GRAM = 6, 12
-WORD = re.compile(r"\S+")
+#: Bytes of a hashed word in contexts, and words whose hashes make a gram; the fewest words of what counts as a passage.
+WIDTH, WORD_GRAM, PASSAGE = 6, 12, 51
+
+
+class Rule(NamedTuple):
+    """What is a repeat: units of it, of a gram, and bytes of a unit in contexts (1: units are bytes, else words)."""
+
+    length: int
+    gram: int
+    width: int
+
+    def values(self, text: bytes) -> np.ndarray:
+        """A number for each unit."""
+        return np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1) if self.width == 1 else word_hashes(text)
+
+    def cells(self, text: bytes) -> bytes:
+        """What is compared: width bytes for each unit."""
+        return text if self.width == 1 else np.ascontiguousarray(word_hashes(text).view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
+
+
+def rules(length: int | None, gram: int, words: int | None) -> list[Rule]:
+    """Rules by kind, the lowest bit of places: bytes (0), words (1)."""
+    return [Rule(length or 0, gram, 1), Rule(words or 0, min(WORD_GRAM, words or WORD_GRAM), WIDTH)]
 
 
 def sliding(v: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -56,13 +76,17 @@ def sliding(v: np.ndarray, w: int, least: bool) -> np.ndarray:
     return op(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: bytes, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of a text's anchors."""
-    if len(text) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    b = np.frombuffer(text, np.uint8)
-    up, down = Powers.to(len(b) + 1)
-    run = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    length, gram, width = rule
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not length or len(text) < (length if width == 1 else 2 * length - 1):
+        return none
+    own = rule.values(text)
+    if len(own) < length:
+        return none
+    up, down = Powers.to(len(own) + 1)
+    run = np.concatenate([[np.uint64(0)], np.cumsum(own * up[:-1], dtype=np.uint64)])
     v = mix((run[gram:] - run[:-gram]) * down[: len(run) - gram])
     w = length - gram + 1
     low = sliding(v, w, True)
@@ -96,26 +120,26 @@ def common(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.nda
     return np.minimum(first, np.minimum(n, m))
 
 
-def spans(right: np.ndarray, left: np.ndarray, n: np.ndarray, m: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes of one gram (and reversed bytes before it, of n and m bytes): bytes before and after the anchor that are repeated; 0, 0 if none."""
+def spans(right: np.ndarray, left: np.ndarray, n: np.ndarray, m: np.ndarray, length: int, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes of one gram (and reversed bytes before it, of n and m bytes): units of width bytes before and after the anchor that are repeated; 0, 0 if none."""
     g = len(right)
     if g <= PAIRS:
-        r = common(right[:, None], right[None], n[:, None], n[None])
-        ls = common(left[:, None], left[None], m[:, None], m[None])
+        r = common(right[:, None], right[None], n[:, None], n[None]) // width
+        ls = common(left[:, None], left[None], m[:, None], m[None]) // width
         good = (r + ls >= length) & ~np.eye(g, dtype=bool)
         return np.where(good, ls, 0).max(1), np.where(good, r, 0).max(1)
     classes = []
     for rows, sizes in ((right, n), (left, m)):
         order = multikey_order(rows)
-        classes.append((order, common(rows[order[1:]], rows[order[:-1]], sizes[order[1:]], sizes[order[:-1]])))
+        classes.append((order, common(rows[order[1:]], rows[order[:-1]], sizes[order[1:]], sizes[order[:-1]]) // width))
     before, after = np.zeros(g, np.int64), np.zeros(g, np.int64)
-    for back in range(left.shape[1] + 1):
+    for back in range(left.shape[1] // width + 1):
         ids = []
         for (order, shared), depth in zip(classes, (length - back, back), strict=True):
             own = np.empty(g, np.int64)
             own[order] = np.concatenate([[0], np.cumsum(shared < depth)])
             ids.append(own)
-        fits = np.flatnonzero((m >= back) & (n >= length - back))
+        fits = np.flatnonzero((m // width >= back) & (n // width >= length - back))
         if len(fits) > 1:
             key = ids[0][fits] * g + ids[1][fits]
             order = np.argsort(key, kind="stable")
@@ -129,100 +153,117 @@ def spans(right: np.ndarray, left: np.ndarray, n: np.ndarray, m: np.ndarray, len
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """documents with two 64-bit hashes of their texts: equal where texts are."""
+    """row (a struct of all columns of documents) and two 64-bit hashes of the text: equal where texts are."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(7), text))
-
+    return documents.select(F.struct("*").alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
-def hashed_words(text: bytes) -> bytes:
-    return b"".join([xxhash.xxh3_64_digest(w)[:WIDTH] for w in text.decode(errors="replace").split()])
 
-
-def rules(length: int, gram: int, words: int | None) -> list[tuple]:
-    """What strings are repeats: (bytes of a text, length, gram) by the lowest bit of places."""
-    return [(bytes, length, gram)] + ([(hashed_words, words * WIDTH, min(WORD_GRAM, words) * WIDTH)] if words else [])
-
-
-def suspects(rows: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
-    """(k1, k2, places) of texts with anchors that occur elsewhere too."""
-    least = min(length, 2 * words - 1) if words else length
-    ruled = rules(length, gram, words)
+def suspects(rows: DataFrame, ruled: list[Rule]) -> DataFrame:
+    """(k1, k2, places) of texts with anchors that occur elsewhere too; a place is twice a unit's number, plus its rule's."""
 
     def find(batches):
         import pyarrow as pa
 
         seen: set = set()
+        often = np.zeros(0, np.uint64)
         for batch in batches:
             keys, found = [], []
             k1, k2 = (batch.column(i).to_pylist() for i in (0, 1))
             for a, b, text in zip(k1, k2, as_bytes(batch.column(2)), strict=True):
-                if text is not None and len(text) >= least and (a, b) not in seen:
+                if text and (a, b) not in seen:
                     seen.add((a, b))
-                    for kind, (form, n, g) in enumerate(ruled):
-                        hashes, at = anchors(form(text), n, g)
-                        keys.append((a, b))
-                        found.append((hashes, at * 2 + kind))
+                    for kind, rule in enumerate(ruled):
+                        hashes, at = anchors(text, rule)
+                        if len(at):
+                            keys.append((a, b))
+                            found.append((hashes, at * 2 + kind))
             if len(seen) > SEEN:
                 seen.clear()
             if found:
-                n = [len(h) for h, _ in found]
-                own = np.repeat(np.array(keys, np.int64), n, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.concatenate([p for _, p in found]))], names=["anchor", "k1", "k2", "place"])
+                hashes, places = (np.concatenate(x) for x in zip(*found, strict=True))
+                own = np.repeat(np.array(keys, np.int64), [len(h) for h, _ in found], 0)
+                order = np.argsort(hashes, kind="stable")
+                starts, ends = bounds(hashes[order])
+                told = np.zeros(len(hashes), bool)
+                told[order] = np.arange(len(order)) >= np.repeat(starts + 2, ends - starts)  # beyond the first two of a batch
+                if len(often):
+                    told |= often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
+                often = np.union1d(often if len(often) < SEEN else often[:0], hashes[order[starts[ends - starts > 1]]])
+                meet = np.where(told, mix(own[:, 0].view(np.uint64) + places.astype(np.uint64)), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(meet.view(np.int64)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(places), pa.array(told)], names=columns)
 
     def repeated(batches):
         import pyarrow as pa
 
-        for key, rest in runs(batches, [1, 2, 3]):
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]) | (rest[2][1:] != rest[2][:-1])])
-            key, rest = key[new], [x[new] for x in rest]
-            starts, ends = bounds(key)
-            n = ends - starts
-            at = np.flatnonzero(np.repeat(n > 1, n))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in rest], names=["k1", "k2", "place"])
-
-    columns = ["anchor", "k1", "k2", "place"]
-    found = rows.select("k1", "k2", "text").mapInArrow(find, "anchor bigint, k1 bigint, k2 bigint, place bigint")
-    met = found.repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions(*columns)
-    return met.mapInArrow(repeated, "k1 bigint, k2 bigint, place bigint").groupBy(*KEYS).agg(F.collect_list("place").alias("places"))
-
-
-def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int, words: int | None = None) -> DataFrame:
-    """(k1, k2, kind, begin, end) of repeated bytes (of hashed words: kind 1) around each suspected anchor, of one row for each text."""
-    ruled = rules(length, gram, words)
+        names = ["k1", "k2", "place"]
+        last: list | None = None  # the row before, whose successor is not known yet
+        for batch in batches:
+            told = batch.column(4).to_numpy(zero_copy_only=False)
+            own = [batch.column(i).to_numpy() for i in range(4)]
+            if told.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[told]) for x in own[1:]], names=names)
+            own = [x[~told] for x in own]
+            if last:
+                own = [np.concatenate([[a], x]) for a, x in zip(last[0], own, strict=True)]
+            new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in own], axis=0)]) if len(own[0]) else np.zeros(0, bool)
+            own = [x[new] for x in own]
+            if len(own[0]):
+                again = own[0][1:] == own[0][:-1]
+                out = np.concatenate([[bool(last) and last[1]], again]) | np.concatenate([again, [False]])
+                last = [[x[-1] for x in own], out[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out[:-1]]) for x in own[1:]], names=names)
+        if last and last[1]:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last[0][1:]], names=names)
+
+    columns = ["meet", "k1", "k2", "place", "told"]
+    found = rows.select("k1", "k2", "row.text").mapInArrow(find, "meet bigint, k1 bigint, k2 bigint, place bigint, told boolean")
+    met = found.repartition(partitions(rows.sparkSession), "meet").sortWithinPartitions(*columns[:4])
+    return met.mapInArrow(repeated, "k1 bigint, k2 bigint, place bigint").groupBy(*KEYS).agg(F.collect_set("place").alias("places"))
+
+
+def repeats(texts: DataFrame, ruled: list[Rule]) -> DataFrame:
+    """(k1, k2, kind, begin, end) of repeated units around each suspected anchor of texts (k1, k2, row, places)."""
+    at_text = texts.schema["row"].dataType.names.index("text")
 
     def contexts(batches):
         import pyarrow as pa
 
         seen: dict = {}
         names = ["lead", "k1", "k2", "place", "right", "left"]
+        out: list[tuple] = []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        def told(a, b, p):
+            return xxhash.xxh3_64_digest(b"%d %d %d" % (a, b, p)), a, b, p, None, None
+
         for batch in batches:
-            out: list[tuple] = []
             k1, k2, places = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for a, b, text, own in zip(k1, k2, as_bytes(batch.column(2)), places, strict=True):
-                forms = {kind: ruled[kind][0](text) for kind in {p & 1 for p in own}}
-                for p in own:
-                    kind, at = p & 1, p >> 1
-                    _, n, g = ruled[kind]
-                    right, left = forms[kind][at : at + n], forms[kind][max(0, at - n + g) : at]
-                    lead = bytes([kind]) + right[:g]
+            for a, b, text, own in zip(k1, k2, as_bytes(batch.column(2).field(at_text)), places, strict=True):
+                forms = {kind: ruled[kind].cells(text) for kind in {p & 1 for p in own}}
+                for p in sorted(own):
+                    kind = p & 1
+                    n, g, w = ruled[kind]
+                    at, n, g, form = (p >> 1) * w, n * w, g * w, forms[kind]
+                    right, left = form[at : at + n], form[max(0, at - n + g) : at]
                     if len(right) == n and len(left) == n - g:
                         name = kind, xxhash.xxh3_128_intdigest(left + right)
                         first = seen.setdefault(name, [(a, b, p), False])
                         if first[0] != (a, b, p):  # told here: a row without its bytes
-                            out.append((lead, a, b, p, None, None))
+                            out.append(told(a, b, p))
                             if not first[1]:
-                                out.append((lead, *first[0], None, None))
+                                out.append(told(*first[0]))
                                 first[1] = True
                             continue
-                    out.append((lead, a, b, p, right, left))
+                    out.append((bytes([kind]) + right[:g], a, b, p, right, left))
                 if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                    out = []
-            if len(seen) > SEEN:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    yield made()
+                    out.clear()
+                if len(seen) > SEEN:
+                    seen.clear()
+        if out:
+            yield made()
 
     import pyarrow as pa
 
@@ -231,10 +272,10 @@ def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int, words: in
     def compare(batches):
         for lead, (k1, k2, place, rights, lefts) in runs(batches, [1, 2, 3, 4, 5]):
             out = []
-            for kind, (_, length, gram) in enumerate(ruled):
-                back, of = length - gram, place & 1 == kind
+            for kind, rule in enumerate(ruled):
+                back, of = rule.length - rule.gram, place & 1 == kind
                 told = of & np.array([r is None for r in rights], bool)
-                out.append((k1[told], k2[told], place[told] & 1, (place[told] >> 1) - back, (place[told] >> 1) + length))
+                out.append((k1[told], k2[told], place[told] & 1, (place[told] >> 1) - back, (place[told] >> 1) + rule.length))
                 at = np.flatnonzero(of & ~told)
                 if len(at):
                     # one row for each place, whatever repeated rows and runs of a task gave
@@ -246,22 +287,20 @@ def repeats(rows: DataFrame, names: DataFrame, length: int, gram: int, words: in
                     many = ends - starts > 1
                     for part in np.array_split(np.flatnonzero(many), max(1, int((ends - starts)[many].sum()) // 20_000)):
                         if len(part):
-                            a, b, begin, end = compared(at, starts[part], ends[part], k1, k2, place >> 1, rights, lefts, length, back)
+                            a, b, begin, end = compared(at, starts[part], ends[part], k1, k2, place >> 1, rights, lefts, rule)
                             out.append((a, b, np.full(len(a), kind), begin, end))
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "kind", "begin", "end"])
 
-    spark = rows.sparkSession
-    one = names.select("k1", "k2", "rep", "places")
-    texts = rows.alias("t").join(one.alias("o"), (F.col("t.k1") == F.col("o.k1")) & (F.col("t.k2") == F.col("o.k2")) & F.col("t.doc_id").eqNullSafe(F.col("o.rep"))).select("t.k1", "t.k2", "t.text", "o.places")
-    found = texts.mapInArrow(contexts, "lead binary, k1 bigint, k2 bigint, place bigint, right binary, left binary")
-    ranged = found.repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead")
+    found = texts.select(*KEYS, "row", "places").mapInArrow(contexts, "lead binary, k1 bigint, k2 bigint, place bigint, right binary, left binary")
+    ranged = found.repartitionByRange(partitions(texts.sparkSession), "lead").sortWithinPartitions("lead")
     return ranged.mapInArrow(compare, "k1 bigint, k2 bigint, kind bigint, begin bigint, end bigint")
 
 
-def compared(at, starts, ends, k1, k2, place, rights, lefts, length: int, back: int) -> tuple:
-    """Repeated bytes around the anchors of some groups."""
+def compared(at, starts, ends, k1, k2, place, rights, lefts, rule: Rule) -> tuple:
+    """Repeated units around the anchors of some groups."""
+    length, back = rule.length * rule.width, (rule.length - rule.gram) * rule.width
     rows = np.concatenate([at[a:b] for a, b in zip(starts, ends, strict=True)])
     n, m = (np.array([len(x[i]) for i in rows]) for x in (rights, lefts))
     right = np.frombuffer(b"".join([rights[i].ljust(length, b"\0") for i in rows]), np.uint8).reshape(len(rows), length)
@@ -271,13 +310,13 @@ def compared(at, starts, ends, k1, k2, place, rights, lefts, length: int, back:
     before, after = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     two = begins[sizes == 2]
     if len(two):
-        r, ls = common(right[two], right[two + 1], n[two], n[two + 1]), common(left[two], left[two + 1], m[two], m[two + 1])
-        good = r + ls >= length
+        r, ls = common(right[two], right[two + 1], n[two], n[two + 1]) // rule.width, common(left[two], left[two + 1], m[two], m[two + 1]) // rule.width
+        good = r + ls >= rule.length
         for i in (two[good], two[good] + 1):
             before[i], after[i] = ls[good], r[good]
     for a, size in zip(begins[sizes > 2], sizes[sizes > 2], strict=True):
         i = slice(a, a + size)
-        before[i], after[i] = spans(right[i], left[i], n[i], m[i], length)
+        before[i], after[i] = spans(right[i], left[i], n[i], m[i], rule.length, rule.width)
     hit = np.flatnonzero(after)
     i = rows[hit]
     return k1[i], k2[i], place[i] - before[hit], place[i] + after[hit]
@@ -294,34 +333,37 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def mark(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+def mark(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """row (a struct of all columns of documents), doc_id, text, and `cuts` (array<struct<kind, begin, end>>: unmerged ranges to remove,
-    of bytes or, with words, of kind 1 and hashed words; null if none). A text of fewer words has no cuts of kind 1, whatever they say."""
+    of bytes (kind 0; none if length is None) or, with words, of words (kind 1); null if none). Read them by `removed` and `passages`."""
     small_batches(documents.sparkSession)
-    rows = keyed(documents.select(F.struct("*").alias("row"), "doc_id", "text"))
-    narrow = rows.select("doc_id", *KEYS, F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size")).groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    named = suspects(rows, length, gram, words).join(narrow, KEYS)
-    cuts = repeats(rows.select("doc_id", "text", *KEYS), named, length, gram, words).groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("cuts"))
-    kind = F.when(F.col("size") >= length, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    whole = F.array(F.struct(kind.alias("kind"), F.lit(0).cast("bigint").alias("begin"), F.when(kind == 0, F.col("size")).otherwise(F.col("size") * WIDTH).alias("end")))
-    least = min(length, 2 * words - 1) if words else length
-    marks = narrow.where((F.col("copies") > 1) & (F.col("size") >= least)).select(*KEYS, whole.alias("whole")).join(cuts, KEYS, "full").select(*KEYS, F.coalesce("whole", "cuts").alias("cuts"))
-    return rows.join(marks, KEYS, "left")
-
-
-def byte_ranges(text: bytes, cuts: list[dict], words: int | None = None) -> list[tuple[int, int]]:
-    """cuts of a text as merged ranges of its bytes; of words, from the first one's first byte to the last one's last."""
-    found = [(c["begin"], c["end"]) for c in cuts if not c["kind"]]
-    own = merged([(-(-c["begin"] // WIDTH), c["end"] // WIDTH) for c in cuts if c["kind"]])
-    if own:
-        chars = text.decode(errors="replace")
-        at = [m.span() for m in WORD.finditer(chars)]
-        if len(at) >= words:
-            found += [(len(chars[: at[a][0]].encode()), len(chars[: at[min(b, len(at)) - 1][1]].encode())) for a, b in own if a < b]
-    return merged(found)
-
-
-def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    ruled = rules(length, gram, words)
+    rows = keyed(documents)
+    narrow = rows.select("row.doc_id", *KEYS, F.octet_length(F.coalesce("row.text", F.lit(""))).cast("bigint").alias("size")).groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
+    named = suspects(rows, ruled).join(narrow, KEYS).select(*KEYS, "rep", "places")
+    # Both joins read whole rows, so that one exchange of the texts serves both.
+    texts = rows.join(named, KEYS).where(F.col("row.doc_id").eqNullSafe(F.col("rep")))
+    cuts = repeats(texts, ruled).groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("cuts"))
+    cut = lambda kind: F.array(F.struct(F.lit(kind).cast("bigint").alias("kind"), F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end")))
+    none = F.slice(cut(0), 1, 0)
+    whole = F.concat(F.when(F.col("size") >= (length or 0), cut(0)).otherwise(none) if length else none, F.when(F.col("size") >= 2 * words - 1, cut(1)).otherwise(none) if words else none)
+    marks = narrow.where("copies > 1").select(*KEYS, whole.alias("whole")).where(F.size("whole") > 0).join(cuts, KEYS, "full").select(*KEYS, F.coalesce("whole", "cuts").alias("cuts"))
+    return rows.join(marks, KEYS, "left").select("row", "row.doc_id", "row.text", "cuts")
+
+
+def removed(cuts: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal ranges of repeated bytes."""
+    return merged([(c["begin"], c["end"]) for c in cuts or () if not c["kind"]])
+
+
+def passages(text: bytes, cuts: list[dict] | None, words: int) -> list[tuple[int, int, int]]:
+    """Maximal repeated passages as (first byte, last byte's end, words)."""
+    own = [(c["begin"], c["end"]) for c in cuts or () if c["kind"]]
+    starts, ends = word_bounds(text) if own else ((), ())
+    return [(int(starts[a]), int(ends[min(b, len(starts)) - 1]), min(b, len(starts)) - a) for a, b in merged(own)] if len(starts) >= words else []
+
+
+def remove(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """documents with the repeated bytes (and passages of that many words) cut from their texts; a character that is cut into goes whole. Other columns stay."""
     columns, at = documents.columns, documents.columns.index("text")
     cuts = "_".join(["cuts", *columns])  # a name that no column has
@@ -332,7 +374,11 @@ def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words:
 
         for batch in batches:
             made = [batch.column(i) for i in range(len(columns))]
-            texts = [t if c is None or t is None else kept(t, byte_ranges(t, c, words)).decode(errors="ignore").encode() for t, c in zip(as_bytes(batch.column(at)), batch.column(len(columns)).to_pylist(), strict=True)]
+            texts = []
+            for text, c in zip(as_bytes(batch.column(at)), batch.column(len(columns)).to_pylist(), strict=True):
+                if c is not None and text is not None:
+                    text = kept(text, merged(removed(c) + [(a, b) for a, b, _ in passages(text, c, words or 0)])).decode(errors="ignore").encode()
+                texts.append(text)
             made[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(made, schema=pa.schema([batch.schema.field(i) for i in range(len(columns))]))
 
@@ -348,17 +394,20 @@ def kept(text: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "cuts")
+    """The contract's columns, judged by LENGTH bytes, and n_passages, n_passage_words: passages of over 50 words that occur elsewhere too, however few bytes they have."""
+    marked = mark(read(spark, sf_dir, "documents").select("doc_id", "text"), words=PASSAGE).select("doc_id", "text", "cuts")
 
     def make(batch):
-        out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "n_passage_words": []}
         for text, cuts in zip(as_bytes(batch.column("text")), batch.column("cuts").to_pylist(), strict=True):
             text = text or b""
-            cut = merged([(c["begin"], c["end"]) for c in cuts or ()])
+            cut, found = removed(cuts), passages(text, cuts, PASSAGE)
             out["n_bytes"].append(len(text))
             out["n_removed"].append(sum(b - a for a, b in cut))
             out["n_spans"].append(len(cut))
             out["kept_sha256"].append(hashlib.sha256(kept(text, cut)).hexdigest())
+            out["n_passages"].append(len(found))
+            out["n_passage_words"].append(sum(n for _, _, n in found))
         return out
 
-    return map_batches(marked, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_batches(marked, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_words bigint")
