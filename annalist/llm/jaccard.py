@@ -79,15 +79,22 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text: differences of one running polynomial."""
-    b = np.frombuffer(text, np.uint8)
+def totals(values: np.ndarray) -> np.ndarray:
+    """Running sums of a polynomial of values: any stretch's hash is a difference of two, shifted down."""
+    return np.concatenate([[np.uint64(0)], np.cumsum(values * Powers.to(len(values))[0], dtype=np.uint64)])
+
+
+def running(text: bytes) -> np.ndarray:
+    return totals(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1))
+
+
+def word_hashes(text: bytes, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word of a text. sums: running(text), if it is known."""
     starts, ends = word_bounds(text)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = Powers.to(len(b) + 1)
-    run = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sums = running(text) if sums is None else sums
+    return mix((sums[ends] - sums[starts]) * Powers.to(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -155,22 +162,42 @@ def order_of(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.sort((level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6)))
 
 
+class Runs:
+    """Sorted rows as they come: add gives those whose key (any row's first part) is complete, rest the last ones."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple] = []  # pieces of one key
+
+    def add(self, key: np.ndarray, rest: list[np.ndarray]):
+        if not len(key):
+            return None
+        if self.held and key[-1] == self.held[0][0][0]:
+            self.held.append((key, rest))
+            return None
+        last = int(np.argmax(key == key[-1]))
+        pieces = [*self.held, (key[:last], [x[:last] for x in rest])]
+        self.held = [(key[last:], [x[last:] for x in rest])]
+        return self.joined(pieces)
+
+    def rest(self):
+        return self.joined(self.held)
+
+    @staticmethod
+    def joined(pieces: list[tuple]):
+        if not sum(len(k) for k, _ in pieces):
+            return None
+        return np.concatenate([k for k, _ in pieces]), [np.concatenate(c) for c in zip(*[r for _, r in pieces], strict=True)]
+
+
 def runs(batches, columns: list[int]):
-    """Sorted Arrow batches as runs of rows with one key (column 0): lists of (key, start, end, arrays), complete runs only."""
-    held: list | None = None
+    """Sorted Arrow batches as runs of rows with one key (column 0): (keys, other columns), complete runs only."""
+    held = Runs()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in columns]
-        if held:
-            key, rest = np.concatenate([held[0], key]), [np.concatenate([a, b]) for a, b in zip(held[1], rest, strict=True)]
-        last = np.searchsorted(key, key[-1])
-        held = [key[last:], [x[last:] for x in rest]]
-        if last:
-            yield key[:last], [x[:last] for x in rest]
-    if held:
-        yield held[0], held[1]
+        found = held.add(batch.column(0).to_numpy(zero_copy_only=False), [batch.column(i).to_numpy(zero_copy_only=False) for i in columns])
+        if found:
+            yield found
+    if found := held.rest():
+        yield found
 
 
 def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,11 +9,12 @@ of LENGTH bytes hold equal anchors at equal places, and a text has about one anc
    than twice two rows go to the meeting, the others are known to be repeated and are dealt by text, so a passage that a
    third of all documents share is no hot key.
 2. The others' texts give each anchor's suffix (LENGTH bytes) and what stands before it. Suffixes go to partitions by ranges
-   of their leading bytes, by splitters that Spark samples. Equal contexts within a task are told there and shipped once;
-   what is told carries no bytes and is dealt by text too.
+   of their leading bytes, by splitters from a bounded sample. Equal contexts within a task are told there and shipped once;
+   what is told goes as joined ranges without bytes, dealt by text.
 3. A bucket holds all suffixes with its leading bytes, so those that share GRAM bytes never lie on two sides of a boundary.
-   They are compared by two, by all pairs of up to 64, or sorted by multikey quicksort (eight bytes a key), forward and
-   backward; common lengths of neighbours then tell for each split of LENGTH around the anchor which contexts share it.
+   They are compared by two, by all pairs of a few, or sorted by multikey quicksort (eight bytes a key), forward and
+   backward; common lengths of neighbours then tell those of all pairs or, of more than WIDE, for each split of LENGTH
+   around the anchor which contexts share it.
    All comparisons are of the bytes themselves.
 4. A text's runs are merged and cut out. Texts that occur more than once are removed whole, and count once in 1 to 3.
 
@@ -27,22 +28,26 @@ rows like any other. Columns other than doc_id and text are ignored by `mark`; `
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import as_bytes, map_batches, partitions, read, small_batches
-from annalist.llm.jaccard import Powers, bounds, mix, runs, word_bounds, word_hashes
+from annalist.llm.jaccard import Powers, Runs, bounds, mix, running, runs, totals, word_bounds, word_hashes
 
 LENGTH, GRAM = 400, 100
-#: Suffixes of one gram that are compared pair by pair; texts, anchors and contexts that a task remembers.
-PAIRS, SEEN = 64, 1 << 18
+#: Suffixes of one gram that are compared pair by pair, or by a matrix of common lengths; texts, anchors and contexts that a task remembers.
+PAIRS, WIDE, SEEN = 8, 2048, 1 << 18
 KEYS = ["k1", "k2"]
 #: Bytes of a hashed word in contexts, and words whose hashes make a gram; the fewest words of what counts as a passage.
 WIDTH, WORD_GRAM, PASSAGE = 6, 12, 51
+#: Texts that splitters are sampled from, and the leading bytes that a splitter has.
+SAMPLE, LEAD = 4000, 32
 
 
 class Rule(NamedTuple):
@@ -52,10 +57,6 @@ class Rule(NamedTuple):
     gram: int
     width: int
 
-    def values(self, text: bytes) -> np.ndarray:
-        """A number for each unit."""
-        return np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1) if self.width == 1 else word_hashes(text)
-
     def cells(self, text: bytes) -> bytes:
         """What is compared: width bytes for each unit."""
         return text if self.width == 1 else np.ascontiguousarray(word_hashes(text).view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
@@ -76,23 +77,21 @@ def sliding(v: np.ndarray, w: int, least: bool) -> np.ndarray:
     return op(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(text: bytes, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a text's anchors."""
-    length, gram, width = rule
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if not length or len(text) < (length if width == 1 else 2 * length - 1):
-        return none
-    own = rule.values(text)
-    if len(own) < length:
-        return none
-    up, down = Powers.to(len(own) + 1)
-    run = np.concatenate([[np.uint64(0)], np.cumsum(own * up[:-1], dtype=np.uint64)])
-    v = mix((run[gram:] - run[:-gram]) * down[: len(run) - gram])
-    w = length - gram + 1
-    low = sliding(v, w, True)
-    edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), w, False) == v)
-    return v[at], at
+def anchors(text: bytes, ruled: list[Rule]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and places of a text's anchors, by rule: of grams, differences of running sums, those least in a window of them."""
+    out = []
+    sums = running(text) if any(r.length and len(text) >= (r.length if r.width == 1 else 2 * r.length - 1) for r in ruled) else None
+    for length, gram, width in ruled:
+        run = sums if width == 1 or sums is None else totals(word_hashes(text, sums))
+        if not length or run is None or len(run) <= length:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            continue
+        v = mix((run[gram:] - run[:-gram]) * Powers.to(len(run))[1][: len(run) - gram])
+        w = length - gram + 1
+        edge = np.zeros(w - 1, np.uint64)
+        at = np.flatnonzero(sliding(np.concatenate([edge, sliding(v, w, True), edge]), w, False) == v)
+        out.append((v[at], at))
+    return out
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
@@ -113,25 +112,40 @@ def multikey_order(rows: np.ndarray) -> np.ndarray:
     return order
 
 
-def common(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Lengths of the common beginnings of rows a and b, of which n and m bytes are text."""
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common beginnings of rows a and b."""
     differ = a != b
-    first = np.where(differ.any(-1), differ.argmax(-1), a.shape[-1])
-    return np.minimum(first, np.minimum(n, m))
+    return np.where(differ.any(-1), differ.argmax(-1), a.shape[-1])
+
+
+def sorted_common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows, and the common length of each with the next."""
+    order = multikey_order(rows)
+    return order, common(rows[order[1:]], rows[order[:-1]])
+
+
+def all_common(rows: np.ndarray) -> np.ndarray:
+    """Common lengths of all pairs: in sorted order, the least of those of neighbours between them."""
+    order, shared = sorted_common(rows)
+    g = len(rows)
+    upper = np.full((g, g), 1 << 14, np.int16)
+    upper[:, 1:] = shared
+    upper[np.tri(g, dtype=bool)] = 1 << 14
+    np.minimum.accumulate(upper, 1, out=upper)
+    out = np.empty((g, g), np.int16)
+    out[np.ix_(order, order)] = np.minimum(upper, upper.T)
+    return out
 
 
 def spans(right: np.ndarray, left: np.ndarray, n: np.ndarray, m: np.ndarray, length: int, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes of one gram (and reversed bytes before it, of n and m bytes): units of width bytes before and after the anchor that are repeated; 0, 0 if none."""
     g = len(right)
-    if g <= PAIRS:
-        r = common(right[:, None], right[None], n[:, None], n[None]) // width
-        ls = common(left[:, None], left[None], m[:, None], m[None]) // width
+    if g <= WIDE:
+        pairs = (lambda x: common(x[:, None], x[None])) if g <= PAIRS else all_common
+        r, ls = (np.minimum(np.minimum(pairs(x), k[:, None]), k) // width for x, k in ((right, n), (left, m)))
         good = (r + ls >= length) & ~np.eye(g, dtype=bool)
         return np.where(good, ls, 0).max(1), np.where(good, r, 0).max(1)
-    classes = []
-    for rows, sizes in ((right, n), (left, m)):
-        order = multikey_order(rows)
-        classes.append((order, common(rows[order[1:]], rows[order[:-1]], sizes[order[1:]], sizes[order[:-1]]) // width))
+    classes = [(order, shared // width) for order, shared in map(sorted_common, (right, left))]
     before, after = np.zeros(g, np.int64), np.zeros(g, np.int64)
     for back in range(left.shape[1] // width + 1):
         ids = []
@@ -159,7 +173,10 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def suspects(rows: DataFrame, ruled: list[Rule]) -> DataFrame:
-    """(k1, k2, places) of texts with anchors that occur elsewhere too; a place is twice a unit's number, plus its rule's."""
+    """(k1, places) of texts with anchors that occur elsewhere too; a place is twice a unit's number, plus its rule's.
+
+    Texts go by k1 alone here: two texts of one k1 would share their places, which costs comparisons and no result.
+    """
 
     def find(batches):
         import pyarrow as pa
@@ -168,20 +185,18 @@ def suspects(rows: DataFrame, ruled: list[Rule]) -> DataFrame:
         often = np.zeros(0, np.uint64)
         for batch in batches:
             keys, found = [], []
-            k1, k2 = (batch.column(i).to_pylist() for i in (0, 1))
-            for a, b, text in zip(k1, k2, as_bytes(batch.column(2)), strict=True):
-                if text and (a, b) not in seen:
-                    seen.add((a, b))
-                    for kind, rule in enumerate(ruled):
-                        hashes, at = anchors(text, rule)
+            for name, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                if text and name not in seen:
+                    seen.add(name)
+                    for kind, (hashes, at) in enumerate(anchors(text, ruled)):
                         if len(at):
-                            keys.append((a, b))
+                            keys.append(name)
                             found.append((hashes, at * 2 + kind))
             if len(seen) > SEEN:
                 seen.clear()
             if found:
                 hashes, places = (np.concatenate(x) for x in zip(*found, strict=True))
-                own = np.repeat(np.array(keys, np.int64), [len(h) for h, _ in found], 0)
+                own = np.repeat(np.array(keys, np.int64), [len(h) for h, _ in found])
                 order = np.argsort(hashes, kind="stable")
                 starts, ends = bounds(hashes[order])
                 told = np.zeros(len(hashes), bool)
@@ -189,74 +204,99 @@ def suspects(rows: DataFrame, ruled: list[Rule]) -> DataFrame:
                 if len(often):
                     told |= often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
                 often = np.union1d(often if len(often) < SEEN else often[:0], hashes[order[starts[ends - starts > 1]]])
-                meet = np.where(told, mix(own[:, 0].view(np.uint64) + places.astype(np.uint64)), hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(meet.view(np.int64)), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(places), pa.array(told)], names=columns)
+                meet = np.where(told, mix(own.view(np.uint64) + places.astype(np.uint64)), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(meet.view(np.int64)), pa.array(own), pa.array(places * 2 + told)], names=columns)
 
     def repeated(batches):
         import pyarrow as pa
 
-        names = ["k1", "k2", "place"]
-        last: list | None = None  # the row before, whose successor is not known yet
-        for batch in batches:
-            told = batch.column(4).to_numpy(zero_copy_only=False)
-            own = [batch.column(i).to_numpy() for i in range(4)]
-            if told.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[told]) for x in own[1:]], names=names)
-            own = [x[~told] for x in own]
-            if last:
-                own = [np.concatenate([[a], x]) for a, x in zip(last[0], own, strict=True)]
-            new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in own], axis=0)]) if len(own[0]) else np.zeros(0, bool)
-            own = [x[new] for x in own]
-            if len(own[0]):
-                again = own[0][1:] == own[0][:-1]
-                out = np.concatenate([[bool(last) and last[1]], again]) | np.concatenate([again, [False]])
-                last = [[x[-1] for x in own], out[-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out[:-1]]) for x in own[1:]], names=names)
-        if last and last[1]:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last[0][1:]], names=names)
-
-    columns = ["meet", "k1", "k2", "place", "told"]
-    found = rows.select("k1", "k2", "row.text").mapInArrow(find, "meet bigint, k1 bigint, k2 bigint, place bigint, told boolean")
-    met = found.repartition(partitions(rows.sparkSession), "meet").sortWithinPartitions(*columns[:4])
-    return met.mapInArrow(repeated, "k1 bigint, k2 bigint, place bigint").groupBy(*KEYS).agg(F.collect_set("place").alias("places"))
-
-
-def repeats(texts: DataFrame, ruled: list[Rule]) -> DataFrame:
-    """(k1, k2, kind, begin, end) of repeated units around each suspected anchor of texts (k1, k2, row, places)."""
+        for meet, (name, place) in runs(batches, [1, 2]):
+            order = np.lexsort((place, name, meet))
+            meet, name, place = meet[order], name[order], place[order]
+            same = meet[1:] == meet[:-1]
+            new = np.concatenate([[True], ~same | (name[1:] != name[:-1]) | (place[1:] != place[:-1])])  # copies that several tasks read
+            meet, name, place = meet[new], name[new], place[new]
+            starts, ends = bounds(meet)
+            n = ends - starts
+            good = np.repeat(n > 1, n) | (place & 1 == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(name[good]), pa.array(place[good] >> 1)], names=columns[1:])
+
+    columns = ["meet", "k1", "place"]
+    found = rows.select("k1", "row.text").mapInArrow(find, "meet bigint, k1 bigint, place bigint")
+    met = found.repartition(partitions(rows.sparkSession), "meet").sortWithinPartitions("meet")
+    return met.mapInArrow(repeated, "k1 bigint, place bigint").groupBy("k1").agg(F.collect_set("place").alias("places"))
+
+
+def splitters(rows: DataFrame, ruled: list[Rule], sample: int = SAMPLE) -> list[bytes]:
+    """Leading bytes that divide suffixes into ranges of about equal size: of the least anchor of about `sample` texts, taken by a hash."""
+    n = rows.count()
+    share = int(min(1.0, sample / max(1, n)) * (1 << 30))
+
+    def lead(batch):
+        found = []
+        for text in as_bytes(batch.column(0)):
+            for kind, (hashes, at) in enumerate(anchors(text, ruled)):
+                if len(at):
+                    _, gram, width = ruled[kind]
+                    at = int(at[hashes.argmin()]) * width
+                    found.append((bytes([kind]) + ruled[kind].cells(text)[at : at + gram * width])[:LEAD])
+        return {"lead": found}
+
+    texts = rows.where(F.pmod("k2", F.lit(1 << 30)) < share).select("row.text").where("text is not null")
+    found = sorted(r[0] for r in map_batches(texts, lead, "lead binary").collect())
+    p = partitions(rows.sparkSession)
+    return [bytes(found[i * len(found) // p]) for i in range(1, p)] if found else []
+
+
+def repeats(texts: DataFrame, ruled: list[Rule], cuts_at: list[bytes]) -> DataFrame:
+    """(k1, k2, kind, begin, end) of repeated units around each suspected anchor of texts (k1, k2, row, places); cuts_at: splitters."""
+    import pyarrow as pa
+
     at_text = texts.schema["row"].dataType.names.index("text")
+    buckets = len(cuts_at) + 1
+    names = ["bucket", "lead", "k1", "k2", "place", "end", "right", "left"]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def contexts(batches):
-        import pyarrow as pa
-
         seen: dict = {}
-        names = ["lead", "k1", "k2", "place", "right", "left"]
         out: list[tuple] = []
 
         def made():
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-        def told(a, b, p):
-            return xxhash.xxh3_64_digest(b"%d %d %d" % (a, b, p)), a, b, p, None, None
+        def told(a, b, kind, begin, end):
+            out.append(((a ^ begin) % buckets, None, a, b, begin * 2 + kind, end, None, None))
 
         for batch in batches:
             k1, k2, places = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for a, b, text, own in zip(k1, k2, as_bytes(batch.column(2).field(at_text)), places, strict=True):
-                forms = {kind: ruled[kind].cells(text) for kind in {p & 1 for p in own}}
+                forms = {kind: ruled[kind].cells(text or b"") for kind in {p & 1 for p in own}}
+                ready = [None, None]  # by kind: what is told here of this text, joined where it overlaps
                 for p in sorted(own):
-                    kind = p & 1
-                    n, g, w = ruled[kind]
-                    at, n, g, form = (p >> 1) * w, n * w, g * w, forms[kind]
+                    kind, unit = p & 1, p >> 1
+                    length, gram, w = ruled[kind]
+                    at, n, g, form = unit * w, length * w, gram * w, forms[kind]
                     right, left = form[at : at + n], form[max(0, at - n + g) : at]
                     if len(right) == n and len(left) == n - g:
-                        name = kind, xxhash.xxh3_128_intdigest(left + right)
-                        first = seen.setdefault(name, [(a, b, p), False])
-                        if first[0] != (a, b, p):  # told here: a row without its bytes
-                            out.append(told(a, b, p))
+                        begin, end = unit - length + gram, unit + length
+                        first = seen.setdefault((kind, xxhash.xxh3_128_intdigest(left + right)), [(a, b, kind, begin, end), False])
+                        if first[0] != (a, b, kind, begin, end):  # told here: a row without its bytes
+                            run = ready[kind]
+                            if run and begin <= run[1]:
+                                run[1] = end
+                            else:
+                                if run:
+                                    told(a, b, kind, *run)
+                                ready[kind] = [begin, end]
                             if not first[1]:
-                                out.append(told(*first[0]))
+                                told(*first[0])
                                 first[1] = True
                             continue
-                    out.append((bytes([kind]) + right[:g], a, b, p, right, left))
+                    lead = bytes([kind]) + right[:g]
+                    out.append((bisect_right(cuts_at, lead[:LEAD]), lead, a, b, p, None, right, left))
+                for kind, run in enumerate(ready):
+                    if run:
+                        told(a, b, kind, *run)
                 if len(out) > 5000:
                     yield made()
                     out.clear()
@@ -265,36 +305,38 @@ def repeats(texts: DataFrame, ruled: list[Rule]) -> DataFrame:
         if out:
             yield made()
 
-    import pyarrow as pa
-
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
     def compare(batches):
-        for lead, (k1, k2, place, rights, lefts) in runs(batches, [1, 2, 3, 4, 5]):
-            out = []
-            for kind, rule in enumerate(ruled):
-                back, of = rule.length - rule.gram, place & 1 == kind
-                told = of & np.array([r is None for r in rights], bool)
-                out.append((k1[told], k2[told], place[told] & 1, (place[told] >> 1) - back, (place[told] >> 1) + rule.length))
-                at = np.flatnonzero(of & ~told)
-                if len(at):
-                    # one row for each place, whatever repeated rows and runs of a task gave
-                    order = np.lexsort((place[at], k2[at], k1[at], np.cumsum(np.concatenate([[True], lead[at][1:] != lead[at][:-1]]))))
-                    at = at[order]
-                    same = (k1[at][1:] == k1[at][:-1]) & (k2[at][1:] == k2[at][:-1]) & (place[at][1:] == place[at][:-1])
-                    at = at[np.concatenate([[True], ~same])]
-                    starts, ends = bounds(lead[at])
-                    many = ends - starts > 1
-                    for part in np.array_split(np.flatnonzero(many), max(1, int((ends - starts)[many].sum()) // 20_000)):
-                        if len(part):
-                            a, b, begin, end = compared(at, starts[part], ends[part], k1, k2, place >> 1, rights, lefts, rule)
-                            out.append((a, b, np.full(len(a), kind), begin, end))
-            columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "kind", "begin", "end"])
-
-    found = texts.select(*KEYS, "row", "places").mapInArrow(contexts, "lead binary, k1 bigint, k2 bigint, place bigint, right binary, left binary")
-    ranged = found.repartitionByRange(partitions(texts.sparkSession), "lead").sortWithinPartitions("lead")
+        held = Runs()
+        for batch in batches:
+            told = batch.column(6).is_null()
+            if told.true_count:
+                some = batch.filter(told)
+                place = some.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([some.column(2), some.column(3), pa.array(place & 1), pa.array(place >> 1), some.column(5)], names=found_names)
+            rest = batch.filter(pc.invert(told))
+            yield from judged(held.add(rest.column(1).to_numpy(zero_copy_only=False), [rest.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 6, 7)]))
+        yield from judged(held.rest())
+
+    def judged(complete):
+        if not complete:
+            return
+        lead, (k1, k2, place, rights, lefts) = complete
+        # one row for each place, whatever repeated rows and runs of a task gave
+        order = np.lexsort((place, k2, k1, np.cumsum(np.concatenate([[True], lead[1:] != lead[:-1]]))))
+        same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1]) & (place[order][1:] == place[order][:-1])
+        at = order[np.concatenate([[True], ~same])]
+        starts, ends = bounds(lead[at])
+        many = ends - starts > 1
+        for kind, rule in enumerate(ruled):
+            own = np.flatnonzero(many & (place[at[starts]] & 1 == kind))
+            for part in np.array_split(own, max(1, int((ends - starts)[own].sum()) // 20_000)):
+                if len(part):
+                    a, b, begin, end = compared(at, starts[part], ends[part], k1, k2, place >> 1, rights, lefts, rule)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, np.full(len(a), kind), begin, end)], names=found_names)
+
+    found_names = ["k1", "k2", "kind", "begin", "end"]
+    found = texts.select(*KEYS, "row", "places").mapInArrow(contexts, "bucket int, lead binary, k1 bigint, k2 bigint, place bigint, end bigint, right binary, left binary")
+    ranged = found.repartitionById(buckets, "bucket").sortWithinPartitions("lead")
     return ranged.mapInArrow(compare, "k1 bigint, k2 bigint, kind bigint, begin bigint, end bigint")
 
 
@@ -310,7 +352,7 @@ def compared(at, starts, ends, k1, k2, place, rights, lefts, rule: Rule) -> tupl
     before, after = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     two = begins[sizes == 2]
     if len(two):
-        r, ls = common(right[two], right[two + 1], n[two], n[two + 1]) // rule.width, common(left[two], left[two + 1], m[two], m[two + 1]) // rule.width
+        r, ls = (np.minimum(common(x[two], x[two + 1]), np.minimum(k[two], k[two + 1])) // rule.width for x, k in ((right, n), (left, m)))
         good = r + ls >= rule.length
         for i in (two[good], two[good] + 1):
             before[i], after[i] = ls[good], r[good]
@@ -333,22 +375,28 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def mark(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
-    """row (a struct of all columns of documents), doc_id, text, and `cuts` (array<struct<kind, begin, end>>: unmerged ranges to remove,
-    of bytes (kind 0; none if length is None) or, with words, of words (kind 1); null if none). Read them by `removed` and `passages`."""
+def marked(documents: DataFrame, length: int | None, gram: int, words: int | None) -> DataFrame:
+    """row (a struct of all columns of documents) and cuts, as mark gives them. Readers that take the whole row, as the steps
+    here do, let one exchange of the texts serve both of its joins."""
     small_batches(documents.sparkSession)
     ruled = rules(length, gram, words)
     rows = keyed(documents)
     narrow = rows.select("row.doc_id", *KEYS, F.octet_length(F.coalesce("row.text", F.lit(""))).cast("bigint").alias("size")).groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    named = suspects(rows, ruled).join(narrow, KEYS).select(*KEYS, "rep", "places")
-    # Both joins read whole rows, so that one exchange of the texts serves both.
-    texts = rows.join(named, KEYS).where(F.col("row.doc_id").eqNullSafe(F.col("rep")))
-    cuts = repeats(texts, ruled).groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("cuts"))
+    named = narrow.join(suspects(rows, ruled), "k1").select(*KEYS, "rep", "places")
+    own = F.when(F.col("row.doc_id").isNull(), F.col("rep").isNull()).otherwise(F.col("row.doc_id") == F.col("rep"))  # no join key: the exchange is by KEYS
+    texts = rows.join(named, KEYS).where(F.coalesce(own, F.lit(False)))
+    cuts = repeats(texts, ruled, splitters(rows, ruled)).groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("cuts"))
     cut = lambda kind: F.array(F.struct(F.lit(kind).cast("bigint").alias("kind"), F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end")))
     none = F.slice(cut(0), 1, 0)
     whole = F.concat(F.when(F.col("size") >= (length or 0), cut(0)).otherwise(none) if length else none, F.when(F.col("size") >= 2 * words - 1, cut(1)).otherwise(none) if words else none)
     marks = narrow.where("copies > 1").select(*KEYS, whole.alias("whole")).where(F.size("whole") > 0).join(cuts, KEYS, "full").select(*KEYS, F.coalesce("whole", "cuts").alias("cuts"))
-    return rows.join(marks, KEYS, "left").select("row", "row.doc_id", "row.text", "cuts")
+    return rows.join(marks, KEYS, "left").select("row", "cuts")
+
+
+def mark(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """row (a struct of all columns of documents), doc_id, text, and `cuts` (array<struct<kind, begin, end>>: unmerged ranges to remove,
+    of bytes (kind 0; none if length is None) or, with words, of words (kind 1); null if none). Read them by `removed` and `passages`."""
+    return marked(documents, length, gram, words).select("row", "row.doc_id", "row.text", "cuts")
 
 
 def removed(cuts: list[dict] | None) -> list[tuple[int, int]]:
@@ -365,24 +413,22 @@ def passages(text: bytes, cuts: list[dict] | None, words: int) -> list[tuple[int
 
 def remove(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """documents with the repeated bytes (and passages of that many words) cut from their texts; a character that is cut into goes whole. Other columns stay."""
-    columns, at = documents.columns, documents.columns.index("text")
-    cuts = "_".join(["cuts", *columns])  # a name that no column has
-    marked = mark(documents, length, gram, words).select("row.*", F.col("cuts").alias(cuts))
+    at = documents.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = [batch.column(i) for i in range(len(columns))]
-            texts = []
-            for text, c in zip(as_bytes(batch.column(at)), batch.column(len(columns)).to_pylist(), strict=True):
+            made, texts = batch.column(0).flatten(), []
+            for text, c in zip(as_bytes(made[at]), batch.column(1).to_pylist(), strict=True):
                 if c is not None and text is not None:
                     text = kept(text, merged(removed(c) + [(a, b) for a, b, _ in passages(text, c, words or 0)])).decode(errors="ignore").encode()
                 texts.append(text)
-            made[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(made, schema=pa.schema([batch.schema.field(i) for i in range(len(columns))]))
+            names = [f.name for f in batch.schema.field(0).type]
+            made[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(made[at].type)
+            yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return marked.mapInArrow(run, documents.schema)
+    return marked(documents, length, gram, words).mapInArrow(run, documents.schema)
 
 
 def kept(text: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -395,11 +441,12 @@ def kept(text: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, judged by LENGTH bytes, and n_passages, n_passage_words: passages of over 50 words that occur elsewhere too, however few bytes they have."""
-    marked = mark(read(spark, sf_dir, "documents").select("doc_id", "text"), words=PASSAGE).select("doc_id", "text", "cuts")
+    rows = marked(read(spark, sf_dir, "documents").select("doc_id", "text"), LENGTH, GRAM, PASSAGE)
 
     def make(batch):
-        out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "n_passage_words": []}
-        for text, cuts in zip(as_bytes(batch.column("text")), batch.column("cuts").to_pylist(), strict=True):
+        doc_id, texts = batch.column("row").flatten()
+        out = {"doc_id": doc_id, "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "n_passage_words": []}
+        for text, cuts in zip(as_bytes(texts), batch.column("cuts").to_pylist(), strict=True):
             text = text or b""
             cut, found = removed(cuts), passages(text, cuts, PASSAGE)
             out["n_bytes"].append(len(text))
@@ -410,4 +457,4 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["n_passage_words"].append(sum(n for _, _, n in found))
         return out
 
-    return map_batches(marked, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_words bigint")
+    return map_batches(rows, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_words bigint")

@@ -93,19 +93,21 @@ def test_suffixes(docs, texts, none, length, gram):
     assert suffixes.remove(docs, length, gram).schema == docs.schema
 
 
-def test_many_suffixes_of_one_gram():
-    """More than PAIRS contexts go through the multikey sort: the same answer as all pairs."""
+def test_many_suffixes_of_one_gram(monkeypatch):
+    """Contexts compared pair by pair, by a matrix of common lengths, and split by split: one answer, zero bytes in the text too."""
     rng = np.random.default_rng(1)
-    right, left = rng.integers(97, 99, (150, 24)).astype(np.uint8), rng.integers(97, 99, (150, 16)).astype(np.uint8)
-    right[:, :8] = 97
+    right, left = rng.integers(0, 2, (150, 24)).astype(np.uint8), rng.integers(0, 2, (150, 16)).astype(np.uint8)
+    right[:, :8] = 0
     n, m = rng.integers(8, 25, 150), rng.integers(0, 17, 150)
-    many = suffixes.spans(right, left, n, m, 24)
-    old, suffixes.PAIRS = suffixes.PAIRS, 1000
-    try:
-        few = suffixes.spans(right, left, n, m, 24)
-    finally:
-        suffixes.PAIRS = old
-    assert (many[0] == few[0]).all() and (many[1] == few[1]).all()
+    right[75:], n[75:], left[75:, :8] = right[:75], n[:75], left[:75, :8]
+    right[np.arange(24) >= n[:, None]] = 0
+    left[np.arange(16) >= m[:, None]] = 0
+    found = []
+    for pairs, wide in ((1000, 1000), (8, 1000), (8, 8)):
+        monkeypatch.setattr(suffixes, "PAIRS", pairs)
+        monkeypatch.setattr(suffixes, "WIDE", wide)
+        found.append(suffixes.spans(right, left, n, m, 24))
+    assert all((f[0] == found[0][0]).all() and (f[1] == found[0][1]).all() for f in found) and found[0][0].any()
     order = suffixes.multikey_order(right)
     assert [bytes(r) for r in right[order]] == sorted(bytes(r) for r in right)
 
