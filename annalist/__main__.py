@@ -19,9 +19,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(args: list[str] | None = None, spark=None) -> int:
-    from annalist.plans import catalogue, generation, reports
+    from annalist.plans import registry, reports
 
-    known, given = catalogue.QUERIES | generation.QUERIES, parser().parse_args(args)
+    known, given = registry.QUERIES, parser().parse_args(args)
     if given.verb == "list":
         print("\n".join(sorted(known)))
         return 0

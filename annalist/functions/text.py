@@ -67,10 +67,11 @@ def slug(text) -> Column:
 
 
 def fact_verdicts(text) -> Column:
-    """'FACT n: yes|partial|no' lines as a map from number to verdict."""
+    """'FACT n: yes|partial|no' lines as a map from number to verdict; of several lines of one number the last holds."""
     lines = F.filter(F.split(F.lower(_c(text)), "\n"), lambda x: x.rlike(r"fact\s+[0-9]+\s*:\s*(yes|partial|no)"))
-    entry = lambda x: F.struct(F.regexp_extract(x, r"fact\s+([0-9]+)", 1).cast("int").alias("k"), F.regexp_extract(x, r":\s*(yes|partial|no)", 1).alias("v"))
-    return F.map_from_entries(F.array_distinct(F.transform(lines, entry)))
+    number = lambda x: F.regexp_extract(x, r"fact\s+([0-9]+)", 1).cast("int")
+    last = F.filter(lines, lambda x, i: ~F.exists(F.slice(lines, i + 2, F.size(lines)), lambda y: number(y) == number(x)))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(number(x).alias("k"), F.regexp_extract(x, r":\s*(yes|partial|no)", 1).alias("v"))))
 
 
 def triples(text) -> Column:

@@ -1,10 +1,34 @@
-"""Typed edges over facts: candidates of each question category, walks, lineage, constraints."""
+"""Typed edges over events: candidates of each question category and their ground truth, walks, lineage, constraints.
+
+events: id, type, occurred_at, recorded_at, summary, decision, reason_canonical, participants array, alternatives_considered array,
+evidence_in_corpus array<struct<slot_id, genre, role, author>>. relations: source, relation, target, ord (the place in the log;
+"first" below is by it). personas: persona_id, display_name. Null texts count as empty, null arrays as empty; edges with an end
+that is no event are left out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.functions import text as T
+from annalist.sources.shared import written
+
+#: Kinds of edges from a newer version to an older one, in the order in which they are followed: fixed values.
+VERSIONS = ["supersedes", "reverses", "re_attempts"]
+
+
+def text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def topic(name: str = "summary") -> Column:
+    return F.substring(text(name), 1, 120).alias("topic")
+
+
+def slots(name: str = "evidence_in_corpus") -> Column:
+    return F.coalesce(F.col(f"{name}.slot_id"), F.array().cast("array<string>"))
+
 
 def expand(relations: DataFrame, events: DataFrame, kinds: list[str]) -> DataFrame:
     """Edges of some kinds with both events as structs src and tgt; dangling edges go."""
@@ -13,31 +37,179 @@ def expand(relations: DataFrame, events: DataFrame, kinds: list[str]) -> DataFra
     return rows.join(side("src", "source"), "source").join(side("tgt", "target"), "target")
 
 
+def named(rows: DataFrame, key: list[str], ids: str, personas: DataFrame) -> DataFrame:
+    """rows with their array of persona ids as display names in order; an unknown id stands for itself. Persons meet by an equi-join."""
+    each = rows.select(*key, F.posexplode(ids).alias("_at", "persona_id"))
+    found = each.join(personas.select("persona_id", "display_name"), "persona_id", "left")
+    listed = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("display_name", F.col("persona_id").cast("string")).alias("name")))).alias("_names"))
+    return rows.join(listed, key, "left").withColumn(ids, F.coalesce(F.col("_names.name"), F.array().cast("array<string>"))).drop("_names")
+
+
 def supersession(relations: DataFrame, events: DataFrame) -> DataFrame:
     """C1: prior and current value of each superseding or reversing edge, evidence of both in order."""
     return expand(relations, events, ["supersedes", "reverses"]).select(
-        "source", "target", F.substring("tgt.summary", 1, 120).alias("topic"), F.col("tgt.decision").alias("prior_value"), F.col("src.decision").alias("current_value"),
-        F.col("src.occurred_at").alias("change_date"), F.col("src.reason_canonical").alias("change_reason"), F.concat("src.evidence_in_corpus.slot_id", "tgt.evidence_in_corpus.slot_id").alias("evidence"),
+        "source", "relation", "target", topic("tgt.summary"), text("tgt.decision").alias("prior_value"), text("src.decision").alias("current_value"),
+        text("src.occurred_at").alias("change_date"), text("src.reason_canonical").alias("change_reason"), F.concat(slots("src.evidence_in_corpus"), slots("tgt.evidence_in_corpus")).alias("evidence"),
     )
 
 
+def provenance(events: DataFrame, personas: DataFrame) -> DataFrame:
+    """C2: strategic decisions with two alternatives or more, and who decided, by name."""
+    rows = events.where((F.col("type") == "strategic_decision") & (F.size("alternatives_considered") >= 2)).select(
+        "id", topic(), text("decision").alias("decision"), F.col("participants").alias("deciders"), text("occurred_at").alias("decision_date"),
+        F.col("alternatives_considered").alias("alternatives"), text("reason_canonical").alias("decision_reason"), slots().alias("evidence"),
+    )
+    return named(rows, ["id"], "deciders", personas)
+
+
 def corrections(relations: DataFrame, events: DataFrame) -> DataFrame:
-    """C3: what was recorded first and what corrected it."""
+    """C3: what was recorded first and what corrected it; an event that has no time of recording was recorded when it occurred."""
+    recorded = lambda side: F.coalesce(F.col(f"{side}.recorded_at"), text(f"{side}.occurred_at"))
     return expand(relations, events, ["retroactively_corrected_by"]).select(
-        "source", "target", F.col("src.decision").alias("original_value"), F.coalesce("src.recorded_at", "src.occurred_at").alias("original_recorded_at"),
-        F.col("tgt.decision").alias("corrected_value"), F.coalesce("tgt.recorded_at", "tgt.occurred_at").alias("corrected_recorded_at"), F.col("src.occurred_at").alias("true_occurred_at"),
+        "source", "target", topic("src.summary"), text("src.decision").alias("original_value"), recorded("src").alias("original_recorded_at"), text("tgt.decision").alias("corrected_value"),
+        recorded("tgt").alias("correction_recorded_at"), text("src.occurred_at").alias("true_occurred_at"), F.concat(slots("src.evidence_in_corpus"), slots("tgt.evidence_in_corpus")).alias("evidence"),
     )
 
 
-def contradictions(relations: DataFrame, events: DataFrame) -> DataFrame:
-    """C6: edges with parties on each side only, and the first event that resolves them."""
-    r = expand(relations, events, ["contradicts"])
-    r = r.withColumn("party_a", F.get(F.array_except("src.participants", "tgt.participants"), F.lit(0))).withColumn("party_b", F.get(F.array_except("tgt.participants", "src.participants"), F.lit(0)))
-    r = r.where("party_a is not null and party_b is not null and party_a <> party_b")
-    by = relations.where("relation = 'resolved_by'").select(F.col("source").alias("of"), F.col("target").alias("resolver"))
-    sides = r.select("source", "target", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("source").alias("of")), F.struct(F.lit(1).alias("rank"), F.col("target").alias("of")))).alias("s")).select("source", "target", "s.*")
-    first = sides.join(by, "of").groupBy("source", "target").agg(F.min_by("resolver", F.struct("rank", "resolver")).alias("resolver"))
-    return r.join(first, ["source", "target"], "left").withColumn("status", F.when(F.col("resolver").isNull(), "unresolved").otherwise("resolved")).drop("src", "tgt")
+def reach(starts: DataFrame, edges: DataFrame, what: str, rounds: int = 200) -> DataFrame:
+    """(start, node, path) of all nodes that edges (a, b, ord) lead to from each start, itself first.
+
+    path is the least sequence of ords that leads there: its order is that of a depth-first walk that takes edges by ord and
+    no node twice. Each round extends the paths that the last one found or made smaller, by an equi-join, and is written;
+    as many rounds as the longest path has edges. Cycles make no path smaller, so they end.
+    """
+    found = starts.select(F.col("start"), F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path")).distinct()
+    new = found
+    for _ in range(rounds):
+        step = new.join(edges, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("ord"))).alias("to"))
+        new = written(step.join(found, ["start", "node"], "left").where("path is null or to < path").select("start", "node", F.col("to").alias("path")), what)
+        if new.isEmpty():
+            return found
+        found = written(found.unionByName(new).groupBy("start", "node").agg(F.min("path").alias("path")), what)
+    raise RuntimeError(f"{what}: paths of more than {rounds} edges")
+
+
+def audit(relations: DataFrame, events: DataFrame) -> DataFrame:
+    """C4: what held 30 days after a superseded event, all that its chain changed since, and what holds now.
+
+    The older chain is walked from the target along superseding edges, the newer one from the source against them, depth
+    first; the last of the newer one is the replacement, all others of both are the changed facts, in order.
+    """
+    edges = expand(relations, events, ["supersedes"]).select("source", "target", "src", "tgt").withColumn("as_of_date", F.date_add(F.try_to_date(F.substring("tgt.occurred_at", 1, 10)), 30).cast("string")).where("as_of_date is not null")
+    by = relations.where("relation = 'supersedes'")
+    older = reach(edges.select(F.col("target").alias("start")), by.select(F.col("source").alias("a"), F.col("target").alias("b"), "ord"), "older")
+    newer = reach(edges.select(F.col("source").alias("start")), by.select(F.col("target").alias("a"), F.col("source").alias("b"), "ord"), "newer")
+    facts = events.select(F.col("id").alias("node"), text("decision").alias("decision"), slots().alias("slots"))
+
+    def chain(rows, key, name):
+        with_facts = rows.join(facts, "node", "left").select("start", F.struct("path", "node", F.coalesce("decision", F.lit("")).alias("decision"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots")).alias("e"))
+        return with_facts.groupBy(F.col("start").alias(key)).agg(F.array_sort(F.collect_list("e"), lambda x, y: F.when(x["path"] < y["path"], -1).when(x["path"] > y["path"], 1).otherwise(0)).alias(name))
+
+    both = edges.join(chain(older, "target", "older"), "target").join(chain(newer, "source", "newer"), "source")
+    chained, last = F.concat("older", "newer"), F.element_at("newer", -1)
+    every = F.array_sort(F.array_distinct(F.transform(chained, lambda e: F.struct(e["node"].alias("node"), e["slots"].alias("slots")))))
+    return both.select(
+        "source", "target", topic("tgt.summary"), "as_of_date", F.array(text("tgt.decision")).alias("asof_facts"),
+        F.transform(F.filter(chained, lambda e: e["node"] != last["node"]), lambda e: e["decision"]).alias("changed_facts"), F.array(last["decision"]).alias("replacements"),
+        F.transform(every, lambda e: e["node"]).alias("chain_event_ids"), F.flatten(F.transform(every, lambda e: e["slots"])).alias("evidence"),
+    )
+
+
+def justification(events: DataFrame) -> DataFrame:
+    """C5: events with three pieces of evidence or more, and what kind of testimony each piece is."""
+    e, shown = F.col("evidence_in_corpus"), lambda x: F.coalesce(x.cast("string"), F.lit("?"))
+    kind = lambda s: T.testimony_type(F.coalesce(s["genre"], F.lit("?")))
+    line = lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), shown(s["genre"]), F.lit(" by "), shown(s["author"]), F.lit(" ("), shown(s["role"]), F.lit(") → "), kind(s))
+    return events.where(F.size("evidence_in_corpus") >= 3).select(
+        "id", text("decision").alias("claim"), topic(), F.transform(e, line).alias("evidence_summary"), F.transform(e, lambda s: shown(s["genre"])).alias("evidence_types"),
+        F.transform(e, lambda s: F.struct(s["slot_id"].alias("slot_id"), kind(s).alias("testimony_type"))).alias("testimony_attribution"),
+        text("reason_canonical").alias("inferential_steps"), F.filter(slots(), lambda s: s.isNotNull()).alias("evidence"),
+    )
+
+
+def contradictions(relations: DataFrame, events: DataFrame, personas: DataFrame) -> DataFrame:
+    """C6: edges with a party on each side only, of different names, and the first event that resolves the source, else the target."""
+    first = lambda a, b: F.get(F.array_except(f"{a}.participants", f"{b}.participants"), F.lit(0))
+    r = expand(relations, events, ["contradicts"]).withColumn("party_a", first("src", "tgt")).withColumn("party_b", first("tgt", "src")).where("party_a is not null and party_b is not null")
+    name = lambda p: personas.select(F.col("persona_id").alias(p), F.col("display_name").alias(f"{p}_name"))
+    r = r.join(name("party_a"), "party_a", "left").join(name("party_b"), "party_b", "left")
+    r = r.withColumns({f"{p}_name": F.coalesce(f"{p}_name", F.col(p).cast("string")) for p in ("party_a", "party_b")}).where("party_a_name <> party_b_name")
+    by = relations.where("relation = 'resolved_by'").groupBy(F.col("source").alias("of")).agg(F.min_by("target", "ord").alias("resolver"))
+    of = lambda key, to: by.select(F.col("of").alias(key), F.col("resolver").alias(to))
+    r = r.join(of("source", "_by_source"), "source", "left").join(of("target", "_by_target"), "target", "left").withColumn("resolver", F.coalesce("_by_source", "_by_target"))
+    r = r.join(events.select(F.col("id").alias("resolver"), text("decision").alias("resolution_details")), "resolver", "left")
+    return r.select(
+        "source", "target", topic("src.summary"), "party_a", "party_a_name", text("src.decision").alias("party_a_claim"), text("src.occurred_at").alias("party_a_date"),
+        "party_b", "party_b_name", text("tgt.decision").alias("party_b_claim"), text("tgt.occurred_at").alias("party_b_date"), "resolver",
+        F.when(F.col("resolver").isNull(), "unresolved").otherwise("resolved").alias("resolution_status"), F.coalesce("resolution_details", F.lit("")).alias("resolution_details"),
+        F.concat(slots("src.evidence_in_corpus"), slots("tgt.evidence_in_corpus")).alias("evidence"),
+    )
+
+
+def newer_versions(relations: DataFrame) -> DataFrame:
+    """(a, b): the first newer version b of each event a: by the kind of edge, then by where its source first is in that kind, then by ord."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in VERSIONS]), F.col("relation"))
+    rows = relations.where(F.col("relation").isin(VERSIONS)).withColumn("_kind", kind).withColumn("_met", F.min("ord").over(Window.partitionBy("relation", "source")))
+    return rows.groupBy(F.col("target").alias("a")).agg(F.min_by("source", F.struct("_kind", "_met", "ord")).alias("b"))
+
+
+def chains(edges: DataFrame, depth: int = 20) -> DataFrame:
+    """root, last, length, path (nodes) of the walk from each root along the one next of every node, at most `depth` steps.
+
+    edges: (a, b), b the next of a; of several the least. Roots are no one's next. Pointer doubling: a round joins every
+    node's next steps with those of where they end, so log2(depth) equi-joins give all walks, each written; no recursion.
+    Cycles end where they close.
+    """
+    step = written(edges.groupBy("a").agg(F.min("b").alias("b")), "next")
+    ahead = step.select("a", F.array("b").alias("path"))
+    reached = 1
+    while reached < depth:
+        far = ahead.select(F.col("a").alias("_end"), F.col("path").alias("_more"))
+        joined = ahead.withColumn("_end", F.element_at("path", -1)).join(far, "_end", "left")
+        ahead = written(joined.select("a", F.slice(F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more")), 1, depth).alias("path")), "walks")
+        reached *= 2
+    roots = ahead.join(step.select(F.col("b").alias("a")), "a", "left_anti")
+    walked = roots.select(F.col("a").alias("root"), F.array_distinct(F.concat(F.array("a"), "path")).alias("path"))  # a walk that closes has no new node from there on
+    return walked.select("root", F.element_at("path", -1).alias("last"), F.size("path").alias("length"), "path")
+
+
+def lineage(relations: DataFrame, events: DataFrame, personas: DataFrame, least: int = 3) -> DataFrame:
+    """HARD: chains of versions from the oldest, each step with its date, decision, reason and people; the years they span."""
+    walks = chains(newer_versions(relations)).select("root", F.posexplode("path").alias("at", "id"))
+    step = events.select("id", topic(), text("occurred_at").alias("date"), F.substring(text("decision"), 1, 200).alias("decision"), F.substring(text("reason_canonical"), 1, 150).alias("reason"), "participants", slots().alias("slots"))
+    steps = walks.join(named(step, ["id"], "participants", personas), "id")
+    rows = steps.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "id", "date", "decision", "reason", "participants", "topic", "slots"))).alias("s")).where(F.size("s") >= least)
+    years = F.filter(F.transform("s", lambda x: F.substring(x["date"], 1, 4)), lambda y: y != "")
+    return rows.select(
+        "root", F.col("s")[0]["topic"].alias("topic"), F.size("s").alias("chain_length"), F.when(F.size(years) == 0, "?").otherwise(F.concat(F.array_min(years), F.lit("-"), F.array_max(years))).alias("year_span"),
+        F.transform("s", lambda x: F.struct(x["id"].alias("id"), x["date"].alias("date"), x["decision"].alias("decision"), x["reason"].alias("reason"), x["participants"].alias("participants"))).alias("chain_steps"),
+        F.flatten(F.transform("s", lambda x: x["slots"])).alias("evidence"),
+    )
+
+
+#: Fields of the ground truth of each category, as (field, column of its candidates): fixed values.
+TRUTH = {
+    "C1": [("current_value",) * 2, ("prior_value",) * 2, ("change_date",) * 2, ("change_reason",) * 2],
+    "C2": [("decision",) * 2, ("deciders",) * 2, ("decision_date",) * 2, ("alternatives",) * 2, ("deciding_factor", "decision_reason")],
+    "C3": [("original_value",) * 2, ("corrected_value",) * 2, ("original_recorded_at",) * 2, ("correction_recorded_at",) * 2, ("true_occurred_at",) * 2],
+    "C4": [("as_of_date",) * 2, ("asof_facts",) * 2, ("changed_facts",) * 2, ("replacements",) * 2],
+    "C5": [("claim",) * 2, ("evidence_summary",) * 2, ("evidence_types",) * 2, ("testimony_attribution",) * 2, ("inferential_steps",) * 2],
+    "C6": [("party_a", "party_a_name"), ("party_a_claim",) * 2, ("party_a_date",) * 2, ("party_b", "party_b_name"), ("party_b_claim",) * 2, ("party_b_date",) * 2, ("resolution_status",) * 2, ("resolution_details",) * 2],
+    "HARD": [("topic",) * 2, ("chain_length",) * 2, ("year_span",) * 2, ("chain_steps",) * 2],
+}
+
+
+def ground_truth(candidates: DataFrame, category: str) -> Column:
+    """The candidates' ground truth as JSON text, fields in their order; chains also tell the state that they end in."""
+    fields = [F.col(column).alias(field) for field, column in TRUTH[category]]
+    if category == "HARD":
+        fields.append(F.element_at("chain_steps", -1)["decision"].alias("current_state"))
+    return F.to_json(F.struct(*fields))
+
+
+def difficulty(evidence: Column, steps: Column | int = 1) -> Column:
+    steps = F.lit(steps) if isinstance(steps, int) else steps
+    return F.when((steps >= 3) | (evidence >= 6), "hard").when(evidence >= 3, "medium").otherwise("easy")
 
 
 def filtered(triples: DataFrame, events: DataFrame, kinds: list[str]) -> DataFrame:
@@ -49,20 +221,23 @@ def filtered(triples: DataFrame, events: DataFrame, kinds: list[str]) -> DataFra
     return rows.where(unknown | ordered).select("source", "relation", "target")
 
 
-def chains(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """root, last, length, path of the walk from each root along the one next of every node, at most `depth` steps.
+def versioned(versions: DataFrame, relation: dict[str, str]) -> DataFrame:
+    """Triples of chains: each version (chain, at, id, relation_to_previous, corrects, stance) with the one before it by `at`.
 
-    edges: (a, b), b the next of a; of several the least. Roots are no one's next. Cycles end where they close.
+    relation maps what a version says of the one before it to a kind of edge, supersedes if it says nothing known. corrects is
+    the number of an earlier version, which the version corrects. A stance adds two events, id with -A and -B, that contradict
+    each other and that the version resolves.
     """
-    spark = edges.sparkSession
-    edges.groupBy("a").agg(F.min("b").alias("b")).cache().createOrReplaceTempView("_annalist_next")  # each step reads it
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, at, length, path) AS (
-          SELECT a, a, 1, array(a) FROM _annalist_next WHERE a NOT IN (SELECT b FROM _annalist_next)
-          UNION ALL
-          SELECT root, n.b, length + 1, array_append(path, n.b) FROM walk JOIN _annalist_next n ON n.a = walk.at
-          WHERE length <= {depth} AND NOT array_contains(path, n.b))
-        SELECT root, max_by(at, length) AS last, max(length) AS length, max_by(path, length) AS path FROM walk GROUP BY root""")
+    w = Window.partitionBy("chain").orderBy("at", "id")
+    v = versions.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.lag("id").over(w))
+    known = F.create_map(*[F.lit(x) for pair in relation.items() for x in pair])[F.lower(F.trim("relation_to_previous"))]
+    linked = v.where("_before is not null").select(F.col("id").alias("source"), F.coalesce(known, F.lit("supersedes")).alias("relation"), F.col("_before").alias("target"))
+    old = v.select("chain", F.col("_n").alias("corrects"), F.col("id").alias("source"))
+    fixed = v.where("corrects < _n").select("chain", "corrects", F.col("id").alias("target")).join(old, ["chain", "corrects"]).select("source", F.lit("retroactively_corrected_by").alias("relation"), "target")
+    a, b = F.concat(F.col("id"), F.lit("-A")), F.concat(F.col("id"), F.lit("-B"))
+    stances = v.where(F.coalesce("stance", F.lit("")) != "")
+    against = stances.select(a.alias("source"), F.explode(F.array(F.struct(F.lit("contradicts").alias("relation"), b.alias("target")), F.struct(F.lit("resolved_by").alias("relation"), F.col("id").alias("target")))).alias("r")).select("source", "r.*")
+    return linked.unionByName(fixed).unionByName(against)
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, budget: int, cost: DataFrame) -> DataFrame:

@@ -45,3 +45,43 @@ def draw(rows: DataFrame, key: list[str], identity: str, n: int, seed: int) -> D
     """n rows of each key in the order of a seeded digest of their identity: a sampling operator, the same on every run."""
     by = F.md5(F.concat(F.col(identity).cast("string"), F.lit(f":{seed}")))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(by, identity))).where(F.col("rank") <= n)
+
+
+def grid(rows: DataFrame, **axes) -> DataFrame:
+    """A row for each value of each axis, in the order of the axes."""
+    for name, values in axes.items():
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return rows
+
+
+def repeated(rows: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row as often as it says, numbered from 1; none for 0."""
+    return rows.withColumn(name, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+
+
+def batches(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """rows numbered from 0 within their key."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+
+
+def capped(rows: DataFrame, key: list[str], order: list[str], n: int, name: str) -> DataFrame:
+    """The first n rows of each key, as the feature is."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= n)
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[str], score: str, n: int) -> DataFrame:
+    """The n best of each key by score, ties by order."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(score), *order))).where(F.col("rank") <= n)
+
+
+def tenure(number: Column, first: int, span: int, last: int) -> list[Column]:
+    """first_year and last_year from a running number: starts go round `span` years, stays last one to four years, none beyond `last`."""
+    start = (F.lit(first) + number % span).cast("int")
+    return [start.alias("first_year"), F.least(start + 1 + (number % 4).cast("int"), F.lit(last)).alias("last_year")]
+
+
+def slots_of(event: Column, people: Column, n: int, primary: list[str], secondary: list[str]) -> Column:
+    """An event's n slots: the first is primary, the others go round the secondary genres, authors go round its people."""
+    genre = lambda i: F.when(i == 0, F.lit(primary[0])).otherwise(F.get(F.array(*map(F.lit, secondary)), i % len(secondary)))
+    slot = lambda i: F.struct(F.concat(F.lit("ART-"), event, F.lit("-"), F.lpad((i + 1).cast("string"), 3, "0")).alias("slot_id"), genre(i).alias("genre"), F.when(i == 0, "primary").otherwise("secondary").alias("role"), F.get(people, i % F.size(people)).alias("author"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), slot)

@@ -18,11 +18,36 @@ class Retriever(Protocol):
     def transform(self, corpus: DataFrame, questions: DataFrame) -> DataFrame: ...
 
 
+#: Bytes of questions' text that are broadcast at once.
+BROADCAST_BYTES = 16 << 20
+
+
+def parts(questions: DataFrame, bound: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """The questions whole if their texts are within the bound, else in as many parts by a hash of their ids as keep each within it."""
+    size = questions.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // bound))
+    return [questions] if n == 1 else [questions.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def bounded(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """rows, of which each question has at most one, with a broadcast hint if the questions' texts are within the bound."""
+    return F.broadcast(rows) if len(parts(questions)) == 1 else rows
+
+
 def overlaps(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """item_id, doc_id, score: common tokens of each pair that has any. Tokens meet by an equi-join, counts combine map-side."""
-    q = questions.select("item_id", F.explode(T.token_set("text")).alias("token"))
-    d = documents.select("doc_id", F.explode(T.token_set("text")).alias("token"))
-    return d.join(q, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    """item_id, doc_id, score: common tokens of each pair that has any.
+
+    Documents' token sets are dealt by doc_id once; the questions' tokens, size-checked, come to them, part by part. So a
+    pair's tokens are counted where its document is: pairs are never shuffled, and what picks the best of them combines
+    within each task first.
+    """
+    d = documents.select("doc_id", T.token_set("text").alias("tokens")).repartition("doc_id").select("doc_id", F.explode("tokens").alias("token"))
+    found = None
+    for part in parts(questions):
+        q = part.select("item_id", F.explode(T.token_set("text")).alias("token"))
+        scored = d.join(F.broadcast(q), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
+        found = scored if found is None else found.unionByName(scored)
+    return found.select("item_id", "doc_id", "score")
 
 
 def keyword_top1(questions: DataFrame, documents: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ def as_of(facts: DataFrame, valid_time=None, known_time=None) -> DataFrame:
     return facts
 
 
+def latest(log: DataFrame, key: list[str], valid_at: str, order: str, at) -> DataFrame:
+    """The version of each key that holds at one time: of those not later the last, by a maximum of structs."""
+    rest = [c for c in log.columns if c not in (*key, valid_at, order)]
+    best = F.max(F.struct(valid_at, order, *rest)).alias("_v")
+    return log.where(F.col(valid_at) <= at).groupBy(*key).agg(best).select(*key, *[F.col("_v")[c].alias(c) for c in (valid_at, order, *rest)])
+
+
 def facts_bt(events: DataFrame, relations: DataFrame) -> DataFrame:
     """Four times a fact: superseding or reversing edges close validity, retroactive corrections close knowledge."""
     e = events.select(F.col("id").alias("fact_id"), F.col("decision").alias("value"), F.col("occurred_at").alias("valid_at"), F.coalesce("recorded_at", "occurred_at").alias("ingested_at"))

@@ -109,7 +109,7 @@ _STOP = "['" + "', '".join(T.STOPWORDS) + "']"
 )
 def leak_score(b, d):
     best = retrieval.keyword_top1(b, d).select("item_id", "doc_id")
-    pairs = d.select("doc_id", F.col("text").alias("found")).join(F.broadcast(best), "doc_id").join(F.broadcast(b), "item_id")
+    pairs = d.select("doc_id", F.col("text").alias("found")).join(retrieval.bounded(best, b), "doc_id").join(retrieval.bounded(b, b), "item_id")
     return pairs.select("item_id", "doc_id", T.leak("found", "text").alias("leak"))
 
 
@@ -121,7 +121,7 @@ def leak_score(b, d):
 )
 def memorisation_score(b, d):
     best = retrieval.keyword_top1(b, d).select("item_id", "doc_id")
-    pairs = d.select("doc_id", F.col("text").alias("found")).join(F.broadcast(best), "doc_id").join(F.broadcast(b), "item_id")
+    pairs = d.select("doc_id", F.col("text").alias("found")).join(retrieval.bounded(best, b), "doc_id").join(retrieval.bounded(b, b), "item_id")
     return pairs.select("item_id", "doc_id", T.memorised("found", "text").alias("memorised"))
 
 
@@ -162,7 +162,9 @@ def vector_search(e):
 )
 def rrf_fusion(b, d):
     words = retrieval.top_k(retrieval.overlaps(b, d), "item_id", [F.desc("score"), F.col("doc_id")], 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), "rank")
-    near = d.select("doc_id", "n_chars").crossJoin(F.broadcast(b.select("item_id", F.length("text").alias("n"))))
+    # Of documents of one length only the ten least ids can be among an item's ten nearest: a bounded number of rows a length meets the items.
+    least = retrieval.top_k(d.select("doc_id", "n_chars"), "n_chars", [F.col("doc_id")], 10).drop("rank")
+    near = least.join(b.select("item_id", F.length("text").alias("n")))
     lengths = retrieval.top_k(near.withColumn("gap", F.abs(F.col("n") - F.col("n_chars"))), "item_id", [F.col("gap"), F.col("doc_id")], 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), "rank")
     fused = retrieval.reciprocal_ranks(words.unionByName(lengths))
     return fused.withColumn("rrf", F.col("rrf").cast("decimal(20,9)").cast("double"))
@@ -179,8 +181,8 @@ def versions(e):
 
 @query(f"WITH {_V} SELECT user_id, event_type, event_id, value FROM v WHERE ts <= TIMESTAMP '2024-01-02' AND (invalid_at > TIMESTAMP '2024-01-02' OR invalid_at IS NULL)", "events")
 def asof_slice(e):
-    at = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
-    return temporal.as_of(versions(e), at).select(*KEY, "event_id", "value")
+    """The slice at one time needs no versions: the last fact of each key that is not later, by a maximum that combines before the shuffle; the date reaches the scan."""
+    return temporal.latest(e.select("event_id", "ts", *KEY, "value"), KEY, "ts", "event_id", F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).select(*KEY, "event_id", "value")
 
 
 @query(
@@ -195,73 +197,6 @@ def asof_bitemporal(e):
     return temporal.as_of(facts, stamp_("2024-01-15 00:00:00"), stamp_("2024-01-14 22:00:00")).select(*KEY, "event_id", "value")
 
 
-def changes(e):
-    w = Window.partitionBy(*KEY).orderBy("ts", "event_id")
-    return e.select("event_id", "ts", *KEY, "value", F.lag("value").over(w).alias("prior_value"), F.lag("ts").over(w).alias("prior_ts"), F.lag("event_id").over(w).alias("prior_id"))
-
-
-@query(f"WITH {_V} SELECT event_id, prior_id, user_id, event_type, prior AS prior_value, value AS current_value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS changed_at FROM v WHERE prior_id IS NOT NULL", "events")
-def supersession_c1(e):
-    return changes(e).where("prior_id is not null").select("event_id", "prior_id", *KEY, "prior_value", F.col("value").alias("current_value"), stamp("ts").alias("changed_at"))
-
-
-@query(
-    """SELECT o_orderkey, c_mktsegment, count(DISTINCT l_suppkey)::BIGINT AS alternatives FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
-    GROUP BY o_orderkey, c_mktsegment HAVING count(DISTINCT l_suppkey) >= 2""",
-    "orders", "lineitem", "customer",
-)
-def provenance_c2(o, li, c):
-    n = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.countDistinct("l_suppkey").alias("alternatives")).where("alternatives >= 2")
-    return o.select("o_orderkey", "o_custkey").join(n, "o_orderkey").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left").select("o_orderkey", "c_mktsegment", "alternatives")
-
-
-@query(f"WITH {_V} SELECT event_id, prior_id, date_diff('day', prior_ts::DATE, ts::DATE)::INT AS days FROM v WHERE date_diff('day', prior_ts::DATE, ts::DATE) >= 1", "events")
-def correction_c3(e):
-    return changes(e).select("event_id", "prior_id", F.datediff(F.col("ts").cast("date"), F.col("prior_ts").cast("date")).alias("days")).where("days >= 1")
-
-
-@query(
-    """WITH n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n, last_value(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS head,
-      max(ts) OVER (PARTITION BY user_id, event_type) AS newest FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
-    a AS (SELECT *, (SELECT count(*) FROM events x WHERE x.user_id = n.user_id AND x.event_type = n.event_type AND x.ts <= n.ts + INTERVAL 1 DAY) AS seen FROM n)
-    SELECT a.event_id, t.value AS value_then, a.head AS head_value, (a.n - a.i)::BIGINT AS replacements FROM a JOIN n t ON t.user_id = a.user_id AND t.event_type = a.event_type AND t.i = a.seen""",
-    "events",
-)
-def audit_replay_c4(e):
-    w = Window.partitionBy(*KEY).orderBy("ts", "event_id")
-    whole, day = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.partitionBy(*KEY).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, 86_400_000_000)
-    return e.select("event_id", F.max(F.struct("ts", "event_id", "value")).over(day)["value"].alias("value_then"), F.last("value").over(whole).alias("head_value"), (F.count("*").over(Window.partitionBy(*KEY)) - F.row_number().over(w)).cast("bigint").alias("replacements"))
-
-
-@query(
-    """SELECT l_orderkey, count(*)::BIGINT AS evidence, count(*) FILTER (l_returnflag = 'A')::BIGINT AS direct, count(*) FILTER (l_returnflag = 'R')::BIGINT AS inferred, count(*) FILTER (l_returnflag NOT IN ('A', 'R'))::BIGINT AS other
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey HAVING count(*) >= 3""",
-    "lineitem", "orders",
-)
-def justification_c5(li, o):
-    kind = F.col("l_returnflag")
-    rows = li.groupBy("l_orderkey").agg(F.count("*").alias("evidence"), F.count_if(kind == "A").alias("direct"), F.count_if(kind == "R").alias("inferred"), F.count_if(~kind.isin("A", "R")).alias("other")).where("evidence >= 3")
-    return rows.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-
-
-@query(
-    """WITH p AS (SELECT a.event_id AS a_id, b.event_id AS b_id, a.event_type, a.user_id AS ua, b.user_id AS ub, greatest(a.ts, b.ts) AS t FROM events a JOIN events b
-      ON a.event_type = b.event_type AND date_trunc('hour', a.ts) = date_trunc('hour', b.ts) AND a.user_id < b.user_id AND abs(a.value - b.value) > 100)
-    SELECT a_id, b_id, (SELECT min(event_id) FROM events x WHERE x.event_type = p.event_type AND x.user_id <> p.ua AND x.user_id <> p.ub AND x.ts > p.t AND x.ts <= p.t + INTERVAL 2 HOUR) AS resolver FROM p""",
-    "events",
-)
-def contradiction_c6(e):
-    """Pairs meet by type and hour; what resolves them lies in the next hours of the type, also by an equi-join."""
-    e = e.withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    side = lambda s: e.select("event_type", "hour", F.col("event_id").alias(f"{s}_id"), F.col("user_id").alias(f"u{s}"), F.col("value").alias(f"v{s}"), F.col("ts").alias(f"t{s}"))
-    p = side("a").join(side("b"), ["event_type", "hour"]).where("ua < ub and abs(va - vb) > 100").withColumn("t", F.greatest("ta", "tb"))
-    hours = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    later = p.select("a_id", "b_id", "event_type", "ua", "ub", "t", "hour", hours.alias("h")).withColumn("hour", F.expr("hour + make_dt_interval(0, h)"))
-    x = e.select("event_type", "hour", F.col("event_id").alias("x"), F.col("user_id").alias("ux"), F.col("ts").alias("tx"))
-    found = later.join(x, ["event_type", "hour"]).where("ux <> ua and ux <> ub and tx > t and tx <= t + interval 2 hours").groupBy("a_id", "b_id").agg(F.min("x").alias("resolver"))
-    return p.select("a_id", "b_id").join(found, ["a_id", "b_id"], "left")
-
-
 _NEXT = "nx AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS b FROM orders), ed AS (SELECT a, b FROM nx WHERE b IS NOT NULL)"
 
 
@@ -270,15 +205,6 @@ def next_orders(o):
     return o.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
 
 
-@query(
-    f"""WITH RECURSIVE {_NEXT}, walk AS (SELECT a AS root, a AS cur, 1 AS length FROM ed WHERE a NOT IN (SELECT b FROM ed) UNION ALL SELECT root, b, length + 1 FROM walk JOIN ed ON ed.a = walk.cur WHERE length <= 20)
-    SELECT root, arg_max(cur, length) AS last, max(length)::INT AS length FROM walk GROUP BY root HAVING max(length) >= 3""",
-    "orders",
-)
-def lineage_hard(o):
-    return graph.chains(next_orders(o)).where("length >= 3").select("root", "last", "length")
-
-
 @query(f"WITH {_NEXT} SELECT a AS root FROM ed EXCEPT SELECT b FROM ed", "orders")
 def roots_except(o):
     e = next_orders(o)
@@ -317,10 +243,10 @@ def edge_constraints(o):
     "events",
 )
 def stale_citations(e):
-    """Events are cited within a user: the date condition only filters an equi-join."""
-    closed = e.groupBy(*KEY).agg(F.max("ts").alias("t"))
-    later = e.select("user_id", F.col("event_type").alias("other"), "event_id", "ts")
-    return closed.join(later, "user_id").where("other <> event_type and ts > t").groupBy(*KEY).agg(F.min_by("event_id", "ts").alias("cited_by"), stamp(F.min("ts")).alias("cited_at"))
+    """The last event of each key and the user's next one, which is of another type: one window by user, no join."""
+    next_ = F.lead(F.struct("ts", "event_id")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = e.select(*KEY, "ts", "event_id", next_.alias("n")).groupBy(*KEY).agg(F.max_by("n", F.struct("ts", "event_id")).alias("n"))
+    return rows.where("n is not null").select(*KEY, F.col("n.event_id").alias("cited_by"), stamp("n.ts").alias("cited_at"))
 
 
 # Scores and reports

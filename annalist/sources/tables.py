@@ -18,17 +18,17 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def whole_texts(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """path and text of whole files. Folders that begin with an underscore are read only where they are roots themselves."""
-    return spark.read.text(roots, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def whole_texts(spark: SparkSession, roots: list[str], below: bool = False) -> DataFrame:
+    """path and text of whole files, those in folders below the roots too if asked. Folders that begin with an underscore are read only where they are roots themselves."""
+    return spark.read.option("recursiveFileLookup", below).text(roots, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def artifacts(index: DataFrame, files: DataFrame, events: DataFrame, personas: DataFrame) -> DataFrame:
     """Normalised artifacts: index rows whose file exists, header stripped, dated by their event or their header, author by name."""
     from annalist.functions import text as T
 
-    joined = index.join(files, "path").join(F.broadcast(events.select(F.col("id").alias("event_id"), "occurred_at")), "event_id", "left")
-    joined = joined.join(F.broadcast(personas.select(F.col("persona_id").alias("author"), "display_name")), "author", "left")
+    joined = index.join(files, "path").join(events.select(F.col("id").alias("event_id"), "occurred_at"), "event_id", "left")
+    joined = joined.join(personas.select(F.col("persona_id").alias("author"), "display_name"), "author", "left")
     first = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
     return joined.select(
         "slot_id", F.coalesce("genre", F.lit("unknown")).alias("source_type"), T.strip_header("text").alias("text"),

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from annalist.plans import catalogue, generation
+from annalist.plans import catalogue, registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,7 +33,7 @@ def duck():
     return con
 
 
-QUERIES, ORACLES = catalogue.QUERIES | generation.QUERIES, catalogue.ORACLES | generation.ORACLES
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

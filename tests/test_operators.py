@@ -50,7 +50,7 @@ EVENTS = "id string, decision string, summary string, occurred_at string, record
 def small(spark):
     event = lambda i, day, people: (i, f"d{i}", f"s{i}", f"2020-01-{day:02d}", None, "why", people, [(f"slot{i}",)])
     events = spark.createDataFrame([event("A", 1, ["x", "y"]), event("B", 2, ["y", "z"]), event("C", 3, ["y"])], EVENTS)
-    relations = spark.createDataFrame([("B", "supersedes", "A"), ("A", "contradicts", "B"), ("A", "contradicts", "C"), ("A", "resolved_by", "C"), ("A", "retroactively_corrected_by", "C"), ("B", "supersedes", "missing")], "source string, relation string, target string")
+    relations = spark.createDataFrame([("B", "supersedes", "A"), ("A", "contradicts", "B"), ("A", "contradicts", "C"), ("A", "resolved_by", "C"), ("A", "retroactively_corrected_by", "C"), ("B", "supersedes", "missing")], "source string, relation string, target string").withColumn("ord", F.monotonically_increasing_id())
     return events, relations
 
 
@@ -58,7 +58,8 @@ def test_graph(small):
     events, relations = small
     c1 = graph.supersession(relations, events).collect()
     assert [(r.prior_value, r.current_value, r.evidence) for r in c1] == [("dA", "dB", ["slotB", "slotA"])]
-    c6 = {r.target: (r.party_a, r.party_b, r.status, r.resolver) for r in graph.contradictions(relations, events).collect()}
+    people = events.sparkSession.createDataFrame([("x", "X")], "persona_id string, display_name string")
+    c6 = {r.target: (r.party_a, r.party_b, r.resolution_status, r.resolver) for r in graph.contradictions(relations, events, people).collect()}
     assert c6 == {"B": ("x", "z", "resolved", "C")}
     assert [r.corrected_value for r in graph.corrections(relations, events).collect()] == ["dC"]
     facts = {r.fact_id: (r.invalid_at, r.superseded_by, r.expired_at) for r in temporal.facts_bt(events, relations).collect()}
