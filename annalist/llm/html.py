@@ -1,17 +1,22 @@
 """Main text of web pages by equivalence classes of template tokens (after Arasu and Garcia-Molina).
 
-A page's tokens are its block elements, told apart by their paths, and its text chunks, those in articles too. A token's
-occurrence vector over the pages of its host is kept as one number, the sum over pages of count x a hash of the page, so
-that tokens share a vector where they share the number, and sums are combined before any shuffle. Tokens of a host with
-one vector are an equivalence class; it is valid if enough pages have it and it holds more than one token. Valid classes
-nest by their paths into the host's template: an element belongs to it if its parent does, a chunk if the element around
-its own does. The template's chunks are fixed and dropped on all pages of the host; all that varies is kept, in however
-many slots it lies. A chunk is fixed only if pages of LEAST_PAGES different texts have it: copies of a page make no template.
-
-Elements that are by name, role or class a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comments are left out anywhere. On hosts with fixed chunks, blocks that are links only are left out too, unless they are in
-an article or main element, in a heading, or below an element that holds paragraphs. Nothing else is left out: an article
-does not drop the text around it, and on hosts without a template (few pages) the body is the text.
+A page's tokens are its block elements, told apart by their paths, and its text chunks. A token's occurrence vector over the
+pages of its host is kept as one number, the sum over pages of count x a hash of the page, so that tokens share a vector where
+they share the number, and sums are combined before any shuffle. Tokens of a host with one vector are an equivalence class; it
+is valid if enough pages have it and it holds more than one token. Valid classes nest by their paths into the host's template:
+an element belongs to it if its parent does, a chunk if the element around its own does. The template's chunks are fixed and
+dropped on all pages of the host; what varies lies in its slots, a slot being the innermost template element around a chunk.
+
+On hosts with a template (LEAST_PAGES pages of different texts), each slot is judged once, by what all pages have in it, and
+its verdict holds on every page:
+- it goes if most of its text lies in elements that are by tag or role a menu, header, footer, sidebar, advert, form or script,
+  or reader comments by tag, role or class;
+- it goes if most of its text lies in elements with a telling class or id, unless that would leave hardly any text of the host
+  (UNTOLD): then the class names are not telling there;
+- it goes if most of its text is links, unless it is an article's or a heading, or lies below an element that holds plain
+  paragraphs of its own;
+- all other slots stay, whatever their length: a headline, a lead, a table.
+Where a host has no template, the elements' tags, roles and classes decide on each page, and nothing else is left out.
 
 The templates (a few rows a host) meet the pages by a join on the host that Spark plans by size, broadcast or split.
 
@@ -32,13 +37,14 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import map_batches, read, written
 
-#: Pages of a host that make a template, and the share of them that its tokens are on.
-LEAST_PAGES, SUPPORT = 4, 0.5
+#: Pages of a host that make a template, and the share of them that its tokens are on; the share of a host's plain text below which class names are not telling.
+LEAST_PAGES, SUPPORT, UNTOLD = 4, 0.5, 0.1
 #: Elements that are a paragraph of the one around them, and headings.
 PARAGRAPH, HEADING = re.compile(r"(p|li|td|th|tr|dd|dt|blockquote|pre)\b"), re.compile(r"h[1-6]\b")
 #: Names that mark what is not main text: fixed values.
 DROPPED = frozenset("nav footer aside form script style noscript template button select iframe dialog textarea svg head title object canvas menu".split())
 WORDS = frozenset("ad ads advert advertisement adverts banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments reply replies disqus widget login signup toolbar".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 RAW = ("script", "style", "noscript", "textarea", "template", "title", "svg", "iframe")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -50,30 +56,30 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def marks(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's name in paths (with its first class), and whether it is left out by name, role or class."""
+def marks(name: str, attributes: str) -> tuple[str, int]:
+    """An element's name in paths (with its first class), and how it is marked: 2 by tag, role or as comments, 1 by another class or id, 0 not at all."""
     if not attributes:
-        return name, name in DROPPED
+        return name, 2 * (name in DROPPED)
     found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    words = re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")
-    out = name in DROPPED or found.get("role") in ROLES or name not in ("html", "body", "article", "main") and not WORDS.isdisjoint(words)
+    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")) if name not in ("html", "body", "article", "main") else set()
+    out = 2 if name in DROPPED or found.get("role") in ROLES or not words.isdisjoint(COMMENTS) else int(not words.isdisjoint(WORDS))
     first = found.get("class", "").split()
     return f"{name}.{first[0]}" if first else name, out
 
 
 class Chunk:
-    """A block's text: path of its elements, whether it is left out, whether it is in an article, whether all of it is in links."""
+    """A block's text: path of its elements, how it is marked, whether it is in an article, whether all of it is in links."""
 
     __slots__ = ("path", "out", "article", "text", "linked")
 
-    def __init__(self, path: tuple, out: bool, article: bool, text: str, linked: bool) -> None:
+    def __init__(self, path: tuple, out: int, article: bool, text: str, linked: bool) -> None:
         self.path, self.out, self.article, self.text, self.linked = path, out, article, text, linked
 
 
 def chunks(page: str | None, elements: dict | None = None) -> list[Chunk]:
     """The blocks of a page that hold text, in order. elements, if given, gets the count of each path."""
     found: list[Chunk] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, name in paths, left out, in an article
+    stack: list[tuple[str, str, int, bool]] = []  # name, name in paths, mark, in an article
     parts: list[tuple[str, bool]] = []
     links = 0
     page = page or ""
@@ -82,7 +88,7 @@ def chunks(page: str | None, elements: dict | None = None) -> list[Chunk]:
         if parts:
             text = " ".join(entities.unescape("".join([t for t, _ in parts])).split())
             if text:
-                out, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+                out, article = (stack[-1][2], stack[-1][3]) if stack else (0, False)
                 found.append(Chunk(tuple([s[1] for s in stack]), out, article, text, all(linked or not t.strip() for t, linked in parts)))
             parts.clear()
 
@@ -120,10 +126,10 @@ def chunks(page: str | None, elements: dict | None = None) -> list[Chunk]:
         while stack and (stack[-1][0] in shut or stack[-1][0] == "p" and name in BLOCKS_CLOSE_P):
             stack.pop()
         path_name, out = marks(name, m[3])
-        outer = stack[-1] if stack else ("", "", False, False)
+        outer = stack[-1] if stack else ("", "", 0, False)
         if name == "header" and not outer[3]:
-            out = True
-        stack.append((name, path_name, outer[2] or out, outer[3] or name in ("article", "main")))
+            out = 2
+        stack.append((name, path_name, max(outer[2], out), outer[3] or name in ("article", "main")))
         if elements is not None:
             path = tuple([s[1] for s in stack])
             elements[path] = elements.get(path, 0) + 1
@@ -143,36 +149,73 @@ def text_token(c: Chunk) -> str:
 
 
 def tokens(url, page) -> tuple[list[tuple], int]:
-    """Rows (host, token, count) of a page, text tokens by their path and text; and one bit by its texts that are not left out."""
+    """Rows (host, token, count, chars, linked, marked 1, marked 2, in articles) of a page: elements by path, texts by path and text,
+    and what each path holds; and one bit by its texts that are not marked 2."""
     elements: dict = {}
     own = chunks(page, elements)
-    out: dict = defaultdict(int)
-    for path, n in elements.items():
-        out["E" + "\x1f".join(path)] = n
+    out: dict = {"E" + "\x1f".join(path): [n, 0, 0, 0, 0, 0] for path, n in elements.items()}
     for c in own:
-        out[text_token(c)] += 1
-    texts = xxhash.xxh3_64_intdigest("\x1e".join([c.text for c in own if not c.out]))
+        out.setdefault(text_token(c), [0] * 6)[0] += 1
+        n = len(c.text)
+        held = out.setdefault("S" + "\x1f".join(c.path), [0] * 6)
+        for i, x in enumerate((1, n, n * c.linked, n * (c.out == 1), n * (c.out == 2), n * c.article)):
+            held[i] += x
+    texts = xxhash.xxh3_64_intdigest("\x1e".join([c.text for c in own if c.out < 2]))
     host = host_of(url)
-    return [(host, k, n) for k, n in out.items()] if host else [], 1 << texts % 63
+    return [(host, k, *v) for k, v in out.items()] if host else [], 1 << texts % 63
 
 
-def template(rows: list[tuple[str, int, int, int]], pages: int) -> list[str]:
-    """Fixed chunks of a host: rows (token, vector, pages that have it, bits of their texts), pages of the host."""
+def within(path: tuple, tree: set[tuple]) -> tuple:
+    """The slot of a path: the innermost of the elements around it, itself included, that the template has."""
+    return next(path[:i] for i in range(len(path), -1, -1) if path[:i] in tree)
+
+
+def template(rows: list[tuple], pages: int, seen: int) -> tuple[list[str], list[str], dict[str, bool]]:
+    """Fixed chunks, elements, and by slot whether it stays, of a host: rows (token, vector, pages that have it, bits of their texts, chars, linked,
+    marked 1, marked 2, in articles), pages of the host and bits of their texts. All empty if the host has no template."""
+    if pages < LEAST_PAGES or seen.bit_count() < LEAST_PAGES:
+        return [], [], {}
     need = max(LEAST_PAGES, SUPPORT * pages)
     classes: dict[int, list] = defaultdict(list)
-    for token, vector, support, seen in rows:
-        if support >= need and (token[0] == "E" or seen.bit_count() >= LEAST_PAGES):
-            classes[vector].append(token)
+    held: list[tuple] = []
+    fixed_chars: dict[tuple, int] = defaultdict(int)
+    for token, vector, support, bits, *sums in rows:
+        path = tuple(token[1:].split("\x1e")[0].split("\x1f")) if token[1:] else ()
+        if token[0] == "S":
+            held.append((path, *sums))
+        elif support >= need and (token[0] == "E" or bits.bit_count() >= LEAST_PAGES):
+            classes[vector].append((token, path))
     valid = [t for members in classes.values() if len(members) > 1 for t in members]
     tree: set[tuple] = {()}
-    for path in sorted((tuple(t[1:].split("\x1f")) for t in valid if t[0] == "E"), key=len):
+    for path in sorted((p for t, p in valid if t[0] == "E"), key=len):
         if path[:-1] in tree:
             tree.add(path)
-    return sorted(t for t in valid if t[0] == "T" and tuple(t[1:].split("\x1e")[0].split("\x1f"))[:-1] in tree)
+    fixed = sorted(t for t, p in valid if t[0] == "T" and p[:-1] in tree)
+    for t in fixed:
+        fixed_chars[tuple(t[1:].split("\x1e")[0].split("\x1f"))] += 1
+    slots: dict[tuple, list] = defaultdict(lambda: [0] * 5)
+    plain: set[tuple] = set()  # elements with paragraphs of their own that are neither links nor fixed
+    for path, chars, linked, *rest in held:
+        own = slots[within(path, tree)]
+        for i, x in enumerate((chars, linked, *rest)):
+            own[i] += x
+        if 2 * linked < chars and path not in fixed_chars and not any(map(HEADING.match, path)):
+            plain.add(path[:-1] if path and PARAGRAPH.match(path[-1]) else path)
+    told = [sum(s[0] - s[1] for s in slots.values() if 2 * s[3] <= s[0] and (2 * s[2] > s[0]) == by) for by in (False, True)]
+    telling = told[0] >= UNTOLD * sum(told)
+
+    def stays(path, chars, linked, soft, hard, article):
+        if 2 * hard > chars or telling and 2 * (soft + hard) > chars:
+            return False
+        return 2 * linked <= chars or 2 * article > chars or any(map(HEADING.match, path)) or any(path[:i] in plain for i in range(len(path) + 1))
+
+    join = "\x1f".join
+    return fixed, sorted(map(join, tree)), {join(p): stays(p, *s) for p, s in sorted(slots.items()) if s[0]}
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row for each host with enough pages: host, fixed array<string>."""
+    """One row for each host with a template: host, fixed and tree array<string>, slots map<string, boolean>."""
+    sums = ["chars", "linked", "soft", "hard", "article"]
 
     def make(batch):
         rows = []
@@ -180,48 +223,58 @@ def templates(pages: DataFrame) -> DataFrame:
             key = crc32(f"{url}\n{len(page_html or '')}".encode()) or 1
             key = key * 0x9E3779B1 % (1 << 40)
             own, bit = tokens(url, page_html)
-            rows += [(host, token, n * key % (1 << 40), 1, bit) for host, token, n in own]
+            rows += [(host, token, n * key % (1 << 40), 1, bit, *more) for host, token, n, *more in own]
             if host_of(url):
-                rows.append((host_of(url), "", 0, 1, bit))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return dict(zip(("host", "token", "vector", "pages", "seen"), map(list, columns), strict=True))
+                rows.append((host_of(url), "", 0, 1, bit, 0, 0, 0, 0, 0))
+        columns = list(zip(*rows, strict=True)) or [()] * 10
+        return dict(zip(("host", "token", "vector", "pages", "seen", *sums), map(list, columns), strict=True))
 
-    each = map_batches(pages.select("url", "html"), make, "host string, token string, vector bigint, pages bigint, seen bigint")
+    each = map_batches(pages.select("url", "html"), make, "host string, token string, vector bigint, pages bigint, seen bigint, " + ", ".join(f"{x} bigint" for x in sums))
     # Sums of vectors stay below 2^63: parts of 2^40 from as many as 2^23 rows are cut down in each step.
-    summed = each.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("pages").alias("pages"), F.bit_or("seen").alias("seen")).where(F.col("pages") >= LEAST_PAGES)
-    summed = written(summed.select("host", "token", F.pmod("vector", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("vector"), "pages", "seen"), "html-tokens")
-    hosts = summed.where("token = ''").select("host", F.col("pages").alias("of"))
-    often = summed.where("token <> ''").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
-    grouped = often.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("token", "vector", "pages", "seen")).alias("rows"))
+    added = [F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("pages").alias("pages"), F.bit_or("seen").alias("seen"), *[F.sum(x).alias(x) for x in sums]]
+    summed = each.groupBy("host", "token").agg(*added).where(F.col("pages") >= LEAST_PAGES)
+    summed = written(summed.withColumn("vector", F.pmod("vector", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint")), "html-tokens")
+    hosts = summed.where("token = ''").select("host", F.col("pages").alias("of"), F.col("seen").alias("bits"))
+    often = summed.where("token <> ''").join(hosts, "host").where(F.col("pages") >= F.when(F.col("token").startswith("S"), SUPPORT / 10).otherwise(SUPPORT) * F.col("of"))
+    grouped = often.groupBy("host").agg(F.max("of").alias("of"), F.max("bits").alias("bits"), F.collect_list(F.struct("token", "vector", "pages", "seen", *sums)).alias("rows"))
 
     def deduce(batch):
-        found = [template([tuple(r.values()) for r in rows], of) for rows, of in zip(batch.column("rows").to_pylist(), batch.column("of").to_pylist(), strict=True)]
-        return {"host": batch.column("host"), "fixed": found}
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        found = [template([tuple(r.values()) for r in rows], of, bits) for _, of, bits, rows in zip(*columns, strict=True)]
+        return {"host": columns[0]} | {name: [f[i] for f in found] for i, name in enumerate(("fixed", "tree", "slots"))}
 
-    return map_batches(grouped, deduce, "host string, fixed array<string>")
+    return map_batches(grouped, deduce, "host string, fixed array<string>, tree array<string>, slots map<string, boolean>").where(F.size("tree") > 0)
 
 
-def main_text(page: str | None, fixed: set[str]) -> str:
-    """What varies of the page: its chunks but those left out, the host's fixed ones and, where it has some, blocks of links."""
-    kept = [c for c in chunks(page) if not c.out]
-    if fixed:
-        kept = [c for c in kept if text_token(c) not in fixed]
-        held = {c.path[:-1] if c.path and PARAGRAPH.match(c.path[-1]) else c.path for c in kept if not c.linked and not any(map(HEADING.match, c.path))}
-        kept = [c for c in kept if not c.linked or c.article or any(map(HEADING.match, c.path)) or any(c.path[:i] in held for i in range(len(c.path) + 1))]
-    return " ".join([c.text for c in kept])
+def main_text(page: str | None, fixed: set[str], tree: set[tuple], slots: dict[tuple, bool]) -> str:
+    """What varies in the template's slots that stay. Chunks in no slot that the template judged, and all chunks where there
+    is no template (an empty tree), stay if they are not marked."""
+    kept = []
+    for c in chunks(page):
+        stays = slots.get(within(c.path, tree)) if tree else None
+        if not c.out if stays is None else stays and text_token(c) not in fixed:
+            kept.append(c.text)
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page."""
+    """page_id, url, text of every page, and whether its host's template decided it."""
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host")
     joined = pages.select("page_id", "url", "html", host).join(templates(pages), "host", "left")
+    path = lambda name: tuple(name.split("\x1f")) if name else ()
 
     def make(batch):
-        texts = [main_text(h, set(f or ())) for h, f in zip(batch.column("html").to_pylist(), batch.column("fixed").to_pylist(), strict=True)]
-        return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts}
+        read = lambda name: batch.column(name).to_pylist()
+        known: dict = {}
+        texts = []
+        for name, page, fixed, tree, slots in zip(*map(read, ("host", "html", "fixed", "tree", "slots")), strict=True):
+            if name not in known:
+                known[name] = set(fixed or ()), set(map(path, tree or ())), {path(k): v for k, v in slots or ()}
+            texts.append(main_text(page, *known[name]))
+        return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "by_template": [bool(t) for t in read("tree")]}
 
-    return map_batches(joined, make, "page_id bigint, url string, text string")
+    return map_batches(joined, make, "page_id bigint, url string, text string, by_template boolean")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "by_template")

@@ -206,6 +206,27 @@ def test_html_keeps_all_slots(spark):
     assert got == {i: " ".join([f"Title {i}", f"Lead {i}", *[body[i]] * (1 + i % 2), f"Source {i}"]) for i in range(8)}
 
 
+def test_html_slots_decide_without_telling_names(spark):
+    """No article, no main, no class that tells: the template's slots decide, and one host's class names are not telling."""
+    page = "<html><body><div class=a1><a href=1>Start {0}</a><a href=2>Topic {0}</a></div><div class=b2><h2><a href=x>Head {0}</a></h2><p>{1}</p><p>Tail {0}</p></div><div class=c3>Made by the house</div><div class=d4><div><a href=y>More {0}</a></div></div></body>"
+    odd = "<html><body class=x><div class='popup wide'><h1>Head {0}</h1><p>{1}</p></div><div class=comments><p>{1} said {0} and more of it {1}</p></div></body>"
+    body = [" ".join(f"word{i} text{k}" for k in range(30)) for i in range(8)]
+    rows = [(i, f"http://plain.example/{i}", page.format(i, body[i])) for i in range(8)] + [(20 + i, f"http://odd.example/{i}", odd.format(i, body[i])) for i in range(8)]
+    rows += [(40, "http://two.example/1", odd.format(1, body[1])), (41, "http://two.example/2", page.format(2, body[2]))]
+    frame = spark.createDataFrame([(*r, "clash", "x") for r in rows], "page_id bigint, url string, html string, text string, host string")
+    got = {r.page_id: (r.text, r.by_template) for r in html.extract(frame).collect()}
+    assert {i: got[i] for i in range(8)} == {i: (f"Head {i} {body[i]} Tail {i}", True) for i in range(8)}
+    assert {i: got[20 + i] for i in range(8)} == {i: (f"Head {i} {body[i]}", True) for i in range(8)}
+    assert got[40] == ("", False) and got[41] == (f"Start 2Topic 2 Head 2 {body[2]} Tail 2 Made by the house More 2", False)
+    assert html.extract(frame.limit(0)).count() == 0
+
+
+def test_html_very_long_and_cut_pages(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i}</p>" for i in range(30_000)) + "<p>end <b"
+    got = extracted(spark, [(1, "http://l.example/", long), (2, "http://l.example/", "<" * 2000 + "x"), (3, "http://l.example/", "<p>" * 3000 + "deep")])
+    assert got[1].startswith("paragraph 0 paragraph 1 ") and "paragraph 29999 end" in got[1] and got[3] == "deep"
+
+
 def test_html_articles_are_a_hint(spark):
     story = "<html><body><article><h1>Title {0}</h1><p>Story {0}</p>{1}<p>All rights with the house</p></article></body>"
     cards = "<html><body><article><a href=x>Card {0}</a></article><div class=text><p>Main text {0}</p></div><article>Teaser {0}</article></body>"
