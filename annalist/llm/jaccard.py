@@ -12,9 +12,9 @@ all documents' shingles; any order would do for exactness, this one keeps freque
 Recursion. A region's documents are split by document pivots. A pivot's near documents form one piece, each of them is
 a pivot for what remains, pieces of all regions are joined into blocks, and a block is split once more in the same way
 by exact distances: |d(x, p) - d(y, p)| > 0.2 rules a pair out by the triangle inequality, linked documents need
-no further comparison with each other, so groups of copies cost one pass, not all pairs. In regions distances are those of
-48 min-hashes; a pair goes on if 10 of them agree, which a linked pair misses with a probability of 1e-19, less than that
-of two of the 64-bit shingle hashes being equal in it. Blocks verify all that goes on with the whole sets.
+no further comparison with each other, so groups of copies cost one pass, not all pairs. In regions a bitmap of two to
+four bits a shingle bounds distances from below: each bit that one set has and the other has not is a shingle that they do
+not share, so no linked pair is ever ruled out. Blocks verify all that goes on with the whole sets.
 
 Equal sets are one document of the join: they are grouped by a 128-bit sum first. Documents' texts are read three times
 and shuffled only for blocks; links and sets never reach the driver.
@@ -37,7 +37,6 @@ WIDTH = 5
 PERCENT = 80
 #: Counters of the sketch, in bits and in slices for its sum.
 SKETCH_BITS, SLICES = 18, 16
-MINHASHES, AGREE = 48, 10
 #: A-Z in lower case; bytes.split() then cuts at blanks and bytes 9 to 13: the contract's fixed classes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.zeros(256, bool)
@@ -45,7 +44,6 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(20)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEPS = _RNG.integers(0, 1 << 63, WIDTH + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-FLIPS, ODDS = _RNG.integers(0, 1 << 63, MINHASHES, np.uint64), _RNG.integers(0, 1 << 63, MINHASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,11 +112,43 @@ def links(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * common >= PERCENT * (n + m - common)
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    out = np.empty(MINHASHES, np.uint64)
-    for i in range(MINHASHES):
-        out[i] = ((s ^ FLIPS[i]) * ODDS[i]).min()
-    return (mix(out) & np.uint64(0xFFFF)).astype(np.uint16)
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's shingles as bits, of the least power of two (64 or more) that is twice their number or more."""
+    bits = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()), np.uint8)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(p: np.ndarray, n, q: np.ndarray, m) -> np.ndarray:
+    """No fewer than the shingles that sets of sizes n and m with bitmaps p and q (rows of 64-bit words) share: of different widths, the wider is folded."""
+    while p.shape[-1] != q.shape[-1]:
+        if p.shape[-1] > q.shape[-1]:
+            p = p[..., : p.shape[-1] // 2] | p[..., p.shape[-1] // 2 :]
+        else:
+            q = q[..., : q.shape[-1] // 2] | q[..., q.shape[-1] // 2 :]
+    only = lambda x, y: np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
+    return np.minimum(n - only(p, q), m - only(q, p))
+
+
+class Region:
+    """Members with their sizes and bitmaps, by the bitmaps' widths."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes]) -> None:
+        self.sizes, self.width = sizes, np.array([len(b) // 8 for b in bits])
+        self.row, self.maps = np.zeros(len(bits), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.maps[w] = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), w)
+
+    def near(self, p: int, others: np.ndarray) -> np.ndarray:
+        n, m = self.sizes[p], self.sizes[others]
+        fit = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        own = self.maps[int(self.width[p])][self.row[p]]
+        for w in np.unique(self.width[others[fit]]).tolist():
+            at = np.flatnonzero(fit & (self.width[others] == w))
+            fit[at] = links(most_common(own, n, self.maps[w][self.row[others[at]]], m[at]), n, m[at])
+        return fit
 
 
 def sketch(texts: DataFrame) -> np.ndarray:
@@ -255,22 +285,22 @@ class Block:
 
 
 def prepared(documents: DataFrame) -> DataFrame:
-    """A written table of all rows: doc_id, n, two sums that name the set, min-hashes, and the pivots of its regions."""
+    """A written table of all rows: doc_id, n, two sums that name the set, its bitmap, and the pivots of its regions."""
     level = documents.sparkSession.sparkContext.broadcast(levels(sketch(documents)))
 
     def make(batch):
-        out = {"doc_id": batch.column("doc_id"), "n": [], "d1": [], "d2": [], "signs": [], "pivots": []}
+        out = {"doc_id": batch.column("doc_id"), "n": [], "d1": [], "d2": [], "bits": [], "pivots": []}
         for text in as_bytes(batch.column("text")):
             s = shingles(text)
             n = len(s)
             out["n"].append(n)
             out["d1"].append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if n else None)
             out["d2"].append(int(mix(s * STEPS[0] + STEPS[1]).sum(dtype=np.uint64).astype(np.int64)) if n else None)
-            out["signs"].append(minhashes(s).tobytes() if n else None)
+            out["bits"].append(bitmap(s) if n else None)
             out["pivots"].append(order_of(s, level.value)[: n - -(-PERCENT * n // 100) + 1].tobytes() if n else None)
         return out
 
-    return written(map_batches(documents.select("doc_id", "text"), make, "doc_id bigint, n bigint, d1 bigint, d2 bigint, signs binary, pivots binary"), "jaccard-sets")
+    return written(map_batches(documents.select("doc_id", "text"), make, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bits binary, pivots binary"), "jaccard-sets")
 
 
 def region_members(reps: DataFrame) -> DataFrame:
@@ -311,30 +341,26 @@ def region_members(reps: DataFrame) -> DataFrame:
 
 
 def region_edges(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join the pieces of each region, by min-hashes and sizes."""
+    """Edges (a, b) that join the pieces of each region, by bitmaps and sizes."""
 
     def join(batches):
         import pyarrow as pa
 
-        for key, (ids, sizes, signs) in runs(batches, [1, 2, 3]):
-            signs = np.frombuffer(b"".join(signs.tolist()), np.uint16).reshape(len(ids), MINHASHES)
+        for key, (ids, sizes, bits) in runs(batches, [1, 2, 3]):
             starts, ends = bounds(key)
             out = []
             pairs = starts[ends - starts == 2]
-            if len(pairs):
-                n, m = sizes[pairs], sizes[pairs + 1]
-                good = ((signs[pairs] == signs[pairs + 1]).sum(1) >= AGREE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-                out.append(np.stack([ids[pairs[good]], ids[pairs[good] + 1]], 1))
+            n, m = sizes[pairs], sizes[pairs + 1]
+            pairs = pairs[100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)]
+            shape = np.array([(len(bits[i]), len(bits[i + 1])) for i in pairs]).reshape(-1, 2)
+            for a, b in np.unique(shape, axis=0).tolist():
+                at = pairs[(shape == (a, b)).all(1)]
+                rows = lambda i, width: np.frombuffer(b"".join(bits[i].tolist()), np.uint64).reshape(len(i), width // 8)
+                good = at[links(most_common(rows(at, a), sizes[at], rows(at + 1, b), sizes[at + 1]), sizes[at], sizes[at + 1])]
+                out.append(np.stack([ids[good], ids[good + 1]], 1))
             for a, b in zip(starts, ends, strict=True):
                 if b - a > 2:
-                    s, z = signs[a:b], sizes[a:b]
-
-                    def near(p, others, s=s, z=z):
-                        fit = 100 * np.minimum(z[p], z[others]) >= PERCENT * np.maximum(z[p], z[others])
-                        fit[fit] = (s[others[fit]] == s[p]).sum(1) >= AGREE
-                        return fit
-
-                    edges = split(b - a, near)
+                    edges = split(b - a, Region(sizes[a:b], bits[a:b].tolist()).near)
                     if edges:
                         out.append(ids[a:b][np.array(edges)])
             if out:
@@ -342,7 +368,7 @@ def region_edges(members: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     p = partitions(members.sparkSession)
-    rows = members.join(reps.select(F.col("doc_id").alias("id"), "n", "signs"), "id").select("list", "id", "n", "signs")
+    rows = members.join(reps.select(F.col("doc_id").alias("id"), "n", "bits"), "id").select("list", "id", "n", "bits")
     return rows.repartition(p, "list").sortWithinPartitions("list", "id").mapInArrow(join, "a bigint, b bigint")
 
 
