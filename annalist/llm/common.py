@@ -26,14 +26,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset a local session uses its
+    warehouse; a cluster has no folder that it could be, so that raises."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        sc = spark.sparkContext
-        there = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-        if not there:
-            there = "file:///tmp/checkpoints"
-            sc.setCheckpointDir(there)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        there = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return there.rstrip("/")
 
 

@@ -147,33 +147,43 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, how: str = "spans"
     """documents without their contaminated rows (how="documents"), or without the hit words of their texts (how="spans").
 
     Removing spans cuts the bytes from the first to the last word of each run of hit words, and nothing else of the text.
-    All other columns stay as they are.
+    All other columns stay as they are. Of a benchmark in several parts one is in memory at a time, as in `find`: what each
+    part hits in the text as it was is written with the rows, and the cuts are made at the end.
     """
     sets = item_sets(benchmark, width, broadcast_bytes)
-    columns = documents.columns
-    schema = documents.schema
+    schema, at = documents.schema, documents.columns.index("text")
+    small_batches(documents.sparkSession)
+    rows = documents.select(F.struct("*").alias("row"), F.array().cast("array<bigint>").alias("hits"))
+
+    def scan(windows):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                texts = as_bytes(batch.column(0).field(at))
+                found = [sorted({*old, *windows.value.scan(text)[1].tolist()}) for text, old in zip(texts, batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "hits"])
+
+        return run
+
+    for windows in sets[:-1]:
+        rows = written(rows.mapInArrow(scan(windows), rows.schema), "decontaminated")
+        windows.unpersist()
+    last = sets[-1]
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            at = columns.index("text")
-            texts, keep = [], []
-            for text in as_bytes(batch.column(at)):
-                spans: set[int] = set()
-                for windows in sets:
-                    spans.update(windows.value.scan(text)[1].tolist())
-                keep.append(not spans)
-                texts.append(without(text, spans) if spans else text)
+        for batch in scan(last)(batches):
+            made, hits = batch.column(0).flatten(), batch.column(1).to_pylist()
             if how == "documents":
-                yield batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(made, names=schema.names).filter(pa.array([not h for h in hits], pa.bool_()))
             else:
-                made = [batch.column(i) for i in range(len(columns))]
-                made[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(made, schema=batch.schema)
+                texts = [without(text, set(h)) if h else text for text, h in zip(as_bytes(made[at]), hits, strict=True)]
+                made[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(made[at].type)
+                yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
-    small_batches(documents.sparkSession)
-    return documents.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def without(text: bytes, hits: set[int]) -> bytes:

@@ -16,6 +16,7 @@ come. Columns other than doc_id and text are ignored. An empty table gives no ro
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -29,8 +30,9 @@ END_ID = 2
 #: Windows that a task keeps open, and entries of each generation of a worker's two caches of encoded words.
 MAX_OPEN = 2048
 CACHE = 300_000
-#: The pattern by which this vocabulary's tokenizer cuts words: a fixed value.
+#: The pattern by which this vocabulary's tokenizer cuts words, and how it normalises: fixed values.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS, PRETOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -48,12 +50,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def known(path: str) -> bool:
+    """Whether a vocabulary file's tokenizer normalises and cuts words as Words does."""
+    with open(path, encoding="utf-8") as f:
+        of = json.load(f)
+    steps = [(of.get(part) or {}).get(name) or [{}] for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    normal, cut = steps
+    plain = [x.get("type") for x in normal] == NORMALIZERS and normal[1].get("pattern") == {"Regex": r"\s+"} and normal[1].get("content") == " "
+    split = [x.get("type") for x in cut] == PRETOKENIZERS and cut[0].get("pattern") == {"Regex": PIECES} and cut[0].get("invert") and not cut[1].get("add_prefix_space") and not cut[1].get("use_regex")
+    return bool(plain and split)
+
+
 class Words(dict):
     """Ids (little-endian 32-bit) of words between blanks, in two generations of at most CACHE entries each.
 
     The normaliser lower-cases, composes and makes white space one blank, and no piece crosses a blank: so a text's ids are
     those of its words. Words up to Latin Extended-B are cut into pieces here and go to the merge model itself; all others,
-    and any that may hold a special token, go through the whole tokenizer.
+    and any that may hold a special token, go through the whole tokenizer. So do whole texts where the vocabulary file names
+    another normaliser or pattern.
     """
 
     #: A-Z in lower case, line ends as blanks.
@@ -64,11 +78,14 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.by_word = known(path)
         self.model, self.pieces, self.letters = self.whole.model, regex.compile(PIECES).findall, byte_letters()
         self.parts: dict[str, bytes] = {}
         self.older: tuple[dict, dict] = ({}, {})
 
     def __call__(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, (text or "").encode().translate(self.PLAIN).split(b" ")))
 
     def __missing__(self, raw: bytes) -> bytes:
