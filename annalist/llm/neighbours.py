@@ -2,10 +2,15 @@
 
 Training: coarse centroids (k-means) and, on residuals, one codebook a sub-space, from at most `SAMPLE` vectors taken by
 a hash of vec_id (a documented bound). Index: every vector goes to its nearest centroid's list with the codes of its residual;
-lists are packed into blocks of about BLOCK vectors, as many as a list needs, so that no list is one task's work.
-Search: a query probes the lists with the largest inner product of query and centroid; as many as hold `RECALL` of the
-true neighbours among the training sample, found there by brute force. Its copy goes to each block of these lists. There an asymmetric table (query against each code word) scores all codes, the best `rerank` of the block are
-reranked by the exact product in double precision, and the best k of all blocks remain. Ties go to the smaller vec_id.
+the lists are written in order, dealt by ranges of (list, vec_id), so that no list is one task's work.
+Search: a query probes the lists with the largest inner product of query and centroid. Query vectors are broadcast in chunks
+of at most CHUNK bytes; each task reads its part of the lists, scores all codes of a list by an asymmetric table (query
+against each code word) for the queries that probe it, reranks the best `rerank` of a segment of BLOCK vectors by the exact
+product in double precision, and returns the best k that it has for a query; the best k of all tasks remain. So only the index
+is shuffled, once, and k rows a query and task. Ties go to the smaller vec_id.
+
+How many lists are probed is measured on TRIALS vectors of the sample: as many as give `RECALL` of the true neighbours after
+the codes and the reranking, against brute force.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, or are not as long as most, take no part,
 neither as queries nor as candidates; null vec_ids neither. Rows repeated under one vec_id count once. Fewer candidates
@@ -22,10 +27,10 @@ from annalist.llm.common import map_batches, partitions, read, written
 
 K = 20
 SAMPLE = 20_000
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES, CHUNK = 4096, 512, 64 << 20
 #: Parts of a vector that are quantised on their own, code words of each, and k-means rounds.
 PARTS, WORDS, ROUNDS = 16, 256, 8
-#: Share of true neighbours, measured on TRIALS vectors of the sample, that the probed lists must hold; candidates that a block reranks for a query.
+#: Share of true neighbours that the search must find, measured on TRIALS vectors of the sample; candidates that a segment reranks for a query.
 RECALL, TRIALS, RERANK = 0.97, 200, 64
 
 
@@ -71,14 +76,24 @@ class Quantiser:
         self.probes = self.measured(sample, RECALL)
 
     def measured(self, sample: np.ndarray, recall: float) -> int:
-        """Lists to probe, so that they hold this share of the K nearest within the sample of TRIALS of its vectors."""
+        """Lists to probe, so that codes and reranking of them find this share of the K nearest within the sample of TRIALS of its vectors."""
         at = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
         exact = sample[at] @ sample.T
         exact[np.arange(len(at)), at] = -np.inf
         near = np.argsort(-exact, 1)[:, : min(K, max(1, len(sample) - 1))]
-        place = np.argsort(self.probe(sample[at], len(self.centres)), 1)
-        need = np.take_along_axis(place, nearest(sample, self.centres)[near], 1)
-        return int(np.quantile(need, recall)) + 1
+        own, codes = self.encode(sample)
+        place = np.take_along_axis(np.argsort(self.probe(sample[at], len(self.centres)), 1), own[near], 1)
+        reranked = np.zeros(exact.shape, bool)
+        for c in np.unique(own).tolist():
+            members = np.flatnonzero(own == c)
+            if len(members) <= RERANK:
+                reranked[:, members] = True
+            else:
+                top = np.argpartition(-self.scores(sample[at], c, codes[members]), RERANK, 1)[:, :RERANK]
+                np.put_along_axis(reranked, members[top], True, 1)
+        need = np.where(np.take_along_axis(reranked, near, 1), place, len(self.centres))
+        found = np.cumsum(np.bincount(need.reshape(-1), minlength=len(self.centres) + 1))[:-1] / need.size
+        return int(min(np.searchsorted(found, recall), len(self.centres) - 1)) + 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = nearest(x, self.centres)
@@ -109,8 +124,8 @@ def train(vectors: DataFrame, sample: int = SAMPLE, lists: int | None = None) ->
     return Quantiser(x, lists or int(np.clip(np.sqrt(n), 1, 4096))), n
 
 
-def index(vectors: DataFrame, quantiser: Quantiser) -> tuple[DataFrame, dict[int, int]]:
-    """A written table of blocks (list, block, ids, codes, vecs), and the number of blocks of each list."""
+def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
+    """A written table (list, vec_id, code, vec) in the order of lists."""
     shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def make(batch):
@@ -118,12 +133,71 @@ def index(vectors: DataFrame, quantiser: Quantiser) -> tuple[DataFrame, dict[int
         own, codes = shared.value.encode(x)
         return {"list": own, "vec_id": batch.column("vec_id"), "code": [c.tobytes() for c in codes], "vec": [v.tobytes() for v in x]}
 
-    coded = written(map_batches(vectors, make, "list int, vec_id bigint, code binary, vec binary"), "ivf")
-    blocks = {r[0]: -(-r[1] // BLOCK) for r in coded.groupBy("list").count().collect()}
-    n = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("list")] if blocks else F.lit(1)
-    placed = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), n.cast("bigint")).cast("int"))
-    packed = placed.groupBy("list", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "code", "vec"))).alias("rows"))
-    return packed.select("list", "block", F.col("rows.vec_id").alias("ids"), F.col("rows.code").alias("codes"), F.col("rows.vec").alias("vecs")), blocks
+    coded = map_batches(vectors, make, "list int, vec_id bigint, code binary, vec binary")
+    return written(coded.repartitionByRange(partitions(vectors.sparkSession), "list", "vec_id").sortWithinPartitions("list", "vec_id"), "ivf")
+
+
+class Best:
+    """The best k of each query so far, by score, then by the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.ids, self.scores = k, np.full((queries, k), np.iinfo(np.int64).max), np.full((queries, k), -np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        better = (scores >= self.scores[at, -1:]).any(1) & (scores > -np.inf).any(1)
+        at, ids, scores = at[better], np.concatenate([self.ids[at[better]], ids[better]], 1), np.concatenate([self.scores[at[better]], scores[better]], 1)
+        order = np.lexsort((ids, -scores), -1)[:, : self.k]
+        self.ids[at], self.scores[at] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def scanned(packed: DataFrame, quantiser, ids: np.ndarray, q: np.ndarray, probes: int, k: int, rerank: int) -> DataFrame:
+    """query_id, vec_id, score: the best k that each task has for each of these queries."""
+    sent = packed.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches):
+        import pyarrow as pa
+
+        model, (q_ids, queries) = quantiser.value, sent.value
+        near = model.probe(queries, probes)
+        by_list = np.argsort(near.reshape(-1), kind="stable")
+        edges = np.searchsorted(near.reshape(-1)[by_list], np.arange(len(model.centres) + 1))
+        best = Best(len(q_ids), k)
+
+        def segment(own: int, ids: np.ndarray, codes: list[bytes], vecs: list[bytes]) -> None:
+            first = np.concatenate([[True], ids[1:] != ids[:-1]])  # in order; rows repeated under one id once
+            codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)[first]
+            vecs = np.frombuffer(b"".join(vecs), np.float32).reshape(len(ids), -1)[first].astype(np.float64)
+            ids = ids[first]
+            for at in np.split(by_list[edges[own] : edges[own + 1]] // near.shape[1], range(QUERIES, edges[own + 1] - edges[own], QUERIES)):
+                if len(at):
+                    rough = model.scores(queries[at], own, codes)
+                    rough[q_ids[at][:, None] == ids[None, :]] = -np.inf
+                    top = np.argpartition(-rough, rerank, 1)[:, :rerank] if len(ids) > rerank else np.tile(np.arange(len(ids)), (len(at), 1))
+                    exact = np.einsum("qd,qrd->qr", queries[at].astype(np.float64), vecs[top])
+                    exact[np.take_along_axis(rough, top, 1) == -np.inf] = -np.inf
+                    best.add(at, ids[top], exact)
+
+        held: list = []  # pieces of one list
+
+        def flush() -> None:
+            if held:
+                segment(held[0][0], np.concatenate([h[1] for h in held]), [c for h in held for c in h[2]], [v for h in held for v in h[3]])
+                held.clear()
+
+        for batch in batches:
+            own, vec_ids = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy()
+            codes, vecs = batch.column("code").to_pylist(), batch.column("vec").to_pylist()
+            cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if held and (held[0][0] != own[a] or sum(len(h[1]) for h in held) >= BLOCK):
+                        flush()
+                    held.append((int(own[a]), vec_ids[a:b], codes[a:b], vecs[a:b]))
+        flush()
+        found = best.scores > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, found.sum(1))), pa.array(best.ids[found]), pa.array(best.scores[found])], names=["query_id", "vec_id", "score"])
+
+    return packed.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
@@ -133,47 +207,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if quantiser is None:
         return spark.createDataFrame([], schema)
-    packed, blocks = index(vectors, quantiser)
-    shared, n_blocks = spark.sparkContext.broadcast(quantiser), spark.sparkContext.broadcast(blocks)
+    packed, shared = index(vectors, quantiser), spark.sparkContext.broadcast(quantiser)
     dims, lists = quantiser.centres.shape[1], len(quantiser.centres)
     n_probe = min(lists, probes or quantiser.probes)
-
-    def spread(batch):
-        q = matrix(batch.column("vec"))
-        near, ids = shared.value.probe(q, n_probe), batch.column("vec_id").to_pylist()
-        rows = [(int(c), b, i, v.tobytes()) for i, v, own in zip(ids, q, near, strict=True) for c in own for b in range(n_blocks.value.get(int(c), 0))]
-        return {name: [r[j] for r in rows] for j, name in enumerate(("list", "block", "query_id", "query"))}
-
-    probed = map_batches(queries, spread, "list int, block int, query_id bigint, query binary")
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, partitions(spark))).cast("bigint")).alias("chunk")
-    probed = probed.groupBy("list", "block", chunk).agg(F.collect_list(F.struct("query_id", "query")).alias("q"))
-    pairs = packed.join(probed, ["list", "block"]).select("list", "ids", "codes", "vecs", F.col("q.query_id").alias("query_ids"), F.col("q.query").alias("queries"))
-
-    def scan(batch):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        for own, ids, codes, vecs, query_ids, queries_ in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            ids, first = np.unique(np.array(ids, np.int64), return_index=True)  # in order; rows repeated under one id once
-            codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)[first]
-            vecs = np.frombuffer(b"".join(vecs), np.float32).reshape(len(vecs), dims)[first].astype(np.float64)
-            for at in range(0, len(query_ids), QUERIES):
-                q_ids = np.array(query_ids[at : at + QUERIES], np.int64)
-                q = np.frombuffer(b"".join(queries_[at : at + QUERIES]), np.float32).reshape(-1, dims)
-                rough = shared.value.scores(q, own, codes)
-                rough[q_ids[:, None] == ids[None, :]] = -np.inf
-                top = np.sort(np.argsort(-rough, 1, kind="stable")[:, :rerank], 1)
-                exact = np.einsum("qd,qrd->qr", q.astype(np.float64), vecs[top]) if len(ids) else np.zeros(top.shape)
-                exact[np.take_along_axis(rough, top, 1) == -np.inf] = -np.inf
-                best = np.argsort(-exact, 1, kind="stable")[:, :k]
-                score = np.take_along_axis(exact, best, 1)
-                found = score > -np.inf
-                out["query_id"] += np.repeat(q_ids, found.sum(1)).tolist()
-                out["vec_id"] += ids[np.take_along_axis(top, best, 1)][found].tolist()
-                out["score"] += score[found].tolist()
-        return out
-
-    found = map_batches(pairs, scan, "query_id bigint, vec_id bigint, score double")
+    size = max(1, CHUNK // (4 * dims + 16 * k + 32 * n_probe))  # what a query takes in a worker
+    n = max(1, -(-queries.count() // size))
+    asked = written(queries.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")), "queries") if n > 1 else queries
+    found = None
+    for i in range(n):
+        own = (asked.where(F.col("part") == i) if n > 1 else asked).select("vec_id", "vec").toArrow()
+        if own.num_rows:
+            part = scanned(packed, shared, own.column("vec_id").to_numpy(), matrix(own.column("vec").combine_chunks()), n_probe, k, rerank)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
