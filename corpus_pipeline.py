@@ -1,7 +1,8 @@
 """A training corpus from documents: five stages, each written as Parquet and read again as the next one's documents.
 
 Every stage gets all rows that its predecessor kept and returns the columns of documents; the last returns the packed pieces.
-Rows with null texts or ids pass through the filters; an empty table passes through as it is.
+Rows with null texts or ids pass through the filters; an empty table passes through as it is. Repeated rows count as copies of
+each other, very long texts go whole through every stage, and further columns of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows repeated under one id, one."""
+    """The document with the smallest id of each group of near copies; of rows repeated under one id with one text, one.
+
+    Different texts under one id all stay if any of them is the first of its group: none is lost that has no copy.
+    """
     first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
