@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,13 +27,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset a local session uses its
-    warehouse; a cluster has no folder that it could be, so that raises."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset a session in one
+    process uses a temporary folder; a cluster has no folder that it could be, so that raises."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
-        there = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        there = f"file:{tempfile.gettempdir()}/annalist-shared"
     return there.rstrip("/")
 
 
@@ -41,7 +42,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/annalist-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table of `written` that a later round replaces: what reads it must have been written before."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -87,7 +97,8 @@ def components(edges: DataFrame, what: str, limit: int = 100) -> DataFrame:
         least = large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))
         small = large.select(F.col("b").alias("v"), F.col("a").alias("n")).join(least, "v")
         small = small.select(F.col("m").alias("a"), F.col("n").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("v").alias("b")))
-        e = written(small.where("a < b").distinct(), what)
+        last, e = e, written(small.where("a < b").distinct(), what)
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
