@@ -79,6 +79,28 @@ def numbered(rows: DataFrame, order: list, name: str, n: int | None = None) -> D
     return held.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i") - F.col("_first") + 1).cast("int")).drop("_p", "_i", "_first", "_before")
 
 
+def question_ids(rows: DataFrame, order: list) -> DataFrame:
+    """rows with ids Q-0001, Q-0002 and so on in one order of all."""
+    return numbered(rows, order, "_place").withColumn("question_id", F.format_string("Q-%04d", "_place")).drop("_place")
+
+
+def answer_context(text, most: int = 40_000) -> Column:
+    """What an answerer gets of a retrieved text: its beginning, or a line that there is none. The limit is the feature."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(F.trim(F.coalesce(t, F.lit(""))) == "", "(no context was retrieved)").otherwise(F.substring(t, 1, most))
+
+
+def facets_covered(facets: DataFrame, exhibits: DataFrame, least: float = 0.8) -> DataFrame:
+    """By question: facets, those that any of their evidence exhibits, and whether `least` of them are covered; no facets pass nothing.
+
+    facets: question, facet, ids, all_ids; exhibits: question, facet, slot_id of evidence that shows the facet.
+    """
+    each = facet_evidence(facets).select("question", "facet", F.explode_outer("ids").alias("slot_id"))
+    shown = each.join(exhibits.withColumn("_yes", F.lit(True)), ["question", "facet", "slot_id"], "left").groupBy("question", "facet").agg(F.coalesce(F.bool_or("_yes"), F.lit(False)).alias("covered"))
+    n = shown.groupBy("question").agg(F.count("*").alias("facets"), F.count_if("covered").alias("covered"))
+    return n.withColumn("fraction", R.rounded(R.share("covered", "facets"), 3)).withColumn("complete", R.share("covered", "facets") >= least)
+
+
 def reports(rows: DataFrame) -> DataFrame:
     """slot_id, score, missing of artefacts (slot_id, verdicts array): yes counts 1, partial a half, over the number of facts."""
     count = lambda v: F.size(F.filter("verdicts", lambda x: x == v))
@@ -125,6 +147,22 @@ def records(rows: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def breakdown(rows: DataFrame, key: list[str], by: str, name: str, default: str | None = None) -> DataFrame:
+    """Mean scores to four digits by one more column, as a map of each run; rows without it are left out, or counted under a default."""
+    rows = rows.where(F.col(by).isNotNull()) if default is None else rows.withColumn(by, F.coalesce(by, F.lit(default)))
+    mean = rows.groupBy(*key, by).agg(R.rounded(scoring.mean("score", 9), 4).alias("_m"))
+    return mean.groupBy(*key).agg(counter(by, "_m").alias(name))
+
+
+def full_records(rows: DataFrame, key: list[str]) -> DataFrame:
+    """records with maps by public category, by difficulty and of failure modes: one wide aggregate and three that meet it by key."""
+    modes = rows.groupBy(*key, "failure_mode").agg(F.count("*").alias("_n")).groupBy(*key).agg(counter("failure_mode", "_n").alias("failure_modes"))
+    out = records(rows, key)
+    for part in (breakdown(rows, key, "public_category", "by_category"), breakdown(rows, key, "difficulty", "by_difficulty", "unspecified"), modes):
+        out = out.join(part, key, "left")
+    return out
+
+
 def best_paraphrase(paraphrases: Column, answer: Column) -> Column:
     """The paraphrase that leaks least of the answer; of several the longest, then the first by letters."""
     ranked = F.array_sort(F.transform(paraphrases, lambda p: F.struct(T.leak(p, answer).alias("leak"), (-F.length(p)).alias("n"), p.alias("p"))))

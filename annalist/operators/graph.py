@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.sources.shared import written
+from annalist.sources.shared import forget, written
 
 #: Kinds of edges from a newer version to an older one, in the order in which they are followed: fixed values.
 VERSIONS = ["supersedes", "reverses", "re_attempts"]
@@ -78,14 +78,17 @@ def reach(starts: DataFrame, edges: DataFrame, what: str, rounds: int = 200) ->
     no node twice. Each round extends the paths that the last one found or made smaller, by an equi-join, and is written;
     as many rounds as the longest path has edges. Cycles make no path smaller, so they end.
     """
-    found = starts.select(F.col("start"), F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path")).distinct()
-    new = found
+    found = written(starts.select(F.col("start"), F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path")).distinct(), what)
+    new, old = found, []
     for _ in range(rounds):
         step = new.join(edges, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("ord"))).alias("to"))
         new = written(step.join(found, ["start", "node"], "left").where("path is null or to < path").select("start", "node", F.col("to").alias("path")), what)
         if new.isEmpty():
             return found
-        found = written(found.unionByName(new).groupBy("start", "node").agg(F.min("path").alias("path")), what)
+        old, found = [found, *old], written(found.unionByName(new).groupBy("start", "node").agg(F.min("path").alias("path")), what)
+        while old:
+            forget(old.pop())
+        old = [new]
     raise RuntimeError(f"{what}: paths of more than {rounds} edges")
 
 

@@ -15,13 +15,16 @@ def alive(rows: DataFrame, first, last, name: str, end: Column | int) -> DataFra
 def sequence_ids(rows: DataFrame, key: list[str], order: list[str], prefix: Column, name: str = "id") -> DataFrame:
     """prefix-001, prefix-002 and so on within each key."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn(name, F.concat(prefix, F.lit("-"), F.lpad(n.cast("string"), 3, "0")))
+    return rows.withColumn(name, F.concat(prefix, F.format_string("-%03d", n)))
 
 
-def neighbours(rows: DataFrame, at: str, value: str, reach: int = 1) -> Column:
-    """The sum of value over the rows at most `reach` steps away, without the row itself."""
-    w = Window.orderBy(at).rangeBetween(-reach, reach)
-    return F.sum(value).over(w) - F.col(value)
+def neighbours(rows: DataFrame, at: str, value: str, name: str, reach: int = 1) -> DataFrame:
+    """rows with the sum of value over the rows at most `reach` steps away, the row itself left out; 0 if there are none.
+
+    Each row is given to the steps around it and summed there: an equi-join, no window over all rows.
+    """
+    near = rows.select(F.explode(F.array(*[F.col(at) + d for d in range(-reach, reach + 1) if d])).alias(at), F.col(value).alias("_v")).groupBy(at).agg(F.sum("_v").alias("_near"))
+    return rows.join(near, at, "left").withColumn(name, F.coalesce("_near", F.lit(0).cast(rows.schema[value].dataType))).drop("_near")
 
 
 def fill_gaps(gaps: DataFrame, category: str, gap: str, total: int) -> DataFrame:
@@ -83,5 +86,5 @@ def tenure(number: Column, first: int, span: int, last: int) -> list[Column]:
 def slots_of(event: Column, people: Column, n: int, primary: list[str], secondary: list[str]) -> Column:
     """An event's n slots: the first is primary, the others go round the secondary genres, authors go round its people."""
     genre = lambda i: F.when(i == 0, F.lit(primary[0])).otherwise(F.get(F.array(*map(F.lit, secondary)), i % len(secondary)))
-    slot = lambda i: F.struct(F.concat(F.lit("ART-"), event, F.lit("-"), F.lpad((i + 1).cast("string"), 3, "0")).alias("slot_id"), genre(i).alias("genre"), F.when(i == 0, "primary").otherwise("secondary").alias("role"), F.get(people, i % F.size(people)).alias("author"))
+    slot = lambda i: F.struct(F.concat(F.lit("ART-"), event, F.format_string("-%03d", i + 1)).alias("slot_id"), genre(i).alias("genre"), F.when(i == 0, "primary").otherwise("secondary").alias("role"), F.get(people, i % F.size(people)).alias("author"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), slot)

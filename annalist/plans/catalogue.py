@@ -128,19 +128,6 @@ def memorisation_score(b, d):
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(
-    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d::DECIMAL(20, 9), 6) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank::INT AS rank FROM r WHERE rank <= 10""",
-    "embeddings",
-)
-def vector_topk(e):
-    """The probes are ten rows: they are broadcast."""
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    score = F.round(retrieval.inner("q", "embedding").cast("decimal(20,9)"), 6)
-    return retrieval.top_k(pairs.select("query_id", "vec_id", score.alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], 10).drop("score")
-
-
 @query(
     f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d::DECIMAL(20, 9), 6) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank::INT AS rank FROM r WHERE rank <= 10""",

@@ -163,7 +163,7 @@ def substrate_questions(o, li):
 
 
 @query(
-    """SELECT doc_id, coalesce('[Date: ' || CASE WHEN doc_id % 3 = 0 THEN '2020-01-01' END || '] ', '') || 'Source: ' || source || CASE WHEN lang IS NOT NULL THEN ' | Author: ' || lang ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | Thread: ' || doc_id ELSE '' END || ' | Company: helix' || chr(10) || chr(10) || n_chars AS episode,
+    """SELECT doc_id, coalesce('[Date: ' || CASE WHEN doc_id % 3 = 0 THEN '2020-01-01' END || '] ', '') || 'Source: ' || source || CASE WHEN lang IS NOT NULL THEN ' | Author: ' || lang ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | Thread: ' || doc_id ELSE '' END || ' | Company: acme' || chr(10) || chr(10) || n_chars AS episode,
     source || CASE WHEN lang IS NOT NULL THEN ' / author=' || lang ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' / thread=' || doc_id ELSE '' END AS source_line, 'annalist/' || lower(replace(source || ' ' || doc_id, ' ', '-')) AS slug, lower(replace(source || ' ' || doc_id, ' ', '-')) AS slot,
     1 + (lang IS NOT NULL)::INT + (doc_id % 2 = 0)::INT AS known, source || '_' || doc_id || '_' AS scope FROM documents""",
     "documents",
@@ -172,7 +172,7 @@ def retriever_texts(d):
     when, thread, slot = F.when(F.col("doc_id") % 3 == 0, "2020-01-01"), F.when(F.col("doc_id") % 2 == 0, s("doc_id")), F.concat_ws(" ", "source", s("doc_id"))
     slug = R.slug_of(slot, "annalist")
     return d.select(
-        "doc_id", R.episode(when, "source", "lang", thread, F.lit("helix"), s("n_chars")).alias("episode"), R.source_line("source", "lang", thread, F.lit("")).alias("source_line"), slug.alias("slug"), R.slot_of(slug, "annalist").alias("slot"),
+        "doc_id", R.episode(when, "source", "lang", thread, F.lit("acme"), s("n_chars")).alias("episode"), R.source_line("source", "lang", thread, F.lit("")).alias("source_line"), slug.alias("slug"), R.slot_of(slug, "annalist").alias("slot"),
         F.size(R.metadata(slot_id=s("doc_id"), author=F.col("lang"), thread_id=thread, role=F.lit(""))).alias("known"), R.safe_scope(F.concat(F.col("source"), F.lit("."), s("doc_id"), F.lit("/"))).alias("scope"),
     )
 

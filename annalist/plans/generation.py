@@ -69,7 +69,7 @@ def sequence_ids(e):
 )
 def adjacent_years(o):
     n = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
-    return n.select("year", "n", planning.neighbours(n, "year", "n").alias("around"))
+    return planning.neighbours(n, "year", "n", "around")
 
 
 @query(
@@ -168,15 +168,15 @@ def middle_dates(o):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, length(coalesce(text, '')) AS n FROM conversations) SELECT conv_id, turn, r AS role, n::BIGINT AS size, 2::INT AS docs FROM t""",
+    """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, length(coalesce(text, '')) AS n FROM conversations) SELECT conv_id, turn, r AS role, n::BIGINT AS size, (2 + turn % 3)::INT AS docs, CASE WHEN turn % 3 > 0 THEN turn END::BIGINT AS more FROM t""",
     "conversations",
 )
 def yaml_fields(c):
-    """Each turn written as two small documents in a fence, and read again."""
+    """Each turn written as two small documents and up to two more in a fence, and read again."""
     role, size = F.coalesce("role", F.lit("")), F.length(F.coalesce("text", F.lit(""))).cast("string")
-    raw = F.concat(F.lit("```yaml\nrole: old\nrole: ‘"), role, F.lit("’\n- noise\n---\nsize: "), size, F.lit("\n```\nend"))
+    raw = F.concat(F.lit("```yaml\nrole: old\nrole: ‘"), role, F.lit("’\n- noise\n---\nsize: "), size, F.lit("\n"), F.repeat(F.concat(F.lit("---\nmore: "), F.col("turn").cast("string"), F.lit("\n---\n")), (F.col("turn") % 3).cast("int")), F.lit("```\nend"))
     docs = P.yaml_documents(raw)
-    return c.select("conv_id", "turn", docs[0]["role"].alias("role"), docs[1]["size"].cast("bigint").alias("size"), F.size(docs).alias("docs"))
+    return c.select("conv_id", "turn", docs[0]["role"].alias("role"), docs[1]["size"].cast("bigint").alias("size"), F.size(docs).alias("docs"), F.get(docs, F.lit(2))["more"].cast("bigint").alias("more"))
 
 
 @query(

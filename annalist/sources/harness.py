@@ -31,7 +31,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
-def tier_dir(spark: SparkSession, root: str, tier: str, company: str = "helix") -> str:
+def tier_dir(spark: SparkSession, root: str, tier: str, company: str) -> str:
     """The folder of a company's tier; a missing one raises."""
     path = f"{root.rstrip('/')}/{company}/{tier}"
     if not exists(spark, path):
@@ -39,6 +39,13 @@ def tier_dir(spark: SparkSession, root: str, tier: str, company: str = "helix")
     return path
 
 
+def canon_dir(spark: SparkSession, folder: str) -> str:
+    """The folder of a tier whose name ends in _canon, by name the first; its plain name if there is none."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*_canon")
+    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(there) or []
+    return min((str(f.getPath()) for f in found), default=f"{folder}/canon")
+
+
 def ordered(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """JSON lines with their place in the file. Blank lines are no rows."""
     return json_lines(spark, path, schema, strict).withColumn("ord", F.monotonically_increasing_id())
@@ -46,13 +53,13 @@ def ordered(spark: SparkSession, path: str, schema: str, strict: bool = True) ->
 
 def graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """events, relations (with ord) and personas of a tier."""
-    source, canon = f"{folder}/source_of_truth", f"{folder}/helix_canon"
+    source, canon = f"{folder}/source_of_truth", canon_dir(spark, folder)
     return {"events": json_lines(spark, f"{source}/events.jsonl", EVENTS), "relations": ordered(spark, f"{source}/relations.jsonl", RELATIONS), "personas": json_lines(spark, f"{canon}/personas.jsonl", PERSONAS)}
 
 
 def canon(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The canon's people, customers (present and historical ones), channels and skeleton; the optional files may be missing."""
-    at = f"{folder}/helix_canon"
+    at = canon_dir(spark, folder)
     customers = json_lines(spark, f"{at}/customers.jsonl", CUSTOMERS).withColumn("historical", F.lit(False))
     former = json_lines(spark, f"{at}/historical_customers.jsonl", CUSTOMERS).withColumn("historical", F.lit(True))
     skeleton = spark.read.schema(SKELETON).option("multiLine", True).json(f"{at}/skeleton.json") if exists(spark, f"{at}/skeleton.json") else spark.createDataFrame([], SKELETON)
@@ -150,3 +157,14 @@ def tier_size(index: DataFrame, questions_: DataFrame) -> DataFrame:
     """artifacts, tokens (a quarter of all characters) and questions of a tier."""
     a = index.agg(F.count("*").alias("artifacts"), F.expr("coalesce(sum(chars), 0) div 4").alias("tokens"))
     return a.crossJoin(questions_.agg(F.count("*").alias("questions")))  # a row each
+
+
+def write_record(record: DataFrame, path: str) -> None:
+    """The record of one run as JSON, in the place of an older one."""
+    record.coalesce(1).write.mode("overwrite").json(path)
+
+
+def forget(spark: SparkSession, path: str) -> bool:
+    """Deletes a checkpoint; whether there was one."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annalist.functions import rules as R
 from annalist.functions import sketches as S
 from annalist.functions import text as T
-from annalist.operators import evaluation, graph, planning
+from annalist.operators import costs, evaluation, graph, planning
 from annalist.sources import harness, shared
 
 
@@ -19,16 +19,16 @@ def one(spark, column):
 @pytest.fixture(scope="module")
 def tier(tmp_path_factory):
     root = tmp_path_factory.mktemp("data")
-    d = root / "helix" / "small"
-    for sub in ("source_of_truth", "helix_canon", "corpus/chat"):
+    d = root / "acme" / "small"
+    for sub in ("source_of_truth", "acme_canon", "corpus/chat"):
         (d / sub).mkdir(parents=True)
     lines = lambda name, *rows: (d / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
     event = {"type": "strategic_decision", "occurred_at": "2020-01-02", "decision": "go", "participants": ["P-1"]}
     lines("source_of_truth/events.jsonl", {"id": "EV-2020-1", **event}, "", {"id": "EV-2020-2", **event, "occurred_at": "2020-03-01", "decision": "stop"})
     lines("source_of_truth/relations.jsonl", {"source": "EV-2020-2", "relation": "supersedes", "target": "EV-2020-1"}, {"source": "EV-2020-2", "relation": "contradicts", "target": "EV-2020-1"})
-    lines("helix_canon/personas.jsonl", {"persona_id": "P-1", "display_name": "Ada", "joined_year": 2019})
-    lines("helix_canon/customers.jsonl", {"customer_id": "C-1", "name": "Acme", "first_year": 2019})
-    (d / "helix_canon/skeleton.json").write_text(json.dumps({"founding_year": 2019, "eras": [{"n": 1, "name": "first", "start": "2019-01", "end": "2020-12"}], "tooling": [{"year": 2019, "quarter": 2, "description": "a"}, {"year": 2020, "description": "b"}, {"year": 2022, "description": "c"}]}, indent=1))
+    lines("acme_canon/personas.jsonl", {"persona_id": "P-1", "display_name": "Ada", "joined_year": 2019})
+    lines("acme_canon/customers.jsonl", {"customer_id": "C-1", "name": "Acme", "first_year": 2019})
+    (d / "acme_canon/skeleton.json").write_text(json.dumps({"founding_year": 2019, "eras": [{"n": 1, "name": "first", "start": "2019-01", "end": "2020-12"}], "tooling": [{"year": 2019, "quarter": 2, "description": "a"}, {"year": 2020, "description": "b"}, {"year": 2022, "description": "c"}]}, indent=1))
     lines("corpus_index.jsonl", {"slot_id": "S1", "event_id": "EV-2020-1", "genre": "slack_thread", "author": "P-1", "path": "corpus/chat/S1.md", "chars": 41}, {"slot_id": "S2", "path": "corpus/chat/gone.md", "chars": 3}, {"slot_id": "S3", "path": "corpus/chat/S3.md", "chars": 1})
     (d / "corpus/chat/S1.md").write_text("<!-- artefact_metadata\nslot_id: S9\n-->\n\nhello")
     (d / "corpus/chat/S3.md").write_text("<!-- date: 2021-Q2 -->\nno event")
@@ -39,9 +39,9 @@ def tier(tmp_path_factory):
 
 def test_tier(spark, tier):
     root, folder = tier
-    assert harness.tier_dir(spark, root, "small") == folder
+    assert harness.tier_dir(spark, root, "small", "acme") == folder
     with pytest.raises(FileNotFoundError):
-        harness.tier_dir(spark, root, "large")
+        harness.tier_dir(spark, root, "large", "acme")
     g, c = harness.graph(spark, folder), harness.canon(spark, folder)
     assert [r.as_of_date for r in graph.audit(g["relations"], g["events"]).collect()] == ["2020-02-01"]
     assert graph.contradictions(g["relations"], g["events"], g["personas"]).count() == 0  # one person on both sides
@@ -75,7 +75,7 @@ def test_questions_and_submission(spark, tier, tmp_path):
 def test_results_and_checkpoints(spark, tmp_path):
     for system, text in (("a", json.dumps({"system": "a", "tier": "small", "metrics": {"usage": {"x": 1}}, "queries": [{"question_id": "1", "input_tokens": 3, "output_tokens": 0, "cost_usd": 0.25}, {"question_id": "2", "input_tokens": 0, "output_tokens": 0}], "judgements": [{"question_id": "1", "cost_usd": 0.5}]}, indent=1)), ("b", "{oops"), ("reference", json.dumps({"system": "reference"}))):
         (tmp_path / system).mkdir()
-        (tmp_path / system / "helix-small.json").write_text(text)
+        (tmp_path / system / "acme-small.json").write_text(text)
     runs = harness.results(spark, str(tmp_path))
     assert [r.system for r in runs.collect()] == ["a"] and harness.measured(runs).count() == 1
     assert tuple(harness.usage(runs).first()) == ("a", "small", 1, 3, 0, 1, 0.75)
@@ -84,6 +84,33 @@ def test_results_and_checkpoints(spark, tmp_path):
     assert [r.unit_id for r in harness.done(spark, f"{tmp_path}/c.jsonl").collect()] == ["u1"]
 
 
+def test_command_line(spark, tier, tmp_path, capsys):
+    from annalist.__main__ import main
+
+    root, folder = tier
+    (tmp_path / "p.jsonl").write_text('{"question_id": "Q-1", "answer_text": "a"}')
+    assert main(["judge-submission", root, "--company", "acme", "--tier", "small", "--file", f"{tmp_path}/p.jsonl", "--system", "mine", "--out", f"{tmp_path}/record"], spark) == 0
+    record = json.loads(next((tmp_path / "record").glob("*.json")).read_text())
+    assert (record["n_questions"], record["tier"], record["by_category"], record["by_difficulty"], record["failure_modes"]) == (3, "small", {"audit_replay": 0.0, "emergent_pattern": 0.0, "x1": 0.0}, {"hard": 0.0, "unspecified": 0.0}, {"dry_run": 3})
+    assert main(["questions", root, "--company", "acme", "--tier", "small"], spark) == 0
+    assert main(["cost", root, "--company", "acme", "--tier", "small", "--budget", "1"], spark) == 0
+    printed = capsys.readouterr().out
+    assert "| missing | 2 |" in printed and "| emergent | true | 1 |" in printed and "graphiti" in printed
+
+
+def test_costs(spark):
+    """By hand: 126 artifacts of 70,000 tokens and 14 questions."""
+    sizes = spark.createDataFrame([("small", 126, 70_000, 14), ("huge", 900_000, 10, 1)], "tier string, artifacts bigint, tokens bigint, questions bigint")
+    got = {(r.system, r.tier): r for r in costs.estimate(sizes).collect()}
+    judge, answers = 14 * (2500 * 3e-6 + 4500 * 15e-6), 14 * (4000 * 3e-6 + 3500 * 15e-6)
+    ingest = 126 * 17 * ((70_000 / 126 + 500) * 3e-6 + 600 * 15e-6)
+    r = got["graphiti", "small"]
+    assert (r.judge_usd, r.query_usd, r.ingest_usd, r.embed_usd) == (round(judge, 2), round(answers, 2), round(ingest, 2), round(70_000 * 0.02e-6, 3))
+    assert abs(r.cost - (judge + answers + ingest + 0.0014)) < 0.011 and r.fee == 0 and r.sub_tier == "-"
+    assert (got["zep-cloud", "small"].sub_tier, got["zep-cloud", "small"].ingest_usd) == ("free", 0.0)
+    assert [(got["mem0-platform", t].sub_tier, got["mem0-platform", t].fee) for t in ("small", "huge")] == [("free", 0), ("over", -1)]
+
+
 def test_collisions(spark, tier):
     _, folder = tier
     index = spark.createDataFrame([("p/S1.md",), ("p/S2.md",)], "path string")
@@ -112,6 +139,20 @@ def test_rules(spark):
     assert [(s.slot_id, s.genre, s.role, s.author) for s in slots] == [("ART-EV-1-001", "adr", "primary", "P-1"), ("ART-EV-1-002", "email_thread", "secondary", "P-2"), ("ART-EV-1-003", "rfc", "secondary", "P-1")]
 
 
+def test_facets_contexts_and_ids(spark, tier, tmp_path):
+    facets = spark.createDataFrame([("q", 0, ["a"], ["a", "b"]), ("q", 1, [], ["a", "b"]), ("r", 0, ["c"], ["c"])], "question string, facet int, ids array<string>, all_ids array<string>")
+    exhibits = spark.createDataFrame([("q", 0, "b"), ("q", 1, "b"), ("r", 0, "c")], "question string, facet int, slot_id string")
+    got = {r.question: (r.facets, r.covered, r.fraction, r.complete) for r in evaluation.facets_covered(facets, exhibits).collect()}
+    assert got == {"q": (2, 1, 0.5, False), "r": (1, 1, 1.0, True)}
+    assert [one(spark, evaluation.answer_context(F.lit(t), 3)) for t in ("abcd", " ", None)] == ["abc", "(no context was retrieved)", "(no context was retrieved)"]
+    assert {r.id: r.question_id for r in evaluation.question_ids(spark.range(12).repartition(3), [F.desc("id")]).collect()} == {i: f"Q-{12 - i:04d}" for i in range(12)}
+    for name, rows in (("questions_draft", [{"id": "Q-1", "category": "C1"}]), ("emergent_questions", [{"id": "E-1", "category": "EMERGENT"}])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert sorted(r.id for r in harness.questions(spark, str(tmp_path), emergent=True).collect()) == ["E-1", "Q-1"]
+    (tmp_path / "cp.jsonl").write_text('{"unit_id": "u"}')
+    assert harness.forget(spark, f"{tmp_path}/cp.jsonl") and harness.done(spark, f"{tmp_path}/cp.jsonl").count() == 0
+
+
 def test_rows_numbered_in_one_order(spark):
     rows = spark.range(500).selectExpr("id", "(id * 37) % 500 as v").repartition(7)
     got = {r.id: r.place for r in evaluation.numbered(rows, [F.col("v")], "place").collect()}
