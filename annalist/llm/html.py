@@ -18,7 +18,8 @@ its verdict holds on every page:
 - all other slots stay, whatever their length: a headline, a lead, a table.
 Where a host has no template, the elements' tags, roles and classes decide on each page, and nothing else is left out.
 
-The templates (a few rows a host) meet the pages by a join on the host that Spark plans by size, broadcast or split.
+The templates are written, one row a host. Up to BROADCAST_BYTES of them are broadcast, so that pages are not shuffled and a
+hot host is no task's alone; beyond that they meet the pages by a join on the host, whose hot keys Spark splits.
 
 Cases: null or empty html: empty text; null url: no host, so no template. Unclosed, misnested and cut-off markup is read as
 far as it goes. Repeated pages count as often as they occur. Other columns are ignored. An empty table gives no rows.
@@ -39,6 +40,8 @@ from annalist.llm.common import map_batches, read, written
 
 #: Pages of a host that make a template, and the share of them that its tokens are on; the share of a host's plain text below which class names are not telling.
 LEAST_PAGES, SUPPORT, UNTOLD = 4, 0.5, 0.1
+#: Bytes of all templates, as JSON, that are broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Elements that are a paragraph of the one around them, and headings.
 PARAGRAPH, HEADING = re.compile(r"(p|li|td|th|tr|dd|dt|blockquote|pre)\b"), re.compile(r"h[1-6]\b")
 #: Names that mark what is not main text: fixed values.
@@ -260,7 +263,9 @@ def main_text(page: str | None, fixed: set[str], tree: set[tuple], slots: dict[t
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page, and whether its host's template decided it."""
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host")
-    joined = pages.select("page_id", "url", "html", host).join(templates(pages), "host", "left")
+    found = written(templates(pages), "html-templates")
+    size = found.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    joined = pages.select("page_id", "url", "html", host).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
     path = lambda name: tuple(name.split("\x1f")) if name else ()
 
     def make(batch):

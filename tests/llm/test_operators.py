@@ -206,7 +206,7 @@ def test_html_keeps_all_slots(spark):
     assert got == {i: " ".join([f"Title {i}", f"Lead {i}", *[body[i]] * (1 + i % 2), f"Source {i}"]) for i in range(8)}
 
 
-def test_html_slots_decide_without_telling_names(spark):
+def test_html_slots_decide_without_telling_names(spark, monkeypatch):
     """No article, no main, no class that tells: the template's slots decide, and one host's class names are not telling."""
     page = "<html><body><div class=a1><a href=1>Start {0}</a><a href=2>Topic {0}</a></div><div class=b2><h2><a href=x>Head {0}</a></h2><p>{1}</p><p>Tail {0}</p></div><div class=c3>Made by the house</div><div class=d4><div><a href=y>More {0}</a></div></div></body>"
     odd = "<html><body class=x><div class='popup wide'><h1>Head {0}</h1><p>{1}</p></div><div class=comments><p>{1} said {0} and more of it {1}</p></div></body>"
@@ -219,6 +219,8 @@ def test_html_slots_decide_without_telling_names(spark):
     assert {i: got[20 + i] for i in range(8)} == {i: (f"Head {i} {body[i]}", True) for i in range(8)}
     assert got[40] == ("", False) and got[41] == (f"Start 2Topic 2 Head 2 {body[2]} Tail 2 Made by the house More 2", False)
     assert html.extract(frame.limit(0)).count() == 0
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    assert {r.page_id: (r.text, r.by_template) for r in html.extract(frame).collect()} == got
 
 
 def test_html_very_long_and_cut_pages(spark):
