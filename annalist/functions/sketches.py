@@ -92,3 +92,37 @@ def facet_rubric(facets) -> Column:
     own = F.transform(_c(facets), lambda f, i: row(i + 1, each, F.concat(F.lit("Identifies the facet: "), F.substring(f, 1, 160))))
     rest = F.array(row(n + 1, F.lit(0.2).cast("double"), F.lit("Joins the facets into one pattern")), row(n + 2, F.lit(0.1).cast("double"), F.lit("Answers for the period asked, not a later formal version")))
     return F.concat(own, rest)
+
+
+def skeleton(text) -> Column:
+    """A drafted outline by its sections, as one struct; `problems` lists what is missing or out of range, in order, and is empty for a good one.
+
+    Sections (headings of one or two signs, in any case): founding (prose with a year and people's names), year arcs and tooling
+    timeline (dated list items), doc-discipline eras (blocks of lines), product lines (list items), customer arc count (a number).
+    """
+    parts = P.sections(P.unfenced(text))
+    body = lambda name: F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p["title"]) == name), F.lit(0))["body"], F.lit(""))
+    got = lambda x, p, i=1: F.regexp_replace(F.regexp_extract(x, p, i), r"\A\s+|\s+\z", "")
+    items = lambda x, p: F.filter(F.split(x, "\n"), lambda line: line.rlike(p))
+    dated, tool = r"^\s*-\s*([0-9]{4})\s*:\s*(.+)$", r"^\s*-\s*([0-9]{4})(?:-Q([1-4]))?\s*:\s*(.+)$"
+    year = got(body("founding"), r"\b((?:19|20)[0-9]{2})\b").try_cast("int")
+    people = F.slice(F.array_distinct(F.regexp_extract_all(body("founding"), F.lit(r"\b([A-Z][a-z]+\s+[A-Z][a-z]+(?:[- ][A-Z][a-z]+)?)"), F.lit(1))), 1, 2)
+    arc = lambda line: F.named_struct(F.lit("year"), got(line, dated).cast("int"), F.lit("arc"), got(line, dated, 2))
+    arcs = F.transform(items(body("year arcs"), dated), arc)
+    span = r"(?i)Date span:\s*([0-9]{4}-[0-9]{2})\s*to\s*([0-9]{4}-[0-9]{2})"
+    era = lambda b: F.named_struct(
+        F.lit("n"), got(b, r"(?i)\A###\s*Era\s+([0-9]+)").cast("int"), F.lit("name"), got(b, r"(?i)\A###\s*Era\s+[0-9]+\s*:\s*([^\n]*)"), F.lit("start"), got(b, span), F.lit("end"), got(b, span, 2),
+        F.lit("discipline_level"), F.lower(got(b, r"(?i)Discipline level:\s*(low|medium|high)")), F.lit("characterisation"), got(b, r"(?is)Characterisation:\s*(.+)"),
+    )
+    eras = F.filter(F.transform(F.filter(F.split(body("doc-discipline eras"), r"(?i)(?=###\s*Era\s+[0-9])"), lambda b: b.rlike(r"(?i)\A###\s*Era")), era), lambda e: (e["start"] != "") & (e["discipline_level"] != "") & (e["characterisation"] != ""))
+    products = F.filter(F.transform(items(body("product lines"), r"^\s*-\s*\S"), lambda line: got(line, r"^\s*-\s*(.+)$")), lambda p: ~p.startswith("#"))
+    count = got(body("customer arc count"), r"(?:^|\s)([0-9]+)(?:\s|$)").try_cast("int")
+    tools = F.transform(items(body("tooling timeline"), tool), lambda line: F.named_struct(F.lit("year"), got(line, tool).cast("int"), F.lit("quarter"), got(line, tool, 2).try_cast("int"), F.lit("description"), got(line, tool, 3)))
+    levels = F.transform(eras, lambda e: e["discipline_level"])
+    checks = [
+        (year.isNull(), "no founding year"), (F.size(people) < 2, "fewer than two founders"), (F.size(arcs) == 0, "no year arcs"), (F.size(eras) != 5, "not five eras"),
+        (~(F.array_contains(levels, "low") & F.array_contains(levels, "high")), "no era of low or of high discipline"), (F.size(products) == 0, "no product lines"),
+        (~F.coalesce(count.between(8, 10), F.lit(False)), "customer arcs not 8 to 10"), (F.size(tools) == 0, "no tooling timeline"),
+    ]
+    problems = F.array_compact(F.array(*[F.when(bad, what) for bad, what in checks]))
+    return F.struct(year.alias("founding_year"), people.alias("founders"), arcs.alias("year_arcs"), eras.alias("eras"), products.alias("products"), count.alias("customer_arc_count"), tools.alias("tooling"), problems.alias("problems"))

@@ -139,6 +139,33 @@ def test_rules(spark):
     assert [(s.slot_id, s.genre, s.role, s.author) for s in slots] == [("ART-EV-1-001", "adr", "primary", "P-1"), ("ART-EV-1-002", "email_thread", "secondary", "P-2"), ("ART-EV-1-003", "rfc", "secondary", "P-1")]
 
 
+SKELETON = """## Founding
+In 2019 Ada Byron and Grace Hopper-Lee, then Ada Byron again, began.
+## Year arcs
+- 2019: start
+- 2020 : growth
+## Doc-discipline eras
+""" + "\n".join(f"### Era {i}: Name {i}\nDate span: 201{i}-01 to 201{i}-12\nDiscipline level: {level}\nCharacterisation: text {i}" for i, level in enumerate(["Low", "medium", "high", "low", "medium"], 1)) + """
+## Product lines
+- One
+- Two
+## Customer arc count
+about 9 of them
+## Tooling timeline
+- 2019-Q2: chat
+- 2020: wiki
+"""
+
+
+def test_skeletons(spark):
+    got = one(spark, S.skeleton(F.lit(SKELETON)))
+    assert (got.founding_year, got.founders, got.products, got.customer_arc_count, got.problems) == (2019, ["Ada Byron", "Grace Hopper-Lee"], ["One", "Two"], 9, [])
+    assert [(a.year, a.arc) for a in got.year_arcs] == [(2019, "start"), (2020, "growth")] and [(t.year, t.quarter, t.description) for t in got.tooling] == [(2019, 2, "chat"), (2020, None, "wiki")]
+    assert [(e.n, e.name, e.start, e.end, e.discipline_level, e.characterisation) for e in got.eras][:2] == [(1, "Name 1", "2011-01", "2011-12", "low", "text 1"), (2, "Name 2", "2012-01", "2012-12", "medium", "text 2")]
+    bad = one(spark, S.skeleton(F.lit("## Founding\nby Ada Byron\n## Customer arc count\n12\n")))
+    assert bad.problems == ["no founding year", "fewer than two founders", "no year arcs", "not five eras", "no era of low or of high discipline", "no product lines", "customer arcs not 8 to 10", "no tooling timeline"]
+
+
 def test_facets_contexts_and_ids(spark, tier, tmp_path):
     facets = spark.createDataFrame([("q", 0, ["a"], ["a", "b"]), ("q", 1, [], ["a", "b"]), ("r", 0, ["c"], ["c"])], "question string, facet int, ids array<string>, all_ids array<string>")
     exhibits = spark.createDataFrame([("q", 0, "b"), ("q", 1, "b"), ("r", 0, "c")], "question string, facet int, slot_id string")
