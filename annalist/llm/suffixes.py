@@ -41,8 +41,8 @@ from annalist.llm.common import as_bytes, map_batches, partitions, read, small_b
 from annalist.llm.jaccard import Powers, Runs, bounds, mix, running, runs, totals, word_bounds, word_hashes
 
 LENGTH, GRAM = 400, 100
-#: Suffixes of one gram that are compared pair by pair, or by a matrix of common lengths; texts, anchors and contexts that a task remembers.
-PAIRS, WIDE, SEEN = 8, 2048, 1 << 18
+#: Suffixes of one gram that are compared pair by pair, or by a matrix of common lengths; texts and anchors, and contexts, that a task remembers.
+PAIRS, WIDE, SEEN, CONTEXTS = 8, 2048, 1 << 18, 1 << 17
 KEYS = ["k1", "k2"]
 #: Bytes of a hashed word in contexts, and words whose hashes make a gram; the fewest words of what counts as a passage.
 WIDTH, WORD_GRAM, PASSAGE = 6, 12, 51
@@ -300,7 +300,7 @@ def repeats(texts: DataFrame, ruled: list[Rule], cuts_at: list[bytes]) -> DataFr
                 if len(out) > 5000:
                     yield made()
                     out.clear()
-                if len(seen) > SEEN:
+                if len(seen) > CONTEXTS:
                     seen.clear()
         if out:
             yield made()

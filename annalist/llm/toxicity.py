@@ -35,7 +35,7 @@ SEGMENTS, SEGMENT, TRIAL = (2, 4, 8), 4, 1200
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 17, 16, 12, 0.5
 #: Worst segments of a clean and of a toxic document that an epoch learns from: an insult lies in two that overlap.
 WORST = {0: 2, 1: 2}
-CACHE = 400_000
+CACHE = 200_000
 #: Words whose n-grams are cut at once in learning.
 PART = 10_000
 #: Bytes of words: ASCII letters in lower case, digits, and bytes beyond ASCII; the rest is a blank.
