@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annalist.llm import decontamination, html, jaccard, language, neighbours, packing, quality, suffixes, toxicity, warc
+from annalist.llm import decontamination, html, jaccard, language, lexical, mixing, neighbours, packing, periodic, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_html": html.op9_html,
     "op10_packing": packing.op10_packing,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_periodic": periodic.op13_periodic,
 }
-ORACLES = {"op4_decontamination": decontamination.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES = {"op4_decontamination": decontamination.ORACLE, "op5_warc": warc.ORACLE, "op11_lexical": lexical.ORACLE, "op12_mixing": mixing.ORACLE}

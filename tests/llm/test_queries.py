@@ -80,7 +80,7 @@ def remainder(i, m):
     return zlib.crc32(str(i).encode()) % m
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op4", "op6", "op7", "op8")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op4", "op6", "op7", "op8", "op12", "op13")])
 def test_every_document_has_its_row(results, data, name):
     assert Counter(r["doc_id"] for r in results[name]) == Counter(r[0] for r in data["documents"])
 
@@ -245,3 +245,124 @@ def test_decontamination_in_parts_is_the_same(spark, folders):
     for how in ("spans", "documents"):
         one, many = (Counter(map(str, decontamination.decontaminate(docs, items, how, broadcast_bytes=b).collect())) for b in (1 << 20, 50))
         assert one == many and one
+
+
+def plain_runs(words, least=6, exponent=4):
+    """Every period and place by comparing words one by one; a stretch with a smaller period is not counted again."""
+    out = []
+    for q in range(1, len(words) // exponent + 1):
+        i = 0
+        while i + q < len(words):
+            start = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            own = words[start : i + q]
+            if len(own) >= max(least, exponent * q) and not any(own[d:] == own[:-d] for d in range(1, q)):
+                out.append((start, len(own), q))
+            i += 1
+    return sorted(out)
+
+
+def test_runs_equal_plain_comparison(monkeypatch):
+    """Short texts by all lags, and the same texts as if they were long."""
+    from annalist.llm import periodic
+
+    rng = random.Random(5)
+    for case in range(600):
+        words = [b"%d" % rng.randint(1, rng.choice([1, 2, 3, 6])) for _ in range(rng.randint(0, 70))]
+        words += (words[-rng.randint(1, 9) :] * rng.randint(1, 6) + [b"end"]) * rng.randint(0, 2)
+        want = plain_runs(words)
+        for long in (2000, 0):
+            monkeypatch.setattr(periodic, "LONG", long)
+            assert periodic.runs(words) == want
+    assert periodic.runs([b"a"] * 50_000) == [(0, 50_000, 1)] and periodic.runs([b"a", b"b"] * 25_000) == [(0, 50_000, 2)]
+    assert periodic.runs([b"%d" % i for i in range(50_000)]) == []
+
+
+def test_periodic(results, data):
+    want = Counter()
+    for i, text, *_ in data["documents"]:
+        words = (text or "").encode().split()
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and words:
+            n, g = len(words), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[j] if j < a else words[a + (j - a) % p] for j in range(n)]
+        found = plain_runs(words) if len(words) < 50_000 else []
+        gone = {j for s, m, q in found for j in range(s + q, s + m)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+        milli = best[1] * 1000 // best[2] if found else None
+        shas = [hashlib.sha256(x).hexdigest() for x in ("".join(f"{s},{m},{q}\n" for s, m, q in found).encode(), b" ".join(w for j, w in enumerate(words) if j not in gone))]
+        want[(i, len(found), *best, milli, *shas)] += 1
+    names = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    assert Counter(tuple(r[c] for c in names) for r in results["op13_periodic"]) == want and any(r["n_runs"] for r in results["op13_periodic"])
+
+
+def test_collapse_and_find(spark):
+    from annalist.llm import periodic
+
+    docs = spark.createDataFrame([(1, "x  y " + "go on " * 5 + "z", 7), (2, "as  it\nis", 7), (3, None, 7), (4, "", 7), (5, "a b " * 4, 7)], "doc_id bigint, text string, runs int")
+    assert {r.doc_id: (r.text, r.runs) for r in periodic.collapse(docs).collect()} == {1: ("x y go on z", 7), 2: ("as  it\nis", 7), 3: (None, 7), 4: ("", 7), 5: ("a b", 7)}
+    got = {r.doc_id: (r.n_words, [tuple(x) for x in r.runs]) for r in periodic.find(docs).collect()}
+    assert got == {1: (13, [(2, 10, 2)]), 2: (3, []), 3: (0, []), 4: (0, []), 5: (8, [(0, 8, 2)])}
+
+
+def test_search_in_parts_and_small_blocks_is_the_same(spark, folders):
+    from annalist.llm import lexical
+
+    docs, items = (spark.read.parquet(f"{folders[0]}/{t}.parquet") for t in ("documents", "benchmark"))
+    more = docs.where("doc_id < 240 and doc_id % 9 = 0").selectExpr("cast(doc_id as bigint) as item_id", "text")
+    items = items.select("item_id", "text").unionByName(more)
+    one, many = (sorted(map(tuple, lexical.search(docs, items, block=b, broadcast_bytes=size).collect()), key=str) for b, size in ((64, 1 << 20), (3, 700)))
+    assert one == many and len({r[0] for r in one}) > 20
+
+
+def test_mixing_over_many_shards(spark, monkeypatch):
+    """Small shards and groups, so that blocks pass through both levels: near the targets, no word more than twice, cuts add up."""
+    from annalist.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 3, 40, 90, 2500 if i % 50 == 0 else 60])), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)]
+    rows += [(900, None, "a"), (900, "", "a"), (None, "x " * 30, "b"), (None, "x " * 30, "b"), (901, "one two", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = mixing.mix(docs, block=16, shard=1 << 10).collect()
+    again = mixing.mix(docs.repartition(5), block=16, shard=1 << 10).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    by: dict = {}
+    for r in got:
+        taken = sum(c.length * c.times for c in r.cuts)
+        assert taken <= 2 * r.size and all(0 <= c.start and c.start + c.length <= r.size and 1 <= c.times <= 2 for c in r.cuts)
+        by.setdefault(r.source, [0, 0, r.target, r.source_size])
+        by[r.source][0] += taken
+        by[r.source][1] += r.size
+    assert all(size == whole and target <= 2 * size for _, size, target, whole in by.values())
+    assert all(abs(taken - target) <= max(0.02 * target, 4) for taken, _, target, _ in by.values())
+    total = sum(v[1] for v in by.values())
+    assert abs(sum(v[2] for v in by.values()) - 1.5 * total) < 1e-6
+    # targets by raising one rate until the shares are used up
+    names = [*sorted(s for s in by if s), None]
+    weigh = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    low, high = 0.0, 3.0 * total
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(min(2 * by[s][1], rate * weigh[s]) for s in names) < 1.5 * total else (low, rate)
+    assert all(abs(by[s][2] - min(2 * by[s][1], low * weigh[s])) < 1e-3 for s in names)
+
+
+def test_highest_quotients(spark):
+    """Quotas against walking through the seats one by one."""
+    from annalist.llm import mixing
+
+    rng = random.Random(4)
+    rows = [(p, c, rng.choice([0, 1, 5, 100, 100, 3000]), rng.choice([0, 3, 40])) for p in range(6) for c in range(12)]
+    seats = {p: s for p, _, _, s in rows}
+    rows = [(p, c, w, seats[p]) for p, c, w, _ in rows]
+    got = {(r.p, r.c): r.quota for r in mixing.apportioned(spark.createDataFrame(rows, "p int, c int, w bigint, seats bigint"), ["p"], ["c"], "w", "seats", "quota").collect()}
+    want = {(p, c): 0 for p, c, *_ in rows}
+    for p, n in seats.items():
+        for _ in range(n):
+            best = max((w / (2 * want[p, c] + 1), -c) for q, c, w, _ in rows if q == p)
+            want[p, -best[1]] += 1
+    assert got == want
