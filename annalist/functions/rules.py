@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from annalist.functions.text import INFERENCE
+
 #: Categories of questions: public name and capabilities that an answer needs. Fixed values.
 CATEGORIES = {
     "C1": ("supersession", []),
@@ -19,8 +23,6 @@ CATEGORIES = {
 #: Genres in the order in which a part of a name finds them, and other names of some: fixed values.
 GENRES = "slack_thread meeting_notes meeting_transcript adr rfc retrospective postmortem email_thread customer_call_notes sales_crm_entry notion_doc incident_report".split()
 ALIASES = {"slack": "slack_thread", "notion": "notion_doc", "transcript": "meeting_transcript", "notes": "meeting_notes", "crm": "sales_crm_entry", "email": "email_thread", "call": "customer_call_notes", "post-mortem": "postmortem", "ticket": "sales_crm_entry"}
-#: Genres that summarise what others said: fixed values.
-INFERRED = "postmortem retrospective adr rfc notion_doc incident_report meeting_notes customer_call_notes sales_crm_entry".split()
 #: Verdicts on answers: fixed values.
 FAILURES = "none retrieval_miss wrong_synthesis hallucination wrong_abstain dry_run".split()
 
@@ -88,7 +90,7 @@ def resolve_genre(raw) -> Column:
 
 
 def testimony(genre) -> Column:
-    return F.when(_c(genre).isin(INFERRED), "inferred").otherwise("direct")
+    return F.when(_c(genre).isin(INFERENCE), "inferred").otherwise("direct")
 
 
 def artefact_header(slot, event, genre, role, author) -> Column:
@@ -105,43 +107,59 @@ def strip_artefact_header(text) -> Column:
 # Facts of events
 
 
+#: What artefacts of an event tell: who does (any, or the primary one alone), the value that it needs, the sentence. Fixed values.
+CANONICAL = [
+    ("any", "decision", 'The decision: "{decision}"'),
+    ("primary", "reason", 'The reason: "{reason}"'),
+    ("any", "names", "At least one participant by name (any of: {names})"),
+    ("primary", "day", "The date: {day}"),
+    ("primary", "others", "At least one alternative considered (any of: {others})"),
+    ("primary", "prior", 'The PRIOR (now-corrected) understanding from {before}: "{prior}"'),
+    ("primary", "prior", "BOTH dates referenced: {before} (prior) AND {day} (correction)"),
+]
+#: What an event says in facts that stand alone: the value that a sentence needs, or each of several. Fixed values.
+SCATTERED = [
+    ("decision", 'The decision made: "{decision}"'),
+    ("reason", 'The reason behind it: "{reason}"'),
+    ("day", "That this was decided around {day}"),
+    ("rejected", 'That an alternative considered (and rejected) was: "{rejected}"'),
+    ("people", "That {people} was involved in this call"),
+]
+#: Characters that a fact tells of a text, and of an alternative in a list or alone.
+TOLD, LISTED, ALONE = 200, 80, 120
+
+
 def first_words(x, n: int) -> Column:
     return F.substring(F.trim(F.coalesce(_c(x).cast("string"), F.lit(""))), 1, n)
 
 
-def quoted(label: str, text: Column) -> Column:
-    return F.concat(F.lit(f'{label}: "'), text, F.lit('"'))
+def sentence(text: str, values: dict[str, Column]) -> Column:
+    """text with its {names} filled in."""
+    return F.concat(*[values[part] if i % 2 else F.lit(part) for i, part in enumerate(re.split(r"[{}]", text)) if part])
 
 
 def canonical_facts(role, kind, decision, reason, names, occurred, alternatives, prior_decision, prior_occurred) -> Column:
-    """What an artefact of an event has to tell, by its role; names and alternatives are arrays, the prior event is null where there is none."""
+    """The sentences of CANONICAL for an artefact in a role; names and alternatives are arrays, the prior event is null where there is none.
+
+    Alternatives are told of strategic decisions only; a prior event is told even if nothing is known of its decision.
+    """
+    listed = lambda xs, n: F.array_join(F.transform(F.slice(_c(xs), 1, 3), lambda x: F.substring(x, 1, n)), "; " if n == LISTED else ", ")
+    values = {
+        "decision": first_words(decision, TOLD), "reason": first_words(reason, TOLD), "day": first_words(occurred, 1000), "names": listed(names, 10_000),
+        "others": F.when(_c(kind) == "strategic_decision", listed(alternatives, LISTED)), "prior": first_words(prior_decision, TOLD), "before": F.coalesce(_c(prior_occurred).cast("string"), F.lit("")),
+    }
+    there = {name: F.coalesce(value != "", F.lit(False)) for name, value in values.items()}
+    there |= {"prior": _c(prior_decision).isNotNull(), "names": F.size(_c(names)) > 0, "others": (F.size(_c(alternatives)) > 0) & (_c(kind) == "strategic_decision")}
     primary = F.lower(F.coalesce(filled(role), F.lit("primary"))) == "primary"
-    day, before = first_words(occurred, 1000), F.coalesce(_c(prior_occurred).cast("string"), F.lit(""))
-    others = F.array_join(F.transform(F.slice(_c(alternatives), 1, 3), lambda a: F.substring(a, 1, 80)), "; ")
-    prior = primary & _c(prior_decision).isNotNull()
-    facts = [
-        F.when(first_words(decision, 200) != "", quoted("The decision", first_words(decision, 200))),
-        F.when(primary & (first_words(reason, 200) != ""), quoted("The reason", first_words(reason, 200))),
-        F.when(F.size(_c(names)) > 0, F.concat(F.lit("At least one participant by name (any of: "), F.array_join(F.slice(_c(names), 1, 3), ", "), F.lit(")"))),
-        F.when(primary & (day != ""), F.concat(F.lit("The date: "), day)),
-        F.when(primary & (F.size(_c(alternatives)) > 0) & (_c(kind) == "strategic_decision"), F.concat(F.lit("At least one alternative considered (any of: "), others, F.lit(")"))),
-        F.when(prior, F.concat(F.lit("The PRIOR (now-corrected) understanding from "), before, F.lit(': "'), first_words(prior_decision, 200), F.lit('"'))),
-        F.when(prior, F.concat(F.lit("BOTH dates referenced: "), before, F.lit(" (prior) AND "), day, F.lit(" (correction)"))),
-    ]
-    return F.array_compact(F.array(*facts))
+    return F.array_compact(F.array(*[F.when(there[need] & (primary | F.lit(who == "any")), sentence(text, values)) for who, need, text in CANONICAL]))
 
 
 def scattered_facts(decision, reason, occurred, alternatives, names) -> Column:
-    """An event in up to seven facts that can each stand alone."""
-    day = F.substring(F.coalesce(_c(occurred), F.lit("")), 1, 10)
-    one = [
-        F.when(first_words(decision, 200) != "", quoted("The decision made", first_words(decision, 200))),
-        F.when(first_words(reason, 200) != "", quoted("The reason behind it", first_words(reason, 200))),
-        F.when(day != "", F.concat(F.lit("That this was decided around "), day)),
-    ]
-    rejected = F.transform(F.slice(_c(alternatives), 1, 2), lambda a: quoted("That an alternative considered (and rejected) was", F.substring(a, 1, 120)))
-    people = F.transform(F.slice(_c(names), 1, 2), lambda n: F.concat(F.lit("That "), n, F.lit(" was involved in this call")))
-    return F.concat(F.array_compact(F.array(*one)), rejected, people)
+    """The sentences of SCATTERED for an event: one a text that is not empty, one each for up to two alternatives and people."""
+    single = {"decision": first_words(decision, TOLD), "reason": first_words(reason, TOLD), "day": F.substring(F.coalesce(_c(occurred), F.lit("")), 1, 10)}
+    several = {"rejected": F.transform(F.slice(_c(alternatives), 1, 2), lambda a: F.substring(a, 1, ALONE)), "people": F.slice(_c(names), 1, 2)}
+    told = lambda need, text: F.transform(F.filter(F.array(single[need]), lambda x: x != "") if need in single else several[need], lambda x: sentence(text, {need: x}))
+    return F.concat(*[told(need, text) for need, text in SCATTERED])
 
 
 def fact_lines(text, n: Column) -> Column:

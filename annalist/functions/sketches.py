@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from annalist.functions import parse as P
 from annalist.functions import rules as R
 
-#: A line of a rubric: id, points, criterion and what fails it.
-RUBRIC = r"^[-*]\s*([A-Z0-9]+\.sub[0-9]+)\s*\|\s*([0-9.]+)\s*\|\s*(.+?)(?:\s*\|\s*FAIL:\s*(.+))?$"
+#: Words of the outline's format: levels of discipline, headings of its parts. Fixed values.
+LEVELS = "low medium high".split()
+#: Fields of an outline: name, heading, how its part is read, what is kept of it (all, or so many), its bounds and what is said
+#: beyond them. Bounds are of the number of entries; of one that is a number itself, of its value.
+OUTLINE = [
+    ("founding_year", "founding", "year", "first", None, None, "no founding year"),
+    ("founders", "founding", "names", 2, 2, None, "fewer than two founders"),
+    ("year_arcs", "year arcs", "arcs", "all", 1, None, "no year arcs"),
+    ("eras", "doc-discipline eras", "eras", "all", 5, 5, "not five eras"),
+    ("products", "product lines", "items", "all", 1, None, "no product lines"),
+    ("customer_arc_count", "customer arc count", "numbers", "first", 8, 10, "customer arcs not 8 to 10"),
+    ("tooling", "tooling timeline", "tools", "all", 1, None, "no tooling timeline"),
+]
 
 
 def _c(x) -> Column:
@@ -77,11 +88,22 @@ def paraphrases(text) -> Column:
 
 
 def rubric_lines(text) -> Column:
-    """'- C1.sub1 | 2 | criterion | FAIL: ...' lines as structs; points that are no number leave a line out."""
-    lines = F.filter(F.transform(F.split(P.unfenced(text), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(RUBRIC))
-    part = lambda x, i: F.regexp_extract(x, RUBRIC, i)
-    made = F.transform(lines, lambda x: F.struct(part(x, 1).alias("id"), part(x, 2).try_cast("double").alias("max_score"), F.trim(part(x, 3)).alias("criterion"), R.filled(F.trim(part(x, 4))).alias("fail_criterion")))
-    return F.filter(made, lambda r: r["max_score"].isNotNull())
+    """'- C1.sub1 | 2 | criterion | FAIL: ...' lines as structs: listed lines cut at their bars, the last part being what fails if it says so.
+
+    Lines without an id of a numbered part, points that are a number and a criterion are left out.
+    """
+    def line(x):
+        parts = F.transform(F.split(F.regexp_replace(x, r"^[-*]", ""), r"\|"), lambda c: F.trim(c))
+        fails = F.startswith(F.element_at(parts, -1), F.lit("FAIL:")) & (F.size(parts) > 3)
+        criterion = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - F.when(fails, 3).otherwise(2), F.lit(0))), " | ")
+        return F.struct(
+            parts[0].alias("id"), F.get(parts, F.lit(1)).try_cast("double").alias("max_score"), criterion.alias("criterion"),
+            F.when(fails, R.filled(F.trim(F.substring(F.element_at(parts, -1), 6, 10_000)))).alias("fail_criterion"),
+        )
+
+    numbered = lambda r: F.substring_index(r["id"], ".sub", -1).try_cast("int").isNotNull() & F.contains(r["id"], F.lit(".sub"))
+    listed = F.filter(F.transform(F.split(P.unfenced(text), "\n"), lambda x: F.trim(x)), lambda x: F.substring(x, 1, 1).isin("-", "*"))
+    return F.filter(F.transform(listed, line), lambda r: numbered(r) & r["max_score"].isNotNull() & (r["criterion"] != ""))
 
 
 def facet_rubric(facets) -> Column:
@@ -94,35 +116,76 @@ def facet_rubric(facets) -> Column:
     return F.concat(own, rest)
 
 
+# Outlines
+
+
+def listed(body: Column) -> Column:
+    """What stands behind the dashes of list lines."""
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("-")))
+    return F.filter(F.transform(lines, lambda x: F.trim(F.ltrim(x, F.lit("-")))), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+
+
+def keyed(body: Column) -> Column:
+    """List lines 'key: value' whose key begins with a year: structs of key, year and value."""
+    made = F.transform(listed(body), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.substring(x, 1, 4).try_cast("int").alias("year"), F.trim(F.substring(x, F.instr(x, ":") + 1, 10_000)).alias("value")))
+    return F.filter(made, lambda k: k["year"].isNotNull() & (k["value"] != ""))
+
+
+def names_in(prose: Column) -> Column:
+    """Runs of two or more words in a row that begin with a capital and go on in small letters, each once."""
+    phrases = F.split(prose, r"[^\p{L} '-]+")
+    marked = F.transform(phrases, lambda p: F.array_join(F.transform(F.split(p, " +"), lambda w: F.when(w.rlike(r"^\p{Lu}\p{Ll}"), w).otherwise("/")), " "))
+    runs = F.flatten(F.transform(marked, lambda p: F.transform(F.split(p, "/"), lambda r: F.trim(r))))
+    return F.array_distinct(F.filter(runs, lambda r: F.contains(r, F.lit(" "))))
+
+
+def numbers_in(prose: Column) -> Column:
+    return F.array_compact(F.transform(F.split(prose, r"[\s,;.()]+"), lambda w: w.try_cast("int")))
+
+
+def era_blocks(body: Column) -> Column:
+    """'### Era 1: name' blocks with a date span, a level and what characterises them; those without any of these are left out."""
+    def era(b):
+        title, span = F.substring_index(b, "\n", 1), field(b, "date span")
+        level = F.lower(F.substring_index(field(b, "discipline level"), " ", 1))
+        return F.struct(
+            F.regexp_extract(title, "[0-9]+", 0).try_cast("int").alias("n"), F.trim(F.substring(title, F.instr(title, ":") + 1, 10_000)).alias("name"),
+            F.trim(F.substring_index(span, " to ", 1)).alias("start"), F.trim(F.substring_index(span, " to ", -1)).alias("end"),
+            F.when(level.isin(LEVELS), level).otherwise("").alias("discipline_level"), F.regexp_replace(F.coalesce(F.get(F.split(b, r"(?i)characterisation:", 2), F.lit(1)), F.lit("")), r"\A\s+|\s+\z", "").alias("characterisation"),
+        )
+
+    made = F.transform(blocks(body, r"###[ \t]*[Ee]ra[ \t]"), era)
+    return F.filter(made, lambda e: P.month_index(e["start"]).isNotNull() & P.month_index(e["end"]).isNotNull() & (e["discipline_level"] != "") & (e["characterisation"] != ""))
+
+
+#: How a part of an outline is read: from its text to an array.
+READERS = {
+    "year": lambda body: F.filter(numbers_in(body), lambda n: n.between(1900, 2099)),
+    "numbers": numbers_in,
+    "names": names_in,
+    "items": listed,
+    "eras": era_blocks,
+    "arcs": lambda body: F.transform(keyed(body), lambda k: F.struct(k["year"].alias("year"), k["value"].alias("arc"))),
+    "tools": lambda body: F.transform(keyed(body), lambda k: F.struct(k["year"].alias("year"), F.when(F.contains(k["key"], F.lit("-Q")), F.substring_index(k["key"], "-Q", -1).try_cast("int")).alias("quarter"), k["value"].alias("description"))),
+}
+
+
 def skeleton(text) -> Column:
-    """A drafted outline by its sections, as one struct; `problems` lists what is missing or out of range, in order, and is empty for a good one.
+    """A drafted outline read by OUTLINE, as one struct; `problems` lists what is missing or beyond its bounds, in the order of OUTLINE.
 
-    Sections (headings of one or two signs, in any case): founding (prose with a year and people's names), year arcs and tooling
-    timeline (dated list items), doc-discipline eras (blocks of lines), product lines (list items), customer arc count (a number).
+    Headings are of one or two signs, in any case. Besides the bounds, the eras need a low and a high level among them.
     """
     parts = P.sections(P.unfenced(text))
-    body = lambda name: F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p["title"]) == name), F.lit(0))["body"], F.lit(""))
-    got = lambda x, p, i=1: F.regexp_replace(F.regexp_extract(x, p, i), r"\A\s+|\s+\z", "")
-    items = lambda x, p: F.filter(F.split(x, "\n"), lambda line: line.rlike(p))
-    dated, tool = r"^\s*-\s*([0-9]{4})\s*:\s*(.+)$", r"^\s*-\s*([0-9]{4})(?:-Q([1-4]))?\s*:\s*(.+)$"
-    year = got(body("founding"), r"\b((?:19|20)[0-9]{2})\b").try_cast("int")
-    people = F.slice(F.array_distinct(F.regexp_extract_all(body("founding"), F.lit(r"\b([A-Z][a-z]+\s+[A-Z][a-z]+(?:[- ][A-Z][a-z]+)?)"), F.lit(1))), 1, 2)
-    arc = lambda line: F.named_struct(F.lit("year"), got(line, dated).cast("int"), F.lit("arc"), got(line, dated, 2))
-    arcs = F.transform(items(body("year arcs"), dated), arc)
-    span = r"(?i)Date span:\s*([0-9]{4}-[0-9]{2})\s*to\s*([0-9]{4}-[0-9]{2})"
-    era = lambda b: F.named_struct(
-        F.lit("n"), got(b, r"(?i)\A###\s*Era\s+([0-9]+)").cast("int"), F.lit("name"), got(b, r"(?i)\A###\s*Era\s+[0-9]+\s*:\s*([^\n]*)"), F.lit("start"), got(b, span), F.lit("end"), got(b, span, 2),
-        F.lit("discipline_level"), F.lower(got(b, r"(?i)Discipline level:\s*(low|medium|high)")), F.lit("characterisation"), got(b, r"(?is)Characterisation:\s*(.+)"),
-    )
-    eras = F.filter(F.transform(F.filter(F.split(body("doc-discipline eras"), r"(?i)(?=###\s*Era\s+[0-9])"), lambda b: b.rlike(r"(?i)\A###\s*Era")), era), lambda e: (e["start"] != "") & (e["discipline_level"] != "") & (e["characterisation"] != ""))
-    products = F.filter(F.transform(items(body("product lines"), r"^\s*-\s*\S"), lambda line: got(line, r"^\s*-\s*(.+)$")), lambda p: ~p.startswith("#"))
-    count = got(body("customer arc count"), r"(?:^|\s)([0-9]+)(?:\s|$)").try_cast("int")
-    tools = F.transform(items(body("tooling timeline"), tool), lambda line: F.named_struct(F.lit("year"), got(line, tool).cast("int"), F.lit("quarter"), got(line, tool, 2).try_cast("int"), F.lit("description"), got(line, tool, 3)))
-    levels = F.transform(eras, lambda e: e["discipline_level"])
-    checks = [
-        (year.isNull(), "no founding year"), (F.size(people) < 2, "fewer than two founders"), (F.size(arcs) == 0, "no year arcs"), (F.size(eras) != 5, "not five eras"),
-        (~(F.array_contains(levels, "low") & F.array_contains(levels, "high")), "no era of low or of high discipline"), (F.size(products) == 0, "no product lines"),
-        (~F.coalesce(count.between(8, 10), F.lit(False)), "customer arcs not 8 to 10"), (F.size(tools) == 0, "no tooling timeline"),
-    ]
-    problems = F.array_compact(F.array(*[F.when(bad, what) for bad, what in checks]))
-    return F.struct(year.alias("founding_year"), people.alias("founders"), arcs.alias("year_arcs"), eras.alias("eras"), products.alias("products"), count.alias("customer_arc_count"), tools.alias("tooling"), problems.alias("problems"))
+    body = lambda heading: F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p["title"]) == heading), F.lit(0))["body"], F.lit(""))
+    fields, problems = [], []
+    for name, heading, reader, keep, least, most, said in OUTLINE:
+        read = READERS[reader](body(heading))
+        value = F.get(read, F.lit(0)) if keep == "first" else F.slice(read, 1, keep) if isinstance(keep, int) else read
+        fields.append(value.alias(name))
+        measure = value if keep == "first" else F.size(read)
+        within = measure.isNotNull() & (F.lit(True) if least is None else measure >= least) & (F.lit(True) if most is None else measure <= most)
+        problems.append(F.when(~F.coalesce(within, F.lit(False)), said))
+        if reader == "eras":
+            held = F.transform(read, lambda e: e["discipline_level"])
+            problems.append(F.when(~(F.array_contains(held, LEVELS[0]) & F.array_contains(held, LEVELS[-1])), "no era of low or of high discipline"))
+    return F.struct(*fields, F.array_compact(F.array(*problems)).alias("problems"))
