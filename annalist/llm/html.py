@@ -18,6 +18,10 @@ its verdict holds on every page:
 - all other slots stay, whatever their length: a headline, a lead, a table.
 Where a host has no template, the elements' tags, roles and classes decide on each page, and nothing else is left out.
 
+A form, and an element that only its class or id tells of, are looked through where they hold more than half of a page's plain
+text and two paragraphs or headings: a page may be one form as a whole, an article may be called a popup. A class tells by its
+own name, or by its last part (site-footer), or by its first before a word for a box (ad-slot); not otherwise (notice-period).
+
 The templates are written, one row a host. Up to BROADCAST_BYTES of them are broadcast, so that pages are not shuffled and a
 hot host is no task's alone; beyond that they meet the pages by a join on the host, whose hot keys Spark splits.
 
@@ -45,10 +49,12 @@ BROADCAST_BYTES = 8 << 20
 #: Elements that are a paragraph of the one around them, and headings.
 PARAGRAPH, HEADING = re.compile(r"(p|li|td|th|tr|dd|dt|blockquote|pre)\b"), re.compile(r"h[1-6]\b")
 #: Names that mark what is not main text: fixed values.
-DROPPED = frozenset("nav footer aside form script style noscript template button select iframe dialog textarea svg head title object canvas menu".split())
+DROPPED = frozenset("nav footer aside script style noscript template button select iframe textarea svg head title object canvas menu".split())
 WORDS = frozenset("ad ads advert advertisement adverts banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal overlay newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments reply replies disqus widget login signup toolbar".split())
 COMMENTS = frozenset("comment comments reply replies disqus".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar".split())
+FORMS = frozenset("form dialog".split())
+BOXES = frozenset("area bar block body bottom box button container content form group head inner item items left link links list main outer panel posts right section slot text title top unit wrap wrapper".split())
 RAW = ("script", "style", "noscript", "textarea", "template", "title", "svg", "iframe")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,15 +65,30 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def marks(name: str, attributes: str) -> tuple[str, int]:
-    """An element's name in paths (with its first class), and how it is marked: 2 by tag, role or as comments, 1 by another class or id, 0 not at all."""
+def tells(names: str, words: frozenset) -> bool:
+    """Whether one of some class names or ids is one of words, ends with one, or begins with one and ends with a word for a box."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if parts and (parts[-1] in words or parts[0] in words and parts[-1] in BOXES):
+            return True
+    return False
+
+
+def marks(name: str, attributes: str) -> tuple[str, int, bool]:
+    """An element's name in paths (with its first class), how it is marked (2 by tag, role or as comments, 1 by another class or
+    id, 0 not at all), and whether it may be looked through: a form, or what only a class tells of."""
     if not attributes:
-        return name, 2 * (name in DROPPED)
+        return name, 2 * (name in DROPPED or name in FORMS), name in FORMS
     found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")) if name not in ("html", "body", "article", "main") else set()
-    out = 2 if name in DROPPED or found.get("role") in ROLES or not words.isdisjoint(COMMENTS) else int(not words.isdisjoint(WORDS))
+    names = f"{found.get('class', '')} {found.get('id', '')}" if name not in ("html", "body", "article", "main") else ""
     first = found.get("class", "").split()
-    return f"{name}.{first[0]}" if first else name, out
+    path = f"{name}.{first[0]}" if first else name
+    if name in DROPPED or found.get("role") in ROLES or tells(names, COMMENTS):
+        return path, 2, False
+    if name in FORMS or found.get("role") in FORMS:
+        return path, 2, True
+    out = int(tells(names, WORDS))
+    return path, out, bool(out)
 
 
 class Chunk:
@@ -82,17 +103,27 @@ class Chunk:
 def chunks(page: str | None, elements: dict | None = None) -> list[Chunk]:
     """The blocks of a page that hold text, in order. elements, if given, gets the count of each path."""
     found: list[Chunk] = []
-    stack: list[tuple[str, str, int, bool]] = []  # name, name in paths, mark, in an article
+    stack: list[tuple[str, str, bool, bool, tuple]] = []  # name, name in paths, marked for good, in an article, what may be looked through
+    told: list[tuple[bool, tuple]] = []  # of each chunk: marked for good, and the last of these
+    whole = 0  # plain text that is not marked for good
     parts: list[tuple[str, bool]] = []
     links = 0
     page = page or ""
 
     def flush() -> None:
+        nonlocal whole
         if parts:
             text = " ".join(entities.unescape("".join([t for t, _ in parts])).split())
             if text:
-                out, article = (stack[-1][2], stack[-1][3]) if stack else (0, False)
-                found.append(Chunk(tuple([s[1] for s in stack]), out, article, text, all(linked or not t.strip() for t, linked in parts)))
+                hard, article, soft = stack[-1][2:] if stack else (False, False, ())
+                linked = all(linked or not t.strip() for t, linked in parts)
+                found.append(Chunk(tuple([s[1] for s in stack]), 0, article, text, linked))
+                told.append((hard, soft))
+                if not hard and not linked:
+                    whole += len(text)
+                    for held in soft:
+                        held[1] += len(text)
+                        held[2] += bool(stack) and bool(PARAGRAPH.match(stack[-1][0]) or HEADING.match(stack[-1][0]))
             parts.clear()
 
     at = 0
@@ -128,17 +159,20 @@ def chunks(page: str | None, elements: dict | None = None) -> list[Chunk]:
         shut = CLOSES.get(name, frozenset())
         while stack and (stack[-1][0] in shut or stack[-1][0] == "p" and name in BLOCKS_CLOSE_P):
             stack.pop()
-        path_name, out = marks(name, m[3])
-        outer = stack[-1] if stack else ("", "", 0, False)
+        path_name, out, through = marks(name, m[3])
+        outer = stack[-1] if stack else ("", "", False, False, ())
         if name == "header" and not outer[3]:
-            out = 2
-        stack.append((name, path_name, max(outer[2], out), outer[3] or name in ("article", "main")))
+            out, through = 2, False
+        soft = (*outer[4], [out, 0, 0]) if through else outer[4]
+        stack.append((name, path_name, outer[2] or out == 2 and not through, outer[3] or name in ("article", "main"), soft))
         if elements is not None:
             path = tuple([s[1] for s in stack])
             elements[path] = elements.get(path, 0) + 1
     if at < len(page):
         parts.append((page[at:], links > 0))
     flush()
+    for chunk, (hard, soft) in zip(found, told, strict=True):
+        chunk.out = 2 if hard else max([out for out, chars, blocks in soft if 2 * chars <= whole or blocks < 2], default=0)
     return found
 
 

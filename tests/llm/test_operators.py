@@ -1,16 +1,20 @@
 """The operators against brute force on small tables, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
 from annalist.llm import decontamination, html, jaccard, language, neighbours, packing, quality, suffixes, toxicity, warc
+from annalist.llm.common import read
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, cuts string, k1 bigint, score double"
 
 
@@ -217,7 +221,7 @@ def test_html_slots_decide_without_telling_names(spark, monkeypatch):
     got = {r.page_id: (r.text, r.by_template) for r in html.extract(frame).collect()}
     assert {i: got[i] for i in range(8)} == {i: (f"Head {i} {body[i]} Tail {i}", True) for i in range(8)}
     assert {i: got[20 + i] for i in range(8)} == {i: (f"Head {i} {body[i]}", True) for i in range(8)}
-    assert got[40] == ("", False) and got[41] == (f"Start 2Topic 2 Head 2 {body[2]} Tail 2 Made by the house More 2", False)
+    assert got[40] == (f"Head 1 {body[1]}", False) and got[41] == (f"Start 2Topic 2 Head 2 {body[2]} Tail 2 Made by the house More 2", False)
     assert html.extract(frame.limit(0)).count() == 0
     monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
     assert {r.page_id: (r.text, r.by_template) for r in html.extract(frame).collect()} == got
@@ -229,6 +233,60 @@ def test_html_very_long_and_cut_pages(spark):
     assert got[1].startswith("paragraph 0 paragraph 1 ") and "paragraph 29999 end" in got[1] and got[3] == "deep"
 
 
+def test_html_looks_through_forms_and_telling_names(spark):
+    """A page in one form, a main block with a telling class, class names that only contain a telling word; small forms and notices go."""
+    form = "<html><body><form id=aspnet><nav><a href=x>Menu {0}</a></nav><div class=main-text><h1>Head {0}</h1><p>{1}</p><p>More {0}</p></div><div class=newsletter><p>Mail {0}</p></div></form><footer>House</footer></body>"
+    box = "<html><body><div class='share-price article'><p>Price {0}</p></div><div class=notice-period><p>Period {0}</p></div><p>{1}</p><div class=cookie-banner><p>Cookies {0}</p></div><form><p>Name {0}</p><p>Mail {0}</p></form><div class=ad-slot>Buy {0}</div></body>"
+    login = "<html><body><form><div>Name</div><div>Password</div></form></body>"
+    body = [" ".join(f"word{i} text{k}" for k in range(30)) for i in range(6)]
+    rows = [(i, f"http://form.example/{i}", form.format(i, body[i])) for i in range(6)] + [(10, "http://one.example/", form.format(1, body[1])), (11, "http://two.example/", box.format(1, body[1])), (12, "http://three.example/", login)]
+    rows += [(20 + i, f"http://box.example/{i}", box.format(i, body[i])) for i in range(6)]
+    got = extracted(spark, rows)
+    assert {i: got[i] for i in range(6)} == {i: f"Head {i} {body[i]} More {i}" for i in range(6)} and got[10] == got[1]
+    want = [f"Price {i} Period {i} {body[i]}" for i in range(6)]
+    assert got[11] == want[1] and got[12] == "" and [got[20 + i] for i in range(6)] == want
+    assert [html.tells(c, html.WORDS) for c in ("popup wide", "site-footer", "ad-slot ", "share-price", "notice-period", "sidebar2", "breadcrumb")] == [True, True, True, False, False, True, True]
+
+
+class Plain(HTMLParser):
+    """A second extractor, by tags alone: blocks of text outside of what the given pages mark."""
+
+    GONE = {"nav", "footer", "aside", "script", "style", "form", "head", "header"}
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "img", "meta", "link", "input", "hr"):
+            words = set(" ".join(v or "" for k, v in attrs if k in ("class", "id")).split())
+            self.stack.append((tag, bool(words & {"ad", "ads", "comments", "comment", "cookie", "notice", "sidebar"}) or tag in self.GONE and not (tag == "header" and any(t == "article" for t, _ in self.stack))))
+        if tag not in html.INLINE:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.stack) and self.stack.pop()[0] != tag:
+            pass
+        if tag not in html.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.stack):
+            self.blocks[-1] += data
+
+
+def test_html_equals_a_plain_extractor_on_all_given_pages(spark):
+    pages = read(spark, SF, "pages")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        assert got[r.page_id] == " ".join(b for b in (" ".join(b.split()) for b in plain.blocks) if b), r.page_id
+
+
 def test_html_articles_are_a_hint(spark):
     story = "<html><body><article><h1>Title {0}</h1><p>Story {0}</p>{1}<p>All rights with the house</p></article></body>"
     cards = "<html><body><article><a href=x>Card {0}</a></article><div class=text><p>Main text {0}</p></div><article>Teaser {0}</article></body>"

@@ -37,7 +37,7 @@ ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, s
 
 def odd_rows():
     words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
-    texts = [(1, words("a", 80)), (1, words("a", 80)), (2, words("a", 80)), (3, None), (4, ""), (5, words("b", 50_000)), (6, words("c", 30)), (6, words("d", 30)), (None, words("e", 20)), (None, None), (7, words("f", 90).replace("fw40 ", "x "))]
+    texts = [(1, words("a", 80)), (1, words("a", 80)), (2, words("a", 80)), (3, None), (4, ""), (5, words("b", 50_000)), (6, words("c", 30)), (6, words("d", 30)), (None, words("e", 60)), (None, words("e", 60)), (None, words("a", 80)), (None, None), (None, ""), (None, ""), (7, words("f", 90).replace("fw40 ", "x "))]
     return [(i, t, "en", "s", len(t or ""), 0.5, "c", 7, "r") for i, t in texts]
 
 
@@ -50,7 +50,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
         docs = written(stage(spark, docs, str(tmp_path)), "odd")
         assert docs.columns == [f.split()[0] for f in ODD.split(", ")], name
     got = sorted((r.doc_id or -1, (r.text or "")[:2], len((r.text or "").split())) for r in docs.collect())
-    assert got == sorted([(1, "aw", 80), (3, "", 0), (4, "", 0), (5, "bw", 50_000), (6, "cw", 30), (6, "dw", 30), (-1, "ew", 20), (-1, "", 0), (7, "fw", 90)])
+    assert got == sorted([(1, "aw", 80), (3, "", 0), (4, "", 0), (5, "bw", 50_000), (6, "cw", 30), (6, "dw", 30), (-1, "ew", 60), (-1, "", 0), (-1, "", 0), (-1, "", 0), (7, "fw", 90)])
     assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == {1, 3, 4, 5, 6, 7, None}
 
 
