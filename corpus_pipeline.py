@@ -26,11 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; of rows repeated under one id with one text, one.
 
-    Different texts under one id all stay if any of them is the first of its group: none is lost that has no copy.
+    Different texts under one id all stay if any of them is the first of its group: none is lost that has no copy. Of rows
+    without an id, one of each text stays that no row with an id has, and all without words. A repeat that stays would be cut
+    from all its rows by the next stage.
     """
     first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    bare = docs.where("doc_id is null")
+    said = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    digest = F.sha1(F.col("text").cast("binary"))
+    known = docs.where("doc_id is not null").select(digest.alias("__digest"))
+    single = bare.where(said).dropDuplicates(["text"]).withColumn("__digest", digest).join(known, "__digest", "left_anti").drop("__digest")
+    return kept.unionByName(single).unionByName(bare.where(~said)).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
