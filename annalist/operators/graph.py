@@ -71,25 +71,77 @@ def corrections(relations: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def reach(starts: DataFrame, edges: DataFrame, what: str, rounds: int = 200) -> DataFrame:
-    """(start, node, path) of all nodes that edges (a, b, ord) lead to from each start, itself first.
+def segments(edges: DataFrame, starts: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b, ord) with their unbranched stretches drawn together: steps and what lies within them, both written.
 
-    path is the least sequence of ords that leads there: its order is that of a depth-first walk that takes edges by ord and
-    no node twice. Each round extends the paths that the last one found or made smaller, by an equi-join, and is written;
-    as many rounds as the longest path has edges. Cycles make no path smaller, so they end.
+    A node with one edge in and one out that is no start lies within. steps: a, b, label (the ord if a has more edges than one,
+    else nothing), length in edges, head (the first node within, if any). within: node, head, offset from it. Nodes find the
+    head of their stretch by doubling: each round reads on from where the last one ended, log2 of the longest stretch in all.
     """
+    out, into = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("out")), edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("into"))
+    inner = out.where("out = 1").join(into.where("into = 1"), "node").join(starts.select(F.col("start").alias("node")), "node", "left_anti").select("node")
+    before = edges.select(F.col("b").alias("node"), F.col("a").alias("head"))
+    inside = inner.select(F.col("node").alias("head"), F.lit(True).alias("_in"))
+    held = inner.join(before, "node").join(inside, "head", "left").select("node", F.when(F.col("_in"), F.col("head")).otherwise(F.col("node")).alias("head"), F.when(F.col("_in"), 1).otherwise(0).cast("bigint").alias("offset"))
+    held = written(held, what)
+    reached, n = 1, held.count()
+    while reached < n:
+        ahead = held.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("offset").alias("_offset"))
+        last, held = held, written(held.join(ahead, "head").select("node", F.col("_head").alias("head"), (F.col("offset") + F.col("_offset")).alias("offset")), what)
+        moved = held.join(last.select("node", F.col("head").alias("_old")), "node").where("head <> _old").isEmpty()
+        forget(last)
+        if moved:
+            break
+        reached *= 2
+    tails = held.groupBy("head").agg(F.max(F.struct("offset", "node")).alias("t")).select("head", F.col("t.node").alias("tail"), (F.col("t.offset") + 2).alias("length"))
+    after = edges.select(F.col("a").alias("tail"), F.col("b").alias("_end"))
+    whole = tails.join(after, "tail").select(F.col("head").alias("b"), "_end", "length")
+    first = edges.join(inner.select(F.col("node").alias("a")), "a", "left_anti").join(out.select(F.col("node").alias("a"), "out"), "a").join(whole, "b", "left")
+    label = F.when(F.col("out") > 1, F.array("ord")).otherwise(F.array().cast("array<bigint>"))
+    steps = first.select("a", F.coalesce("_end", "b").alias("b"), label.alias("label"), F.coalesce("length", F.lit(1)).cast("bigint").alias("length"), F.when(F.col("_end").isNotNull(), F.col("b")).alias("head"))
+    return written(steps, f"{what}-steps"), held
+
+
+def reach(starts: DataFrame, edges: DataFrame, what: str) -> DataFrame:
+    """(start, node, path, depth) of all nodes that edges (a, b, ord) lead to from each start, itself first.
+
+    path holds the ords chosen where a node has several edges, depth counts edges: ordered by both, a start's nodes are in the
+    order of a depth-first walk that takes edges by ord and no node twice. Unbranched stretches are one step each (`segments`);
+    the steps are closed by doubling, a round joining every path with all that go on from its end and keeping the least between
+    two nodes, so a walk of n steps takes log2(n) rounds, each written. There is no bound on depth. A cycle shows as a path that
+    ends where it began; then the order of a walk depends on what it met before, and the edges are followed one by one.
+    """
+    steps, within = segments(edges, starts, what)
+    least = lambda rows: rows.groupBy("a", "b").agg(F.min(F.struct("label", "length")).alias("_l")).select("a", "b", "_l.label", "_l.length")
+    closed, n = written(least(steps), what), -1
+    while (now := closed.count()) != n:
+        if not closed.where("a = b").isEmpty():
+            return by_rounds(starts, edges, what)
+        n = now
+        on = closed.select(F.col("a").alias("b"), F.col("b").alias("_to"), F.col("label").alias("_label"), F.col("length").alias("_length"))
+        longer = closed.join(on, "b").select("a", F.col("_to").alias("b"), F.concat("label", "_label").alias("label"), (F.col("length") + F.col("_length")).alias("length"))
+        last, closed = closed, written(least(closed.unionByName(longer)), what)
+        forget(last)
+    own = starts.select("start").distinct()
+    here = own.select("start", F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("bigint").alias("depth"))
+    ends = here.unionByName(closed.join(own.select(F.col("start").alias("a")), "a").select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("label").alias("path"), F.col("length").alias("depth")))
+    parts = steps.where("head is not null").select(F.col("a").alias("node"), F.col("label").alias("_label"), "head").join(within.select(F.col("node").alias("_inner"), "head", "offset"), "head")
+    passed = ends.join(parts, "node").select("start", F.col("_inner").alias("node"), F.concat("path", "_label").alias("path"), (F.col("depth") + 1 + F.col("offset")).alias("depth"))
+    return ends.unionByName(passed)
+
+
+def by_rounds(starts: DataFrame, edges: DataFrame, what: str) -> DataFrame:
+    """`reach` one edge a round, for edges with cycles: a round extends the paths that the last one found or made smaller. A cycle makes no path smaller."""
     found = written(starts.select(F.col("start"), F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path")).distinct(), what)
     new, old = found, []
-    for _ in range(rounds):
+    while not new.isEmpty():
         step = new.join(edges, F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("ord"))).alias("to"))
         new = written(step.join(found, ["start", "node"], "left").where("path is null or to < path").select("start", "node", F.col("to").alias("path")), what)
-        if new.isEmpty():
-            return found
         old, found = [found, *old], written(found.unionByName(new).groupBy("start", "node").agg(F.min("path").alias("path")), what)
         while old:
             forget(old.pop())
         old = [new]
-    raise RuntimeError(f"{what}: paths of more than {rounds} edges")
+    return found.withColumn("depth", F.size("path").cast("bigint"))
 
 
 def audit(relations: DataFrame, events: DataFrame) -> DataFrame:
@@ -105,8 +157,8 @@ def audit(relations: DataFrame, events: DataFrame) -> DataFrame:
     facts = events.select(F.col("id").alias("node"), text("decision").alias("decision"), slots().alias("slots"))
 
     def chain(rows, key, name):
-        with_facts = rows.join(facts, "node", "left").select("start", F.struct("path", "node", F.coalesce("decision", F.lit("")).alias("decision"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots")).alias("e"))
-        return with_facts.groupBy(F.col("start").alias(key)).agg(F.array_sort(F.collect_list("e"), lambda x, y: F.when(x["path"] < y["path"], -1).when(x["path"] > y["path"], 1).otherwise(0)).alias(name))
+        with_facts = rows.join(facts, "node", "left").select("start", F.struct("path", "depth", "node", F.coalesce("decision", F.lit("")).alias("decision"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots")).alias("e"))
+        return with_facts.groupBy(F.col("start").alias(key)).agg(F.array_sort(F.collect_list("e")).alias(name))
 
     both = edges.join(chain(older, "target", "older"), "target").join(chain(newer, "source", "newer"), "source")
     chained, last = F.concat("older", "newer"), F.element_at("newer", -1)
@@ -253,3 +305,76 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, budget: int, c
     nearest = found.groupBy("seed", "id").agg(F.min("depth").alias("depth")).join(cost, "id")
     w = Window.partitionBy("seed").orderBy("depth", "id").rowsBetween(Window.unboundedPreceding, 0)
     return nearest.withColumn("spent", F.sum("cost").over(w)).where(F.col("spent") <= budget)
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, cost: DataFrame, budget: int, every: int = 8) -> DataFrame:
+    """query, id, depth, spent: the nodes around each query's seeds, nearest first and by id, while their running cost is within the budget.
+
+    edges: (a, b); seeds: (query, id); cost: (id, cost), nodes that it lacks are passed over. The search has no bound on depth:
+    each round joins the last one's nodes with the edges, leaves out what the query has met (an anti-join), adds up costs and
+    is written. A query ends with the first node that its budget does not cover, so it reads no further edges; one without a new
+    node ends too. Cycles bring no new nodes. Every so many rounds what was met is written as one table.
+    """
+    running = Window.partitionBy("query").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    level, spent, rounds, depth = seeds.select("query", "id").distinct(), seeds.select("query", F.lit(0).cast("bigint").alias("before")).distinct(), [], 0
+    while True:
+        rows = level.join(cost.select("id", F.col("cost").cast("bigint").alias("cost")), "id").join(spent, "query")
+        now = written(rows.select("query", "id", F.lit(depth).alias("depth"), (F.col("before") + F.sum("cost").over(running)).alias("spent")), "subgraph")
+        rounds.append(now)
+        spent = now.groupBy("query").agg(F.max("spent").alias("before")).where(F.col("before") <= budget)
+        if spent.isEmpty():
+            break
+        if len(rounds) > every:
+            met = written(_united(rounds), "subgraph")
+            for table in rounds[:-1]:
+                forget(table)
+            rounds = [met]
+        front = now.join(spent, "query", "left_semi").join(edges.select(F.col("a").alias("id"), "b"), "id").select("query", F.col("b").alias("id")).distinct()
+        level, depth = front.join(_united(rounds).select("query", "id"), ["query", "id"], "left_anti"), depth + 1
+    return _united(rounds).where(F.col("spent") <= budget)
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def planted(relations: DataFrame, events: DataFrame, artefacts: DataFrame) -> DataFrame:
+    """source, target, stale, host, later: of each superseding or reversing edge the first artefact of the older event, the artefact
+    that may cite it, and how many could. artefacts: event_id, slot_id, role, ord.
+
+    Those of later days than the newer event that belong to neither end could; of them the first secondary one by ord, else the
+    first. Edges do not meet all later artefacts: an artefact's day is its event's, so each day keeps the running count of what
+    lies after it and the first artefacts of three events, of which two at most are an edge's own.
+    """
+    day = lambda c: F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, 10)
+    dated = artefacts.join(events.select(F.col("id").alias("event_id"), day("occurred_at").alias("day")), "event_id")
+    first = F.struct(F.when(F.col("role") == "secondary", 0).otherwise(1).alias("rank"), "ord", "slot_id")
+    by_event = written(dated.groupBy("event_id", "day").agg(F.min(first).alias("best"), F.count("*").alias("n"), F.min(F.struct("ord", "slot_id")).alias("own")), "planted")
+    three = Window.partitionBy("day").orderBy("best", "event_id")
+    days = by_event.withColumn("_i", F.row_number().over(three)).groupBy("day").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("_i") <= 3, F.struct("best", "event_id"))).alias("three"))
+    none = days.sparkSession.createDataFrame([("",)], "day string").select("day", F.lit(0).cast("bigint").alias("n"), F.array().cast(days.schema["three"].dataType).alias("three"))
+    days = days.unionByName(none).withColumn("month", F.substring("day", 1, 7))  # a day before all others
+    after = lambda *part: Window.partitionBy(*part[1:]).orderBy(F.col(part[0]).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    best = lambda xs: F.slice(F.array_sort(F.flatten(xs)), 1, 3)
+    months = days.groupBy("month").agg(best(F.collect_list("three")).alias("three"))
+    months = months.select("month", best(F.collect_list("three").over(after("month"))).alias("_later"))
+    days = days.join(months, "month").withColumn("three", best(F.array(best(F.collect_list("three").over(after("day", "month"))), "_later"))).withColumn("n", F.coalesce(F.sum("n").over(after("day")), F.lit(0)))
+    days = days.groupBy("day").agg(F.min("n").alias("n"), F.max("three").alias("three"))
+    e = expand(relations, events, ["supersedes", "reverses"]).select("source", "target", day("src.occurred_at").alias("day"), day("tgt.occurred_at").alias("_old"))
+    own = by_event.select(F.col("event_id").alias("target"), F.col("n").alias("_n"), F.col("own.slot_id").alias("stale"))
+    e = e.join(own, "target").join(asof_days(e, days), "day")
+    left = F.filter("three", lambda x: (x["event_id"] != F.col("source")) & (x["event_id"] != F.col("target")))
+    later = F.col("n") - F.when(F.col("_old") > F.col("day"), F.col("_n")).otherwise(0)
+    return e.select("source", "target", "stale", F.get(left, F.lit(0))["best"]["slot_id"].alias("host"), later.alias("later")).where("host is not null")
+
+
+def asof_days(edges: DataFrame, days: DataFrame) -> DataFrame:
+    """What lies after each day of edges: that of the day itself or, where no artefact is of that day, of the next one before."""
+    wanted = edges.select("day").distinct().withColumn("_w", F.lit(1))
+    both = days.withColumn("_w", F.lit(0)).unionByName(wanted, allowMissingColumns=True)
+    last = Window.orderBy("day", "_w").rowsBetween(Window.unboundedPreceding, 0)  # days, not artefacts
+    filled = both.withColumn("_s", F.last(F.when(F.col("_w") == 0, F.struct("n", "three")), ignorenulls=True).over(last))
+    return filled.where("_w = 1 and _s is not null").select("day", "_s.n", "_s.three")

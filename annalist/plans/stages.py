@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.operators import calls
+from annalist.operators import calls, graph, retrieval
+from annalist.plans import knowledge
 from annalist.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,41 @@ def outcomes(o: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     reply = F.when(k % 4 == 3, "").when(k % 5 == 0, "no json").otherwise(F.format_string('{"score": %s}', s(k % 40 / F.lit(32.0))))
     return calls.called(o, ["o_orderkey"], ["o_orderkey"], F.concat_ws("|", s(k), s(F.when(F.col("o_custkey") % 64 < 32, k % 6).otherwise(k % 3)), reply), scheduled, GUARD, lanes=64, lane=F.col("o_custkey") % 64)
+
+
+# Graphs
+
+
+@query(
+    """WITH RECURSIVE q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents),
+    o AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN t USING (token) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o),
+    x AS (SELECT doc_id AS a, coalesce(lead(doc_id) OVER w, first(doc_id) OVER (PARTITION BY lang ORDER BY doc_id)) AS b, lead(doc_id, 5) OVER w AS c FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id)),
+    ed AS (SELECT a, b FROM x UNION SELECT a, c FROM x WHERE a % 5 = 0 AND c IS NOT NULL),
+    f AS (SELECT item_id AS query, doc_id AS id, 0 AS depth FROM r WHERE rank <= 2 UNION SELECT query, b, depth + 1 FROM f JOIN ed ON a = id WHERE depth < 60), n AS (SELECT query, id, min(depth) AS depth FROM f GROUP BY ALL),
+    s AS (SELECT query, id, depth, sum(1 + n_chars // 4) OVER (PARTITION BY query ORDER BY depth, id ROWS UNBOUNDED PRECEDING) AS spent FROM n JOIN documents ON doc_id = id)
+    SELECT query, id, depth::INT AS depth, spent::BIGINT AS spent FROM s WHERE spent <= 12000""",
+    "benchmark", "documents",
+)
+def subgraph_budget(b, d):
+    """Around the two best documents of each question along rings of their languages with short cuts, until 12,000 tokens are spent."""
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    x = d.select(F.col("doc_id").alias("a"), F.coalesce(F.lead("doc_id").over(w), F.first("doc_id").over(w)).alias("b"), F.lead("doc_id", 5).over(w).alias("c"))
+    edges = x.select("a", F.explode(F.array_compact(F.array_distinct(F.array("b", F.when(F.col("a") % 5 == 0, F.col("c")))))).alias("b"))
+    seeds = retrieval.top_k(retrieval.overlaps(b, d), "item_id", [F.desc("score"), F.col("doc_id")], 2).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"))
+    return graph.subgraph(edges, seeds, d.select(F.col("doc_id").alias("id"), F.expr("1 + n_chars div 4").alias("cost")), 12_000)
+
+
+@query(
+    f"""WITH {knowledge._GRAPH}, af AS (SELECT id AS event_id, unnest(evidence) AS v, generate_subscripts(evidence, 1) AS i FROM e), a AS (SELECT event_id, v.slot_id AS slot_id, CASE WHEN event_id % 4 = 1 THEN 'secondary' ELSE 'primary' END AS role, event_id * 10 + i AS ord FROM af),
+    d AS (SELECT a.*, occurred_at AS day FROM a JOIN e ON e.id = a.event_id), st AS (SELECT event_id, arg_min(slot_id, ord) AS stale FROM a GROUP BY 1),
+    ed AS (SELECT r.source, r.target, s.occurred_at AS day, stale FROM r JOIN e s ON s.id = r.source JOIN e t ON t.id = r.target JOIN st ON st.event_id = r.target WHERE r.relation IN ('supersedes', 'reverses')),
+    lt AS (SELECT source, target, stale, arg_min(slot_id, {{'k': (role <> 'secondary')::INT, 'o': ord}}) AS host, count(*) AS later FROM ed JOIN d ON d.day > ed.day AND d.event_id <> ed.source AND d.event_id <> ed.target GROUP BY ALL)
+    SELECT source, target, stale, host, later FROM lt""",
+    "orders", "lineitem", "customer",
+)
+def stale_planted(o, li, c):
+    """The artefact that may cite what each superseding or reversing edge left behind, without meeting all later ones."""
+    events, relations, _ = knowledge.knowledge(o, li, c)
+    pieces = events.select(F.col("id").alias("event_id"), F.posexplode("evidence_in_corpus").alias("i", "e"))
+    artefacts = pieces.select("event_id", "e.slot_id", F.when(F.col("event_id") % 4 == 1, "secondary").otherwise("primary").alias("role"), (F.col("event_id") * 10 + F.col("i") + 1).alias("ord"))
+    return graph.planted(relations, events, artefacts)
