@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -399,6 +400,11 @@ def mark(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM, wo
     return marked(documents, length, gram, words).select("row", "row.doc_id", "row.text", "cuts")
 
 
+def each(cuts) -> Iterator[list[dict] | None]:
+    """The cuts of one row after the other: those of a whole batch as Python values could be more than a worker holds."""
+    return (row.as_py() for row in cuts)
+
+
 def removed(cuts: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal ranges of repeated bytes."""
     return merged([(c["begin"], c["end"]) for c in cuts or () if not c["kind"]])
@@ -420,7 +426,7 @@ def remove(documents: DataFrame, length: int | None = LENGTH, gram: int = GRAM,
 
         for batch in batches:
             made, texts = batch.column(0).flatten(), []
-            for text, c in zip(as_bytes(made[at]), batch.column(1).to_pylist(), strict=True):
+            for text, c in zip(as_bytes(made[at]), each(batch.column(1)), strict=True):
                 if c is not None and text is not None:
                     text = kept(text, merged(removed(c) + [(a, b) for a, b, _ in passages(text, c, words or 0)])).decode(errors="ignore").encode()
                 texts.append(text)
@@ -446,7 +452,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(batch):
         doc_id, texts = batch.column("row").flatten()
         out = {"doc_id": doc_id, "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "n_passage_words": []}
-        for text, cuts in zip(as_bytes(texts), batch.column("cuts").to_pylist(), strict=True):
+        for text, cuts in zip(as_bytes(texts), each(batch.column("cuts")), strict=True):
             text = text or b""
             cut, found = removed(cuts), passages(text, cuts, PASSAGE)
             out["n_bytes"].append(len(text))
