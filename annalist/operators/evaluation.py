@@ -76,7 +76,7 @@ def numbered(rows: DataFrame, order: list, name: str, n: int | None = None) -> D
     held = written(ranged, "numbered")
     sizes = held.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
-    return held.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i") - F.col("_first") + 1).cast("int")).drop("_p", "_i", "_first", "_before")
+    return held.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i") - F.col("_first") + 1).cast("bigint" if n is None else "int")).drop("_p", "_i", "_first", "_before")
 
 
 def question_ids(rows: DataFrame, order: list) -> DataFrame:
@@ -139,12 +139,14 @@ def records(rows: DataFrame, key: list[str]) -> DataFrame:
     """
     rate = lambda c: R.rounded(F.count_if(F.col(c)) / F.count("*"), 4)
     mean = lambda c, n: R.rounded(scoring.mean(c, 9), n)
-    late = lambda p: F.coalesce(F.round(F.percentile(F.nullif(F.col("latency_ms"), F.lit(0.0)), p), 2), F.lit(0.0))
     semantic = mean("semantic_score", 4) if "semantic_score" in rows.columns else F.max(F.lit(None).cast("double"))
-    return rows.groupBy(*key).agg(
+    found = rows.groupBy(*key).agg(
         F.count("*").alias("n_questions"), mean("score", 4).alias("accuracy_mean"), rate("exact_match").alias("exact_match_rate"), semantic.alias("semantic_mean"), rate("faithful").alias("faithfulness_rate"),
-        R.rounded(1 - F.count_if(F.col("faithful")) / F.count("*"), 4).alias("hallucination_rate"), late(0.5).alias("latency_ms_p50"), late(0.95).alias("latency_ms_p95"), mean("cost_usd", 6).alias("cost_per_query_usd"),
+        R.rounded(1 - F.count_if(F.col("faithful")) / F.count("*"), 4).alias("hallucination_rate"), mean("cost_usd", 6).alias("cost_per_query_usd"),
     )
+    wanted = {"latency_ms_p50": 0.5, "latency_ms_p95": 0.95}
+    found = scoring.with_percentiles(found, rows.where("latency_ms <> 0"), key, "latency_ms", wanted)
+    return found.withColumns({c: F.round(c, 2) for c in wanted})
 
 
 def breakdown(rows: DataFrame, key: list[str], by: str, name: str, default: str | None = None) -> DataFrame:

@@ -61,10 +61,79 @@ def top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def inner(a, b) -> Column:
-    """Inner product of two arrays, in double precision and in order."""
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+#: Rows of vectors that meet the queries as one matrix.
+BLOCK = 4096
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, id, rank, score: the k rows of largest inner product with each query, by score to some digits and then by id; no row meets itself.
+
+    rows: id, vector, and any of scope, valid_at, invalid_at; queries: query_id, vector, and any of scope, as_of. What both sides
+    bring restricts: a query sees the rows of its scope, and those that were valid at its time (valid_at at the latest, invalid_at
+    later or null). Rows of scopes that no query has are left out before anything else. Rows meet the queries of their scope in
+    blocks, as matrices; a task keeps k rows a query, so what is shuffled are tops of tasks. Queries are sent to the tasks up
+    to `bound` bytes at once, beyond that part by part. Rows and queries with a null vector or component take no part.
+    """
+    scoped, timed = "scope" in rows.columns and "scope" in queries.columns, "as_of" in queries.columns and "valid_at" in rows.columns
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    names = ["id", "vector", *(["scope"] if scoped else []), *(["valid_at", "invalid_at"] if timed else [])]
+    own = rows if "invalid_at" in rows.columns or not timed else rows.withColumn("invalid_at", F.lit(None).cast(rows.schema["valid_at"].dataType))
+    own = own.where(whole("vector")).select(*names)
+    asked = queries.where(whole("vector")).select("query_id", "vector", *(["scope"] if scoped else []), *(["as_of"] if timed else []))
+    if scoped:
+        own = own.join(asked.select("scope").distinct(), "scope", "left_semi").select(*names)
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0))).first()[0]
+    n = max(1, -(-size // bound))
+    found = None
+    for part in range(n):
+        sent = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)
+        top = own.mapInPandas(_tops(sent.toPandas(), k, digits, scoped, timed), f"query_id bigint, id bigint, score double")
+        found = top if found is None else found.unionByName(top)
+    return top_k(found, "query_id", [F.desc("score"), F.col("id")], k)
+
+
+def _tops(asked, k: int, digits: int, scoped: bool, timed: bool):
+    """A task's work: the k best rows for each query, block by block."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        groups = [g for _, g in asked.groupby("scope")] if scoped else [asked]
+        ready = [(g["scope"].iloc[0] if scoped else None, g["query_id"].to_numpy(), np.array(g["vector"].tolist(), np.float64), pd.to_datetime(g["as_of"]).to_numpy() if timed else None) for g in groups if len(g)]
+        best: dict = {}
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                block = batch.iloc[at : at + BLOCK]
+                for scope, names, vectors, times in ready:
+                    own = block[block["scope"] == scope] if scoped else block
+                    if not len(own):
+                        continue
+                    ids = own["id"].to_numpy()
+                    scores = np.round(vectors @ np.array(own["vector"].tolist(), np.float64).T, digits)
+                    bad = names[:, None] == ids[None]
+                    if timed:
+                        since, until = (pd.to_datetime(own[c]).to_numpy() for c in ("valid_at", "invalid_at"))
+                        bad |= ~(since[None] <= times[:, None]) | (until[None] <= times[:, None])
+                    scores[bad] = -np.inf
+                    for i, q in enumerate(names.tolist()):
+                        row = scores[i]
+                        few = np.argpartition(-row, k - 1)[:k] if len(row) > k else np.arange(len(row))
+                        least = row[few].min()
+                        few = np.flatnonzero((row >= least) & (row > -np.inf))
+                        best[q] = sorted(best.get(q, []) + [(-row[j], int(ids[j])) for j in few])[:k]
+        out = [(q, i, -s) for q, held in best.items() for s, i in held]
+        yield pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    return run
+
+
+def fact_block(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """query_id, block: the facts found for each query as lines with their validity, best first. facts: id, fact, valid_at, invalid_at."""
+    day = lambda c, other: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(other))
+    line = F.concat(F.lit("- "), F.coalesce("fact", F.lit("")), F.lit(" ("), day("valid_at", "unknown"), F.lit(" to "), day("invalid_at", "present"), F.lit(")"))
+    lines = found.join(facts, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return lines.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
 
 
 def reciprocal_ranks(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators import ranks
+
 
 def exact(x, scale: int = 6) -> Column:
     """A double as a decimal: sums of it do not depend on their order."""
@@ -35,12 +37,17 @@ def rubric(rows: DataFrame, key: list[str], w: Column, f: Column) -> DataFrame:
 
 
 def run_metrics(rows: DataFrame, key: list[str]) -> DataFrame:
-    """score, exact (boolean), latency of each judged query: means and rates, percentiles of non-zero latencies."""
-    lat = F.nullif(F.col("latency"), F.lit(0.0))
-    return rows.groupBy(*key).agg(
-        F.count("*").alias("n"), mean("score").alias("accuracy_mean"), (F.count_if(F.col("exact")) / F.count("*")).alias("exact_match_rate"),
-        F.coalesce(F.percentile(lat, 0.5), F.lit(0.0)).alias("latency_p50"), F.coalesce(F.percentile(lat, 0.95), F.lit(0.0)).alias("latency_p95"),
-    )
+    """score, exact (boolean), latency of each judged query: means and rates, percentiles of non-zero latencies (0 if there are none)."""
+    found = rows.groupBy(*key).agg(F.count("*").alias("n"), mean("score").alias("accuracy_mean"), (F.count_if(F.col("exact")) / F.count("*")).alias("exact_match_rate"))
+    return with_percentiles(found, rows.where("latency <> 0"), key, "latency", {"latency_p50": 0.5, "latency_p95": 0.95})
+
+
+def with_percentiles(found: DataFrame, rows: DataFrame, key: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """found, a row for each key, with percentiles of a column of rows; 0 where a key has no value."""
+    late = ranks.percentiles(rows, key, value, wanted)
+    late = late.select(*[F.col(k).alias(f"_{k}") for k in key], *wanted)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return found.join(late, same, "left").select(*[found[c] for c in found.columns], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in wanted])
 
 
 def leaderboard(scores: DataFrame, tier: str, system: str, category: str, categories: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text as T
-from annalist.operators import graph, retrieval, scoring, state, temporal
+from annalist.operators import graph, ranks, retrieval, scoring, state, temporal
 from annalist.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,11 +134,10 @@ _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
     "embeddings",
 )
 def vector_search(e):
-    """Every row whose id is divisible by 100 against all rows: Spark broadcasts the queries, or meets blocks of both where they are too many."""
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id"))
-    score = F.round(retrieval.inner("q", "embedding").cast("decimal(20,9)"), 6)
-    return retrieval.top_k(pairs.select("query_id", "vec_id", score.alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], 10).drop("score")
+    """Every row whose id is divisible by 100 against all rows, in blocks as matrices."""
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return retrieval.nearest(rows, queries, 10).select("query_id", F.col("id").alias("vec_id"), "rank")
 
 
 @query(
@@ -271,7 +270,7 @@ def run_metrics(o, li):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type", "events")
 def percentiles(e):
-    return e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+    return ranks.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query(f"WITH {_RUN} SELECT c_mktsegment AS category, count(*)::BIGINT AS n, {_MEAN} AS accuracy_mean FROM j JOIN customer ON c_custkey = o_custkey GROUP BY 1", "orders", "lineitem", "customer")

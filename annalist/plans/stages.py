@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.operators import calls, graph, retrieval
+from annalist.functions import nested
+from annalist.operators import calls, graph, merging, repair, retrieval
 from annalist.plans import knowledge
+from annalist.sources import shared, written
+from annalist.sources.keyed import Keyed, repointed
+from annalist.sources.scopes import Scopes
 from annalist.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +121,166 @@ def stale_planted(o, li, c):
     pieces = events.select(F.col("id").alias("event_id"), F.posexplode("evidence_in_corpus").alias("i", "e"))
     artefacts = pieces.select("event_id", "e.slot_id", F.when(F.col("event_id") % 4 == 1, "secondary").otherwise("primary").alias("role"), (F.col("event_id") * 10 + F.col("i") + 1).alias("ord"))
     return graph.planted(relations, events, artefacts)
+
+
+# Scoped vectors
+
+_EDGES = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, vec_id % 5 AS scope, DATE '2020-01-01' + (vec_id % 700)::INT AS valid_at, CASE WHEN vec_id % 3 = 0 THEN DATE '2020-01-01' + (vec_id % 700 + vec_id % 90)::INT END AS invalid_at FROM embeddings),
+    q AS (SELECT id AS query_id, x, scope, DATE '2021-01-01' + (id % 300)::INT AS as_of FROM v WHERE id % 100 = 0),
+    p AS (SELECT query_id, v.id, round(list_dot_product(q.x, v.x)::DECIMAL(20, 9), 6) AS score FROM q JOIN v ON v.scope = q.scope AND v.id <> q.query_id AND v.valid_at <= q.as_of AND (v.invalid_at IS NULL OR v.invalid_at > q.as_of)),
+    t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p)"""
+
+
+def edges(e: DataFrame):
+    """Vectors as facts of five scopes with times of validity, and every hundredth as a question of its scope and time."""
+    k = F.col("vec_id")
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int"))
+    rows = e.select(k.alias("id"), F.col("embedding").alias("vector"), (k % 5).alias("scope"), day(k % 700).alias("valid_at"), F.when(k % 3 == 0, day(k % 700 + k % 90)).alias("invalid_at"))
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector", "scope", F.date_add(F.lit("2021-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("as_of"))
+    return rows, queries
+
+
+@query(f"WITH {_EDGES} SELECT query_id, id, rank::INT AS rank FROM t WHERE rank <= 20", "embeddings")
+def scoped_search(e):
+    """The twenty facts nearest to each question, of its scope and valid at its time."""
+    return retrieval.nearest(*edges(e), 20).drop("score")
+
+
+@query(
+    f"""WITH {_EDGES} SELECT query_id, string_agg('- fact ' || id || ' (' || strftime(valid_at, '%Y-%m-%d') || ' to ' || coalesce(strftime(invalid_at, '%Y-%m-%d'), 'present') || ')', chr(10) ORDER BY rank) AS block
+    FROM t JOIN v USING (id) WHERE rank <= 20 GROUP BY query_id""",
+    "embeddings",
+)
+def fact_blocks(e):
+    """What is found, as an answerer reads it."""
+    rows, queries = edges(e)
+    facts = rows.select("id", F.concat(F.lit("fact "), s("id")).alias("fact"), "valid_at", "invalid_at")
+    return retrieval.fact_block(retrieval.nearest(rows, queries, 20), facts)
+
+
+# Stored tables
+
+
+def folder(spark: SparkSession) -> str:
+    return f"{shared.shared_dir(spark)}/annalist-stored-{uuid.uuid4().hex}"
+
+
+@query(
+    """SELECT 'tier-' || o_custkey % 4 AS scope, count(*)::BIGINT AS before, CASE o_custkey % 4 WHEN 1 THEN 0 WHEN 2 THEN count(*) FILTER (o_orderkey % 2 = 0) ELSE count(*) END::BIGINT AS after,
+    CASE o_custkey % 4 WHEN 0 THEN 'reused' WHEN 1 THEN 'wiped' WHEN 2 THEN 'written' ELSE 'untouched' END AS outcome, CASE o_custkey % 4 WHEN 1 THEN NULL WHEN 2 THEN sum(o_totalprice::DECIMAL(12, 2)) FILTER (o_orderkey % 2 = 0) ELSE sum(o_totalprice::DECIMAL(12, 2)) END::DOUBLE AS total
+    FROM orders GROUP BY o_custkey % 4""",
+    "orders",
+)
+def scopes_stored(o):
+    """Orders stored in four scopes: one ingested again and reused, one wiped, one written anew with half its rows, one left alone; read back."""
+    store = Scopes(o.sparkSession, folder(o.sparkSession), "o_orderkey bigint, o_totalprice double")
+    names = [f"tier-{i}" for i in range(4)]
+    own = lambda i: o.where(F.col("o_custkey") % 4 == i).select("o_orderkey", "o_totalprice")
+    for i, name in enumerate(names):
+        store.ingest(own(i), name, "v1")
+    before = {name: store.count(name) for name in names}
+    outcomes = [store.ingest(own(0), names[0], "v1"), "wiped" if store.wipe(names[1]) else "", store.ingest(own(2).where("o_orderkey % 2 = 0"), names[2], "v2"), "untouched"]
+    said = o.sparkSession.createDataFrame([(n, before[n], outcomes[i]) for i, n in enumerate(names)], "scope string, before bigint, outcome string")
+    after = store.rows().groupBy("scope").agg(F.count("*").alias("after"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("total"))
+    return said.join(after, "scope", "left").select("scope", "before", F.coalesce("after", F.lit(0)).alias("after"), "outcome", "total")
+
+
+def customers(c: DataFrame) -> Keyed:
+    """Customers stored by key; two updates touch some of their buckets: new names and balances, then new keys."""
+    table_ = Keyed(c.sparkSession, folder(c.sparkSession), "c_custkey", 32)
+    table_.create(c.select("c_custkey", "c_name", "c_acctbal"))
+    few = c.where("c_custkey % 300 = 0")
+    table_.update(few.select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"), F.when(F.col("c_custkey") % 600 == 0, F.lit(0.0)).alias("c_acctbal")))
+    table_.rename(names_of(c))
+    return table_
+
+
+def names_of(c: DataFrame) -> DataFrame:
+    return c.where("c_custkey % 250 = 0").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 10_000_000).alias("new"))
+
+
+_RENAMED = "CASE WHEN {0} % 250 = 0 THEN {0} + 10000000 ELSE {0} END"
+
+
+@query(f"SELECT {_RENAMED.format('c_custkey')} AS c_custkey, CASE WHEN c_custkey % 300 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name, CASE WHEN c_custkey % 600 = 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer", "customer")
+def keyed_updates(c):
+    """The table as it reads after both updates."""
+    return customers(c).rows()
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS key, 'c_name' AS field, c_name AS old, 'new ' || c_name AS new, 1::BIGINT AS gen FROM customer WHERE c_custkey % 300 = 0
+    UNION ALL SELECT c_custkey::VARCHAR, 'c_custkey', c_custkey::VARCHAR, (c_custkey + 10000000)::VARCHAR, 2 FROM customer WHERE c_custkey % 250 = 0""",
+    "customer",
+)
+def keyed_history(c):
+    """What the updates changed, but for balances, whose texts engines write in different ways."""
+    return customers(c).history().where("field <> 'c_acctbal'")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey * 25 AS id FROM lineitem), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 250 = 0)
+    SELECT l_orderkey, string_agg((CASE WHEN c_custkey IS NULL THEN id ELSE id + 10000000 END)::VARCHAR, ',' ORDER BY l_linenumber, id) AS cited FROM t LEFT JOIN c ON c_custkey = id GROUP BY l_orderkey""",
+    "customer", "lineitem",
+)
+def citations_repointed(c, li):
+    """Citations of customers in orders, led to the new keys."""
+    cited = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_suppkey") * 25).alias("id")))), lambda x: x["id"]).alias("cited"))
+    return repointed(cited, "l_orderkey", "cited", names_of(c)).select("l_orderkey", F.array_join("cited", ",").alias("cited"))
+
+
+# Malformed records, files of rows, repair
+
+_SHAPES = """k AS (SELECT o_orderkey AS k, o_custkey::VARCHAR AS c, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+    y AS (SELECT k, 0 AS doc, 'order.customer' AS path, c AS value, false AS repaired, NULL AS error FROM k WHERE k % 7 = 0 UNION ALL SELECT k, 0, 'order.state.code', s, false, NULL FROM k WHERE k % 7 = 0 UNION ALL SELECT k, 0, 'order.state.note', 'p: ' || p, false, NULL FROM k WHERE k % 7 = 0
+      UNION ALL SELECT k, 0, 'items[' || i || ']', CASE i WHEN 0 THEN c WHEN 1 THEN s END, false, NULL FROM k, (SELECT unnest([0, 1, 2]) AS i) WHERE k % 7 = 1
+      UNION ALL SELECT k, 0, 'people[' || i || '].' || f, CASE WHEN f = 'id' THEN 'P-' || i ELSE c END, false, NULL FROM k, (SELECT unnest([0, 1]) AS i), (SELECT unnest(['id', 'name']) AS f) WHERE k % 7 = 2 AND (f = 'id' OR i = 1)
+      UNION ALL SELECT k, d, CASE d WHEN 0 THEN 'a' ELSE 'b.c' END, CASE d WHEN 0 THEN c ELSE s END, false, NULL FROM k, (SELECT unnest([0, 1]) AS d) WHERE k % 7 = 3
+      UNION ALL SELECT k, 0, 'text', 'line ' || c || chr(10) || '  more', false, NULL FROM k WHERE k % 7 = 4 UNION ALL SELECT k, 0, 'tags[0]', s, false, NULL FROM k WHERE k % 7 = 4 UNION ALL SELECT k, 0, 'tags[1].of', c, false, NULL FROM k WHERE k % 7 = 4
+      UNION ALL SELECT k, 0, 'who', c, true, NULL FROM k WHERE k % 7 = 5 UNION ALL SELECT k, 0, 'in.said', 'it', true, NULL FROM k WHERE k % 7 = 5
+      UNION ALL SELECT k, NULL, NULL, NULL, true, 'neither a key nor an item: words of ' || c FROM k WHERE k % 7 = 6)"""
+
+
+@query(f"WITH {_SHAPES} SELECT k AS o_orderkey, doc::INT AS doc, path, value, repaired, error FROM y", "orders")
+def yaml_nested(o):
+    """Records of seven shapes: maps in maps, lists, lists of maps, two documents, block and bracketed texts, one to repair, one beyond repair."""
+    k, c, st = F.col("o_orderkey"), s("o_custkey"), F.col("o_orderstatus")
+    shapes = [
+        ("order:\n  customer: ", c, "\n  state: # as it is\n    code: ", st, "\n    note: 'p: ", F.col("o_orderpriority"), "'\n"), ("items:\n- ", c, "\n- ", st, "\n- null\n"), ("people:\n  - id: P-0\n  - id: P-1\n    name: ", c, "\n"), ("a: ", c, "\n---\nb:\n  c: ", st, "\n"),
+        ("text: |\n  line ", c, "\n    more\ntags: [", st, ", {of: ", c, "}]\n"), ("Here:\n```yaml\nwho:", c, ",\nin:\n\tsaid: \u2018it\u2019\n```\n"), ("words of ", c, "\nmore words\n"),
+    ]
+    text = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        text = F.when(k % len(shapes) == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in shape])).otherwise(text)
+    return nested.yaml_rows(o.select("o_orderkey", text.alias("text")), ["o_orderkey"], "text")
+
+
+@query("""SELECT doc_id, '---' || chr(10) || 'source: ' || source || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text AS text, n_chars FROM documents""", "documents")
+def files_written(d):
+    """Each document as a file of its own after its front matter, read back by the index."""
+    at = folder(d.sparkSession)
+    page = merging.front_matter({"source": F.col("source"), "lang": F.col("lang")}, F.col("text"))
+    written.save(d.select(F.concat("source", F.lit("/"), s("doc_id"), F.lit(".md")).alias("name"), page.alias("text"), "doc_id", "n_chars"), at)
+    return written.load(d.sparkSession, at, "doc_id bigint, n_chars bigint").select("doc_id", "text", "n_chars")
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey AS k, o_orderkey % 4 AS has, (o_orderkey % 4 + o_orderkey % 3) % 5 AS one, o_orderkey % 6 AS two FROM orders), n AS (SELECT k, has, least(one, 4) AS one, least(two, 4) AS two, k % 11 = 0 AS lost FROM f),
+    r AS (SELECT k, has, CASE WHEN lost THEN NULL ELSE one END AS one, two FROM n), a AS (SELECT k, has, CASE WHEN has < 4 THEN one END AS one, two FROM r), b AS (SELECT k, has, one, greatest(has, coalesce(one, 0)) AS best1, two FROM a),
+    c AS (SELECT *, CASE WHEN best1 < 4 THEN greatest(best1, two) ELSE best1 END AS best2 FROM b)
+    SELECT k AS o_orderkey, CASE WHEN best1 < 4 THEN 2 ELSE 1 END::INT AS attempts, CASE WHEN best2 < 4 THEN -1 WHEN best1 < 4 THEN 2 ELSE 1 END::INT AS kept, 1::DOUBLE AS score, best2::INT AS told FROM c""",
+    "orders",
+)
+def texts_repaired(o):
+    """Texts that lack some of four facts, written again twice by a writer that a digest seeds and that sometimes fails; the rest appended."""
+    k = F.col("o_orderkey")
+    facts = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit("Fact "), i.cast("string"), F.lit(" of "), s(k), F.lit(".")))
+    rows = o.select("o_orderkey", F.array_join(F.slice(facts, 1, (k % 4).cast("int")), " ").alias("text"), facts.alias("facts"))
+
+    def rewrite(low: DataFrame, attempt: int) -> DataFrame:
+        n = F.least((k % 4 + k % 3) % 5 if attempt == 1 else k % 6, F.lit(4)).cast("int")
+        return low.where("o_orderkey % 11 <> 0" if attempt == 1 else "true").select("o_orderkey", F.array_join(F.slice("facts", 1, n), " ").alias("text"))
+
+    done = repair.rounds(rows, "o_orderkey", rewrite, folder(o.sparkSession))
+    told = F.size(F.regexp_extract_all(F.substring_index("text", "## Facts", 1), F.lit("(Fact [0-9])"), F.lit(1)))
+    return done.select("o_orderkey", "attempts", "kept", "score", told.alias("told"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "first double, last double, n bigint, run int, held double, over boolean"
 RESULT = "scope string, at double, n bigint, status string"
@@ -27,6 +28,8 @@ class Rule:
 
 
 START = (-1.0, -1.0, -1, 0, -1.0, False)
+#: Where the time of polls begins in event time, so that a poll at 0 seconds is not late before any other.
+ORIGIN = 86_400
 
 
 def step(state: tuple, at: float, n: int, rule: Rule) -> tuple[tuple, str | None]:
@@ -56,21 +59,44 @@ def step(state: tuple, at: float, n: int, rule: Rule) -> tuple[tuple, str | None
     return (first, at, before, run, held, ended), "timeout" if ended else None
 
 
-def watch(polls: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """polls (scope string, at double in seconds since any start from 0, n bigint), a stream: one row for each scope that settled or timed out.
+class Watch(StatefulProcessor):
+    """One scope's watch: its state, and a timer at the end of its time."""
 
-    A scope's state is six numbers. Null scopes are a scope; null times or counts are left out.
-    """
+    def __init__(self, rule: Rule) -> None:
+        self.rule = rule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("watch", STATE)
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else START
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["at", "n"])
-        for at, n in zip(rows["at"], rows["n"], strict=True):
-            now, status = step(now, float(at), int(n), rule)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = not self.state.exists()
+        now = START if new else tuple(self.state.get())
+        for at, n in sorted((float(r["at"]), int(r["n"])) for r in rows):
+            now, status = step(now, at, n, self.rule)
             if status:
-                out.append((key[0], float(at), now[2], status))
-        state.update(now)
-        yield pd.DataFrame(out, columns=["scope", "at", "n", "status"])
+                yield Row(scope=key[0], at=at, n=now[2], status=status)
+        if new:
+            self.handle.registerTimer(int((now[0] + self.rule.timeout + ORIGIN) * 1000))
+        self.state.update(now)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """The scope's time is up: if its watch has not ended, the last count stands. Nothing of the scope is kept."""
+        first, _, n, _, _, over = tuple(self.state.get())
+        if not over:
+            yield Row(scope=key[0], at=first + self.rule.timeout, n=n, status="timeout")
+        self.state.clear()
+
+    def close(self) -> None:
+        pass
 
-    return polls.where("at is not null and n is not null").groupBy("scope").applyInPandasWithState(follow, RESULT, STATE, "append", "NoTimeout")
+
+def watch(polls: DataFrame, rule: Rule = Rule(), late: str = "60 seconds") -> DataFrame:
+    """polls (scope string, at double in seconds since any start from 0, n bigint), a stream: one row for each scope that settled or timed out.
+
+    A scope's state is six numbers and a timer. Time is that of the polls: once the polls of all scopes are `late` beyond the end
+    of a scope's time, the scope ends as "timeout" although nothing more is heard of it, and its state is gone; a later poll would
+    begin a new watch. Polls later than that are left out. Null scopes are a scope; null times or counts are left out. The session
+    needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    timed = polls.where("at is not null and n is not null").withColumn("polled_at", F.timestamp_micros(((F.col("at") + ORIGIN) * 1_000_000).cast("bigint")))
+    return timed.withWatermark("polled_at", late).groupBy("scope").transformWithState(Watch(rule), RESULT, "append", "EventTime")

@@ -61,11 +61,28 @@ def test_settle_positive_ignores_zero():
     assert seen.index("settled") == 7
 
 
-def test_watch(spark, tmp_path):
-    polls = [("s", 10.0 * i, n) for i, n in enumerate([1, 2, 5, 5, 5, 5, 5, 5])] + [("t", 10.0 * i, i) for i in range(8)] + [("u", None, 1)]
-    stream = feed(spark, tmp_path, [polls[:5], polls[5:]], "scope string, at double, n bigint")
-    run(settle.watch(stream, RULE).writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "c")))
-    assert [tuple(r) for r in spark.table("settled").collect()] == [("s", 70.0, 5, "settled")]
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, old)
+
+
+def states(spark, checkpoint):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "watch").load().count()
+
+
+def test_watch(spark, tmp_path, rocks):
+    """s settles; t and the null scope fall silent and end by their timers when others' polls go on; u never counts; the last to poll is still open."""
+    polls = [[("s", 10.0 * i, n) for i, n in enumerate([1, 2, 5, 5, 5])] + [("t", 10.0 * i, i) for i in range(4)] + [("u", None, 1)]]
+    polls += [[("s", 10.0 * (i + 5), 5) for i in range(3)] + [(None, 60.0, 9)], [("last", 270.0, 1)], [("last", 275.0, 2)]]
+    stream = feed(spark, tmp_path, polls, "scope string, at double, n bigint")
+    run(settle.watch(stream, RULE, late="5 seconds").writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "c")))
+    got = sorted([tuple(r) for r in spark.table("settled").collect()], key=str)
+    assert got == sorted([("s", 70.0, 5, "settled"), ("t", 200.0, 3, "timeout"), (None, 260.0, 9, "timeout")], key=str)
+    assert states(spark, str(tmp_path / "c")) == 1  # that of the scope which still polls
 
 
 def test_log(spark, tmp_path):
