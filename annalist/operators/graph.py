@@ -8,6 +8,8 @@ that is no event are left out.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,10 @@ def segments(edges: DataFrame, starts: DataFrame, what: str) -> tuple[DataFrame,
     held = inner.join(before, "node").join(inside, "head", "left").select("node", F.when(F.col("_in"), F.col("head")).otherwise(F.col("node")).alias("head"), F.when(F.col("_in"), 1).otherwise(0).cast("bigint").alias("offset"))
     held = written(held, what)
     reached, n = 1, held.count()
+    label = F.when(F.col("out") > 1, F.array("ord")).otherwise(F.array().cast("array<bigint>"))
+    if not n:
+        plain = edges.join(out.select(F.col("node").alias("a"), "out"), "a").select("a", "b", label.alias("label"), F.lit(1).cast("bigint").alias("length"), F.lit(None).cast(edges.schema["b"].dataType).alias("head"))
+        return plain, held
     while reached < n:
         ahead = held.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("offset").alias("_offset"))
         last, held = held, written(held.join(ahead, "head").select("node", F.col("_head").alias("head"), (F.col("offset") + F.col("_offset")).alias("offset")), what)
@@ -97,7 +103,6 @@ def segments(edges: DataFrame, starts: DataFrame, what: str) -> tuple[DataFrame,
     after = edges.select(F.col("a").alias("tail"), F.col("b").alias("_end"))
     whole = tails.join(after, "tail").select(F.col("head").alias("b"), "_end", "length")
     first = edges.join(inner.select(F.col("node").alias("a")), "a", "left_anti").join(out.select(F.col("node").alias("a"), "out"), "a").join(whole, "b", "left")
-    label = F.when(F.col("out") > 1, F.array("ord")).otherwise(F.array().cast("array<bigint>"))
     steps = first.select("a", F.coalesce("_end", "b").alias("b"), label.alias("label"), F.coalesce("length", F.lit(1)).cast("bigint").alias("length"), F.when(F.col("_end").isNotNull(), F.col("b")).alias("head"))
     return written(steps, f"{what}-steps"), held
 
@@ -107,20 +112,29 @@ def reach(starts: DataFrame, edges: DataFrame, what: str) -> DataFrame:
 
     path holds the ords chosen where a node has several edges, depth counts edges: ordered by both, a start's nodes are in the
     order of a depth-first walk that takes edges by ord and no node twice. Unbranched stretches are one step each (`segments`);
-    the steps are closed by doubling, a round joining every path with all that go on from its end and keeping the least between
-    two nodes, so a walk of n steps takes log2(n) rounds, each written. There is no bound on depth. A cycle shows as a path that
-    ends where it began; then the order of a walk depends on what it met before, and the edges are followed one by one.
+    the steps are closed by doubling, joining paths with all that go on from their ends and keeping the least between two nodes,
+    twice in a round, so a walk of n steps takes log4(n) rounds, each written. Only paths of as many steps as are doubled are
+    joined: every longer path has one such beginning, so none is found twice. There is no bound on depth. A cycle shows as a
+    path that ends where it began; then the order of a walk depends on what it met before, and the edges are followed one by one.
     """
+    edges = written(edges, what)
     steps, within = segments(edges, starts, what)
-    least = lambda rows: rows.groupBy("a", "b").agg(F.min(F.struct("label", "length")).alias("_l")).select("a", "b", "_l.label", "_l.length")
-    closed, n = written(least(steps), what), -1
-    while (now := closed.count()) != n:
-        if not closed.where("a = b").isEmpty():
+    least = lambda rows: rows.groupBy("a", "b").agg(F.min(F.struct("label", "length", "steps")).alias("_l")).select("a", "b", "_l.label", "_l.length", "_l.steps")
+
+    def longer(rows: DataFrame, n: int) -> DataFrame:
+        """rows with what goes on from their paths of n steps."""
+        on = rows.select(F.col("a").alias("b"), F.col("b").alias("_to"), F.col("label").alias("_label"), F.col("length").alias("_length"), F.col("steps").alias("_steps"))
+        joined = rows.where(F.col("steps") == n).join(on, "b")
+        return least(rows.unionByName(joined.select("a", F.col("_to").alias("b"), F.concat("label", "_label").alias("label"), (F.col("length") + F.col("_length")).alias("length"), (F.col("steps") + F.col("_steps")).alias("steps"))))
+
+    closed, n = written(least(steps.withColumn("steps", F.lit(1).cast("bigint"))), what), 1
+    while True:
+        seen = closed.agg(F.count_if(F.col("steps") == n).alias("on"), F.count_if(F.col("a") == F.col("b")).alias("round")).first()
+        if seen["round"]:
             return by_rounds(starts, edges, what)
-        n = now
-        on = closed.select(F.col("a").alias("b"), F.col("b").alias("_to"), F.col("label").alias("_label"), F.col("length").alias("_length"))
-        longer = closed.join(on, "b").select("a", F.col("_to").alias("b"), F.concat("label", "_label").alias("label"), (F.col("length") + F.col("_length")).alias("length"))
-        last, closed = closed, written(least(closed.unionByName(longer)), what)
+        if not seen["on"]:
+            break
+        last, closed, n = closed, written(longer(longer(closed, n), 2 * n), what), 4 * n
         forget(last)
     own = starts.select("start").distinct()
     here = own.select("start", F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("bigint").alias("depth"))
@@ -150,10 +164,12 @@ def audit(relations: DataFrame, events: DataFrame) -> DataFrame:
     The older chain is walked from the target along superseding edges, the newer one from the source against them, depth
     first; the last of the newer one is the replacement, all others of both are the changed facts, in order.
     """
-    edges = expand(relations, events, ["supersedes"]).select("source", "target", "src", "tgt").withColumn("as_of_date", F.date_add(F.try_to_date(F.substring("tgt.occurred_at", 1, 10)), 30).cast("string")).where("as_of_date is not null")
+    edges = expand(relations, events, ["supersedes"]).select("source", "target", "tgt").withColumn("as_of_date", F.date_add(F.try_to_date(F.substring("tgt.occurred_at", 1, 10)), 30).cast("string")).where("as_of_date is not null")
     by = relations.where("relation = 'supersedes'")
-    older = reach(edges.select(F.col("target").alias("start")), by.select(F.col("source").alias("a"), F.col("target").alias("b"), "ord"), "older")
-    newer = reach(edges.select(F.col("source").alias("start")), by.select(F.col("target").alias("a"), F.col("source").alias("b"), "ord"), "newer")
+    ways = [("target", "source", "target", "older"), ("source", "target", "source", "newer")]
+    with ThreadPoolExecutor(2) as both_ways:  # their rounds are small jobs, which run beside each other
+        walks = [both_ways.submit(reach, by.select(F.col(of).alias("start")), by.select(F.col(a).alias("a"), F.col(b).alias("b"), "ord"), what) for of, a, b, what in ways]
+        older, newer = (w.result() for w in walks)
     facts = events.select(F.col("id").alias("node"), text("decision").alias("decision"), slots().alias("slots"))
 
     def chain(rows, key, name):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.operators import graph
+from annalist.sources.shared import written
 from annalist.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +32,15 @@ _SLOTS = lambda s: f"list_transform({s}.evidence, lambda z: z.slot_id)"  # noqa:
 _BOTH = f"array_to_string(list_concat({_SLOTS('s')}, {_SLOTS('t')}), ',')"
 
 
-def query(sql: str):
-    """Registers a function of (events, relations, personas) as the query of its name."""
+def query(sql: str, once: bool = False):
+    """Registers a function of (events, relations, personas) as the query of its name; once: events and relations are written for what reads them often."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(*knowledge(*[table(spark, folder, t) for t in ("orders", "lineitem", "customer")]))
+        def run(spark, folder):
+            e, r, p = knowledge(*[table(spark, folder, t) for t in ("orders", "lineitem", "customer")])
+            return f(written(e, "events"), written(r, "relations"), p) if once else f(e, r, p)
+
+        QUERIES[f.__name__] = run
         ORACLES[f.__name__] = f"WITH RECURSIVE {_GRAPH}{', ' if sql.startswith('o AS') or sql.startswith('n AS') else ' '}{sql}"
         return f
 
@@ -113,7 +118,8 @@ _AUDIT = """o AS (SELECT DISTINCT target AS start, target AS node, []::BIGINT[]
 
 @query(
     f"""{_AUDIT} SELECT source, target, topic, as_of_date, held AS asof_facts, array_to_string(changed, ',') AS changed_facts, head.d AS replacements, array_to_string(ids, ',') AS chain_event_ids,
-    array_to_string(flatten(list_transform(ids, lambda i: list_filter(chain, lambda z: z.node = i)[1].s)), ',') AS evidence FROM aud"""
+    array_to_string(flatten(list_transform(ids, lambda i: list_filter(chain, lambda z: z.node = i)[1].s)), ',') AS evidence FROM aud""",
+    once=True,
 )
 def audit_replay_c4(e, r, p):
     rows = graph.audit(r, e).withColumn("chain_event_ids", F.transform("chain_event_ids", lambda x: x.cast("string")))
@@ -173,7 +179,8 @@ def lineage_hard(e, r, p):
     UNION ALL SELECT 'C4', source::VARCHAR, target::VARCHAR, to_json({{'as_of_date': as_of_date, 'asof_facts': [held], 'changed_facts': changed, 'replacements': [head.d]}})::VARCHAR FROM aud
     UNION ALL SELECT 'C5', e.id::VARCHAR, '', to_json({{'claim': e.decision, 'evidence_summary': {_LINES}, 'evidence_types': list_transform(e.evidence, lambda z: z.genre), 'testimony_attribution': list_transform(e.evidence, lambda z: {{'slot_id': z.slot_id, 'testimony_type': {_KIND}}}), 'inferential_steps': e.reason}})::VARCHAR FROM e WHERE len(e.evidence) >= 3
     UNION ALL SELECT 'C6', source::VARCHAR, target::VARCHAR, to_json({{'party_a': na, 'party_a_claim': da, 'party_a_date': ta, 'party_b': nb, 'party_b_claim': db, 'party_b_date': tb, 'resolution_status': CASE WHEN resolver IS NULL THEN 'unresolved' ELSE 'resolved' END, 'resolution_details': coalesce(how, '')}})::VARCHAR FROM cn WHERE na <> nb
-    UNION ALL SELECT 'HARD', root::VARCHAR, '', to_json({{'topic': topic, 'chain_length': chain_length, 'year_span': year_span, 'chain_steps': steps, 'current_state': steps[-1].decision}})::VARCHAR FROM st"""
+    UNION ALL SELECT 'HARD', root::VARCHAR, '', to_json({{'topic': topic, 'chain_length': chain_length, 'year_span': year_span, 'chain_steps': steps, 'current_state': steps[-1].decision}})::VARCHAR FROM st""",
+    once=True,
 )
 def ground_truths(e, r, p):
     """The ground truth of all candidates, as JSON."""

@@ -44,7 +44,8 @@ def test_reach_of_a_chain_of_5000_edges(spark):
 
 def test_reach_with_cycles(spark):
     edges = [(1, 2, 1), (2, 3, 2), (3, 1, 3), (3, 4, 4), (7, 8, 5), (8, 7, 6)]
-    assert reached(spark, edges, [1, 4, 5]) == {1: [1, 2, 3, 4], 4: [4], 5: [5]}
+    assert reached(spark, edges, [1, 4, 5, 7]) == {1: [1, 2, 3, 4], 4: [4], 5: [5], 7: [7, 8]}
+    assert reached(spark, edges[4:], [8]) == {8: [8, 7]}
     ring = [(i, (i + 1) % 6, i) for i in range(6)]
     assert reached(spark, ring, [9]) == {9: [9]}
 
