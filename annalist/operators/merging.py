@@ -79,16 +79,16 @@ def beyond(rows: DataFrame, key: list[str], order: list[str], target: int, seed:
 
 
 def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, order: str) -> DataFrame:
-    """key and the first of names, by order, that its text contains; null if none does.
+    """key and the first of names, by order, that its text contains; null if none does. A key tells one text.
 
-    The names are the few of a canon: those of one leading word meet the texts' words by an equi-join, and only these pairs
-    are compared, so texts are not crossed with all names.
+    The names' leading words meet the texts' words by an equi-join of keys alone; only the candidates that it finds fetch their
+    text, once each, and are compared. So texts are neither crossed with names nor copied for their words.
     """
     lead = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}]+)", 1)
     n = names.where(F.coalesce(name, F.lit("")) != "").select(F.col(name).alias("_name"), F.col(order).alias("_order"), lead(F.col(name)).alias("_word"))
-    words = texts.select(key, F.col(text).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("_word"))
-    hit = words.join(n, "_word").where(F.contains("_text", F.col("_name"))).groupBy(key).agg(F.min_by("_name", "_order").alias("mention"))
-    return texts.select(key).join(hit, key, "left")
+    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("_word"))
+    few = words.join(n, "_word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_order", "_name"))).alias("_names"))
+    return texts.join(few, key, "left").select(key, F.get(F.filter("_names", lambda x: F.contains(F.col(text), x["_name"])), F.lit(0))["_name"].alias("mention"))
 
 
 def coverage(events: DataFrame) -> DataFrame:

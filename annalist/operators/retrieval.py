@@ -34,26 +34,109 @@ def bounded(rows: DataFrame, questions: DataFrame) -> DataFrame:
     return F.broadcast(rows) if len(parts(questions)) == 1 else rows
 
 
-def overlaps(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """item_id, doc_id, score: common tokens of each pair that has any.
+def keyword_topk(questions: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """item_id, doc_id, score, rank: the k documents that share most tokens with each question, ties to the smaller id; none that share nothing.
 
-    Documents' token sets are dealt by doc_id once; the questions' tokens, size-checked, come to them, part by part. So a
-    pair's tokens are counted where its document is: pairs are never shuffled, and what picks the best of them combines
-    within each task first.
+    The questions' tokens, size-checked, go to the tasks as postings (which questions hold a token), part by part. A task adds
+    up a block of documents' postings as one table of documents by questions and keeps the k best of each question: pairs are
+    never rows, and what is shuffled are tops of tasks. Ids are taken to tell documents apart.
     """
-    d = documents.select("doc_id", T.token_set("text").alias("tokens")).repartition("doc_id").select("doc_id", F.explode("tokens").alias("token"))
+    docs = documents.select("doc_id", T.token_set("text").alias("tokens"))
     found = None
     for part in parts(questions):
-        q = part.select("item_id", F.explode(T.token_set("text")).alias("token"))
-        scored = d.join(F.broadcast(q), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
-        found = scored if found is None else found.unionByName(scored)
-    return found.select("item_id", "doc_id", "score")
+        asked = [(r[0], r[1]) for r in part.select("item_id", T.token_set("text")).where("text is not null").collect()]
+        top = docs.mapInArrow(_most_shared(asked, k), "query_id bigint, id bigint, score bigint")
+        found = top if found is None else found.unionByName(top)
+    best = top_k(found, "query_id", [F.desc("score"), F.col("id")], k)
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+def _most_shared(asked: list[tuple], k: int):
+    """A task's work: tokens shared by a block's documents with every question, of which the best are kept."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        places: dict[str, list[int]] = {}
+        for i, (_, tokens) in enumerate(asked):
+            for t in tokens:
+                places.setdefault(t, []).append(i)
+        known = pa.array(list(places), pa.string())
+        sizes = np.array([len(p) for p in places.values()], np.int64)
+        begins, flat = np.cumsum(sizes) - sizes, np.array([i for p in places.values() for i in p], np.int64)
+        tops = Tops(len(asked), k)
+        for batch in batches:
+            tokens = batch.column(1)
+            docs = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            at = pc.index_in(tokens.flatten().cast(pa.string()), known).to_numpy(zero_copy_only=False)
+            met = np.flatnonzero(~np.isnan(at)) if at.dtype.kind == "f" else np.arange(len(at))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for low in range(0, batch.num_rows, BLOCK):
+                own = met[(docs[met] >= low) & (docs[met] < low + BLOCK)]
+                t, n = at[own].astype(np.int64), min(BLOCK, batch.num_rows - low)
+                reps = sizes[t]
+                items = flat[np.repeat(begins[t] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())]
+                counts = np.bincount(np.repeat(docs[own] - low, reps) * len(asked) + items, minlength=n * len(asked)).reshape(n, len(asked))
+                tops.add(counts.T, ids[low : low + n], counts.T > 0)
+        rows = tops.rows()
+        yield pa.RecordBatch.from_arrays([pa.array([asked[q][0] for q, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([int(x) for _, _, x in rows], pa.int64())], names=["query_id", "id", "score"])
+
+    return run
+
+
+class Tops:
+    """The k best (score, id) of each query, fed with blocks: scores by query and row; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.best = k, [[] for _ in range(queries)]
+
+    def add(self, scores, ids, allowed) -> None:
+        import numpy as np
+
+        for q, held in enumerate(self.best):
+            row = np.where(allowed[q], scores[q], -np.inf)
+            least = max(np.partition(row, len(row) - self.k)[len(row) - self.k] if len(row) > self.k else -np.inf, -held[-1][0] if len(held) == self.k else -np.inf)
+            few = np.flatnonzero((row >= least) & (row > -np.inf))
+            if len(few):
+                self.best[q] = sorted(held + [(-row[j], int(ids[j])) for j in few])[: self.k]
+
+    def rows(self) -> list[tuple]:
+        return [(q, i, -s) for q, held in enumerate(self.best) for s, i in held]
 
 
 def keyword_top1(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """The best document of each question; ties go to the smaller id."""
-    best = F.max(F.struct("score", (-F.col("doc_id")).alias("neg")))
-    return overlaps(questions, documents).groupBy("item_id").agg(best.alias("b")).select("item_id", (-F.col("b.neg")).alias("doc_id"), F.col("b.score").alias("score"))
+    return keyword_topk(questions, documents, 1).drop("rank")
+
+
+def closest(rows: DataFrame, queries: DataFrame, k: int, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, id, rank: the k rows (id, value) whose number is closest to each query's (query_id, value), ties to the smaller id; nulls take no part.
+
+    The queries go to the tasks, part by part; a task keeps k rows of each, so no pair is a row.
+    """
+    asked = queries.where("value is not null").select("query_id", "value")
+    n = max(1, -(-16 * asked.count() // bound))
+    found = None
+    for part in range(n):
+        sent = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)).collect()
+
+        def run(batches, sent=sent):
+            import numpy as np
+            import pandas as pd
+
+            values, tops = np.array([r[1] for r in sent], np.float64), Tops(len(sent), k)
+            for batch in batches:
+                for at in range(0, len(batch), BLOCK):
+                    block = batch.iloc[at : at + BLOCK]
+                    gaps = -np.abs(values[:, None] - block["value"].to_numpy(np.float64)[None])
+                    tops.add(gaps, block["id"].to_numpy(), np.ones_like(gaps, bool))
+            yield pd.DataFrame([(sent[q][0], i, -s) for q, i, s in tops.rows()], columns=["query_id", "id", "gap"]).astype({"query_id": "int64", "id": "int64", "gap": "float64"})
+
+        top = rows.where("value is not null").select("id", "value").mapInPandas(run, "query_id bigint, id bigint, gap double")
+        found = top if found is None else found.unionByName(top)
+    return top_k(found, "query_id", [F.col("gap"), F.col("id")], k).select("query_id", "id", "rank")
 
 
 def top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -87,7 +170,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6, bound:
     found = None
     for part in range(n):
         sent = asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == part)
-        top = own.mapInPandas(_tops(sent.toPandas(), k, digits, scoped, timed), f"query_id bigint, id bigint, score double")
+        top = own.mapInPandas(_tops(sent.toPandas(), k, digits, scoped, timed), "query_id bigint, id bigint, score double")
         found = top if found is None else found.unionByName(top)
     return top_k(found, "query_id", [F.desc("score"), F.col("id")], k)
 
@@ -101,7 +184,7 @@ def _tops(asked, k: int, digits: int, scoped: bool, timed: bool):
 
         groups = [g for _, g in asked.groupby("scope")] if scoped else [asked]
         ready = [(g["scope"].iloc[0] if scoped else None, g["query_id"].to_numpy(), np.array(g["vector"].tolist(), np.float64), pd.to_datetime(g["as_of"]).to_numpy() if timed else None) for g in groups if len(g)]
-        best: dict = {}
+        tops = {scope: Tops(len(names), k) for scope, names, *_ in ready}
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 block = batch.iloc[at : at + BLOCK]
@@ -115,14 +198,8 @@ def _tops(asked, k: int, digits: int, scoped: bool, timed: bool):
                     if timed:
                         since, until = (pd.to_datetime(own[c]).to_numpy() for c in ("valid_at", "invalid_at"))
                         bad |= ~(since[None] <= times[:, None]) | (until[None] <= times[:, None])
-                    scores[bad] = -np.inf
-                    for i, q in enumerate(names.tolist()):
-                        row = scores[i]
-                        few = np.argpartition(-row, k - 1)[:k] if len(row) > k else np.arange(len(row))
-                        least = row[few].min()
-                        few = np.flatnonzero((row >= least) & (row > -np.inf))
-                        best[q] = sorted(best.get(q, []) + [(-row[j], int(ids[j])) for j in few])[:k]
-        out = [(q, i, -s) for q, held in best.items() for s, i in held]
+                    tops[scope].add(scores, ids, ~bad)
+        out = [(names.tolist()[q], i, s) for scope, names, *_ in ready for q, i, s in tops[scope].rows()]
         yield pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
     return run

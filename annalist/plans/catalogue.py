@@ -95,7 +95,7 @@ def keyword_top1(b, d):
 
 @query(f"WITH {_TOKENS} SELECT item_id, doc_id, score::BIGINT AS score, rank::INT AS rank FROM r WHERE rank <= 10", "benchmark", "documents")
 def keyword_topk(b, d):
-    return retrieval.top_k(retrieval.overlaps(b, d), "item_id", [F.desc("score"), F.col("doc_id")], 10)
+    return retrieval.keyword_topk(b, d, 10)
 
 
 _STOP = "['" + "', '".join(T.STOPWORDS) + "']"
@@ -147,11 +147,9 @@ def vector_search(e):
     "benchmark", "documents",
 )
 def rrf_fusion(b, d):
-    words = retrieval.top_k(retrieval.overlaps(b, d), "item_id", [F.desc("score"), F.col("doc_id")], 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), "rank")
-    # Of documents of one length only the ten least ids can be among an item's ten nearest: a bounded number of rows a length meets the items.
-    least = retrieval.top_k(d.select("doc_id", "n_chars"), "n_chars", [F.col("doc_id")], 10).drop("rank")
-    near = least.join(b.select("item_id", F.length("text").alias("n")))
-    lengths = retrieval.top_k(near.withColumn("gap", F.abs(F.col("n") - F.col("n_chars"))), "item_id", [F.col("gap"), F.col("doc_id")], 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), "rank")
+    words = retrieval.keyword_topk(b, d, 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), "rank")
+    sizes = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("value"))
+    lengths = retrieval.closest(sizes, b.select(F.col("item_id").alias("query_id"), F.length("text").alias("value")), 10).withColumnRenamed("query_id", "query")
     fused = retrieval.reciprocal_ranks(words.unionByName(lengths))
     return fused.withColumn("rrf", F.col("rrf").cast("decimal(20,9)").cast("double"))
 

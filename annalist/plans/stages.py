@@ -103,7 +103,7 @@ def subgraph_budget(b, d):
     w = Window.partitionBy("lang").orderBy("doc_id")
     x = d.select(F.col("doc_id").alias("a"), F.coalesce(F.lead("doc_id").over(w), F.first("doc_id").over(w)).alias("b"), F.lead("doc_id", 5).over(w).alias("c"))
     edges = x.select("a", F.explode(F.array_compact(F.array_distinct(F.array("b", F.when(F.col("a") % 5 == 0, F.col("c")))))).alias("b"))
-    seeds = retrieval.top_k(retrieval.overlaps(b, d), "item_id", [F.desc("score"), F.col("doc_id")], 2).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"))
+    seeds = retrieval.keyword_topk(b, d, 2).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"))
     return graph.subgraph(edges, seeds, d.select(F.col("doc_id").alias("id"), F.expr("1 + n_chars div 4").alias("cost")), 12_000)
 
 
