@@ -29,6 +29,28 @@ def leaderboard(rows: DataFrame, tier: str = "tier") -> str:
     return "\n\n".join(parts)
 
 
+def full_leaderboard(rows: DataFrame) -> str:
+    """The leaderboard of `boards.board`: a table for each tier with nine metrics and eight categories; what a run lacks is a dash."""
+    from annalist.operators import boards
+
+    heads = ["System (version)", *boards.METRICS.values(), *boards.CATEGORIES]
+    parts = ["# Leaderboard"]
+    tier = object()
+    for r in rows.orderBy("tier", "rank").toLocalIterator():  # a row a run
+        if r["tier"] != tier:
+            tier = r["tier"]
+            parts += [f"\n## Tier: {shown(tier)}\n", f"| {' | '.join(heads)} |", f"|{'---|' * len(heads)}"]
+        parts.append(f"| {' | '.join([shown(r['system'])] + ['—' if r[c] is None else shown(r[c]) for c in (*boards.METRICS, *boards.CATEGORIES)])} |")
+    return "\n".join(parts if len(parts) > 1 else [*parts, "", "_No results yet._"]) + "\n"
+
+
+def write(spark, path: str, text: str) -> None:
+    """A report as a file, in the place of an older one."""
+    from annalist.sources import files
+
+    files.put(spark, path, text, over=True)
+
+
 def budget(plan: DataFrame, tier: str = "tier", system: str = "system") -> str:
     """Systems by tiers with their costs; what is over the budget in brackets; the included total below."""
     cell = F.when(F.col("included"), F.format_string("%.2f", "cost")).otherwise(F.format_string("(%.2f)", "cost"))

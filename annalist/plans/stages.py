@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import nested
-from annalist.operators import calls, graph, merging, repair, retrieval
+from annalist.operators import boards, calls, evaluation, graph, merging, repair, retrieval
 from annalist.plans import knowledge
-from annalist.sources import shared, written
+from annalist.sources import harness, shared, written
 from annalist.sources.keyed import Keyed, repointed
 from annalist.sources.scopes import Scopes
 from annalist.sources.tables import table
@@ -109,10 +109,11 @@ def subgraph_budget(b, d):
 
 @query(
     f"""WITH {knowledge._GRAPH}, af AS (SELECT id AS event_id, unnest(evidence) AS v, generate_subscripts(evidence, 1) AS i FROM e), a AS (SELECT event_id, v.slot_id AS slot_id, CASE WHEN event_id % 4 = 1 THEN 'secondary' ELSE 'primary' END AS role, event_id * 10 + i AS ord FROM af),
-    d AS (SELECT a.*, occurred_at AS day FROM a JOIN e ON e.id = a.event_id), st AS (SELECT event_id, arg_min(slot_id, ord) AS stale FROM a GROUP BY 1),
-    ed AS (SELECT r.source, r.target, s.occurred_at AS day, stale FROM r JOIN e s ON s.id = r.source JOIN e t ON t.id = r.target JOIN st ON st.event_id = r.target WHERE r.relation IN ('supersedes', 'reverses')),
-    lt AS (SELECT source, target, stale, arg_min(slot_id, {{'k': (role <> 'secondary')::INT, 'o': ord}}) AS host, count(*) AS later FROM ed JOIN d ON d.day > ed.day AND d.event_id <> ed.source AND d.event_id <> ed.target GROUP BY ALL)
-    SELECT source, target, stale, host, later FROM lt""",
+    st AS (SELECT event_id, arg_min(slot_id, ord) AS stale, arg_min(slot_id, {{'k': (role <> 'secondary')::INT, 'o': ord}}) AS slot, min({{'k': (role <> 'secondary')::INT, 'o': ord}}) AS best, count(*) AS n, any_value(occurred_at) AS day FROM a JOIN e ON e.id = a.event_id GROUP BY 1),
+    dt AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY day ORDER BY best) <= 3), dn AS (SELECT day, sum(n) AS n FROM st GROUP BY 1), days AS (SELECT DISTINCT occurred_at AS day FROM e),
+    tops AS (SELECT a.day, dt.event_id, dt.slot, row_number() OVER (PARTITION BY a.day ORDER BY dt.best) AS place FROM days a JOIN dt ON dt.day > a.day QUALIFY place <= 3), cn AS (SELECT a.day, sum(dn.n) AS n FROM days a JOIN dn ON dn.day > a.day GROUP BY 1),
+    ed AS (SELECT r.source, r.target, s.occurred_at AS day, st.stale, st.day AS tday, st.n AS tn FROM r JOIN e s ON s.id = r.source JOIN st ON st.event_id = r.target WHERE r.relation IN ('supersedes', 'reverses'))
+    SELECT source, target, any_value(stale) AS stale, arg_min(slot, place) AS host, any_value(cn.n - CASE WHEN tday > ed.day THEN tn ELSE 0 END)::BIGINT AS later FROM ed JOIN cn USING (day) JOIN tops ON tops.day = ed.day AND event_id <> source AND event_id <> target GROUP BY source, target, ed.day""",
     "orders", "lineitem", "customer",
 )
 def stale_planted(o, li, c):
@@ -284,3 +285,148 @@ def texts_repaired(o):
     done = repair.rounds(rows, "o_orderkey", rewrite, folder(o.sparkSession))
     told = F.size(F.regexp_extract_all(F.substring_index("text", "## Facts", 1), F.lit("(Fact [0-9])"), F.lit(1)))
     return done.select("o_orderkey", "attempts", "kept", "score", told.alias("told"))
+
+
+# Boards
+
+_CATS = ["supersession", "decision_provenance", "bitemporal", "audit_replay", "justification_chain", "contradiction", "multi_hop_lineage", "emergent_pattern"]
+_BOARD = """j AS (SELECT o_orderstatus AS tier, o_orderpriority AS system, o_orderkey % 7 / 7 AS score, o_orderkey % 11 / 11 AS semantic, o_orderkey % 3 = 0 AS exact, o_orderkey % 4 <> 0 AS faithful, floor(o_totalprice)::DOUBLE AS latency, o_custkey AS cost, o_custkey % 8 AS cat, o_orderkey FROM orders),
+    m AS (SELECT tier, system, round(avg(score::DECIMAL(20, 9)), 4)::DOUBLE AS accuracy_mean, round(count(*) FILTER (exact) / count(*), 4) AS exact_match_rate, round(avg(semantic::DECIMAL(20, 9)), 4)::DOUBLE AS semantic_mean, round(1 - count(*) FILTER (faithful) / count(*), 4) AS hallucination_rate,
+      round(quantile_cont(nullif(latency, 0), 0.5), 2) AS latency_ms_p50, round(quantile_cont(nullif(latency, 0), 0.95), 2) AS latency_ms_p95, round(avg((cost / 1000)::DECIMAL(20, 9)), 6)::DOUBLE AS cost_per_query_usd, CASE WHEN system <> '5-LOW' THEN (sum(o_orderkey) // 4)::DOUBLE END AS tokens_stored, CASE WHEN system <> '5-LOW' THEN count(*)::DOUBLE END AS ingest_seconds FROM j GROUP BY tier, system)"""
+
+
+@query(
+    f"""WITH {_BOARD} SELECT m.*, row_number() OVER (PARTITION BY m.tier ORDER BY accuracy_mean DESC, m.system)::INT AS rank, m.system || ' (' || CASE WHEN m.system = '1-URGENT' THEN '?' ELSE 'v' || m.tier END || ')' || CASE WHEN m.system = '2-HIGH' THEN ' [dry-run]' ELSE '' END AS name,
+      {", ".join(f"(SELECT round(avg(score::DECIMAL(20, 9)), 4)::DOUBLE FROM j WHERE j.tier = m.tier AND j.system = m.system AND cat = {i}) AS {c}" for i, c in enumerate(_CATS) if i != 7)}, NULL::DOUBLE AS emergent_pattern FROM m""".replace("SELECT m.*, row_number", "SELECT m.* EXCLUDE (system), row_number").replace("AS name,", "AS system,"),
+    "orders",
+)
+def leaderboard_full(o):
+    """Nine metrics and eight categories of each run, one of which no run has."""
+    names = F.array(*[F.lit(c) for c in _CATS])
+    category = F.when(F.col("o_custkey") % 8 != 7, F.get(names, (F.col("o_custkey") % 8).cast("int")))
+    rows = o.select(
+        F.col("o_orderstatus").alias("tier"), F.col("o_orderpriority").alias("system"), (F.col("o_orderkey") % 7 / 7).alias("score"), (F.col("o_orderkey") % 11 / 11).alias("semantic_score"), (F.col("o_orderkey") % 3 == 0).alias("exact_match"),
+        (F.col("o_orderkey") % 4 != 0).alias("faithful"), F.floor("o_totalprice").cast("double").alias("latency_ms"), (F.col("o_custkey") / 1000).alias("cost_usd"), category.alias("public_category"), "o_orderkey",
+    )
+    key = ["tier", "system"]
+    records = evaluation.records(rows, key).join(evaluation.breakdown(rows, key, "public_category", "by_category"), key, "left")
+    records = records.withColumns({"system_version": F.when(F.col("system") != "1-URGENT", F.concat(F.lit("v"), "tier")), "dry_run": F.col("system") == "2-HIGH"})
+    ingests = rows.where("system <> '5-LOW'").groupBy(*key).agg(F.expr("sum(o_orderkey) div 4").cast("double").alias("tokens_stored"), F.count("*").cast("double").alias("ingest_seconds"))
+    return boards.board(records, ingests)
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS question, CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS system, o_orderkey % 2 = 0 AS new, o_orderkey % 41 / 40 AS score, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3, o_orderkey % 2 ORDER BY o_orderkey) AS i FROM orders),
+    b AS (SELECT question, system, max(score) FILTER (NOT new) AS old, max(score) FILTER (new) AS new FROM s WHERE i = 1 GROUP BY ALL)
+    SELECT question, max(old) FILTER (system = 'a') AS a_old, max(new) FILTER (system = 'a') AS a_new, max(new - old) FILTER (system = 'a') AS a_delta, max(old) FILTER (system = 'b') AS b_old, max(new) FILTER (system = 'b') AS b_new, max(new - old) FILTER (system = 'b') AS b_delta FROM b GROUP BY question
+    HAVING count(*) > 0 UNION ALL SELECT NULL, round(avg(old::DECIMAL(28, 12)) FILTER (system = 'a'), 9), round(avg(new::DECIMAL(28, 12)) FILTER (system = 'a'), 9), round(avg(new::DECIMAL(28, 12)) FILTER (system = 'a') - avg(old::DECIMAL(28, 12)) FILTER (system = 'a'), 9),
+      round(avg(old::DECIMAL(28, 12)) FILTER (system = 'b'), 9), round(avg(new::DECIMAL(28, 12)) FILTER (system = 'b'), 9), round(avg(new::DECIMAL(28, 12)) FILTER (system = 'b') - avg(old::DECIMAL(28, 12)) FILTER (system = 'b'), 9) FROM b""",
+    "orders",
+)
+def rejudge_matrix(o):
+    """Old and new scores of two of three systems by question, with their means below."""
+    system = F.when(F.col("o_orderkey") % 3 == 0, "a").when(F.col("o_orderkey") % 3 == 1, "b").otherwise("c")
+    rows = o.select(F.col("o_custkey").alias("question"), system.alias("system"), (F.col("o_orderkey") % 2 == 0).alias("is_new"), (F.col("o_orderkey") % 41 / 40).alias("score"), "o_orderkey")
+    first = rows.groupBy("question", "system", "is_new").agg(F.min_by("score", "o_orderkey").alias("score"))
+    found = boards.matrix(first.where("not is_new"), first.where("is_new"), ["a", "b"])
+    means = F.col("question").isNull()
+    return found.withColumns({c: F.when(means, F.round(c, 9)).otherwise(F.col(c)) for c in found.columns if c != "question"})
+
+
+@query(
+    """WITH d AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS t, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS r FROM documents)
+    SELECT count(*)::BIGINT AS n_artifacts, count(*) FILTER (doc_id % 3 > 0)::BIGINT AS n_dated, sum(length(text))::BIGINT AS total_chars, (sum(length(text)) // 4)::BIGINT AS approx_tokens,
+    (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT coalesce(t, 'null') AS k, count(*) AS n FROM d GROUP BY 1)) AS by_source_type, (SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT coalesce(r, 'null') AS k, count(*) AS n FROM d GROUP BY 1)) AS by_role FROM d""",
+    "documents",
+)
+def corpus_overview(d):
+    """Counts of the corpus as a whole, with histograms as text."""
+    rows = d.select("text", F.when(F.col("doc_id") % 3 > 0, "2020-01-01").alias("timestamp"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source_type"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("role"))
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return boards.overview(rows).withColumns({c: shown(c) for c in ("by_source_type", "by_role")})
+
+
+@query(
+    """WITH c AS (SELECT o_orderstatus AS tier, o_orderpriority AS system, sum(o_totalprice::DECIMAL(18, 2)) AS cost FROM orders GROUP BY ALL), p AS (SELECT *, cost::DECIMAL(28, 9) AS x, cost % 2 < 1 AS included FROM c)
+    SELECT tier, coalesce(sum(x) FILTER (included), 0)::DOUBLE AS cost, coalesce(string_agg(DISTINCT system, ',' ORDER BY system) FILTER (included), '') AS included, coalesce(string_agg(DISTINCT system, ',' ORDER BY system) FILTER (NOT included), '') AS excluded FROM p GROUP BY ROLLUP (tier)""",
+    "orders",
+)
+def plan_totals(o):
+    """What a plan includes and leaves out, by tier and in all."""
+    cells = o.groupBy(F.col("o_orderstatus").alias("tier"), F.col("o_orderpriority").alias("system")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("cost"))
+    found = boards.totals(cells.withColumn("included", F.col("cost") % 2 < 1))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("included", "excluded")})
+
+
+@query("SELECT item_id AS id, text FROM benchmark WHERE item_id % 3 > 0", "benchmark")
+def benchmark_written(b):
+    """The questions that passed, written and read back."""
+    at = folder(b.sparkSession)
+    harness.write_benchmark(b.select(F.col("item_id").alias("id"), "text"), b.where("item_id % 3 > 0").select(F.col("item_id").alias("id")), at)
+    return b.sparkSession.read.schema("id bigint, text string").json(at)
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 8 = 4", "orders")
+def resumed_pairs(o):
+    """Questions still to run after a partial log of pairs, some of whose lines are torn or hold no verdict."""
+    at, k = folder(o.sparkSession), F.col("o_orderkey")
+    pair = F.to_json(F.struct(F.struct(s(k).alias("question_id"), F.lit("x").alias("answer_text")).alias("query"), F.struct(s(k).alias("question_id"), F.lit(0.5).alias("score")).alias("judge")))
+    line = F.when(k % 8 == 0, pair).when(k % 8 == 4, F.substring(pair, 1, 30)).otherwise(F.format_string('{"query": {"question_id": "%s"}}', s(k)))
+    o.where("o_orderkey % 4 = 0 or o_orderkey % 16 = 1").select(line.alias("value")).write.text(at)
+    return harness.to_run(o.select(s(k).alias("id")), harness.pairs(o.sparkSession, at)).select(F.col("id").cast("bigint").alias("id"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS system, 'v1' AS pinned, 'v' || (o_custkey % 3) AS running FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey % 3 <> 1 AND o_custkey % 5 > 0", "orders")
+def versions_drifted(o):
+    """Systems that ran in other versions than their pins."""
+    version = F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("v"), s(F.col("o_custkey") % 3))).otherwise("v9-unknown")
+    return boards.drifted(o.select(F.col("o_orderpriority").alias("system"), version.alias("system_version")), {"1-URGENT": "v1", "5-LOW": "v1"})
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'said ' || source WHEN 1 THEN '' ELSE 'then ' || lang END AS line FROM documents", "documents")
+def lines_usable(d):
+    """The first line of a reply that can be used."""
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit("\n# Head\n```text\n  said "), "source", F.lit(" \nmore"))).when(k == 1, "# only\n\n```\n").otherwise(F.concat(F.lit("then "), "lang", F.lit("\r\nmore")))
+    return d.select("doc_id", boards.usable_line(reply).alias("line"))
+
+
+@query(
+    """WITH v AS (SELECT o_custkey AS root, count(*) AS chain_length FROM orders GROUP BY 1) SELECT root, chain_length, row_number() OVER (ORDER BY chain_length DESC, root) AS place FROM v""",
+    "orders",
+)
+def hardest_first(o):
+    """Chains in one order of all, the longest first."""
+    return boards.hardest(o.groupBy(F.col("o_custkey").alias("root")).agg(F.count("*").alias("chain_length")))
+
+
+@query(
+    """WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders), c AS (SELECT c_custkey AS id, c_name AS name, 1990 + (c_custkey % 9)::INT AS j, CASE WHEN c_custkey % 4 > 0 THEN 1993 + (c_custkey % 7)::INT END AS l FROM customer),
+    n AS (SELECT year, string_agg(name, ', ' ORDER BY id) AS names FROM (SELECT year, id, name, row_number() OVER (PARTITION BY year ORDER BY id) AS i FROM y JOIN c ON j <= year AND (l IS NULL OR l >= year)) WHERE i <= 10 GROUP BY year)
+    SELECT year, concat_ws(chr(10), '- Year ' || year || CASE WHEN year % 2 = 0 THEN ': theme ' || year ELSE '' END, '- Customers: ' || names) AS context FROM y LEFT JOIN n USING (year)""",
+    "customer", "orders",
+)
+def year_contexts(c, o):
+    """Themes and customers of each year; the topics are drawn by a digest that SQL lacks and are tested apart."""
+    years = o.select(F.year("o_orderdate").alias("year")).distinct().withColumn("theme", F.when(F.col("year") % 2 == 0, F.concat(F.lit("theme "), s("year"))))
+    k = F.col("c_custkey")
+    people = c.select(k.alias("id"), F.col("c_name").alias("name"), (1990 + k % 9).cast("int").alias("joined"), F.when(k % 4 > 0, (1993 + k % 7).cast("int")).alias("left"))
+    none = o.where("false").select(F.col("o_orderkey").alias("id"), F.lit("").alias("occurred_at"), F.lit("").alias("summary"))
+    return boards.year_contexts(years, people, none)
+
+
+@query(
+    """WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders), n AS (SELECT year, row_number() OVER (ORDER BY year) - 1 AS i, count(*) OVER () AS n FROM y), q AS (SELECT unnest([1, 2, 3, 4]) AS quarter), t AS (SELECT unnest(['A', 'B']) AS team)
+    SELECT 'medium' AS size, year, quarter::INT AS quarter, team FROM n, q, t WHERE i = n // 2 UNION ALL SELECT 'large', year, quarter, team FROM n, q, t WHERE i <> n // 2 AND quarter IN (2, 4)
+    UNION ALL SELECT 'small', (SELECT min(year) FROM n WHERE i > 0 AND i < n - 1 AND year BETWEEN 1994 AND 1996), 2, 'A'""",
+    "orders",
+)
+def history_windows(o):
+    """Years, quarters and teams that each size covers."""
+    years = o.select(F.year("o_orderdate").alias("year"))
+    eras = o.sparkSession.createDataFrame([("1990-01", "1993-12", "low"), ("1994-02", "1996-05", "high"), ("1996-06", "1999-12", "low")], "start string, end string, discipline_level string")
+    out = None
+    for size in ("small", "medium", "large"):
+        part = boards.windows(years, eras, ["A", "B"], size).withColumn("size", F.lit(size))
+        out = part if out is None else out.unionByName(part)
+    return out

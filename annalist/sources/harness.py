@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import evaluation
+from annalist.operators import evaluation, state
 from annalist.sources.tables import artifacts, json_lines, whole_texts
 
 EVIDENCE = "array<struct<slot_id:string,genre:string,role:string,author:string>>"
@@ -168,3 +168,22 @@ def forget(spark: SparkSession, path: str) -> bool:
     """Deletes a checkpoint; whether there was one."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """question_id, query and judge (JSON texts): the last pair of each question in a partial run's log; torn lines and a missing log are passed over."""
+    fields = "query string, judge string"
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where("trim(value) <> ''") if exists(spark, path) else spark.createDataFrame([], "value string")
+    numbered = lines.withColumn("_line", F.monotonically_increasing_id()).select("_line", F.from_json("value", fields).alias("p"))
+    known = numbered.select(F.get_json_object("p.query", "$.question_id").alias("question_id"), "p.query", "p.judge", "_line").where("question_id is not null and judge is not null")
+    return state.last_wins(known, ["question_id"], ["_line"]).drop("_line")
+
+
+def to_run(questions_: DataFrame, partial: DataFrame) -> DataFrame:
+    """Questions that a partial run has no pair of."""
+    return questions_.join(partial.select(F.col("question_id").alias("id")), "id", "left_anti")
+
+
+def write_benchmark(questions_: DataFrame, passed: DataFrame, path: str) -> None:
+    """The questions that passed, as JSON lines in the place of an older set: a semi-join by id."""
+    questions_.join(passed.select("id"), "id", "left_semi").write.mode("overwrite").json(path)
