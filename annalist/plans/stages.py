@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import nested
-from annalist.operators import boards, calls, evaluation, graph, merging, repair, retrieval
+from annalist.operators import adapters, boards, calls, evaluation, graph, merging, repair, retrieval
 from annalist.plans import knowledge
 from annalist.sources import harness, shared, written
 from annalist.sources.keyed import Keyed, repointed
@@ -430,3 +430,58 @@ def history_windows(o):
         part = boards.windows(years, eras, ["A", "B"], size).withColumn("size", F.lit(size))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Systems under test
+
+
+def texts(d: DataFrame) -> DataFrame:
+    """Documents as artefacts with times: every third one is no longer valid after some days."""
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int"))
+    k = F.col("doc_id")
+    return d.select(k.alias("slot_id"), "text", day(k % 400).alias("valid_at"), F.when(k % 3 == 0, day(k % 400 + 30)).alias("invalid_at"))
+
+
+_ADAPTER = """q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark),
+    v AS (SELECT * FROM documents WHERE DATE '2020-01-01' + (doc_id % 400)::INT <= DATE '2020-10-01' AND (doc_id % 3 > 0 OR DATE '2020-01-01' + (doc_id % 400 + 30)::INT > DATE '2020-10-01')),
+    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM v), o AS (SELECT item_id, doc_id, count(*) AS score FROM q JOIN d USING (token) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o), c AS (SELECT item_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS cited, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1)"""
+
+
+def echo():
+    """A client that fails once in a while for good and else replies with the length of its prompt."""
+
+    def client(prompt: str) -> str:
+        if len(prompt) % 5 == 0:
+            raise TimeoutError("no reply")
+        return f"length {len(prompt)}"
+
+    return client
+
+
+@query(
+    f"""WITH {_ADAPTER}, p AS (SELECT item_id, coalesce(cited, '') AS cited, length('Question:' || chr(10) || b.text || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN trim(coalesce(context, '')) = '' THEN '(no context was retrieved)' ELSE context[1:40000] END) AS n FROM benchmark b LEFT JOIN c USING (item_id))
+    SELECT item_id AS query_id, cited, CASE WHEN n % 5 = 0 THEN '' ELSE 'length ' || n END AS answer_text, CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM p""",
+    "benchmark", "documents",
+)
+def adapter_run(b, d):
+    """A system's run: documents ingested in two phases, questions asked as of a day, answers by a client that sometimes fails."""
+    system = adapters.KeywordAdapter(d.sparkSession, folder(d.sparkSession))
+    system.ingest("tier", texts(d.where("doc_id % 2 = 0")), texts(d.where("doc_id % 2 = 1")))
+    questions = b.select(F.col("item_id").alias("query_id"), "text")
+    found = shared.written(system.query("tier", questions, as_of="2020-10-01"), "contexts")
+    said = adapters.answered(found, questions, echo, calls.Guard(attempts=2, breaker=0, sleep=None))
+    return found.select("query_id", F.array_join("cited", ",").alias("cited")).join(said, "query_id")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS id, ['E-' || o_custkey] AS ids FROM orders), n AS (SELECT l_orderkey AS id, list_sort(list_distinct(list('E-' || l_suppkey * 3))) AS more FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1)
+    SELECT id, array_to_string(CASE WHEN more IS NULL THEN ids ELSE list_concat(ids, list_filter(more, lambda x: NOT list_contains(ids, x))) END, ',') AS ids FROM o LEFT JOIN n USING (id)""",
+    "orders", "lineitem",
+)
+def evidence_appended(o, li):
+    """Evidence slots added to the arrays of some stored events."""
+    stored = Keyed(o.sparkSession, folder(o.sparkSession), "id", 16)
+    stored.create(o.select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("E-"), s("o_custkey"))).alias("ids")))
+    stored.append(li.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("E-"), s(F.col("l_suppkey") * 3)).alias("ids")), "ids")
+    return stored.rows().select("id", F.array_join("ids", ",").alias("ids"))

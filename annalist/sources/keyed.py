@@ -82,6 +82,17 @@ class Keyed:
         history = both.select(F.explode(F.array_compact(entries)).alias("h")).select("h.*")
         return self._apply(both.select(*[value(c).alias(c) if c in fields else F.col(c) for c in rows.columns]), history, touched)
 
+    def append(self, items: DataFrame, field: str) -> int:
+        """items: the key and `field`, one item each; they go to the end of the array of their row, in order, those that it holds already left out."""
+        new = items.where(F.col(field).isNotNull()).groupBy(self.key).agg(F.array_sort(F.collect_set(field)).alias("_items")).select(F.col(self.key).alias("_key"), "_items")
+        touched = self._touched(new)
+        rows = self.rows(touched)
+        both = rows.join(new, rows[self.key] == new["_key"], "left")
+        old = F.coalesce(F.col(field), F.array().cast(rows.schema[field].dataType))
+        more = F.array_except(F.coalesce(F.col("_items").cast(rows.schema[field].dataType), F.array().cast(rows.schema[field].dataType)), old)
+        history = both.where(F.size(more) > 0).select(F.col(self.key).cast("string").alias("key"), F.lit(field).alias("field"), F.to_json(old).alias("old"), F.to_json(F.concat(old, more)).alias("new"))
+        return self._apply(both.select(*[F.when(F.size(more) > 0, F.concat(old, more)).otherwise(F.col(c)).alias(c) if c == field else F.col(c) for c in rows.columns]), history, touched)
+
     def rename(self, names: DataFrame) -> int:
         """names: (old, new) keys. Rows take their new keys and move to the buckets of these; a history row for each."""
         new = names.where("old is not null and new is not null").groupBy("old").agg(F.max("new").alias("new"))

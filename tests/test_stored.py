@@ -188,3 +188,32 @@ def test_repair_rounds_are_resumed(spark, tmp_path):
     assert got == {
         1: ("Alpha beta gamma", 1.0, 0, 0), 2: ("alpha and beta\n\n---\n\n## Facts\n\n- gamma", 1.0, 2, -1), 3: ("alpha beta gamma", 1.0, 1, 1), 4: ("x", 1.0, 0, 0), 5: ("alpha beta\n\n---\n\n## Facts\n\n- gamma", 1.0, 2, -1),
     }
+
+
+def test_arrays_are_appended(spark, tmp_path):
+    table = Keyed(spark, f"file://{tmp_path}/a", "id", 4)
+    table.create(put(spark, [(1, ["a"]), (2, None), (3, ["c"])], "id bigint, ids array<string>"))
+    assert table.append(put(spark, [(1, "b"), (1, "a"), (2, "z"), (2, "y"), (3, "c"), (4, "q"), (3, None)], "id bigint, ids string"), "ids") == 1
+    assert {r.id: r.ids for r in table.rows().collect()} == {1: ["a", "b"], 2: ["y", "z"], 3: ["c"]}
+    assert sorted((r.key, r.old, r.new) for r in table.history().collect()) == [("1", '["a"]', '["a","b"]'), ("2", "[]", '["y","z"]')]
+
+
+def test_adapters(spark, tmp_path, caplog):
+    from annalist.operators import adapters, calls
+
+    rows = put(spark, [(1, "red apple", "2020-01-01", None), (2, "red apple pie", "2020-01-01", "2020-06-01"), (3, None, None, None), (4, "blue", "2021-01-01", None)], "slot_id bigint, text string, valid_at string, invalid_at string")
+    rows = rows.withColumns({c: F.to_date(c) for c in ("valid_at", "invalid_at")})
+    system = adapters.KeywordAdapter(spark, f"file://{tmp_path}/k", k=2)
+    assert system.ingest("t", rows.where("slot_id < 3"), rows.where("slot_id >= 3")) == "written" and system.ingest("t", rows) == "reused"
+    asked = put(spark, [(7, "apple pie"), (8, "blue"), (9, "nothing here")], "query_id bigint, text string")
+    got = {r.query_id: (r.cited, r.context) for r in system.query("t", asked).collect()}
+    assert got == {7: ([2, 1], "red apple pie\n\nred apple"), 8: ([4], "blue"), 9: ([], "")}
+    assert {r.query_id: r.cited for r in system.query("t", asked, as_of="2020-07-01").collect()} == {7: [1], 8: [], 9: []}
+    contexts = system.query("t", asked)
+    assert {tuple(r) for r in adapters.answered(contexts, asked).collect()} == {(i, "", "dry_run") for i in (7, 8, 9)}
+    said = adapters.answered(contexts, asked, lambda: lambda prompt: prompt.split("Context:\n")[1], calls.Guard(sleep=None))
+    assert {tuple(r) for r in said.collect()} == {(7, "red apple pie\n\nred apple", "ok"), (8, "blue", "ok"), (9, "(no context was retrieved)", "ok")}
+    system.resolve_version = lambda: "2"
+    assert system.version() == "2" and "pinned is 1" in caplog.text and system.ingest("t", rows) == "written"
+    system.resolve_version = lambda: 1 / 0
+    assert system.version() == "unknown" and system.teardown("t") and system.query("t", asked).where("size(cited) > 0").count() == 0
