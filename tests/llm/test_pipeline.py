@@ -84,3 +84,29 @@ def test_decisions_of_each_stage(spark, tmp_path):
     assert set(left[1]) == set(left[0]) - {200, 201}
     assert {i for i in left[1] if left[2][i] != left[1][i]} == {202, 203} and passage not in left[2][202] + left[2][203]
     assert set(left[3]) == set(left[2]) - {204}
+
+
+def test_planted_passages_of_51_to_60_words(spark, tmp_path):
+    """Short and long words, as they are and with other blanks between: op8 reports each passage, the stage cuts it, and clean texts stay."""
+    import random
+
+    from annalist.llm import suffixes
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    own = lambda: " ".join(word(rng.randint(2, 9)) + "1" for _ in range(rng.randint(20, 60)))
+    rows, planted = [], {}
+    for n in range(51, 61):
+        for size in (2, 5, 12):
+            passage = [word(size) for _ in range(n)]
+            for blank in (" ", "\n", "  "):
+                planted[len(rows)] = passage
+                rows.append(f"{own()} {blank.join(passage)} {own()}")
+    rows += [own() for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(rows)], "doc_id bigint, text string, n_chars bigint").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r.doc_id: (r.n_passages, r.n_passage_words) for r in suffixes.op8_suffixes(spark, str(tmp_path)).collect()}
+    assert told == {i: (1, len(planted[i])) if i in planted else (0, 0) for i in range(len(rows))}
+    left = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()}
+    assert all(left[i] == rows[i] for i in range(len(rows)) if i not in planted)
+    assert all(left[i].split() == [w for w in rows[i].split() if w not in set(passage)] for i, passage in planted.items())
