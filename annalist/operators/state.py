@@ -37,7 +37,7 @@ def settled(polls: DataFrame, key: list[str], order: str, count: str, stable: in
 
 def first_fit(needs: DataFrame, key: str, need: str, tiers: DataFrame) -> DataFrame:
     """The cheapest tier (tier, cap, fee) that takes each need; fee -1 and tier null if none does. The tiers are a few rows."""
-    fits = needs.join(F.broadcast(tiers), F.col(need) <= F.col("cap"), "left")
+    fits = needs.join(tiers, F.col(need) <= F.col("cap"), "left")
     best = fits.groupBy(key, need).agg(F.min_by(F.struct("tier", "fee"), F.struct("fee", "cap")).alias("t"))
     return best.select(key, need, F.col("t.tier").alias("tier"), F.coalesce("t.fee", F.lit(-1)).alias("fee"))
 
@@ -45,4 +45,4 @@ def first_fit(needs: DataFrame, key: str, need: str, tiers: DataFrame) -> DataFr
 def plan(profiles: DataFrame, sizes: DataFrame, budget: float) -> DataFrame:
     """Every system on every tier: its cost, and whether that is below the budget. Both sides are a few rows of parameters."""
     cost = F.col("calls") * F.col("artifacts") * F.col("price_in") + F.col("questions") * F.col("price_out")
-    return profiles.crossJoin(F.broadcast(sizes)).withColumn("cost", cost).withColumn("included", F.col("cost") < budget)
+    return profiles.crossJoin(sizes).withColumn("cost", cost).withColumn("included", F.col("cost") < budget)

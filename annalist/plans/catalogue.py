@@ -468,7 +468,7 @@ def patch_merge(p, s):
 )
 def spine_grid(r, n, c, o):
     spine = r.select("r_regionkey", "r_name", F.explode(F.sequence(F.lit(1992), F.lit(1998))).alias("year")).select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quarter"))
-    own = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("r_regionkey"))
+    own = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("r_regionkey"))
     counts = o.join(own, "o_custkey").groupBy("r_regionkey", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count("*").alias("n"))
     return spine.join(counts, ["r_regionkey", "year", "quarter"], "left").select("r_name", "year", "quarter", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import rules as R
 from annalist.functions import sketches as S
+from annalist.functions import text as T
 from annalist.operators import evaluation, graph, planning
 from annalist.plans import knowledge
 from annalist.sources.tables import table
@@ -72,27 +73,40 @@ def questions_stats(d):
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'C' || (o_orderkey % 6 + 1) WHEN 1 THEN 'C' || (o_orderkey % 5 + 1) WHEN 4 THEN 'C6' END AS category FROM orders""",
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ['', ' ', 'x', chr(9)][(o_orderkey % 4 + 1)::INT] || ['c', 'C', 'K', ''][(o_orderkey // 4 % 4 + 1)::INT] || o_custkey % 10 || ['', ' (provenance)', '7', '-c2'][(o_orderkey // 16 % 4 + 1)::INT] END AS raw FROM orders)
+    SELECT o_orderkey, nullif(upper(regexp_extract(trim(raw), '^[cC][1-6]')), '') AS category FROM r""",
     "orders",
 )
 def categories_normal(o):
+    """Categories out of beginnings, letters, digits and endings of many kinds."""
     k = F.col("o_orderkey")
-    raw = F.when(k % 6 == 0, F.concat(F.lit(" c"), s(k % 6 + 1))).when(k % 6 == 1, F.concat(F.lit("C"), s(k % 5 + 1), F.lit(" (provenance)"))).when(k % 6 == 2, s(k)).when(k % 6 == 3, "n/a").when(k % 6 == 4, "c6").otherwise(None)
-    return o.select("o_orderkey", R.normal_category(raw).alias("category"))
+    pick = lambda xs, by: F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
+    raw = F.concat(pick(["", " ", "x", "\t"], k), pick(["c", "C", "K", ""], F.floor(k / 4)), s(F.col("o_custkey") % 10), pick(["", " (provenance)", "7", "-c2"], F.floor(k / 16)))
+    return o.select("o_orderkey", R.normal_category(F.when(k % 11 != 0, raw)).alias("category"))
 
 
-_RAW = ["Slack Thread", "slack", "post-mortem", "Post-Mortem", "a meeting notes page", "notes", "crm", "rfc-2119", "Sales CRM", "poem", "", "call", "incident", "ADR"]
-_GENRES = ["slack_thread", "slack_thread", "postmortem", "slack_thread", "meeting_notes", "meeting_notes", "sales_crm_entry", "rfc", "sales_crm_entry", "slack_thread", "slack_thread", "customer_call_notes", "incident_report", "adr"]
-_GENRES[2] = _GENRES[3] = "slack_thread"
+
+
+_LISTED = "['" + "', '".join(R.GENRES) + "']"
+_OTHER = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.ALIASES.items()) + "}"
+_NAMES = [*R.GENRES, *R.ALIASES, "poem", "incident", "customer", "a"]
 
 
 @query(
-    f"""SELECT p_partkey, (['{"', '".join(_GENRES)}'])[(p_partkey % 14 + 1)::INT] AS genre, CASE WHEN (['{"', '".join(_GENRES)}'])[(p_partkey % 14 + 1)::INT] = 'slack_thread' THEN 'direct' ELSE 'inferred' END AS testimony FROM part""",
+    f"""WITH g AS (SELECT p_partkey, (['{"', '".join(_NAMES)}'])[(p_partkey % {len(_NAMES)} + 1)::INT] AS name FROM part), r AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN ' ' || replace(name, '_', ' ') WHEN 3 THEN replace(name, '_', '-') || ' ' WHEN 4 THEN name[1:length(name) // 2 + 1] WHEN 5 THEN 'our ' || name || ' page' END AS raw FROM g),
+    k AS (SELECT *, translate(lower(trim(raw)), ' -', '__') AS key FROM r), f AS (SELECT p_partkey, CASE WHEN coalesce(raw, '') = '' THEN 'slack_thread' WHEN list_contains({_LISTED}, key) THEN key ELSE coalesce({_OTHER}[key], list_filter({_LISTED}, lambda x: contains(key, x) OR contains(x, key))[1], 'slack_thread') END AS genre FROM k)
+    SELECT p_partkey, genre, CASE WHEN list_contains(['{"', '".join(T.INFERENCE)}'], genre) THEN 'inferred' ELSE 'direct' END AS testimony FROM f""",
     "part",
 )
 def genres_resolved(p):
-    genre = R.resolve_genre(F.get(F.array(*map(F.lit, _RAW)), (F.col("p_partkey") % 14).cast("int")))
-    return p.select("p_partkey", genre.alias("genre")).withColumn("testimony", R.testimony("genre"))
+    """Genres and their other names in capitals, with blanks and hyphens, cut off, within other words, and missing."""
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    shapes = [name, F.upper(name), F.concat(F.lit(" "), F.replace(name, F.lit("_"), F.lit(" "))), F.concat(F.replace(name, F.lit("_"), F.lit("-")), F.lit(" ")), F.substring(name, F.lit(1), F.floor(F.length(name) / 2).cast("int") + 1), F.concat(F.lit("our "), name, F.lit(" page"))]
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        raw = F.when(k % 7 == i, shape).otherwise(raw)
+    return p.select("p_partkey", R.resolve_genre(raw).alias("genre")).withColumn("testimony", R.testimony("genre"))
 
 
 # Facts
@@ -260,15 +274,20 @@ def account_people(c):
 
 
 @query(
-    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '2019,2020,2021' WHEN 1 THEN '2018,2019' WHEN 2 THEN '2018,2019,2020,2021,2022' ELSE '2018,2019,2020,2021,2022' END AS years,
-    CASE WHEN p_partkey % 4 = 3 THEN '' ELSE (['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'])[(p_partkey % 12 + 1)::INT] END AS month FROM part""",
-    "part",
+    r"""WITH r AS (SELECT o_orderkey, 1993 + (o_custkey % 20)::INT AS a, 1996 + (o_orderkey % 17)::INT AS b, year(o_orderdate)::INT + 8 AS y0, o_orderkey % 6 AS kind, o_orderdate AS d FROM orders),
+    t AS (SELECT o_orderkey, CASE kind WHEN 0 THEN 'between ' || a || ' and ' || b WHEN 1 THEN 'until ' || b WHEN 2 THEN 'in Q' || a || ', not x' || b WHEN 3 THEN b || '-' || a || '/' || y0 WHEN 4 THEN 'always' END AS said, list_transform(range(0, 6), lambda i: y0 - i) AS years, kind, d FROM r),
+    f AS (SELECT *, list_transform(regexp_extract_all(coalesce(said, ''), '\b(20[0-9]{2})\b', 1), lambda x: x::INT) AS n FROM t), h AS (SELECT *, list_filter(list_sort(years), lambda y: y >= CASE WHEN len(n) >= 2 THEN list_min(n) ELSE 0 END AND y <= list_max(n)) AS fits FROM f)
+    SELECT o_orderkey, array_to_string(CASE WHEN len(n) = 0 OR len(fits) = 0 THEN list_sort(years) ELSE fits END, ',') AS years, CASE WHEN kind = 4 THEN '' ELSE monthname(d) END AS month FROM h""",
+    "orders",
 )
-def years_said(p):
-    k = F.col("p_partkey") % 4
-    text = F.when(k == 0, "between 2021 and 2019").when(k == 1, "until 2019").when(k == 2, "before 2001")
-    day = F.when(k == 3, "soon").otherwise(F.concat(F.lit("2020-"), F.lpad(s(F.col("p_partkey") % 12 + 1), 2, "0"), F.lit("-09T")))
-    return p.select("p_partkey", F.array_join(F.transform(R.years_of(text, F.array(*map(F.lit, range(2022, 2017, -1)))), lambda y: y.cast("string")), ",").alias("years"), R.month_name(day).alias("month"))
+def years_said(o):
+    """Years that texts of six kinds speak of, among six years of each order, and the name of its month."""
+    k = F.col("o_orderkey") % 6
+    a, b, y0 = s((1993 + F.col("o_custkey") % 20).cast("int")), s((1996 + F.col("o_orderkey") % 17).cast("int")), F.year("o_orderdate") + 8
+    said = F.when(k == 0, F.concat(F.lit("between "), a, F.lit(" and "), b)).when(k == 1, F.concat(F.lit("until "), b)).when(k == 2, F.concat(F.lit("in Q"), a, F.lit(", not x"), b)).when(k == 3, F.concat(b, F.lit("-"), a, F.lit("/"), s(y0))).when(k == 4, "always")
+    day = F.when(k == 4, "soon").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T09")))
+    years = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: y0 - i)
+    return o.select("o_orderkey", F.array_join(F.transform(R.years_of(said, years), lambda y: y.cast("string")), ",").alias("years"), R.month_name(day).alias("month"))
 
 
 @query(

@@ -141,7 +141,7 @@ def first_per_category(d):
 def actual_and_estimate(o):
     estimates = o.sparkSession.createDataFrame([("F", "1-URGENT", 1000.0), ("O", "2-HIGH", 2000.0)], "tier string, system string, estimate double")
     actual = o.groupBy(F.col("o_orderstatus").alias("tier"), F.col("o_orderpriority").alias("system")).agg(F.sum(F.col("o_totalprice").cast("decimal(28,6)")).cast("double").alias("actual"))
-    return actual.join(F.broadcast(estimates), ["tier", "system"], "left").withColumn("over", F.col("actual") - F.col("estimate"))
+    return actual.join(estimates, ["tier", "system"], "left").withColumn("over", F.col("actual") - F.col("estimate"))
 
 
 # Loose texts
@@ -158,12 +158,18 @@ def iso_times(o):
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-15') WHEN 1 THEN strftime(o_orderdate, '%Y-06-15') ELSE '2023-06-15' END AS middle FROM orders""",
+    r"""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN year(d) || '-' || month(d) WHEN 1 THEN strftime(d, '%Y-%m') WHEN 2 THEN strftime(d, '%Y-%m-%d') WHEN 3 THEN ' ' || year(d) || ' ' WHEN 4 THEN strftime(d, '%Y%m%d') WHEN 5 THEN year(d) || '-Q' || quarter(d) WHEN 6 THEN 'in ' || year(d) WHEN 7 THEN year(d) || '/' || month(d) END AS raw FROM (SELECT o_orderkey, o_orderdate AS d FROM orders)),
+    p AS (SELECT o_orderkey, regexp_extract(trim(raw), '^([0-9]{4})(-([0-9]{1,2}))?', ['y', 'x', 'm']) AS f FROM r) SELECT o_orderkey, CASE WHEN coalesce(f.m, '') <> '' THEN f.y || '-' || lpad(f.m, 2, '0') || '-15' WHEN coalesce(f.y, '') <> '' THEN f.y || '-06-15' ELSE '2023-06-15' END AS middle FROM p""",
     "orders",
 )
 def middle_dates(o):
-    k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
-    raw = F.when(k == 0, F.concat_ws("-", F.year(d).cast("string"), F.month(d).cast("string"))).when(k == 1, F.year(d).cast("string")).otherwise("then")
+    """Loose dates of nine kinds."""
+    k, d = F.col("o_orderkey") % 9, F.col("o_orderdate")
+    y, m = F.year(d).cast("string"), F.month(d).cast("string")
+    shapes = [F.concat_ws("-", y, m), F.date_format(d, "yyyy-MM"), F.date_format(d, "yyyy-MM-dd"), F.concat(F.lit(" "), y, F.lit(" ")), F.date_format(d, "yyyyMMdd"), F.concat(y, F.lit("-Q"), F.quarter(d).cast("string")), F.concat(F.lit("in "), y), F.concat_ws("/", y, m)]
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        raw = F.when(k == i, shape).otherwise(raw)
     return o.select("o_orderkey", P.middle_date(raw).alias("middle"))
 
 
@@ -179,10 +185,17 @@ def yaml_fields(c):
     return c.select("conv_id", "turn", docs[0]["role"].alias("role"), docs[1]["size"].cast("bigint").alias("size"), F.size(docs).alias("docs"), F.get(docs, F.lit(2))["more"].cast("bigint").alias("more"))
 
 
+_KINDS = [*T.DIRECT, *T.INFERENCE, "poem", "adr2", ""]
+
+
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'direct_testimony' WHEN p_size % 3 = 0 THEN 'inference' ELSE 'unknown' END AS testimony FROM part""",
+    f"""WITH r AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(g) WHEN 1 THEN '  ' || g || ' ' WHEN 2 THEN replace(g, '_', ' ') WHEN 3 THEN g END AS raw FROM (SELECT p_partkey, (['{"', '".join(_KINDS)}'])[(p_partkey % {len(_KINDS)} + 1)::INT] AS g FROM part))
+    SELECT p_partkey, CASE WHEN list_contains(['{"', '".join(T.DIRECT)}'], lower(trim(raw))) THEN 'direct_testimony' WHEN list_contains(['{"', '".join(T.INFERENCE)}'], lower(trim(raw))) THEN 'inference' ELSE 'unknown' END AS testimony FROM r""",
     "part",
 )
 def testimony_types(p):
-    genre = F.when(F.col("p_size") % 2 == 0, " Slack_Thread ").when(F.col("p_size") % 3 == 0, "rfc").otherwise("poem")
-    return p.select("p_partkey", T.testimony_type(genre).alias("testimony"))
+    """Kinds of testimony of genres in capitals, with blanks, misspelt and missing."""
+    k = F.col("p_partkey")
+    g = F.element_at(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS) + 1).cast("int"))
+    raw = F.when(k % 5 == 0, F.upper(g)).when(k % 5 == 1, F.concat(F.lit("  "), g, F.lit(" "))).when(k % 5 == 2, F.replace(g, F.lit("_"), F.lit(" "))).when(k % 5 == 3, g)
+    return p.select("p_partkey", T.testimony_type(raw).alias("testimony"))

@@ -129,14 +129,14 @@ def context_blocks(c, o):
 
 @query(
     """SELECT item_id, 'Question:' || chr(10) || text || chr(10) || CASE WHEN item_id % 2 = 0 THEN 'The truth is a pattern that no one wrote down; a later formal version of it fails its points.' || chr(10) ELSE '' END || chr(10) || 'Truth:' || chr(10) || '{"k":' || item_id || '}' || chr(10) || chr(10) || 'Points:' || chr(10)
-      || '[{"id":"C1.sub1","criterion":"one","fail_criterion":"odd"},{"id":"sub2","criterion":"","fail_criterion":"' || CASE WHEN item_id % 3 = 0 THEN 'if' ELSE '' END || '"}]' || chr(10) || chr(10) || 'Answer:' || chr(10) || repeat('a', 6000) || chr(10) || chr(10) || 'Reply with JSON: subpoint_scores, exact_match, semantic_score, faithful, failure_mode, rationale.' AS prompt FROM benchmark""",
+      || '[{"id":"C1.sub1","criterion":"one","fail_criterion":"odd"},{"id":"sub2","criterion":"","fail_criterion":"' || CASE WHEN item_id % 3 = 0 THEN 'if' ELSE '' END || '"}]' || chr(10) || chr(10) || 'Answer:' || chr(10) || repeat(text, (item_id % 60)::INT)[1:6000] || chr(10) || chr(10) || 'Reply with JSON: subpoint_scores, exact_match, semantic_score, faithful, failure_mode, rationale.' AS prompt FROM benchmark""",
     "benchmark",
 )
 def judge_prompts(b):
     point = lambda *v: F.struct(*[F.lit(x).cast("string").alias(k) if isinstance(x, str | None) else x.alias(k) for k, x in zip(("id", "criterion", "fail_criterion", "fail_if"), v, strict=True)])
     rubric = F.array(point("C1.sub1", "one", "odd", "never"), point(None, None, "", F.when(F.col("item_id") % 3 == 0, "if")))
     truth = F.concat(F.lit('{"k":'), s("item_id"), F.lit("}"))
-    return b.select("item_id", merging.judge_prompt("text", truth, rubric, F.repeat(F.lit("a"), F.lit(7000)), F.col("item_id") % 2 == 0).alias("prompt"))
+    return b.select("item_id", merging.judge_prompt("text", truth, rubric, F.repeat("text", (F.col("item_id") % 60).cast("int")), F.col("item_id") % 2 == 0).alias("prompt"))
 
 
 @query(
