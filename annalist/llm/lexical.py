@@ -35,7 +35,7 @@ from annalist.llm.common import as_bytes, forget, read, small_batches, written
 
 TOP = 20
 #: Documents of a block, blocks that a task sorts at once, and blocks of highest bound that set a query's threshold.
-BLOCK, CHUNK, SEEDS = 64, 16, 2
+BLOCK, CHUNK, SEEDS = 8, 256, 8
 #: Bytes of query text that are sent to the tasks at once.
 BROADCAST_BYTES = 8 << 20
 #: The contract's classes as fixed values: A-Z is lower case, other ASCII than digits and letters separates terms.
@@ -198,13 +198,17 @@ def _part(docs: DataFrame, queries: Queries, top: int, block: int, kind: str) ->
 
     def highest(batches):
         queries, weights = sent.value
-        most, best = np.zeros(len(weights), np.int64), [[] for _ in queries.items]
+        most, n = np.zeros(len(weights), np.int64), len(queries.items)
+        names, bounds = np.zeros((0, n), np.int64), np.zeros((0, n), np.int64)
         for chunk in chunks(batches):
-            for name, held in chunk:
-                for q, bound in enumerate(held.bounds(queries, most).tolist()):
-                    if bound:
-                        best[q] = sorted([*best[q], (-bound, name)])[:SEEDS]
-        yield _batch([(q, name, -bound) for q, own in enumerate(best) for bound, name in own], bounds_of)
+            if chunk:
+                names = np.concatenate([names, np.repeat(np.array([[name] for name, _ in chunk], np.int64), n, 1)])
+                bounds = np.concatenate([bounds, [held.bounds(queries, most) for _, held in chunk]])
+                if len(bounds) > SEEDS:
+                    few = np.argpartition(-bounds, SEEDS - 1, axis=0)[:SEEDS]
+                    names, bounds = np.take_along_axis(names, few, 0), np.take_along_axis(bounds, few, 0)
+        at, q = np.nonzero(bounds)
+        yield _batch(list(zip(q.tolist(), names[at, q].tolist(), bounds[at, q].tolist(), strict=True)), bounds_of)
 
     seeds = Window.partitionBy("q").orderBy(F.col("bound").desc(), "block")
     first = narrow.mapInArrow(highest, BOUNDS).withColumn("place", F.row_number().over(seeds)).where(F.col("place") <= SEEDS).select("q", "block")
