@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from annalist.functions import parse as P
 from annalist.functions.text import INFERENCE
 
 #: Categories of questions: public name and capabilities that an answer needs. Fixed values.
@@ -236,6 +237,12 @@ def metadata(**columns) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def episode(slot, text, day, genre, group, now=None) -> Column:
+    """An artefact as an episode: its name, body, a description of its source, its group, and its time, which is `now` (the present) where it has none."""
+    at = F.coalesce(P.iso_time(day), F.current_timestamp() if now is None else F.lit(now).cast("timestamp"))
+    return F.struct(_c(slot).alias("name"), F.coalesce(_c(text), F.lit("")).alias("episode_body"), F.coalesce(filled(genre), F.lit("unknown")).alias("source_description"), _c(group).alias("group_id"), at.alias("reference_time"))
+
+
 def snippets(hits) -> Column:
     """Texts of hits (structs of memory and timestamp, in order), dated where they can be; a default if there are none."""
     shown = F.transform(F.filter(_c(hits), lambda h: F.coalesce(h["memory"], F.lit("")) != ""), lambda h: F.concat(F.coalesce(F.concat(F.lit("["), filled(h["timestamp"]), F.lit("] ")), F.lit("")), h["memory"]))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import calls, evaluation, retrieval
+from annalist.operators import calls, evaluation, merging, retrieval
 from annalist.sources.scopes import Scopes
 
 log = logging.getLogger(__name__)
@@ -94,3 +94,13 @@ def answered(contexts: DataFrame, questions: DataFrame, make: Callable[[], Calla
     prompt = F.concat(F.lit("Question:\n"), F.coalesce("text", F.lit("")), F.lit("\n\nContext:\n"), evaluation.answer_context("context"))
     said = calls.called(rows, ["query_id"], ["query_id"], prompt, make, guard, lanes)
     return said.select("query_id", F.col("reply").alias("answer_text"), "status")
+
+
+def judged(questions: DataFrame, answers: DataFrame, make: Callable[[], Callable[[str], str]] = calls.dry, guard: calls.Guard = calls.Guard(), lanes: int = 8) -> DataFrame:
+    """question_id, score, failure_mode: verdicts on the answers that have a question. questions: id, text, truth, rubric, emergent; answers: question_id, answer_text.
+
+    Without a client it is a dry run, which takes the same way: score 0, mode dry_run.
+    """
+    rows = questions.join(answers.select(F.col("question_id").alias("id"), "answer_text"), "id")
+    said = calls.called(rows, ["id"], ["id"], merging.judge_prompt("text", "truth", F.col("rubric"), "answer_text", F.col("emergent")), make, guard, lanes)
+    return calls.verdicts(said, ["id"]).withColumnRenamed("id", "question_id")

@@ -38,6 +38,14 @@ def without(ids, gone) -> Column:
     return F.filter(F.coalesce(ids, none), lambda x: ~F.array_contains(F.coalesce(gone, none), x))
 
 
+def corrected(questions: DataFrame, fixes: DataFrame) -> DataFrame:
+    """questions (id, evidence_artifact_ids, status, rubric) with their fixes (id, phantoms, status, rubric): phantom evidence dropped, status and rubric replaced where the fix has one."""
+    f = fixes.select("id", F.col("phantoms").alias("_gone"), F.col("status").alias("_status"), F.col("rubric").alias("_rubric"))
+    rows = questions.join(f, "id", "left")
+    new = {"evidence_artifact_ids": without(F.col("evidence_artifact_ids"), F.col("_gone")), "status": F.coalesce("_status", "status"), "rubric": F.coalesce("_rubric", "rubric")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in questions.columns])
+
+
 def scope_counts(rows: DataFrame, scopes: DataFrame, key: str) -> DataFrame:
     """How many rows each scope holds, 0 for those that hold none, and whether it is clean."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))

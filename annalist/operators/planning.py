@@ -88,3 +88,14 @@ def slots_of(event: Column, people: Column, n: int, primary: list[str], secondar
     genre = lambda i: F.when(i == 0, F.lit(primary[0])).otherwise(F.get(F.array(*map(F.lit, secondary)), i % len(secondary)))
     slot = lambda i: F.struct(F.concat(F.lit("ART-"), event, F.format_string("-%03d", i + 1)).alias("slot_id"), genre(i).alias("genre"), F.when(i == 0, "primary").otherwise("secondary").alias("role"), F.get(people, i % F.size(people)).alias("author"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), slot)
+
+
+def drawn(key, what: str, choices: list, seed: int) -> Column:
+    """One of some choices by a digest of a key, of what is drawn and of a seed."""
+    n = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string") if isinstance(key, str) else key, F.lit(what), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return F.element_at(F.array(*map(F.lit, choices)), (n % len(choices) + 1).cast("int"))
+
+
+def doc_plan(rows: DataFrame, key: str, types: list[str], topics: list[str], years: list[int], seed: int = 44) -> DataFrame:
+    """key, type, topic, year, month: what each row's document is to be, drawn by seeded digests."""
+    return rows.select(key, drawn(key, "type", types, seed).alias("type"), drawn(key, "topic", topics, seed).alias("topic"), drawn(key, "year", years, seed).alias("year"), drawn(key, "month", list(range(1, 13)), seed).alias("month"))

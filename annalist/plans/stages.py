@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import nested
-from annalist.operators import adapters, boards, calls, evaluation, graph, merging, repair, retrieval
+from annalist.functions import rules as R
+from annalist.operators import adapters, boards, calls, evaluation, graph, merging, planning, repair, retrieval
 from annalist.plans import knowledge
 from annalist.sources import harness, shared, written
 from annalist.sources.keyed import Keyed, repointed
@@ -485,3 +486,71 @@ def evidence_appended(o, li):
     stored.create(o.select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("E-"), s("o_custkey"))).alias("ids")))
     stored.append(li.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("E-"), s(F.col("l_suppkey") * 3)).alias("ids")), "ids")
     return stored.rows().select("id", F.array_join("ids", ",").alias("ids"))
+
+
+_PICK = lambda what, xs: "([" + ", ".join(repr(x) for x in xs) + f"])[('0x' || substr(md5(p_partkey || ':{what}:44'), 1, 8))::BIGINT % {len(xs)} + 1]"
+_TYPES, _TOPICS, _YEARS = ["guide", "runbook", "notes"], ["Security", "Data", "On-call", "Release"], [2019, 2020, 2021, 2022]
+
+
+@query(f"SELECT p_partkey, {_PICK('type', _TYPES)} AS type, {_PICK('topic', _TOPICS)} AS topic, {_PICK('year', _YEARS)}::INT AS year, {_PICK('month', range(1, 13))}::INT AS month FROM part", "part")
+def documents_planned(p):
+    """What each routine document is to be about, drawn by digests."""
+    return planning.doc_plan(p, "p_partkey", _TYPES, _TOPICS, _YEARS)
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'e-' || o_custkey ELSE 'e-' || o_custkey || ',e-x' END AS evidence, CASE WHEN o_orderkey % 3 = 0 THEN 'needs review' ELSE o_orderstatus END AS status,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'one:2.0,two:1.0' ELSE 'old:1.0' END AS rubric FROM orders""",
+    "orders",
+)
+def questions_corrected(o):
+    """Phantom evidence dropped, statuses and rubrics replaced, each by fixes of its own."""
+    k, points = F.col("o_orderkey"), lambda *xs: F.array(*[F.struct(F.lit(n).alias("id"), F.lit(w).alias("weight")) for n, w in xs])
+    rows = o.select(k.alias("id"), F.array(F.concat(F.lit("e-"), s("o_custkey")), F.lit("e-x")).alias("evidence_artifact_ids"), F.col("o_orderstatus").alias("status"), points(("old", 1.0)).alias("rubric"))
+    fixes = o.where("o_orderkey % 5 = 0 or o_orderkey % 3 = 0 or o_orderkey % 7 = 0").select(k.alias("id"), F.when(k % 5 == 0, F.array(F.lit("e-x"), F.lit("e-y"))).alias("phantoms"), F.when(k % 3 == 0, "needs review").alias("status"), F.when(k % 7 == 0, points(("one", 2.0), ("two", 1.0))).alias("rubric"))
+    shown = F.array_join(F.transform("rubric", lambda p: F.concat(p["id"], F.lit(":"), p["weight"].cast("string"))), ",")
+    return merging.corrected(rows, fixes).select("id", F.array_join("evidence_artifact_ids", ",").alias("evidence"), "status", shown.alias("rubric"))
+
+
+@query(
+    """SELECT doc_id, 'S' || doc_id AS name, length(text)::INT AS size, source || '' AS source_description, 'g-' || lang AS group_id, CASE doc_id % 3 WHEN 0 THEN '2020-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || ' 00:00:00' WHEN 1 THEN '2021-03-04 05:06:07' ELSE '2024-01-01 00:00:00' END AS at FROM documents""",
+    "documents",
+)
+def episodes_mapped(d):
+    """Documents as episodes of a graph; those without a time get the present, here a fixed one."""
+    k = F.col("doc_id")
+    day = F.when(k % 3 == 0, F.concat(F.lit("2020-02-"), F.lpad(s(k % 28 + 1), 2, "0"))).when(k % 3 == 1, "2021-03-04T05:06:07Z").otherwise("then")
+    e = R.episode(F.concat(F.lit("S"), s(k)), "text", day, "source", F.concat(F.lit("g-"), "lang"), "2024-01-01 00:00:00")
+    rows = d.select("doc_id", e.alias("e"))
+    return rows.select("doc_id", "e.name", F.length("e.episode_body").alias("size"), "e.source_description", "e.group_id", F.date_format("e.reference_time", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query(
+    """SELECT item_id AS question_id, CASE WHEN item_id % 3 = 0 THEN 0.5 WHEN item_id % 3 = 1 THEN 1 ELSE 0 END::DOUBLE AS score, CASE item_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'hallucination' ELSE 'unreadable' END AS failure_mode FROM benchmark WHERE item_id % 4 > 0""",
+    "benchmark",
+)
+def judge_run(b):
+    """Answers that have a question, judged by a client that reads the prompt."""
+    point = F.array(F.struct(F.lit("a").alias("id"), F.lit("b").alias("criterion"), F.lit("").alias("fail_criterion"), F.lit("").alias("fail_if")))
+    questions = b.select(F.col("item_id").alias("id"), "text", F.lit("{}").alias("truth"), point.alias("rubric"), F.lit(False).alias("emergent"))
+    answers = b.where("item_id % 4 > 0").select(F.col("item_id").alias("question_id"), F.concat(F.lit("<"), s(F.col("item_id") % 3), F.lit(">")).alias("answer_text")).unionByName(b.limit(1).select(F.lit(-1).cast("bigint").alias("question_id"), F.lit("stray").alias("answer_text")))
+    return adapters.judged(questions, answers, verdict_client)
+
+
+def verdict_client():
+    said = {"<0>": '{"score": 0.5}', "<1>": '{"score": 3, "failure_mode": "hallucination"}', "<2>": "no json"}
+    return lambda prompt: next(v for k, v in said.items() if k in prompt)
+
+
+@query(
+    f"""WITH {_EDGES}, l AS (SELECT query_id, id, rank FROM t WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM (SELECT q.query_id, v.id, row_number() OVER (PARTITION BY q.query_id ORDER BY abs(q.query_id % 700 - v.id % 700), v.id) AS rank FROM q, v) WHERE rank <= 20)
+    SELECT query_id, id, sum((1.0 / (60 + rank))::DECIMAL(20, 12))::DECIMAL(20, 9)::DOUBLE AS rrf FROM l GROUP BY ALL""",
+    "embeddings",
+)
+def edges_fused(e):
+    """Facts by vectors, in scope and time, fused with those closest in time."""
+    rows, queries = edges(e)
+    near = retrieval.nearest(rows, queries, 20).select(F.col("query_id").alias("query"), "id", "rank")
+    close = retrieval.closest(rows.select("id", (F.col("id") % 700).alias("value")), queries.select("query_id", (F.col("query_id") % 700).alias("value")), 20).withColumnRenamed("query_id", "query")
+    fused = retrieval.reciprocal_ranks(near.unionByName(close))
+    return fused.select(F.col("query").alias("query_id"), "id", F.col("rrf").cast("decimal(20,9)").cast("double").alias("rrf"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.functions import parse as P
 from annalist.operators import evaluation, state
 from annalist.sources.tables import artifacts, json_lines, whole_texts
 
@@ -23,7 +24,7 @@ QUESTIONS = "id string, category string, difficulty string, text string, paraphr
 SUBMISSION = "question_id string, answer_text string, cited_artifact_ids array<string>"
 REPORTS = "slot_id string, event_id string, role string, genre string, fact_count int, yes int, partial int, no int, score double, facts array<struct<fact:string,verdict:string,justification:string>>"
 CHECKPOINT = "unit_id string, completed_at string, status string"
-RESULT = "system string, system_version string, company string, tier string, dry_run boolean, metrics string, ingest struct<n_artifacts:bigint,tokens_stored:bigint,index_bytes:bigint,ingest_seconds:double>, queries array<struct<question_id:string,answer_text:string,latency_ms:double,input_tokens:bigint,output_tokens:bigint,cost_usd:double>>, judgements array<struct<question_id:string,score:double,semantic_score:double,exact_match:boolean,faithful:boolean,failure_mode:string,input_tokens:bigint,output_tokens:bigint,cost_usd:double>>"
+RESULT = "system string, system_version string, company string, tier string, dry_run boolean, metrics string, ingest struct<n_artifacts:bigint,tokens_stored:bigint,index_bytes:bigint,ingest_seconds:double>, queries array<struct<question_id:string,answer_text:string,cited_artifact_ids:array<string>,latency_ms:double,input_tokens:bigint,output_tokens:bigint,cost_usd:double>>, judgements array<struct<question_id:string,score:double,semantic_score:double,exact_match:boolean,faithful:boolean,failure_mode:string,input_tokens:bigint,output_tokens:bigint,cost_usd:double>>"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -63,7 +64,14 @@ def canon(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     customers = json_lines(spark, f"{at}/customers.jsonl", CUSTOMERS).withColumn("historical", F.lit(False))
     former = json_lines(spark, f"{at}/historical_customers.jsonl", CUSTOMERS).withColumn("historical", F.lit(True))
     skeleton = spark.read.schema(SKELETON).option("multiLine", True).json(f"{at}/skeleton.json") if exists(spark, f"{at}/skeleton.json") else spark.createDataFrame([], SKELETON)
-    return {"personas": json_lines(spark, f"{at}/personas.jsonl", PERSONAS), "customers": customers.unionByName(former), "channels": json_lines(spark, f"{at}/channel_timeline.jsonl", CHANNELS), "skeleton": skeleton}
+    return {"personas": json_lines(spark, f"{at}/personas.jsonl", PERSONAS), "customers": customers.unionByName(former), "channels": json_lines(spark, f"{at}/channel_timeline.jsonl", CHANNELS), "skeleton": skeleton, "depth_arcs": depth_arcs(spark, at)}
+
+
+def depth_arcs(spark: SparkSession, at: str) -> DataFrame:
+    """title and body of each section of the optional depth arcs."""
+    path = f"{at}/depth_arcs.md"
+    text = whole_texts(spark, [path]) if exists(spark, path) else spark.createDataFrame([], "path string, text string")
+    return text.select(F.explode(P.sections("text")).alias("s")).select("s.title", "s.body")
 
 
 def eras(skeleton: DataFrame) -> DataFrame:
@@ -138,6 +146,12 @@ def usage(runs: DataFrame) -> DataFrame:
     )
 
 
+def extracted(runs: DataFrame) -> DataFrame:
+    """system, tier, question_id, answer_text, cited_artifact_ids: a submission out of each run's record; missing texts are empty, missing citations none."""
+    q = runs.select("system", "tier", F.explode("queries").alias("q"))
+    return q.select("system", "tier", "q.question_id", F.coalesce("q.answer_text", F.lit("")).alias("answer_text"), F.coalesce("q.cited_artifact_ids", F.array().cast("array<string>")).alias("cited_artifact_ids"))
+
+
 def judged(questions_: DataFrame, predictions: DataFrame, system: str, verdicts: DataFrame | None = None) -> DataFrame:
     """Every question with its answer and verdict, as `evaluation.records` takes them; without verdicts the dry run's: score 0."""
     rows = evaluation.answered(questions_.select("id", "public_category", "difficulty"), predictions).withColumns({"system": F.lit(system), "latency_ms": F.lit(0.0), "cost_usd": F.lit(0.0)})

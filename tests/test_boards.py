@@ -75,3 +75,24 @@ def test_partial_runs(spark, tmp_path):
     harness.write_benchmark(ids.withColumn("text", F.lit("t")), ids.where("id < 3"), f"{tmp_path}/b")
     harness.write_benchmark(ids.withColumn("text", F.lit("t")), ids.where("id = 3"), f"{tmp_path}/b")
     assert [json.loads(x) for f in os.listdir(tmp_path / "b") if f.startswith("part") for x in (tmp_path / "b" / f).read_text().splitlines()] == [{"id": "3", "text": "t"}]
+
+
+def test_depth_arcs_and_submissions_of_runs(spark, tmp_path):
+    canon = tmp_path / "acme_canon"
+    canon.mkdir()
+    for name in ("personas", "customers"):
+        (canon / f"{name}.jsonl").write_text("")
+    assert harness.canon(spark, str(tmp_path))["depth_arcs"].count() == 0
+    (canon / "depth_arcs.md").write_text("intro\n# One\nfirst arc\nmore\n## Two\nsecond\n")
+    assert [tuple(r) for r in harness.canon(spark, str(tmp_path))["depth_arcs"].collect()] == [("One", "first arc\nmore"), ("Two", "second")]
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "a.json").write_text(json.dumps({"system": "a", "tier": "t", "queries": [{"question_id": "1", "answer_text": "x", "cited_artifact_ids": ["S1"]}, {"question_id": "2"}]}))
+    assert [tuple(r) for r in harness.extracted(harness.results(spark, f"{tmp_path}/runs")).collect()] == [("a", "t", "1", "x", ["S1"]), ("a", "t", "2", "", [])]
+
+
+def test_episodes_without_a_time_are_of_now(spark):
+    from annalist.functions import rules as R
+
+    rows = rows_of(spark, [("S1", "2020-01-02"), ("S2", None)], "slot string, day string")
+    got = rows.select(R.episode("slot", F.lit(None).cast("string"), "day", F.lit(""), F.lit("g")).alias("e"), F.current_timestamp().alias("now")).collect()
+    assert got[0].e.reference_time.strftime("%Y-%m-%d") == "2020-01-02" and got[1].e.reference_time == got[1].now and (got[0].e.episode_body, got[0].e.source_description) == ("", "unknown")
