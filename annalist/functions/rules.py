@@ -237,7 +237,7 @@ def metadata(**columns) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
-def episode(slot, text, day, genre, group, now=None) -> Column:
+def graph_episode(slot, text, day, genre, group, now=None) -> Column:
     """An artefact as an episode: its name, body, a description of its source, its group, and its time, which is `now` (the present) where it has none."""
     at = F.coalesce(P.iso_time(day), F.current_timestamp() if now is None else F.lit(now).cast("timestamp"))
     return F.struct(_c(slot).alias("name"), F.coalesce(_c(text), F.lit("")).alias("episode_body"), F.coalesce(filled(genre), F.lit("unknown")).alias("source_description"), _c(group).alias("group_id"), at.alias("reference_time"))

@@ -520,7 +520,7 @@ def episodes_mapped(d):
     """Documents as episodes of a graph; those without a time get the present, here a fixed one."""
     k = F.col("doc_id")
     day = F.when(k % 3 == 0, F.concat(F.lit("2020-02-"), F.lpad(s(k % 28 + 1), 2, "0"))).when(k % 3 == 1, "2021-03-04T05:06:07Z").otherwise("then")
-    e = R.episode(F.concat(F.lit("S"), s(k)), "text", day, "source", F.concat(F.lit("g-"), "lang"), "2024-01-01 00:00:00")
+    e = R.graph_episode(F.concat(F.lit("S"), s(k)), "text", day, "source", F.concat(F.lit("g-"), "lang"), "2024-01-01 00:00:00")
     rows = d.select("doc_id", e.alias("e"))
     return rows.select("doc_id", "e.name", F.length("e.episode_body").alias("size"), "e.source_description", "e.group_id", F.date_format("e.reference_time", "yyyy-MM-dd HH:mm:ss").alias("at"))
 

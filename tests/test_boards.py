@@ -94,5 +94,5 @@ def test_episodes_without_a_time_are_of_now(spark):
     from annalist.functions import rules as R
 
     rows = rows_of(spark, [("S1", "2020-01-02"), ("S2", None)], "slot string, day string")
-    got = rows.select(R.episode("slot", F.lit(None).cast("string"), "day", F.lit(""), F.lit("g")).alias("e"), F.current_timestamp().alias("now")).collect()
+    got = rows.select(R.graph_episode("slot", F.lit(None).cast("string"), "day", F.lit(""), F.lit("g")).alias("e"), F.current_timestamp().alias("now")).collect()
     assert got[0].e.reference_time.strftime("%Y-%m-%d") == "2020-01-02" and got[1].e.reference_time == got[1].now and (got[0].e.episode_body, got[0].e.source_description) == ("", "unknown")
