@@ -187,6 +187,26 @@ def test_neighbours(spark):
     assert neighbours.search(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_of_odd_rows(spark, kind):
+    """Copies, tight groups, queries far from all others: the answer is that of brute force, ties to the smaller id."""
+    rng = np.random.default_rng(1)
+    groups = rng.integers(-3, 4, size=(12, 8)) * 4
+    x = np.concatenate([groups[rng.integers(0, 12, 3000)] + rng.integers(-1, 2, size=(3000, 8)), rng.integers(-40, 41, size=(40, 8))])
+    x[1::3], x[:3000:100] = x[1], -x[1]
+    x = x[rng.permutation(len(x))].astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((x + (2.0**-20 if kind == "double" else 0)).tolist())], f"vec_id bigint, embedding array<{kind}>")
+    v = neighbours.usable(df)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(v, v.where("vec_id % 20 = 0")).collect())
+    want = []
+    for q in range(0, len(x), 20):
+        if x[q].any() or kind == "double":
+            s = (x + (2.0**-20 if kind == "double" else 0)) @ (x[q] + (2.0**-20 if kind == "double" else 0))
+            near = [i for i in np.lexsort((np.arange(len(x)), -s)).tolist() if i != q and (x[i].any() or kind == "double")][:20]
+            want += [(q, k + 1, i) for k, i in enumerate(near)]
+    assert got == want
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=x>menu {0}</a></ul></nav><div class=ad>buy {0}</div>{1}<h1>Title {0}</h1><p>Text&nbsp;of <b>page</b> {0} &amp; more<br>lines<p>second {0}</p><div class='comments'>first {0}!</div>{2}<footer>&copy; all</footer></body>"
 
 
