@@ -54,9 +54,14 @@ def validated(ids: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def with_prior(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """rows with the decision and date of the event that each corrects, null if none or none such."""
-    prior = events.select(F.col("id").alias("corrects_event_id"), F.coalesce("decision", F.lit("")).alias("prior_decision"), F.coalesce("occurred_at", F.lit("")).alias("prior_occurred_at"))
-    return rows.join(prior, "corrects_event_id", "left")
+    """rows with the decision and date of the event that each corrects, null if none or none such.
+
+    The key is a struct with a hash of the row's own id where it corrects none, so that such rows do not meet in one task;
+    two keys would not do, as the planner takes one of them for a constant.
+    """
+    key = lambda of, spread: F.struct(F.col(of).alias("of"), spread.cast("bigint").alias("spread")).alias("_key")
+    prior = events.where("id is not null").select(key("id", F.lit(0)), F.coalesce("decision", F.lit("")).alias("prior_decision"), F.coalesce("occurred_at", F.lit("")).alias("prior_occurred_at"))
+    return rows.withColumn("_key", key("corrects_event_id", F.when(F.col("corrects_event_id").isNull(), F.xxhash64("id")).otherwise(0))).join(prior, "_key", "left").drop("_key")
 
 
 def significant(events: DataFrame, people: str, least: int, n: int | None = None) -> DataFrame:
