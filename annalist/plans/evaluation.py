@@ -153,7 +153,7 @@ def facts_canonical(e, r, p):
 )
 def facts_scattered(e, r, p):
     """Significant events, the richest first."""
-    rows = evaluation.significant(with_prior(e, r, p), "participants", 2)
+    rows = evaluation.significant(with_prior(e.drop("evidence_in_corpus"), r, p), "participants", 2)
     facts = R.scattered_facts("decision", "reason_canonical", "occurred_at", "alternatives_considered", "participants")
     return rows.select("id", F.array_join(facts, "\n").alias("facts"), "rank")
 
