@@ -163,12 +163,18 @@ def scattered_facts(decision, reason, occurred, alternatives, names) -> Column:
     return F.concat(*[told(need, text) for need, text in SCATTERED])
 
 
+def once(x: Column, body) -> Column:
+    """body(x) with x computed once: in an inner function it would be computed anew for each element."""
+    return F.transform(F.array(x), body)[0]
+
+
 def fact_lines(text, n: Column) -> Column:
     """'FACT k: yes|partial|no' lines as n verdicts in order: of several lines of one number the last, of none 'no'."""
     lines = F.filter(F.split(_c(text), "\n"), lambda x: x.rlike(r"(?i)^\s*fact\s+[0-9]+\s*:\s*(yes|partial|no)\b"))
     found = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"(?i)fact\s+([0-9]+)", 1).cast("int").alias("k"), F.lower(F.regexp_extract(x, r"(?i):\s*(yes|partial|no)", 1)).alias("v")))
-    last = lambda k: F.try_element_at(F.filter(found, lambda f: f["k"] == k), F.lit(-1))["v"]
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.coalesce(last(k), F.lit("no")))
+    last = lambda fs, k: F.try_element_at(F.filter(fs, lambda f: f["k"] == k), F.lit(-1))["v"]
+    numbers = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return once(found, lambda fs: F.transform(numbers, lambda k: F.coalesce(last(fs, k), F.lit("no"))))
 
 
 def verdicts(facts, verdict: str, other: bool = False) -> Column:

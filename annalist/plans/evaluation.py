@@ -166,9 +166,9 @@ def facts_scattered(e, r, p):
 )
 def substrate_questions(o, li):
     """Artefact reports from lines of verdicts, meeting the evidence of each question."""
-    verdict = F.when(F.col("l_discount") > 0.05, "Yes").when(F.col("l_discount") > 0.02, "PARTIAL").otherwise("no")
-    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount", verdict.alias("v")))).alias("x"))
-    lines = F.array_join(F.transform("x", lambda x, i: F.concat(F.lit("FACT "), s(i + 1), F.lit(": yes\nnoise\n FACT "), s(i + 1), F.lit(" : "), x["v"], F.lit(" - so"))), "\n")
+    verdict = lambda x: F.when(x["l_discount"] > 0.05, "Yes").when(x["l_discount"] > 0.02, "PARTIAL").otherwise("no")
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount"))).alias("x"))
+    lines = F.array_join(F.transform("x", lambda x, i: F.concat(F.lit("FACT "), s(i + 1), F.lit(": yes\nnoise\n FACT "), s(i + 1), F.lit(" : "), verdict(x), F.lit(" - so"))), "\n")
     reports = evaluation.reports(rows.select(F.col("l_orderkey").alias("slot_id"), R.fact_lines(lines, F.size("x")).alias("verdicts")))
     return evaluation.question_substrate(o.select("o_custkey", F.col("o_orderkey").alias("slot_id")), reports, ["o_custkey"])
 
