@@ -38,8 +38,8 @@ def keyword_topk(questions: DataFrame, documents: DataFrame, k: int) -> DataFram
     """item_id, doc_id, score, rank: the k documents that share most tokens with each question, ties to the smaller id; none that share nothing.
 
     The questions' tokens, size-checked, go to the tasks as postings (which questions hold a token), part by part. A task adds
-    up a block of documents' postings as one table of documents by questions and keeps the k best of each question: pairs are
-    never rows, and what is shuffled are tops of tasks. Ids are taken to tell documents apart.
+    up a block of documents' postings as tables of documents by questions, of bounded size, and keeps the k best of each question:
+    pairs are never rows, and what is shuffled are tops of tasks. Ids are taken to tell documents apart.
     """
     docs = documents.select("doc_id", T.token_set("text").alias("tokens"))
     found = None
@@ -59,27 +59,42 @@ def _most_shared(asked: list[tuple], k: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        places: dict[str, list[int]] = {}
-        for i, (_, tokens) in enumerate(asked):
-            for t in tokens:
-                places.setdefault(t, []).append(i)
+        places: dict[str, int] = {}
+        token = np.array([places.setdefault(t, len(places)) for _, tokens in asked for t in tokens], np.int64)
+        item = np.repeat(np.arange(len(asked)), [len(tokens) for _, tokens in asked])
+        order = np.argsort(token, kind="stable")
+        token, item = token[order], item[order]
         known = pa.array(list(places), pa.string())
-        sizes = np.array([len(p) for p in places.values()], np.int64)
-        begins, flat = np.cumsum(sizes) - sizes, np.array([i for p in places.values() for i in p], np.int64)
+        postings = []  # of a range of questions each: its first, how many, and by token how many of them hold it and which
+        for first in range(0, len(asked), ASKED):
+            own = (item >= first) & (item < first + ASKED)
+            postings.append((first, min(ASKED, len(asked) - first), np.bincount(token[own], minlength=len(known)).astype(np.int32), item[own] - first))
+
+        def hits(block):
+            """Row and token of all tokens of a block that any question has."""
+            rows, found = [], []
+            for low in range(0, block.num_rows, ROWS):
+                tokens = block.column(1).slice(low, ROWS)
+                at = pc.index_in(tokens.flatten().cast(pa.string()), known)
+                row = np.repeat(np.arange(low, low + len(tokens), dtype=np.int32), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+                rows.append(row[pc.is_valid(at).to_numpy(zero_copy_only=False)])
+                found.append(at.drop_null().to_numpy(zero_copy_only=False).astype(np.int32))
+            return np.concatenate(rows), np.concatenate(found)
+
         tops = Tops(len(asked), k)
         for batch in batches:
-            tokens = batch.column(1)
-            docs = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-            at = pc.index_in(tokens.flatten().cast(pa.string()), known).to_numpy(zero_copy_only=False)
-            met = np.flatnonzero(~np.isnan(at)) if at.dtype.kind == "f" else np.arange(len(at))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low in range(0, batch.num_rows, BLOCK):
-                own = met[(docs[met] >= low) & (docs[met] < low + BLOCK)]
-                t, n = at[own].astype(np.int64), min(BLOCK, batch.num_rows - low)
-                reps = sizes[t]
-                items = flat[np.repeat(begins[t] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())]
-                counts = np.bincount(np.repeat(docs[own] - low, reps) * len(asked) + items, minlength=n * len(asked)).reshape(n, len(asked))
-                tops.add(counts.T, ids[low : low + n], counts.T > 0)
+                block = batch.slice(low, BLOCK)
+                ids, (rows, t) = block.column(0).to_numpy(zero_copy_only=False), hits(block)
+                for first, width, sizes, flat in postings:
+                    counts, begins, reps = np.zeros((block.num_rows, width), np.int32), np.cumsum(sizes, dtype=np.int64) - sizes, sizes[t]
+                    ends = np.cumsum(reps, dtype=np.int64)
+                    cuts = np.unique([0, *np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS)), len(t)])
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # rows are in order, so a piece is of a few of them
+                        n, at, top = reps[a:b], rows[a], rows[b - 1] + 1
+                        items = flat[np.repeat(begins[t[a:b]] - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(n.sum())]
+                        counts[at:top] += np.bincount(np.repeat((rows[a:b] - at).astype(np.int64) * width, n) + items, minlength=(top - at) * width).reshape(-1, width).astype(np.int32)
+                    tops.add(counts.T, ids, counts.T > 0, first)
         rows = tops.rows()
         yield pa.RecordBatch.from_arrays([pa.array([asked[q][0] for q, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([int(x) for _, _, x in rows], pa.int64())], names=["query_id", "id", "score"])
 
@@ -92,15 +107,17 @@ class Tops:
     def __init__(self, queries: int, k: int) -> None:
         self.k, self.best = k, [[] for _ in range(queries)]
 
-    def add(self, scores, ids, allowed) -> None:
+    def add(self, scores, ids, allowed, first: int = 0) -> None:
+        """scores of the queries from the first on."""
         import numpy as np
 
-        for q, held in enumerate(self.best):
+        for q in range(len(scores)):
+            held = self.best[first + q]
             row = np.where(allowed[q], scores[q], -np.inf)
             least = max(np.partition(row, len(row) - self.k)[len(row) - self.k] if len(row) > self.k else -np.inf, -held[-1][0] if len(held) == self.k else -np.inf)
             few = np.flatnonzero((row >= least) & (row > -np.inf))
             if len(few):
-                self.best[q] = sorted(held + [(-row[j], int(ids[j])) for j in few])[: self.k]
+                self.best[first + q] = sorted(held + [(-row[j], int(ids[j])) for j in few])[: self.k]
 
     def rows(self) -> list[tuple]:
         return [(q, i, -s) for q, held in enumerate(self.best) for s, i in held]
@@ -144,8 +161,10 @@ def top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Rows of vectors that meet the queries as one matrix.
+#: Rows that meet the queries as one matrix.
 BLOCK = 4096
+#: Questions whose counts a block holds at once, rows whose tokens are looked up at once, pairs of token and question that are added up at once.
+ASKED, ROWS, PAIRS = 1024, 256, 1 << 18
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6, bound: int = BROADCAST_BYTES) -> DataFrame:
