@@ -93,10 +93,10 @@ def segments(edges: DataFrame, starts: DataFrame, what: str) -> tuple[DataFrame,
         return plain, held
     while reached < n:
         ahead = held.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("offset").alias("_offset"))
-        last, held = held, written(held.join(ahead, "head").select("node", F.col("_head").alias("head"), (F.col("offset") + F.col("_offset")).alias("offset")), what)
-        moved = held.join(last.select("node", F.col("head").alias("_old")), "node").where("head <> _old").isEmpty()
+        moved = F.col("_head") != F.col("head")
+        last, held = held, written(held.join(ahead, "head").select("node", F.col("_head").alias("head"), (F.col("offset") + F.col("_offset")).alias("offset"), moved.alias("moved")), what)
         forget(last)
-        if moved:
+        if held.where("moved").isEmpty():
             break
         reached *= 2
     tails = held.groupBy("head").agg(F.max(F.struct("offset", "node")).alias("t")).select("head", F.col("t.node").alias("tail"), (F.col("t.offset") + 2).alias("length"))
@@ -244,10 +244,22 @@ def chains(edges: DataFrame, depth: int = 20) -> DataFrame:
     return walked.select("root", F.element_at("path", -1).alias("last"), F.size("path").alias("length"), "path")
 
 
+def long_walks(relations: DataFrame, least: int) -> DataFrame:
+    """root, at, id: the nodes of the chains of versions that have `least` nodes or more, events or not; written."""
+    return written(chains(newer_versions(relations)).where(F.col("length") >= least).select("root", F.posexplode("path").alias("at", "id")), "walks")
+
+
+def chain_sizes(relations: DataFrame, events: DataFrame, least: int = 3) -> DataFrame:
+    """root, chain_length and the number of pieces of evidence of each chain of `lineage`, without what its steps tell."""
+    steps = long_walks(relations, least).join(events.select("id", F.size(slots()).cast("bigint").alias("n")), "id")
+    return steps.groupBy("root").agg(F.count("*").cast("int").alias("chain_length"), F.sum("n").cast("int").alias("evidence")).where(F.col("chain_length") >= least)
+
+
 def lineage(relations: DataFrame, events: DataFrame, personas: DataFrame, least: int = 3) -> DataFrame:
     """HARD: chains of versions from the oldest, each step with its date, decision, reason and people; the years they span."""
-    walks = chains(newer_versions(relations)).select("root", F.posexplode("path").alias("at", "id"))
-    step = events.select("id", topic(), text("occurred_at").alias("date"), F.substring(text("decision"), 1, 200).alias("decision"), F.substring(text("reason_canonical"), 1, 150).alias("reason"), "participants", slots().alias("slots"))
+    walks = long_walks(relations, least)
+    kept = events.join(walks.select("id").distinct(), "id", "left_semi")  # only what stands in a chain is told of
+    step = kept.select("id", topic(), text("occurred_at").alias("date"), F.substring(text("decision"), 1, 200).alias("decision"), F.substring(text("reason_canonical"), 1, 150).alias("reason"), "participants", slots().alias("slots"))
     steps = walks.join(named(step, ["id"], "participants", personas), "id")
     rows = steps.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "id", "date", "decision", "reason", "participants", "topic", "slots"))).alias("s")).where(F.size("s") >= least)
     years = F.filter(F.transform("s", lambda x: F.substring(x["date"], 1, 4)), lambda y: y != "")

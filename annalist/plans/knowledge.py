@@ -32,12 +32,17 @@ _SLOTS = lambda s: f"list_transform({s}.evidence, lambda z: z.slot_id)"  # noqa:
 _BOTH = f"array_to_string(list_concat({_SLOTS('s')}, {_SLOTS('t')}), ',')"
 
 
-def query(sql: str, once: bool = False):
-    """Registers a function of (events, relations, personas) as the query of its name; once: events and relations are written for what reads them often."""
+def query(sql: str, once: bool = False, told: list[str] | None = None):
+    """Registers a function of (events, relations, personas) as the query of its name; once: events and relations are written for what reads them often.
+
+    told: the columns of events that the query reads, where it needs no more of them than these and of evidence the ids.
+    """
 
     def register(f):
         def run(spark, folder):
-            e, r, p = knowledge(*[table(spark, folder, t) for t in ("orders", "lineitem", "customer")])
+            e, r, p = knowledge(*[table(spark, folder, t) for t in ("orders", "lineitem", "customer")], whole=told is None)
+            if told is not None:
+                e = e.select("id", *told, "evidence_in_corpus")
             return f(written(e, "events"), written(r, "relations"), p) if once else f(e, r, p)
 
         QUERIES[f.__name__] = run
@@ -47,15 +52,17 @@ def query(sql: str, once: bool = False):
     return register
 
 
-def knowledge(o: DataFrame, li: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """events, relations, personas."""
-    s = lambda x: F.col(x).cast("string")
-    genre = F.when(F.col("l_returnflag") == "A", "slack_thread").when(F.col("l_returnflag") == "R", "rfc").otherwise("poem")
-    piece = F.struct(F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey")).alias("slot_id"), genre.alias("genre"), F.lower("l_linestatus").alias("role"), F.concat(F.lit("S"), s("l_suppkey")).alias("author"))
+def knowledge(o: DataFrame, li: DataFrame, c: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """events, relations, personas. Evidence has its ids alone if not whole."""
+    s = lambda x: (F.col(x) if isinstance(x, str) else x).cast("string")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-    pieces = li.groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(*order, piece.alias("piece")))), lambda x: x["piece"]).alias("evidence_in_corpus"), F.array_sort(F.collect_set(s("l_suppkey"))).alias("alternatives_considered")
-    )
+    grouped = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("x"))  # texts are made of what was collected, none is shuffled
+    genre = lambda x: F.when(x["l_returnflag"] == "A", "slack_thread").when(x["l_returnflag"] == "R", "rfc").otherwise("poem")
+    piece = lambda x: F.struct(F.concat_ws("-", s("id"), s(x["l_linenumber"]), s(x["l_partkey"])).alias("slot_id"), genre(x).alias("genre"), F.lower(x["l_linestatus"]).alias("role"), F.concat(F.lit("S"), s(x["l_suppkey"])).alias("author"))
+    if not whole:
+        piece = lambda x: F.struct(F.concat_ws("-", s("id"), s(x["l_linenumber"]), s(x["l_partkey"])).alias("slot_id"))
+    suppliers = F.array_sort(F.array_distinct(F.transform(F.filter("x", lambda x: x["l_suppkey"].isNotNull()), lambda x: s(x["l_suppkey"]))))
+    pieces = grouped.select("id", F.transform("x", piece).alias("evidence_in_corpus"), suppliers.alias("alternatives_considered"))
     day = lambda x: F.date_format(x, "yyyy-MM-dd")
     events = o.select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") < "3", "strategic_decision").otherwise("routine").alias("type"), day("o_orderdate").alias("occurred_at"),
@@ -120,6 +127,7 @@ _AUDIT = """o AS (SELECT DISTINCT target AS start, target AS node, []::BIGINT[]
     f"""{_AUDIT} SELECT source, target, topic, as_of_date, held AS asof_facts, array_to_string(changed, ',') AS changed_facts, head.d AS replacements, array_to_string(ids, ',') AS chain_event_ids,
     array_to_string(flatten(list_transform(ids, lambda i: list_filter(chain, lambda z: z.node = i)[1].s)), ',') AS evidence FROM aud""",
     once=True,
+    told=["occurred_at", "summary", "decision"],
 )
 def audit_replay_c4(e, r, p):
     rows = graph.audit(r, e).withColumn("chain_event_ids", F.transform("chain_event_ids", lambda x: x.cast("string")))
@@ -163,7 +171,8 @@ _CHAIN = """o AS (SELECT *, CASE relation WHEN 'supersedes' THEN 1 WHEN 'reverse
 
 @query(
     f"""{_CHAIN} SELECT root, topic, chain_length::INT AS chain_length, year_span, array_to_string(list_transform(steps, lambda z: z.id || '|' || z.date || '|' || z.decision || '|' || z.reason || '|' || array_to_string(z.participants, '+')), ';') AS chain_steps,
-    array_to_string(flatten(ev), ',') AS evidence FROM st"""
+    array_to_string(flatten(ev), ',') AS evidence FROM st""",
+    told=["occurred_at", "summary", "decision", "reason_canonical", "participants"],
 )
 def lineage_hard(e, r, p):
     step = lambda x: F.concat_ws("|", x["id"].cast("string"), x["date"], x["decision"], x["reason"], F.array_join(x["participants"], "+"))
@@ -195,8 +204,9 @@ def ground_truths(e, r, p):
 
 
 @query(
-    f"""{_CHAIN}, c AS (SELECT id AS k, len(evidence) AS n, 1 AS steps FROM e UNION ALL SELECT -root, len(flatten(ev)), chain_length FROM st) SELECT k::BIGINT AS k, CASE WHEN steps >= 3 OR n >= 6 THEN 'hard' WHEN n >= 3 THEN 'medium' ELSE 'easy' END AS difficulty FROM c"""
+    f"""{_CHAIN}, c AS (SELECT id AS k, len(evidence) AS n, 1 AS steps FROM e UNION ALL SELECT -root, len(flatten(ev)), chain_length FROM st) SELECT k::BIGINT AS k, CASE WHEN steps >= 3 OR n >= 6 THEN 'hard' WHEN n >= 3 THEN 'medium' ELSE 'easy' END AS difficulty FROM c""",
+    told=[],
 )
 def difficulties(e, r, p):
     single = e.select(F.col("id").alias("k"), graph.difficulty(F.size("evidence_in_corpus")).alias("difficulty"))
-    return single.unionByName(graph.lineage(r, e, p).select((-F.col("root")).alias("k"), graph.difficulty(F.size("evidence"), F.col("chain_length")).alias("difficulty")))
+    return single.unionByName(graph.chain_sizes(r, e).select((-F.col("root")).alias("k"), graph.difficulty(F.col("evidence"), F.col("chain_length")).alias("difficulty")))

@@ -115,3 +115,58 @@ def test_events_that_correct_none_are_spread(spark):
     assert sorted((r.id, r.corrects_event_id, r.prior_decision, r.prior_occurred_at) for r in got if r.id % 5 == 0 and r.id) == [(i, i - 1, f"d{i - 1}", f"t{i - 1}") for i in range(5, 1000, 5)]
     assert len(got) == 1000 and sum(r.prior_decision is None for r in got) == 801
     assert max(Counter(r.p for r in got).values()) < 400
+
+
+def test_keyword_search_holds_little_at_once(monkeypatch):
+    """10 million pairs of token and question are added up in pieces, with the result of counting them one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def top(docs, asked, k):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.list_(pa.string()))], names=["doc_id", "tokens"])
+        (out,) = retrieval._most_shared(asked, k)(iter([batch]))
+        return sorted(zip(*out.to_pydict().values(), strict=True))
+
+    words = [f"w{i}" for i in range(50)]
+    tracemalloc.start()
+    got = top([(i, words) for i in range(500)], [(q, words) for q in range(400)], 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(q, 0, 50) for q in range(400)] and peak < 60 << 20
+
+    for name, n in [("ASKED", 3), ("ROWS", 4), ("PAIRS", 7), ("BLOCK", 10)]:
+        monkeypatch.setattr(retrieval, name, n)
+    docs = [(i, None if i % 9 == 4 else [w for j, w in enumerate(words) if (j * 7 + i * 13) % 5 < i % 4]) for i in range(33)]
+    asked = [(q, [w for j, w in enumerate([*words, "else"]) if (j * 3 + q * 5) % 7 < 2]) for q in range(10)]
+    every = {q: sorted((-len(set(t or []) & set(mine)), i) for i, t in docs if set(t or []) & set(mine))[:2] for q, mine in asked}
+    assert top(docs, asked, 2) == sorted((q, i, -n) for q, best in every.items() for n, i in best)
+
+
+def test_verdict_lines_are_read_once(spark):
+    """The parsed lines are bound before the facts are gone through; in the inner function they would be parsed for each fact."""
+    from annalist.functions import rules
+
+    rows = spark.createDataFrame([("FACT 1: yes\nFACT 2: no\nfact 1 : PARTIAL", 3)], "text string, n int")
+    verdicts = rows.select(rules.fact_lines("text", rows["n"]).alias("v"))
+    assert verdicts.first()["v"] == ["partial", "no", "no"]
+    plan = verdicts._jdf.queryExecution().analyzed().toString()
+    assert plan.index("regexp_extract") < plan.index("sequence(")
+
+
+def test_chains_are_measured_without_what_they_tell(spark):
+    """Sizes of chains as those of the lineage, also where a node is no event; and texts of evidence are made after its lines were collected."""
+    from annalist.plans import knowledge
+
+    piece = "array<struct<slot_id string, genre string, role string, author string>>"
+    events = spark.createDataFrame([(i, "t", "2020-01-01", None, f"s{i}", f"d{i}", "r", ["p"], [], [(f"{i}-{j}", "rfc", "r", "a") for j in range(i % 3)]) for i in (1, 2, 3, 4, 11, 13, 21, 22)], f"id bigint, type string, occurred_at string, recorded_at string, summary string, decision string, reason_canonical string, participants array<string>, alternatives_considered array<string>, evidence_in_corpus {piece}".replace("<slot_id string, genre string, role string, author string>", "<slot_id:string,genre:string,role:string,author:string>"))
+    edges = [(2, 1), (3, 2), (4, 3), (12, 11), (13, 12), (22, 21)]
+    relations = spark.createDataFrame([(s, "supersedes", t, i) for i, (s, t) in enumerate(edges)], "source bigint, relation string, target bigint, ord bigint")
+    people = spark.createDataFrame([("p", "P")], "persona_id string, display_name string")
+    told = sorted((r.root, r.chain_length, len(r.evidence)) for r in graph.lineage(relations, events, people).collect())
+    assert told == sorted((r.root, r.chain_length, r.evidence) for r in graph.chain_sizes(relations, events).collect()) == [(1, 4, 4)]
+    lines = spark.createDataFrame([(1, 1, 2, 3, "A", "O")], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string")
+    orders = spark.createDataFrame([(1, 5, None, "2", "O")], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp, o_orderpriority string, o_orderstatus string")
+    made = knowledge.knowledge(orders, lines, spark.createDataFrame([(5, "s", 1)], "c_custkey bigint, c_mktsegment string, c_nationkey int"))[0]
+    assert [tuple(x) for x in made.first()["evidence_in_corpus"]] == [("1-1-2", "slack_thread", "o", "S3")] and made.first()["alternatives_considered"] == ["3"]
+    assert all("slot_id" not in line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in line)
