@@ -107,9 +107,12 @@ def segments(edges: DataFrame, starts: DataFrame, what: str) -> tuple[DataFrame,
     return written(steps, f"{what}-steps"), held
 
 
-def reach(starts: DataFrame, edges: DataFrame, what: str) -> DataFrame:
+def reach(starts: DataFrame | None, edges: DataFrame, what: str) -> DataFrame:
     """(start, node, path, depth) of all nodes that edges (a, b, ord) lead to from each start, itself first.
 
+    Without starts every node that an edge leads to is one; no stretch can be drawn together then, and the edges of nodes that
+    none leads to are not followed.
+
     path holds the ords chosen where a node has several edges, depth counts edges: ordered by both, a start's nodes are in the
     order of a depth-first walk that takes edges by ord and no node twice. Unbranched stretches are one step each (`segments`);
     the steps are closed by doubling, joining paths with all that go on from their ends and keeping the least between two nodes,
@@ -117,12 +120,19 @@ def reach(starts: DataFrame, edges: DataFrame, what: str) -> DataFrame:
     joined: every longer path has one such beginning, so none is found twice. There is no bound on depth. A cycle shows as a
     path that ends where it began; then the order of a walk depends on what it met before, and the edges are followed one by one.
     """
-    edges = written(edges, what)
-    steps, within = segments(edges, starts, what)
+    if starts is None:
+        ends = edges.select(F.col("b").alias("a")).distinct()
+        own = ends.select(F.col("a").alias("start"))
+        label = F.when(F.count("*").over(Window.partitionBy("a")) > 1, F.array("ord")).otherwise(F.array().cast("array<bigint>"))
+        steps, within = edges.join(ends, "a", "left_semi").select("a", "b", label.alias("label"), F.lit(1).cast("bigint").alias("length")), None
+    else:
+        edges, own = written(edges, what), starts.select("start").distinct()
+        steps, within = segments(edges, starts, what)
     least = lambda rows: rows.groupBy("a", "b").agg(F.min(F.struct("label", "length", "steps")).alias("_l")).select("a", "b", "_l.label", "_l.length", "_l.steps")
 
     def longer(rows: DataFrame, n: int) -> DataFrame:
-        """rows with what goes on from their paths of n steps."""
+        """rows with what goes on from their paths of n steps. All that reads them asks for the same rows, so that they are shuffled once."""
+        rows = rows.where("a is not null and b is not null")
         on = rows.select(F.col("a").alias("b"), F.col("b").alias("_to"), F.col("label").alias("_label"), F.col("length").alias("_length"), F.col("steps").alias("_steps"))
         joined = rows.where(F.col("steps") == n).join(on, "b")
         return least(rows.unionByName(joined.select("a", F.col("_to").alias("b"), F.concat("label", "_label").alias("label"), (F.col("length") + F.col("_length")).alias("length"), (F.col("steps") + F.col("_steps")).alias("steps"))))
@@ -131,14 +141,16 @@ def reach(starts: DataFrame, edges: DataFrame, what: str) -> DataFrame:
     while True:
         seen = closed.agg(F.count_if(F.col("steps") == n).alias("on"), F.count_if(F.col("a") == F.col("b")).alias("round")).first()
         if seen["round"]:
-            return by_rounds(starts, edges, what)
+            return by_rounds(own, edges, what)
         if not seen["on"]:
             break
         last, closed, n = closed, written(longer(longer(closed, n), 2 * n), what), 4 * n
         forget(last)
-    own = starts.select("start").distinct()
     here = own.select("start", F.col("start").alias("node"), F.array().cast("array<bigint>").alias("path"), F.lit(0).cast("bigint").alias("depth"))
-    ends = here.unionByName(closed.join(own.select(F.col("start").alias("a")), "a").select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("label").alias("path"), F.col("length").alias("depth")))
+    from_own = closed if within is None else closed.join(own.select(F.col("start").alias("a")), "a")
+    ends = here.unionByName(from_own.select(F.col("a").alias("start"), F.col("b").alias("node"), F.col("label").alias("path"), F.col("length").alias("depth")))
+    if within is None:
+        return ends
     parts = steps.where("head is not null").select(F.col("a").alias("node"), F.col("label").alias("_label"), "head").join(within.select(F.col("node").alias("_inner"), "head", "offset"), "head")
     passed = ends.join(parts, "node").select("start", F.col("_inner").alias("node"), F.concat("path", "_label").alias("path"), (F.col("depth") + 1 + F.col("offset")).alias("depth"))
     return ends.unionByName(passed)
@@ -164,23 +176,25 @@ def audit(relations: DataFrame, events: DataFrame) -> DataFrame:
     The older chain is walked from the target along superseding edges, the newer one from the source against them, depth
     first; the last of the newer one is the replacement, all others of both are the changed facts, in order.
     """
-    edges = expand(relations, events, ["supersedes"]).select("source", "target", "tgt").withColumn("as_of_date", F.date_add(F.try_to_date(F.substring("tgt.occurred_at", 1, 10)), 30).cast("string")).where("as_of_date is not null")
+    as_of = F.date_add(F.try_to_date(F.substring("tgt.occurred_at", 1, 10)), 30).cast("string").alias("as_of_date")
+    edges = expand(relations, events, ["supersedes"]).select("source", "target", topic("tgt.summary"), text("tgt.decision").alias("_held"), as_of).where("as_of_date is not null")
     by = relations.where("relation = 'supersedes'")
-    ways = [("target", "source", "target", "older"), ("source", "target", "source", "newer")]
+    ways = [("source", "target", "older"), ("target", "source", "newer")]
     with ThreadPoolExecutor(2) as both_ways:  # their rounds are small jobs, which run beside each other
-        walks = [both_ways.submit(reach, by.select(F.col(of).alias("start")), by.select(F.col(a).alias("a"), F.col(b).alias("b"), "ord"), what) for of, a, b, what in ways]
+        walks = [both_ways.submit(reach, None, by.select(F.col(a).alias("a"), F.col(b).alias("b"), "ord"), what) for a, b, what in ways]
         older, newer = (w.result() for w in walks)
     facts = events.select(F.col("id").alias("node"), text("decision").alias("decision"), slots().alias("slots"))
 
     def chain(rows, key, name):
         with_facts = rows.join(facts, "node", "left").select("start", F.struct("path", "depth", "node", F.coalesce("decision", F.lit("")).alias("decision"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots")).alias("e"))
-        return with_facts.groupBy(F.col("start").alias(key)).agg(F.array_sort(F.collect_list("e")).alias(name))
+        fact = lambda e: F.struct(e["node"].alias("node"), e["decision"].alias("decision"), e["slots"].alias("slots"))  # noqa: E731  # the way there told the order
+        return with_facts.groupBy(F.col("start").alias(key)).agg(F.transform(F.array_sort(F.collect_list("e")), fact).alias(name))
 
     both = edges.join(chain(older, "target", "older"), "target").join(chain(newer, "source", "newer"), "source")
     chained, last = F.concat("older", "newer"), F.element_at("newer", -1)
     every = F.array_sort(F.array_distinct(F.transform(chained, lambda e: F.struct(e["node"].alias("node"), e["slots"].alias("slots")))))
     return both.select(
-        "source", "target", topic("tgt.summary"), "as_of_date", F.array(text("tgt.decision")).alias("asof_facts"),
+        "source", "target", "topic", "as_of_date", F.array("_held").alias("asof_facts"),
         F.transform(F.filter(chained, lambda e: e["node"] != last["node"]), lambda e: e["decision"]).alias("changed_facts"), F.array(last["decision"]).alias("replacements"),
         F.transform(every, lambda e: e["node"]).alias("chain_event_ids"), F.flatten(F.transform(every, lambda e: e["slots"])).alias("evidence"),
     )
@@ -227,20 +241,24 @@ def newer_versions(relations: DataFrame) -> DataFrame:
 def chains(edges: DataFrame, depth: int = 20) -> DataFrame:
     """root, last, length, path (nodes) of the walk from each root along the one next of every node, at most `depth` steps.
 
-    edges: (a, b), b the next of a; of several the least. Roots are no one's next. Pointer doubling: a round joins every
-    node's next steps with those of where they end, so log2(depth) equi-joins give all walks, each written; no recursion.
-    Cycles end where they close.
+    edges: (a, b), b the next of a; of several the least. Roots are no one's next. Pointer doubling: a round joins the jumps of
+    n steps with each other, so jumps that would pass a walk's end are no rows, and the longer they get, the fewer there are;
+    log2(depth) rounds, each written. A root then takes the jumps from the longest to the shortest. Cycles end where they close.
     """
     step = written(edges.groupBy("a").agg(F.min("b").alias("b")), "next")
-    ahead = step.select("a", F.array("b").alias("path"))
-    reached = 1
-    while reached < depth:
-        far = ahead.select(F.col("a").alias("_end"), F.col("path").alias("_more"))
-        joined = ahead.withColumn("_end", F.element_at("path", -1)).join(far, "_end", "left")
-        ahead = written(joined.select("a", F.slice(F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more")), 1, depth).alias("path")), "walks")
-        reached *= 2
-    roots = ahead.join(step.select(F.col("b").alias("a")), "a", "left_anti")
-    walked = roots.select(F.col("a").alias("root"), F.array_distinct(F.concat(F.array("a"), "path")).alias("path"))  # a walk that closes has no new node from there on
+    jumps, n = [step.select("a", F.array("b").alias("path"))], 1
+    while 2 * n <= depth:
+        on = jumps[-1].select(F.col("a").alias("_end"), F.col("path").alias("_more"))
+        further = written(jumps[-1].withColumn("_end", F.element_at("path", -1)).join(on, "_end").select("a", F.concat("path", "_more").alias("path")), "walks")
+        if further.isEmpty():
+            forget(further)
+            break
+        jumps, n = [*jumps, further], 2 * n
+    roots = step.join(step.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("root"), F.array("a").alias("path"))
+    for jump in reversed(jumps):
+        on = jump.select(F.col("a").alias("_end"), F.col("path").alias("_more"))
+        roots = roots.withColumn("_end", F.element_at("path", -1)).join(on, "_end", "left").select("root", F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", "_more")).alias("path"))
+    walked = roots.select("root", F.array_distinct(F.slice("path", 1, depth + 1)).alias("path"))  # a walk that closes has no new node from there on
     return walked.select("root", F.element_at("path", -1).alias("last"), F.size("path").alias("length"), "path")
 
 
@@ -260,7 +278,7 @@ def lineage(relations: DataFrame, events: DataFrame, personas: DataFrame, least:
     walks = long_walks(relations, least)
     kept = events.join(walks.select("id").distinct(), "id", "left_semi")  # only what stands in a chain is told of
     step = kept.select("id", topic(), text("occurred_at").alias("date"), F.substring(text("decision"), 1, 200).alias("decision"), F.substring(text("reason_canonical"), 1, 150).alias("reason"), "participants", slots().alias("slots"))
-    steps = walks.join(named(step, ["id"], "participants", personas), "id")
+    steps = walks.join(named(step, ["id"], "participants", personas), "id").withColumn("topic", F.when(F.col("at") == 0, F.col("topic")))
     rows = steps.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "id", "date", "decision", "reason", "participants", "topic", "slots"))).alias("s")).where(F.size("s") >= least)
     years = F.filter(F.transform("s", lambda x: F.substring(x["date"], 1, 4)), lambda y: y != "")
     return rows.select(

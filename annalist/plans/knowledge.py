@@ -32,15 +32,19 @@ _SLOTS = lambda s: f"list_transform({s}.evidence, lambda z: z.slot_id)"  # noqa:
 _BOTH = f"array_to_string(list_concat({_SLOTS('s')}, {_SLOTS('t')}), ',')"
 
 
-def query(sql: str, once: bool = False, told: list[str] | None = None):
+def query(sql: str, once: bool = False, told: list[str] | None = None, apart: bool = False):
     """Registers a function of (events, relations, personas) as the query of its name; once: events and relations are written for what reads them often.
 
     told: the columns of events that the query reads, where it needs no more of them than these and of evidence the ids.
+    apart: f is given the events a second time, without evidence and alternatives; of what it reads only relations are written.
     """
 
     def register(f):
         def run(spark, folder):
-            e, r, p = knowledge(*[table(spark, folder, t) for t in ("orders", "lineitem", "customer")], whole=told is None)
+            o, li, c = [table(spark, folder, t) for t in ("orders", "lineitem", "customer")]
+            e, r, p = knowledge(o, li, c, whole=told is None)
+            if apart:
+                return f(e, written(r, "relations"), p, plain(o).withColumns({n: F.array().cast(e.schema[n].dataType) for n in ("evidence_in_corpus", "alternatives_considered")}))
             if told is not None:
                 e = e.select("id", *told, "evidence_in_corpus")
             return f(written(e, "events"), written(r, "relations"), p) if once else f(e, r, p)
@@ -63,12 +67,7 @@ def knowledge(o: DataFrame, li: DataFrame, c: DataFrame, whole: bool = True) ->
         piece = lambda x: F.struct(F.concat_ws("-", s("id"), s(x["l_linenumber"]), s(x["l_partkey"])).alias("slot_id"))
     suppliers = F.array_sort(F.array_distinct(F.transform(F.filter("x", lambda x: x["l_suppkey"].isNotNull()), lambda x: s(x["l_suppkey"]))))
     pieces = grouped.select("id", F.transform("x", piece).alias("evidence_in_corpus"), suppliers.alias("alternatives_considered"))
-    day = lambda x: F.date_format(x, "yyyy-MM-dd")
-    events = o.select(
-        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") < "3", "strategic_decision").otherwise("routine").alias("type"), day("o_orderdate").alias("occurred_at"),
-        F.when(F.col("o_orderkey") % 3 == 0, day(F.date_add("o_orderdate", 10))).alias("recorded_at"), F.concat(F.lit("order "), s("o_orderkey"), F.lit(" of customer "), s("o_custkey")).alias("summary"),
-        F.concat("o_orderstatus", F.lit("-"), s("o_orderkey")).alias("decision"), F.col("o_orderpriority").alias("reason_canonical"), F.array(s("o_custkey"), (F.col("o_orderkey") % 50).cast("string")).alias("participants"),
-    ).join(pieces, "id", "left")
+    events = plain(o).join(pieces, "id", "left")
     none = lambda name: F.coalesce(name, F.array().cast(pieces.schema[name].dataType)).alias(name)
     events = events.select(*[c for c in events.columns if c not in pieces.columns or c == "id"], none("evidence_in_corpus"), none("alternatives_considered"))
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -85,6 +84,16 @@ def knowledge(o: DataFrame, li: DataFrame, c: DataFrame, whole: bool = True) ->
     return events, relations, personas
 
 
+def plain(o: DataFrame) -> DataFrame:
+    """Events without what line items tell."""
+    s, day = lambda x: F.col(x).cast("string"), lambda x: F.date_format(x, "yyyy-MM-dd")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") < "3", "strategic_decision").otherwise("routine").alias("type"), day("o_orderdate").alias("occurred_at"),
+        F.when(F.col("o_orderkey") % 3 == 0, day(F.date_add("o_orderdate", 10))).alias("recorded_at"), F.concat(F.lit("order "), s("o_orderkey"), F.lit(" of customer "), s("o_custkey")).alias("summary"),
+        F.concat("o_orderstatus", F.lit("-"), s("o_orderkey")).alias("decision"), F.col("o_orderpriority").alias("reason_canonical"), F.array(s("o_custkey"), (F.col("o_orderkey") % 50).cast("string")).alias("participants"),
+    )
+
+
 def joined(*names: str):
     """Arrays as text, so that results are rows of plain values."""
     return {n: F.array_join(n, ",") for n in names}
@@ -189,11 +198,11 @@ def lineage_hard(e, r, p):
     UNION ALL SELECT 'C5', e.id::VARCHAR, '', to_json({{'claim': e.decision, 'evidence_summary': {_LINES}, 'evidence_types': list_transform(e.evidence, lambda z: z.genre), 'testimony_attribution': list_transform(e.evidence, lambda z: {{'slot_id': z.slot_id, 'testimony_type': {_KIND}}}), 'inferential_steps': e.reason}})::VARCHAR FROM e WHERE len(e.evidence) >= 3
     UNION ALL SELECT 'C6', source::VARCHAR, target::VARCHAR, to_json({{'party_a': na, 'party_a_claim': da, 'party_a_date': ta, 'party_b': nb, 'party_b_claim': db, 'party_b_date': tb, 'resolution_status': CASE WHEN resolver IS NULL THEN 'unresolved' ELSE 'resolved' END, 'resolution_details': coalesce(how, '')}})::VARCHAR FROM cn WHERE na <> nb
     UNION ALL SELECT 'HARD', root::VARCHAR, '', to_json({{'topic': topic, 'chain_length': chain_length, 'year_span': year_span, 'chain_steps': steps, 'current_state': steps[-1].decision}})::VARCHAR FROM st""",
-    once=True,
+    apart=True,
 )
-def ground_truths(e, r, p):
-    """The ground truth of all candidates, as JSON."""
-    found = {"C1": graph.supersession(r, e), "C2": graph.provenance(e, p), "C3": graph.corrections(r, e), "C4": graph.audit(r, e), "C5": graph.justification(e), "C6": graph.contradictions(r, e, p), "HARD": graph.lineage(r, e, p)}
+def ground_truths(e, r, p, bare):
+    """The ground truth of all candidates, as JSON. It tells evidence of C5 and alternatives of C2 alone, so the others go without."""
+    found = {"C1": graph.supersession(r, bare), "C2": graph.provenance(e, p), "C3": graph.corrections(r, bare), "C4": graph.audit(r, bare), "C5": graph.justification(e), "C6": graph.contradictions(r, bare, p), "HARD": graph.lineage(r, bare, p)}
     out = None
     for kind, rows in found.items():
         keys = [c for c in ("source", "target") if c in rows.columns] or [c for c in ("id", "root") if c in rows.columns]

@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/annalist-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -42,6 +42,44 @@ def test_reach_of_a_chain_of_5000_edges(spark):
     assert got == {0: [*range(5001), 9000, 9001], 4990: list(range(4990, 5001)), 9001: [9001]}
 
 
+def test_reach_from_all_nodes_that_edges_lead_to(spark):
+    """Without starts, also where edges go round."""
+    rng = random.Random(11)
+    edges = sorted({(a, b) for a, b in [(rng.randrange(25), rng.randrange(25)) for _ in range(60)] if a < b})
+    edges = [(a, b, i) for i, (a, b) in enumerate(sorted(edges, key=lambda _: rng.random()))]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint, ord bigint")
+    for more in ([], [(24, 3, 99), (3, 24, 100)]):  # the second way round is a cycle
+        own = frame.unionByName(spark.createDataFrame(more, frame.schema))
+        found = {}
+        for r in sorted(graph.reach(None, own, "test").collect(), key=lambda r: (r.start, r.path, r.depth)):
+            found.setdefault(r.start, []).append(r.node)
+        assert found == {s: walked([*edges, *more], s) for s in {b for _, b, _ in [*edges, *more]}}
+
+
+def test_walks_along_chains_with_merges(spark):
+    """Jumps of exact lengths only: roots of every distance from the end, walks that merge, one that closes."""
+    edges = [(i, i + 1) for i in range(13)] + [(100 + i, i) for i in range(0, 13, 3)] + [(50, 51), (51, 52), (52, 51)]
+    following = dict(edges)
+    want = {}
+    for root in {a for a, _ in edges} - {b for _, b in edges}:
+        path = [root]
+        while path[-1] in following and following[path[-1]] not in path:
+            path.append(following[path[-1]])
+        want[root] = path
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert {r.root: r.path for r in graph.chains(frame).collect()} == want
+    assert {r.root: r.path for r in graph.chains(frame, 5).collect()} == {root: path[:6] for root, path in want.items()}
+
+
+def test_ended_walks_are_left_behind(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "written", lambda df, what, f=graph.written: kept.append((what, f(df, what))) or kept[-1][1])
+    monkeypatch.setattr(graph, "forget", lambda table: None)
+    frame = spark.createDataFrame([(10 * i, 10 * i + 1) for i in range(50)] + [(1000 + i, 1001 + i) for i in range(5)], "a bigint, b bigint")
+    graph.chains(frame).count()
+    assert [t.count() for what, t in kept if what == "walks"] == [4, 2, 0]
+
+
 def test_reach_with_cycles(spark):
     edges = [(1, 2, 1), (2, 3, 2), (3, 1, 3), (3, 4, 4), (7, 8, 5), (8, 7, 6)]
     assert reached(spark, edges, [1, 4, 5, 7]) == {1: [1, 2, 3, 4], 4: [4], 5: [5], 7: [7, 8]}
