@@ -52,23 +52,33 @@ def keyword_topk(questions: DataFrame, documents: DataFrame, k: int) -> DataFram
 
 
 def _most_shared(asked: list[tuple], k: int):
-    """A task's work: tokens shared by a block's documents with every question, of which the best are kept."""
+    """A task's work: tokens shared by a block's documents with every question, of which the best are kept.
+
+    What is sent to the tasks are arrays, a number for each token of a question; a worker makes no objects of them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    places: dict[str, int] = {}
+    names = pa.array([name for name, _ in asked], pa.int64())
+    token = np.array([places.setdefault(t, len(places)) for _, tokens in asked for t in tokens], np.int32)
+    item = np.repeat(np.arange(len(asked), dtype=np.int32), np.array([len(tokens) for _, tokens in asked], np.int64))
+    order = np.lexsort((token, item // ASKED))  # by ranges of questions, each by token
+    token, item = token[order], item[order]
+    known, width = pa.array(list(places), pa.string()), ASKED
+    begin = np.searchsorted(item // width, np.arange(-(-len(names) // width) + 1))
+    del asked, places, order
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        places: dict[str, int] = {}
-        token = np.array([places.setdefault(t, len(places)) for _, tokens in asked for t in tokens], np.int64)
-        item = np.repeat(np.arange(len(asked)), [len(tokens) for _, tokens in asked])
-        order = np.argsort(token, kind="stable")
-        token, item = token[order], item[order]
-        known = pa.array(list(places), pa.string())
-        postings = []  # of a range of questions each: its first, how many, and by token how many of them hold it and which
-        for first in range(0, len(asked), ASKED):
-            own = (item >= first) & (item < first + ASKED)
-            postings.append((first, min(ASKED, len(asked) - first), np.bincount(token[own], minlength=len(known)).astype(np.int32), item[own] - first))
+        def postings():
+            """Of a range of questions each: its first, how many, and by token how many of them hold it and which."""
+            for i, first in enumerate(range(0, len(names), width)):
+                own = slice(begin[i], begin[i + 1])
+                yield first, min(width, len(names) - first), np.bincount(token[own], minlength=len(known)).astype(np.int32), item[own] - first
 
         def hits(block):
             """Row and token of all tokens of a block that any question has."""
@@ -81,22 +91,22 @@ def _most_shared(asked: list[tuple], k: int):
                 found.append(at.drop_null().to_numpy(zero_copy_only=False).astype(np.int32))
             return np.concatenate(rows), np.concatenate(found)
 
-        tops = Tops(len(asked), k)
+        tops = Tops(len(names), k)
         for batch in batches:
             for low in range(0, batch.num_rows, BLOCK):
                 block = batch.slice(low, BLOCK)
                 ids, (rows, t) = block.column(0).to_numpy(zero_copy_only=False), hits(block)
-                for first, width, sizes, flat in postings:
-                    counts, begins, reps = np.zeros((block.num_rows, width), np.int32), np.cumsum(sizes, dtype=np.int64) - sizes, sizes[t]
+                for first, many, sizes, flat in postings():
+                    counts, begins, reps = np.zeros((block.num_rows, many), np.int32), np.cumsum(sizes, dtype=np.int64) - sizes, sizes[t]
                     ends = np.cumsum(reps, dtype=np.int64)
                     cuts = np.unique([0, *np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS)), len(t)])
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # rows are in order, so a piece is of a few of them
                         n, at, top = reps[a:b], rows[a], rows[b - 1] + 1
                         items = flat[np.repeat(begins[t[a:b]] - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(n.sum())]
-                        counts[at:top] += np.bincount(np.repeat((rows[a:b] - at).astype(np.int64) * width, n) + items, minlength=(top - at) * width).reshape(-1, width).astype(np.int32)
+                        counts[at:top] += np.bincount(np.repeat((rows[a:b] - at).astype(np.int64) * many, n) + items, minlength=(top - at) * many).reshape(-1, many).astype(np.int32)
                     tops.add(counts.T, ids, counts.T > 0, first)
         rows = tops.rows()
-        yield pa.RecordBatch.from_arrays([pa.array([asked[q][0] for q, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([int(x) for _, _, x in rows], pa.int64())], names=["query_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array([q for q, _, _ in rows], pa.int64())), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([int(x) for _, _, x in rows], pa.int64())], names=["query_id", "id", "score"])
 
     return run
 

@@ -143,6 +143,22 @@ def test_keyword_search_holds_little_at_once(monkeypatch):
     assert top(docs, asked, 2) == sorted((q, i, -n) for q, best in every.items() for n, i in best)
 
 
+def test_workers_make_no_objects_of_questions():
+    """A worker given 3,000 questions of 60 words, all different, holds little beyond the arrays it was sent; nor does it fail without any."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 3], pa.int64()), pa.array([["w5", "w61"], ["w61"]], pa.list_(pa.string()))], names=["doc_id", "tokens"])
+    work = retrieval._most_shared([(q, [f"w{60 * q + i}" for i in range(60)]) for q in range(3000)], 2)
+    tracemalloc.start()
+    (out,) = work(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [{"query_id": 0, "id": 7, "score": 1}, {"query_id": 1, "id": 3, "score": 1}, {"query_id": 1, "id": 7, "score": 1}] and peak < 8 << 20
+    assert next(retrieval._most_shared([], 2)(iter([batch]))).num_rows == 0
+
+
 def test_verdict_lines_are_read_once(spark):
     """The parsed lines are bound before the facts are gone through; in the inner function they would be parsed for each fact."""
     from annalist.functions import rules
